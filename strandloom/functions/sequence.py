@@ -90,16 +90,22 @@ def flank_right(seq: Column) -> Column:
 
 
 def _tail_run(seq: str, base: str, penalty: int, drop: int) -> str:
-    """x-drop extension from the start of ``seq``: best score and the length reaching it first."""
+    """x-drop extension from the start of ``seq``: best score and the length reaching it first.
+
+    Works on runs of the base and runs of other bases: within a run the score is monotone, so the
+    best score is met at the end of a run and the drop is exceeded by the end of one.
+    """
+    both = f"[{base}{base.lower()}]"
+    other = f"[^{base}{base.lower()}]"
     return f"""
       aggregate(
-        transform(filter(split({seq}, ''), b -> b != ''), b -> if(upper(b) = '{base}', 1, -{penalty})),
+        transform(regexp_extract_all({seq}, '({both}+|{other}+)', 1), t -> if(t rlike '^{both}', length(t), -length(t))),
         named_struct('i', 0, 'score', 0, 'best', 0, 'at', 0),
         (s, v) -> if(s.best - s.score > {drop}, s, named_struct(
-          'i', s.i + 1,
-          'score', s.score + v,
+          'i', s.i + abs(v),
+          'score', s.score + if(v > 0, v, {penalty} * v),
           'best', greatest(s.best, s.score + v),
-          'at', if(s.score + v > s.best, s.i + 1, s.at))),
+          'at', if(s.score + v > s.best, s.i + v, s.at))),
         s -> named_struct('best', s.best, 'at', s.at))
     """
 

@@ -74,26 +74,35 @@ def with_inserted_sequence(rows: DataFrame, p: ExtractParams = ExtractParams())
 def placed_indels(rows: DataFrame, p: ExtractParams = ExtractParams()) -> DataFrame:
     """Explodes indels onto the contig of their path segment; indels crossing segments are dropped.
 
-    The segment of the i-th indel never lies before that of an earlier indel of the alignment.
+    The segment of an indel never lies before that of an earlier indel of the alignment; since the
+    lookup grows with the offset, that is the lookup of the largest offset so far.
     """
     rows = rows.filter((F.col("strand") == "+") | ~F.col("path").rlike("^[><]"))
     rows = rows.withColumn("segs", F.when(F.col("indels").isNotNull(), path_segments("path", "tlen")))
     spots = {"stl": ("d.st - length(d.r)", False), "enl": ("d.en - length(d.r)", True),
              "str": ("d.st + length(d.l)", False), "enr": ("d.en + length(d.l)", True)}
-    lookup = ", ".join(f"'{n}', {segment_index('segs', off, is_end)}" for n, (off, is_end) in spots.items())
-    rows = rows.withColumn("spots", F.expr(f"transform(indels, d -> named_struct({lookup}))"))
-    furthest = ", ".join(f"'{n}', array_max(slice(spots.{n}, 1, i + 1))" for n in spots)
-    rows = rows.withColumn("spots", F.expr(f"transform(spots, (s, i) -> named_struct({furthest}))"))
+
+    def furthest(off: str) -> str:
+        return f"array_max(transform(slice(indels, 1, i + 1), d -> {off}))"
+
+    lookup = ", ".join(
+        f"'{n}', {segment_index('segs', furthest(off), is_end)}" for n, (off, is_end) in spots.items()
+    )
+    within = " and ".join(f"{off} {'<=' if is_end else '<'} segs[0].p_en" for off, is_end in spots.values())
     # The choice is made inside the array: only indels that stay on one segment are exploded.
     rows = rows.withColumn(
         "placed",
         F.expr(
-            """
+            f"""
             filter(
-              zip_with(indels, spots, (d, s) -> named_struct('d', d, 'k', case
-                when greatest(s.stl, s.enl, s.str, s.enr) >= size(segs)
-                  then cast(raise_error(concat('indel past the end of the path of ', qname)) as int)
-                when s.stl = s.enl and s.stl = s.str and s.stl = s.enr then s.stl end)),
+              transform(
+                transform(indels, (d, i) -> named_struct('d', d, 's',
+                  if(size(segs) = 1 and {within}, named_struct('stl', 0, 'enl', 0, 'str', 0, 'enr', 0),
+                     named_struct({lookup})))),
+                x -> named_struct('d', x.d, 'k', case
+                  when greatest(x.s.stl, x.s.enl, x.s.str, x.s.enr) >= size(segs)
+                    then cast(raise_error(concat('indel past the end of the path of ', qname)) as int)
+                  when x.s.stl = x.s.enl and x.s.stl = x.s.str and x.s.stl = x.s.enr then x.s.stl end)),
               x -> x.k is not null)
             """
         ),

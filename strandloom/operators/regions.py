@@ -58,10 +58,12 @@ def annotate_near(calls: DataFrame, features: DataFrame, key: list[str], name: s
     ends = reduce(
         DataFrame.unionByName,
         [
-            calls.select(*key, F.lit(e).alias("end_no"), F.col(c).alias("ctg"), F.col(p).alias("at"))
+            calls.select(
+                *[F.col(k).alias("c_" + k) for k in key], F.lit(e).alias("end_no"), F.col(c).alias("c_c"), F.col(p).alias("at")
+            )
             for e, c, p in ((0, "ctg", "pos"), (1, "ctg2", "pos2"))
         ],
-    ).select(*[F.col(c).alias("c_" + c) for c in key], "end_no", F.col("ctg").alias("c_c"), "at")
+    )
     probes = ends.withColumn(
         "c_bin", F.explode(F.sequence(_bin(F.col("at") - pad, size), _bin(F.col("at") + pad - 1, size)))
     )

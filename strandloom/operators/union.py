@@ -72,7 +72,7 @@ def group_summary(rows: DataFrame, p: UnionParams = UnionParams()) -> DataFrame:
         F.max(F.abs("svlen")).alias("max_len"),
         F.bool_or(F.col("svtype") == "BND").alias("has_bnd"),
         F.bool_or("in_bed").alias("in_bed"),
-        F.bit_or(F.shiftleft(F.lit(1).cast("bigint"), F.col("file_id"))).alias("mask"),
+        F.bit_or(F.expr("shiftleft(1L, file_id)")).alias("mask"),
         F.count("*").alias("n_calls"),
     )
     # Equal seeds cannot start two groups, except for alleles of one line: the key breaks that tie.

@@ -20,66 +20,80 @@ def _field(i: int) -> Column:
     return F.get("f", F.lit(i))
 
 
-def _classified(lines: DataFrame) -> DataFrame:
-    """Data rows with their record kind; anything else that has a numeric position is an error."""
+def kept_rows(df: DataFrame, keep: Column, *cols: Column | str) -> DataFrame:
+    """Select ``cols`` of the rows with ``keep``, evaluating both once.
+
+    A plain filter on derived columns is pushed below the projections that define them, with every
+    definition copied into it.  Deciding inside a generator leaves nothing to push.
+    """
+    row = F.struct(*[F.col(c) if isinstance(c, str) else c for c in cols])
+    return (
+        df.select(F.explode_outer(F.array(F.when(keep, row))).alias("_r"))
+        .filter("_r is not null")
+        .select("_r.*")
+    )
+
+
+def _supported(lines: DataFrame, p: CallParams) -> DataFrame:
+    """Data rows with record kind, read count and ids that pass the filters not needing coordinates.
+
+    A row with a numeric position that is no known record is an error.
+    """
+    c = F.col
     kind = (
         F.when(_field(2).rlike("^[><][><]$"), "breakend")
         .when((F.size("f") >= 8) & _field(7).contains(";"), "vcf")
         .when(_field(2).rlike(r"^\d+$") & _field(6).contains(";"), "indel")
+        .otherwise(F.raise_error(F.concat(F.lit("unknown call record at line "), c("line_no"))).cast("string"))
     )
-    return (
-        lines.filter(~F.col("line").startswith("#"))
-        .select("file_id", "line_no", F.split("line", "\t").alias("f"))
-        .filter(_field(1).rlike(r"^\d"))
-        .withColumn("kind", kind)
-        .withColumn(
-            "kind",
-            F.coalesce(
-                "kind",
-                F.raise_error(F.concat(F.lit("unknown call record at line "), F.col("line_no"))).cast("string"),
-            ),
-        )
-        .withColumn(
-            "info",
-            F.when(F.col("kind") == "indel", _field(6))
-            .when(F.col("kind") == "vcf", _field(7))
-            .otherwise(_field(8)),
-        )
+    raw = lines.filter(~c("line").startswith("#") & c("line").rlike(r"^[^\t]*\t\d"))
+    rows = _steps(
+        raw.select("file_id", "line_no", F.split("line", "\t").alias("f")),
+        {"kind": kind},
+        {"info": F.when(c("kind") == "indel", _field(6)).when(c("kind") == "vcf", _field(7)).otherwise(_field(8))},
     )
-
-
-def _support(rows: DataFrame, p: CallParams) -> DataFrame:
-    """Read count, and the filters that do not need coordinates."""
-    merged = F.coalesce(strand_count_total(info_first(F.col("info"), "count")), F.lit(-1).cast("bigint"))
-    rows = rows.withColumn(
-        "count", F.when(F.col("kind") == "vcf", vcf_support(F.col("f"))).otherwise(merged)
-    ).filter((F.col("count") <= 0) | (F.col("count") >= p.min_count))
-    is_vcf = F.col("kind") == "vcf"
+    is_vcf = c("kind") == "vcf"
+    merged = F.coalesce(strand_count_total(info_first(c("info"), "count")), F.lit(-1).cast("bigint"))
+    spelled = is_vcf & _field(4).rlike(r"^[A-Z,\*]+$") & ~_field(4).isin("SV", "CSV")
+    mate = F.nullif(F.regexp_extract("info", r"\b(?:MATE_ID|MATEID)=([^\s;]+)", 1), F.lit(""))
+    rows = _steps(
+        rows,
+        {
+            "count": F.when(is_vcf, vcf_support(c("f"))).otherwise(merged),
+            "spelled": spelled,
+            "symbolic": is_vcf & ~spelled,
+            "svid": F.when(is_vcf, _field(2)).otherwise(c("line_no").cast("string")),
+            "mate": F.when(is_vcf, mate),
+        },
+    )
+    keep = (c("count") <= 0) | (c("count") >= p.min_count)
     if not p.ignore_filter:
-        rows = rows.filter(~is_vcf | _field(6).isin("PASS", "."))
+        keep = keep & (~is_vcf | _field(6).isin("PASS", "."))
     if p.check_gt:
-        rows = rows.filter(~is_vcf | ~F.coalesce(_field(9), F.lit("")).rlike(r"^0[/|]0"))
-    return rows
+        keep = keep & (~is_vcf | ~F.coalesce(_field(9), F.lit("")).rlike(r"^0[/|]0"))
+    return kept_rows(rows, keep, *rows.columns)
 
 
 def _without_later_mates(rows: DataFrame) -> DataFrame:
     """Drop a symbolic record whose id was used, or named as a mate, by an earlier record.
 
     Every symbolic record claims its own id and its mate's id at its line; the earliest claim per id
-    is one aggregated row, so a record survives exactly when that claim is its own.
+    is one aggregated row, so a record survives exactly when that claim is its own.  Records that
+    cannot be dropped get a key of their own, so that a common id such as ``.`` does not pile up.
     """
     sym = rows.filter("symbolic")
-    own = sym.filter("svid != '.'").select("file_id", F.col("svid").alias("claimed"), "line_no")
-    mate = sym.filter("mate is not null").select("file_id", F.col("mate").alias("claimed"), "line_no")
-    first = own.unionByName(mate).groupBy("file_id", "claimed").agg(F.min("line_no").alias("first_claim"))
-    held = rows.join(
-        first,
-        (rows.file_id == first.file_id) & (rows.svid == first.claimed) & rows.symbolic,
-        "left",
-    ).drop(first.file_id)
-    return held.filter(
-        ~F.col("symbolic") | (F.col("svid") == ".") | (F.col("first_claim") == F.col("line_no"))
-    ).drop("claimed", "first_claim")
+    claims = sym.select(
+        F.col("file_id").alias("_file"), "line_no", F.explode_outer(F.array("svid", "mate")).alias("_claimed")
+    ).filter("_claimed != '.'")
+    first = claims.groupBy("_file", "_claimed").agg(F.min("line_no").alias("_first"))
+    named = F.col("symbolic") & (F.col("svid") != ".")
+    key = F.when(named, F.col("svid")).otherwise(F.concat(F.lit("\t"), F.col("line_no").cast("string")))
+    return (
+        rows.withColumn("_key", key)
+        .join(first, (F.col("file_id") == F.col("_file")) & (F.col("_key") == F.col("_claimed")), "left")
+        .filter(F.col("_first").isNull() | (F.col("_first") == F.col("line_no")))
+        .drop("_key", "_file", "_claimed", "_first")
+    )
 
 
 def _steps(rows: DataFrame, *steps: dict[str, Column]) -> DataFrame:
@@ -88,52 +102,27 @@ def _steps(rows: DataFrame, *steps: dict[str, Column]) -> DataFrame:
 
 
 def parse_calls(lines: DataFrame, params: CallParams = CallParams()) -> DataFrame:
-    """``file_id, line_no, line`` to calls; positions are 0-based, VCF mate/END positions stay 1-based."""
-    c, min_len = F.col, params.min_read_len
-    is_vcf, is_bp = c("kind") == "vcf", c("kind") == "breakend"
-    alt, rlen = _field(4), F.length(_field(3)).cast("bigint")
-    spelled = is_vcf & alt.rlike(r"^[A-Z,\*]+$") & ~alt.isin("SV", "CSV")
-    sym = c("symbolic")
+    """``file_id, line_no, line`` to calls; positions are 0-based, VCF mate/END positions stay 1-based.
 
-    rows = _support(_classified(lines), params)
-    rows = rows.withColumns(
-        {
-            "symbolic": is_vcf & ~spelled,
-            "svid": F.when(is_vcf, _field(2)).otherwise(c("line_no").cast("string")),
-            "mate": F.when(is_vcf, F.nullif(F.regexp_extract("info", r"\b(?:MATE_ID|MATEID)=([^\s;]+)", 1), F.lit(""))),
-        }
-    )
-    rows = _without_later_mates(rows)
+    Each step sees what the steps before it wrote.  Conditions to drop a row are collected in
+    ``keep`` and applied once at the end.
+    """
+    c, min_len = F.col, params.min_read_len
+    is_vcf, is_bp, is_indel = c("kind") == "vcf", c("kind") == "breakend", c("kind") == "indel"
+    sym, spelled = c("symbolic"), c("spelled")
+    rows = _without_later_mates(_supported(lines, params))
 
     # Alleles spelled out as bases: one row per allele that is long enough.
+    ref_len = F.length(_field(3)).cast("bigint")
     gains = F.filter(
-        F.transform(F.split(alt, ","), lambda a: F.length(a).cast("bigint") - rlen),
+        F.transform(F.split(_field(4), ","), lambda a: F.length(a).cast("bigint") - ref_len),
         lambda n: F.abs(n) >= min_len,
     )
-    one = F.array(F.lit(None).cast("bigint"))
-    rows = rows.withColumn("allele", F.explode(F.when(spelled, gains).otherwise(one)))
-    by_allele = c("allele").isNotNull()
+    rows = rows.withColumn("allele", F.explode_outer(F.when(spelled, gains)))
 
-    rows = rows.withColumns(
-        {
-            "ctg": _field(0),
-            "vpos": _field(1).cast("bigint"),
-            "svtype": info_first(c("info"), "SVTYPE"),
-            "svlen": F.coalesce(info_long(c("info"), "SVLEN"), F.lit(0).cast("bigint")),
-            "end_key": F.regexp_extract("info", r"\bEND=(\d+)", 1).try_cast("bigint"),
-            "rlen": rlen,
-            "alt": alt,
-        }
-    )
     bracket = lambda pat, i: F.regexp_extract("alt", pat, i)
     fwd, rev = r"^[A-Z]+\[([^\s:]+):(\d+)\[$", r"^\]([^\s:]+):(\d+)\][A-Z]+$"
     left, right = r"^\[([^\s:]+):(\d+)\[[A-Z]+$", r"^[A-Z]+\]([^\s:]+):(\d+)\]$"
-    alt_ori = (
-        F.when(sym & c("alt").rlike(fwd), ">>")
-        .when(sym & c("alt").rlike(rev), "<<")
-        .when(sym & c("alt").rlike(left), "<>")
-        .when(sym & c("alt").rlike(right), "><")
-    )
     mate_of = lambda i: (
         F.when(c("alt_ori") == ">>", bracket(fwd, i))
         .when(c("alt_ori") == "<<", bracket(rev, i))
@@ -141,37 +130,49 @@ def parse_calls(lines: DataFrame, params: CallParams = CallParams()) -> DataFram
         .when(c("alt_ori") == "><", bracket(right, i))
     )
     one_base = c("end_key").isNull() & (c("rlen") == 1)
+    same = c("ctg") == c("ctg2")
+    flipped = c("ori").isin("><", "<>")
+    bnd = c("svtype") == "BND"
+    untyped = sym & c("svtype").isNull()
     rows = _steps(
         rows,
+        {
+            "ctg": _field(0),
+            "vpos": _field(1).try_cast("bigint"),
+            "rlen": ref_len,
+            "alt": _field(4),
+            "svtype": info_first(c("info"), "SVTYPE"),
+            "svlen": F.coalesce(info_long(c("info"), "SVLEN"), F.lit(0).cast("bigint")),
+            "end_key": F.regexp_extract("info", r"\bEND=(\d+)", 1).try_cast("bigint"),
+        },
         {
             "inv": F.coalesce(c("svtype") == "INV", F.lit(False)),
-            "svtype": F.when(by_allele, F.when(c("allele") < 0, "DEL").otherwise("INS"))
-            .when(sym & c("svtype").isNull(), F.raise_error(F.lit("call without SVTYPE")).cast("string"))
+            "svtype": F.when(spelled, F.when(c("allele") < 0, "DEL").otherwise("INS"))
+            .when(untyped, F.raise_error(F.lit("call without SVTYPE")).cast("string"))
             .otherwise(c("svtype")),
-            "svlen": F.when(by_allele, c("allele"))
+            "svlen": F.when(spelled, c("allele"))
             .when(
                 sym & (c("svtype") == "INS"),
                 F.coalesce(info_first(c("info"), "SVINSLEN", False).try_cast("bigint"), c("svlen")),
             )
             .otherwise(c("svlen")),
-            "alt_ori": alt_ori,
+            "alt_ori": F.when(sym & c("alt").rlike(fwd), ">>")
+            .when(sym & c("alt").rlike(rev), "<<")
+            .when(sym & c("alt").rlike(left), "<>")
+            .when(sym & c("alt").rlike(right), "><"),
             "pos": F.when(is_vcf, c("vpos") - 1).otherwise(c("vpos")),
         },
-    )
-    # Length bounds that see the annotated length.
-    too_short = F.abs("svlen") < min_len
-    rows = rows.filter(
-        F.when(c("kind") == "indel", ~too_short)
-        .when(is_bp, (c("ctg") != _field(3)) | ~too_short)
-        .when(sym, (c("svtype") == "BND") | ~too_short)
-        .otherwise(True)
-    ).filter(~(sym & one_base & (c("svtype") == "BND") & (F.length("alt") < 6)))
-    rows = _steps(
-        rows,
-        {"svlen": F.when(sym & (c("svtype") == "DEL"), -F.abs("svlen")).otherwise(c("svlen"))},
+        # Length bounds look at the annotated length, before break ends are retyped.
+        {
+            "keep": F.when(spelled, c("allele").isNotNull())
+            .when(is_indel, F.abs("svlen") >= min_len)
+            .when(is_bp, (c("ctg") != _field(3)) | (F.abs("svlen") >= min_len))
+            .otherwise((bnd | (F.abs("svlen") >= min_len)) & ~(one_base & bnd & (F.length("alt") < 6))),
+            "svlen": F.when(sym & (c("svtype") == "DEL"), -F.abs("svlen")).otherwise(c("svlen")),
+        },
         {
             "ctg2": F.when(is_bp, _field(3)).when(sym, F.coalesce(mate_of(1), c("ctg"))).otherwise(c("ctg")),
-            "pos2": F.when(c("kind") == "indel", _field(2).try_cast("bigint"))
+            "pos2": F.when(is_indel, _field(2).try_cast("bigint"))
             .when(is_bp, _field(4).try_cast("bigint"))
             .when(
                 sym,
@@ -185,34 +186,29 @@ def parse_calls(lines: DataFrame, params: CallParams = CallParams()) -> DataFram
             .otherwise(c("vpos") + c("rlen") - 1),
             "ori": F.when(is_bp, _field(2)).when(sym, F.coalesce(c("alt_ori"), F.lit(">>"))).otherwise(">>"),
         },
-    )
-    rows = rows.withColumn(
-        "pos2",
-        F.when(
-            (c("kind") == "indel") & (c("pos") > c("pos2")),
-            F.raise_error(F.lit("interval end before its start")).cast("bigint"),
-        ).otherwise(c("pos2")),
-    )
-    same = c("ctg") == c("ctg2")
-    flipped = c("ori").isin("><", "<>")
-    rows = _steps(
-        rows,
-        {"inv": c("inv") | (~(c("kind") == "indel") & ~by_allele & same & flipped)},
         {
-            "svlen": F.when(sym & c("inv") & (c("svtype") == "BND"), F.abs(c("pos2") - c("pos"))).otherwise(c("svlen")),
-            "svtype": F.when(sym & c("inv") & (c("svtype") == "BND"), "INV").otherwise(c("svtype")),
+            "inv": c("inv") | (~is_indel & ~spelled & same & flipped),
+            "pos2": F.when(
+                c("keep") & is_indel & (c("pos") > c("pos2")),
+                F.raise_error(F.lit("interval end before its start")).cast("bigint"),
+            ).otherwise(c("pos2")),
+        },
+        {
+            "svlen": F.when(sym & c("inv") & bnd, F.abs(c("pos2") - c("pos"))).otherwise(c("svlen")),
+            "svtype": F.when(sym & c("inv") & bnd, "INV").otherwise(c("svtype")),
+        },
+        {
+            "ori": F.when(sym & (c("svtype") == "DUP") & (c("ori") == ">>"), "<<")
+            .when(sym & same & ~flipped & (c("svtype") == "INV"), "><")
+            .otherwise(c("ori"))
         },
-        {"ori": F.when(sym & (c("svtype") == "DUP") & (c("ori") == ">>"), "<<").otherwise(c("ori"))},
-        {"ori": F.when(sym & same & ~flipped & (c("svtype") == "INV"), "><").otherwise(c("ori"))},
         {
             "svtype": F.when(
-                sym & same & (c("svtype") == "BND") & (c("ori") == ">>")
-                & info_first(c("info"), "DETAILED_TYPE", False).isNull(),
-                "DEL",
+                sym & same & bnd & (c("ori") == ">>") & info_first(c("info"), "DETAILED_TYPE", False).isNull(), "DEL"
             )
-            .when(sym & same & (c("svtype") == "BND") & (c("ori") == "<<"), "DUP")
+            .when(sym & same & bnd & (c("ori") == "<<"), "DUP")
             .when(
-                sym & ~same & (c("svtype") != "BND"),
+                c("keep") & sym & ~same & ~bnd,
                 F.raise_error(F.lit("only breakends may join two contigs")).cast("string"),
             )
             .otherwise(c("svtype"))
@@ -220,9 +216,10 @@ def parse_calls(lines: DataFrame, params: CallParams = CallParams()) -> DataFram
         {"svlen": F.when(sym & (c("svtype") == "DEL") & (c("svlen") > 0), -c("svlen")).otherwise(c("svlen"))},
     )
     reach = F.when(c("svlen") == 0, F.abs(c("pos2") - c("pos"))).otherwise(F.abs("svlen"))
-    rows = rows.filter(~(sym & same & (c("svtype") == "BND")) | (reach >= min_len))
     swap = sym & same & (c("pos") > c("pos2"))
-    return rows.select(
+    return kept_rows(
+        rows,
+        c("keep") & (~(sym & same & bnd) | (reach >= min_len)),
         "file_id",
         "line_no",
         "svid",

@@ -54,4 +54,4 @@ def vcf_lines() -> str:
         line = _line(c, _S(p), f"concat('m', oid, '_{end}')", "'N'", alt, "'.'", "flt", pair(f"'_{3 - end}'"), _fmt, _smp)
         parts.append(f"select line_no + {end - 1} as line_no, {line} as line from vr where style >= 9")
     body = " union all ".join(parts)
-    return f"with vr as ({rows}) select 0 as file_id, line_no, line from ({body})"
+    return f"with vr as ({rows}) select 0 as file_id, line_no, max(line) as line from ({body}) group by line_no"

@@ -35,6 +35,10 @@ class Source:
                 self.table(t).createOrReplaceTempView(t)
         return self.spark.sql(sql)
 
+    def spread(self, name: str) -> DataFrame:
+        """A view whose rows feed heavy per-row work; the driver tables are single files of one split."""
+        return self.view(name).repartition(self.spark.sparkContext.defaultParallelism)
+
     def sql(self, text: str, *views: str) -> DataFrame:
         for v in views:
             self.view(v).createOrReplaceTempView(v)

@@ -234,6 +234,24 @@ _A0 = (
 ).replace("select *, row_number() over () as row_key", "select * replace (row_number() over () as row_no), row_no as src_no")
 
 
+def typed_alignments(s):
+    rows = s.spread("indel_alns").filter("mapq >= 5 and tp = 'P'")
+    return rows.select(
+        F.concat(F.lit("r"), "row_no").alias("qname"), "qlen", "qst", "qen", "strand", "path", "tlen", "tst", "ten", "mapq", "cg", "ds"
+    )
+
+
+@query(
+    "parse_alignments",
+    with_views(
+        "select concat('r', row_no) as qname, qlen, qst, qen, strand, path, tlen, tst, ten, cast(mapq as int) as mapq, cg, ds from indel_alns where mapq >= 5 and tp = 'P'",
+        "indel_alns",
+    ),
+)
+def parsed_alignments(s):
+    return parse_alignments(s.view("aln_lines"))
+
+
 @query(
     "cigar_indels",
     with_views(
@@ -242,12 +260,12 @@ _A0 = (
     ),
 )
 def cigar_indels(s):
-    rows = X.aligned_indels(parse_alignments(s.view("aln_lines")))
+    rows = X.aligned_indels(typed_alignments(s))
     return rows.select("qname", F.explode_outer("indels").alias("d")).filter("d is not null").select("qname", "d.*")
 
 
 _FLANKS = """
-  fl as (select *, case when ds = '' or op = 'D' then 0 else l end as fl_l, case when ds = '' or op = 'D' then 0 else r end as fl_r from ok),
+  fl as (select *, case when ds is null or op = 'D' then 0 else l end as fl_l, case when ds is null or op = 'D' then 0 else r end as fl_r from ok),
   seg as (select *, case when graph then case when ist < 7000 then 1 else 2 end else 0 end as sg,
     case when graph and ist - fl_r < 7000 and ien - fl_r <= 7000 and ist + fl_l < 7000 and ien + fl_l <= 7000 then 1
          when graph and ist - fl_r >= 7000 and ien - fl_r > 7000 then 2 when graph then -1 else 0 end as one from fl)
@@ -266,16 +284,16 @@ _FLANKS = """
           case when op = 'I' then 'INS' else 'DEL' end as svtype, ilen as svlen,
           ql - case when strand = '-' then fl_l else fl_r end as qoff_l, qr + case when strand = '-' then fl_r else fl_l end as qoff_r,
           fl_l + fl_r as tsd_len,
-          cast(case when op = 'D' or ds = '' then 0 else (case when one = 2 then -1 else 1 end) * coalesce(length(regexp_extract(body, 'a+$')), 0) end as bigint) as polya_len,
+          cast(case when op = 'D' or ds is null then 0 else (case when one = 2 then -1 else 1 end) * coalesce(length(regexp_extract(body, 'a+$')), 0) end as bigint) as polya_len,
           case when fl_l + fl_r = 0 then '.' when one = 2 then concat(repeat('c', fl_l), repeat('a', fl_r)) else concat(repeat('t', fl_r), repeat('g', fl_l)) end as tsd_seq,
-          case when ds = '' then '.' else (case when one = 2 then translate(reverse(case when op = 'D' then repeat('c', d) else body end), 'acgt', 'tgca') else case when op = 'D' then repeat('c', d) else body end end) end as insert_seq
+          case when ds is null then '.' else (case when one = 2 then translate(reverse(case when op = 'D' then repeat('c', d) else body end), 'acgt', 'tgca') else case when op = 'D' then repeat('c', d) else body end end) end as insert_seq
         from (select *, case when graph then cast(regexp_extract(path, 'chr1:(\\d+)', 1) as bigint) - 1000 end as p1,
                      case when graph then cast(regexp_extract(path, 'chr2:(\\d+)', 1) as bigint) - 2000 end as p2 from seg) where one >= 0""",
         "indel_alns",
     ),
 )
 def extract_indels(s):
-    return X.indel_signals(parse_alignments(s.view("aln_lines"))).select(
+    return X.indel_signals(typed_alignments(s)).select(
         "read", "mapq", "ctg", "pos", "en", "strand", "svtype", "svlen", "qoff_l", "qoff_r", "tsd_len", "polya_len",
         "tsd_seq", "insert_seq",
     )
@@ -453,9 +471,9 @@ _SEQ = """select l_orderkey, l_linenumber, l_extendedprice, concat(repeat('t', c
     mx as (select *, max(a) over (partition by i order by j rows between unbounded preceding and 1 preceding) as ma, max(t) over (partition by i order by j rows between unbounded preceding and 1 preceding) as mt from sc),
     st as (select i, min(case when greatest(coalesce(ma, 0), 0) - a > 100 then j end) as sa, min(case when greatest(coalesce(mt, 0), 0) - t > 100 then j end) as s_t from mx group by i),
     best as (select m.i, max(case when (sa is null or j <= sa) and a > 0 then a end) as ba, max(case when (s_t is null or j <= s_t) and t > 0 then t end) as bt from mx m join st using (i) group by m.i),
-    at as (select m.i, min(case when a = ba and (sa is null or j <= sa) then j end) as la, min(case when t = bt and (s_t is null or j <= s_t) then j end) as lt, any_value(ba) as ba, any_value(bt) as bt
+    ats as (select m.i, min(case when a = ba and (sa is null or j <= sa) then j end) as la, min(case when t = bt and (s_t is null or j <= s_t) then j end) as lt, any_value(ba) as ba, any_value(bt) as bt
            from mx m join st using (i) join best using (i) group by m.i)
-    select l_orderkey, l_linenumber, l_extendedprice, cast(case when coalesce(ba, 0) >= coalesce(bt, 0) then coalesce(la, 0) else -lt end as bigint) as polya_len from s join at using (i)""",
+    select l_orderkey, l_linenumber, l_extendedprice, cast(case when coalesce(ba, 0) >= coalesce(bt, 0) then coalesce(la, 0) else -lt end as bigint) as polya_len from s join ats using (i)""",
 )
 def polya_len(s):
     s.table("lineitem").createOrReplaceTempView("lineitem")

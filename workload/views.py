@@ -154,16 +154,16 @@ _ALN = f"""
   from lineitem"""
 VIEWS["chain_alns"] = _ALN
 VIEWS["aln_lines"] = """
-select 0 as file_id, row_no as line_no, concat(
+select 0 as file_id, line_no, max(line) as line from (select row_no as line_no, concat(
   'r', cast(row_no as string), '\t', cast(qlen as string), '\t', cast(qst as string), '\t', cast(qen as string), '\t', strand, '\t', path,
   '\t', cast(tlen as string), '\t', cast(tst as string), '\t', cast(ten as string), '\t9000\t9000\t', cast(mapq as string),
-  '\ttp:A:', tp, '\tcg:Z:', cg, ds) as line
-from ({rows})
+  '\ttp:A:', tp, '\tcg:Z:', cg, case when ds is null then '' else concat('\tds:Z:', ds) end) as line
+from ({rows})) group by line_no
 """
 # One alignment with a long insertion (i), a long deletion (d) and a short one, per row.
 VIEWS["indel_alns"] = """
 select
-  l_orderkey * 8 + l_linenumber as row_no,
+  (l_orderkey * 8 + l_linenumber) * 100000000 + cast(round(l_extendedprice * 100) as bigint) as row_no,
   cast(20000 as bigint) as qlen, cast(l_linenumber * 10 as bigint) as qst, cast(l_linenumber * 10 + a + i + b + c as bigint) as qen,
   case when graph then '+' when l_linestatus = 'O' then '+' else '-' end as strand,
   case when graph then concat('>chr1:', cast(1000 + l_partkey as string), '-', cast(1000 + l_partkey + 7000 as string),
@@ -176,7 +176,7 @@ select
   case when l_tax > 0.07 then 'S' else 'P' end as tp,
   a, b, c, i, d, l, r, graph, body,
   concat(cast(a as string), 'M', cast(i as string), 'I', cast(b as string), 'M', cast(d as string), 'D', '20X', cast(c - 20 as string), '=') as cg,
-  case when l_linenumber = 7 then '' else concat('\tds:Z::', cast(a as string), '+',
+  case when l_linenumber = 7 then null else concat(':', cast(a as string), '+',
     case when l > 0 then concat('[', repeat('g', cast(l as int)), ']') else '' end, body,
     case when r > 0 then concat('[', repeat('t', cast(r as int)), ']') else '' end,
     ':', cast(b as string), '-', repeat('c', cast(d as int)), repeat('*ag', 20), ':', cast(c - 20 as string)) end as ds
@@ -194,7 +194,7 @@ VIEWS["aln_lines"] = VIEWS["aln_lines"].replace("{rows}", VIEWS["indel_alns"])
 # VCF lines of all record styles, mates in pairs.
 VIEWS["vcf_rows"] = f"""
 select
-  l_orderkey * 16 + l_linenumber * 2 as line_no, 0 as mate_no, style, {_CTG} as chrom, p as vpos, p2 as vpos2, len,
+  (l_orderkey * 8 + l_linenumber) * 200000000 + cast(round(l_extendedprice * 100) as bigint) * 2 as line_no, 0 as mate_no, style, {_CTG} as chrom, p as vpos, p2 as vpos2, len,
   case when style = 9 then {_CTG} else {_NEXT_CTG} end as chrom2, x as bk, flt, sup, oid
 from (
   select *, cast(l_partkey * 100 + l_linenumber + 1 as bigint) as p, cast(l_partkey * 100 + 5000 + l_suppkey as bigint) as p2,
