@@ -11,6 +11,7 @@ from strandloom.operators.islands import scan_islands, with_island
 from strandloom.operators.ordinals import dense_index, middle_row
 from strandloom.operators.regions import annotate_near, flag_inside
 from strandloom.params import CompareParams, UnionParams
+from strandloom.session import settle
 
 CALL_KEY = ["file_id", "line_no", "svid", *SHAPE]
 GROUP_KEY = ["ctg", "ctg2", "island", "grp"]
@@ -92,7 +93,7 @@ def group_summary(rows: DataFrame, p: UnionParams = UnionParams()) -> DataFrame:
 
 def union_rows(calls: DataFrame, p: UnionParams = UnionParams(), bed: DataFrame | None = None) -> DataFrame:
     """Calls of reported groups with ``group_id``."""
-    rows = grouped(calls, p, bed)
+    rows = settle(grouped(calls, p, bed))
     kept = group_summary(rows, p).filter("kept").select(*GROUP_KEY, "group_id")
     return rows.join(kept, GROUP_KEY).drop("island", "grp", "in_bed", "seed_pos", "seed_file", "seed_line")
 
@@ -168,7 +169,7 @@ def union_with_repeats(
         ),
         ",",
     )
-    best = _first_best(rows, ["group_id"], "count")
+    best = settle(_first_best(rows, ["group_id"], "count"))
     best = annotate_near(annotate_near(best, repeats, CALL_KEY, "tr_info"), segdups, CALL_KEY, "segdup_info")
     return best.join(vectors, "group_id").select(
         *best.columns, pick("len").alias("lens"), pick("count").alias("counts")
@@ -183,6 +184,7 @@ def median_rows(rows: DataFrame, drop_last_group: bool = False) -> DataFrame:
     if drop_last_group:
         last = rows.agg(F.max("group_id").alias("_last"))
         rows = rows.join(F.broadcast(last), F.col("group_id") != F.col("_last")).drop("_last")
+    rows = settle(rows)
     mid = middle_row(
         rows,
         ["group_id"],

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -17,6 +18,7 @@ def local_session(cores: int = 8, app: str = "strandloom", **conf) -> SparkSessi
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("STRANDLOOM_DRIVER_MEMORY", "8g"))
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for k, v in conf.items():
         b = b.config(k.replace("__", "."), v)
@@ -31,3 +33,21 @@ def small_or_plain(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     """
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the checkpoint folder and go on from there.
+
+    For results that several branches of a plan read and that are dear to compute, such as ordered
+    scans.  Uses the folder the session names in ``spark.checkpoint.dir``; only a local session
+    without one gets a temporary folder.  A cluster without one keeps the plan as it is, which is
+    slower but gives the same rows.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            return df
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="strandloom-"))
+    return df.checkpoint()
