@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import coords, sequence
 from strandloom.functions.typing import canonical_id, length_class, split_read_type, type_flag
 from strandloom.operators import extract as X
+from strandloom.operators import long_indels as LI
 from strandloom.operators.intersect import intersect
 from strandloom.operators.merge import assign_clusters, cluster_reads, merge_signals, only_sources
 from strandloom.params import ExtractParams, MergeParams
@@ -491,3 +492,53 @@ def merge_cluster_sizes(s):
 
 
 PARAMS = ExtractParams()
+
+
+@query("indel_alignment_rows", with_views(
+    f"""with {_A0}, {CIGAR_SQL}, z as (select *, case when op = 'I' then ist - 1 else ist end as s0, case when op = 'I' then ien + 1 else ien end as e0,
+      cast(regexp_extract(path, 'chr1:(\\d+)', 1) as bigint) as a1, cast(regexp_extract(path, 'chr2:(\\d+)', 1) as bigint) as a2 from
+      (select * from (select *, count(*) over (partition by row_no) as n_all from ind) where n_all <= 5)),
+      y as (select *, case when not graph then 0 when e0 < 7000 then 1 when s0 >= 7000 then 2 else 3 end as w from z)
+    select case w when 0 then path when 1 then 'chr1' when 2 then 'chr2' else path end as ctg,
+      case w when 0 then s0 when 1 then a1 + s0 when 2 then a2 + 30000 - (e0 - 7000) else s0 end as st,
+      case w when 0 then e0 when 1 then a1 + e0 when 2 then a2 + 30000 - (s0 - 7000) else e0 end as en,
+      concat('r', src_no) as read, cast(mapq as int) as mapq, case when w = 2 then '-' when w = 3 then '+' else strand end as strand, ilen as len from y""".replace(
+          "cast(regexp_extract(path, 'chr1:(\\d+)', 1) as bigint)", "try_cast(regexp_extract(path, 'chr1:(\\d+)', 1) as bigint)").replace(
+          "cast(regexp_extract(path, 'chr2:(\\d+)', 1) as bigint)", "try_cast(regexp_extract(path, 'chr2:(\\d+)', 1) as bigint)"),
+    "indel_alns"))
+def indel_alignment_rows(s):
+    return LI.alignment_indels(typed_alignments(s)).select("ctg", "st", "en", "read", "mapq", "strand", "len")
+
+
+@query("indel_merge")
+def indel_merge(s):
+    return LI.merge_indels(LI.alignment_indels(typed_alignments(s)), min_count=2)
+
+
+_SIG_TEXT = """select concat_ws('\t', ctg, cast(pos as string), case when is_bp then ori else cast(en as string) end, case when is_bp then ctg2 end, case when is_bp then cast(pos2 as string) end,
+  read, cast(mapq as string), strand, concat('SVTYPE=', svtype, case when svlen is null then '' else concat(';SVLEN=', cast(svlen as string)) end, ';qoff_l=', cast(qoff_l as string), ';qoff_r=', cast(qoff_r as string),
+  case when tsd_len is null then '' else concat(';tsd_len=', cast(tsd_len as string)) end, ';source=', source)) as line, * from sig"""
+
+
+@query("parse_signals", with_views("select ctg, pos, en, is_bp, ori, ctg2, pos2, read, mapq, strand, svtype, svlen, qoff_l, qoff_r, tsd_len, source from sig", "sig"))
+def parsed_signals(s):
+    from strandloom.sources.signals import parse_signals
+
+    lines = s.sql(_SIG_TEXT, "sig").select("line")
+    return parse_signals(lines).select(
+        "ctg", "pos", "en", "is_bp", "ori", "ctg2", "pos2", "read", "mapq", "strand", "svtype", "svlen", "qoff_l", "qoff_r", "tsd_len", "source"
+    )
+
+
+@query("indel_region_flags", with_views(
+    """select ctg, st, en, coalesce(any_value(h), false) as in_region from (select distinct 'chr' || (l_suppkey % 5 + 1) as ctg, l_partkey * 9000 as st, l_partkey * 9000 + cast(l_quantity as bigint) * 100000 as en from lineitem) q
+      left join (select ctg as c, st - 5 as s, en + 5 as e, true as h from bed) b on b.c = q.ctg and b.s < q.en and b.e > q.st group by all""", "bed"))
+def indel_region_flags(s):
+    from strandloom.sources.regions import padded
+
+    s.table("lineitem").createOrReplaceTempView("lineitem")
+    rows = s.spark.sql(
+        "select distinct concat('chr', cast(l_suppkey % 5 + 1 as string)) as ctg, l_partkey * 9000 as st, "
+        "l_partkey * 9000 + cast(l_quantity as bigint) * 100000 as en from lineitem"
+    )
+    return LI.flag_overlap(rows, padded(s.view("bed")), "in_region")
