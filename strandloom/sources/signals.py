@@ -46,3 +46,49 @@ def parse_signals(lines: DataFrame) -> DataFrame:
 
 def read_signals(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return parse_signals(read_lines(spark, path))
+
+
+def parse_merged_calls(lines: DataFrame) -> DataFrame:
+    """Merged call rows (``line_no, line``) in the columns the VCF writer needs."""
+    numbered = lines.select("line_no", F.split("line", r"\s+").alias("f")).filter(F.size("f") >= 7)
+    t = lambda i: F.get("f", F.lit(i))
+    bp = t(2).rlike("^[><]")
+    pick = lambda a, b: F.when(bp, t(a)).otherwise(t(b))
+    info = pick(8, 6)
+    return numbered.select(
+        "line_no",
+        t(0).alias("ctg"),
+        t(1).cast("bigint").alias("pos"),
+        F.when(~bp, t(2)).try_cast("bigint").alias("en"),
+        bp.alias("is_bp"),
+        F.when(bp, t(2)).alias("ori"),
+        F.when(bp, t(3)).alias("ctg2"),
+        F.when(bp, t(4)).try_cast("bigint").alias("pos2"),
+        pick(6, 4).cast("bigint").alias("n_reads"),
+        info_last(info, "SVTYPE").alias("svtype"),
+        info_last(info, "SVLEN").try_cast("bigint").alias("svlen"),
+        info_last(info, "tsd_seq").alias("tsd_seq"),
+        info_last(info, "insert").alias("insert_seq"),
+    )
+
+
+def parse_union_rows(lines: DataFrame) -> DataFrame:
+    """Union rows (``line_no, line``) back to columns; ``asm_reads`` is the array of supporting reads."""
+    t = lambda i: F.get("f", F.lit(i))
+    val = lambda k: info_last(t(5), k)
+    rows = lines.select("line_no", F.split("line", "\t").alias("f")).filter(F.size("f") >= 6)
+    return rows.select(
+        val("file_id").cast("int").alias("file_id"),
+        "line_no",
+        F.col("line_no").cast("string").alias("svid"),
+        t(0).alias("ctg"),
+        t(1).cast("bigint").alias("pos"),
+        t(2).alias("ori"),
+        t(3).alias("ctg2"),
+        t(4).cast("bigint").alias("pos2"),
+        val("SVTYPE").alias("svtype"),
+        val("SVLEN").try_cast("bigint").alias("svlen"),
+        val("count").try_cast("bigint").alias("count"),
+        val("group_id").cast("bigint").alias("group_id"),
+        F.split(val("asm_read_ids"), ",").alias("asm_reads"),
+    )

@@ -108,10 +108,12 @@ def vcf_records(calls: DataFrame) -> DataFrame:
     ``tsd_seq`` and ``insert_seq``, where present, are written as the sequence of the event.
     """
     c = F.col
-    order = ["ctg", "pos", "is_bp", "en", "ori", "ctg2", "pos2", "svlen", "n_reads", "count", "avg_mapq"]
-    rows = dense_index(
-        calls, order, {"_c_ctg": c("ctg"), "_c_at": F.floor(c("pos") / 1_000_000)}, "no", ["svtype"]
-    )
+    if "line_no" in calls.columns:
+        order, chunk = ["line_no"], {"_c_at": F.floor(c("line_no") / 1_000_000)}
+    else:
+        order = ["ctg", "pos", "is_bp", "en", "ori", "ctg2", "pos2", "svlen", "n_reads", "count", "avg_mapq"]
+        chunk = {"_c_ctg": c("ctg"), "_c_at": F.floor(c("pos") / 1_000_000)}
+    rows = dense_index(calls, order, chunk, "no", ["svtype"])
     seq = F.lit(None).cast("string")
     if {"tsd_seq", "insert_seq"} <= set(rows.columns):
         seq = F.concat(F.when(c("tsd_seq") == ".", "").otherwise(c("tsd_seq")), c("insert_seq"))
