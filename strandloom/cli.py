@@ -34,6 +34,7 @@ from strandloom.plans.flows import category_unions, cross_reference_filter, pass
 from strandloom.sources import readids, regions, signals as sig, writers
 from strandloom.sources.alignments import read_alignments
 from strandloom.sources.calls import read_calls
+from strandloom.session import settle
 from strandloom.sources.text import read_lines, read_numbered_lines
 
 
@@ -66,7 +67,7 @@ def _cen(spark: SparkSession, path: str | None) -> DataFrame | None:
 
 def _calls(spark: SparkSession, paths: list[str], a) -> DataFrame:
     p = CallParams(read_level_length(parse_size(a.l), a.r), a.c, a.F, a.G)
-    return read_calls(spark, paths, p)
+    return settle(read_calls(spark, paths, p))
 
 
 def _compare(a) -> CompareParams:

@@ -1,9 +1,9 @@
 """Comparison of call sets: matching within a window, error rates, consensus.
 
 Calls are reduced to distinct shapes with counts before they are matched, so copies cost one row.
-Matching is an equi-join on binned end points: bins are four windows wide and one side is copied to
-the one or two bins it can reach, in one dimension per compared end.  A pair meets in exactly one
-class (straight, first end only, crossed) and one bin, so counts need no deduplication.
+Matching is an equi-join on the hash of binned end points: bins are four windows wide and one side is
+copied to the one or two bins it can reach, in one dimension per compared end.  A pair matches in
+exactly one class and meets in one bin of it, so counts need no deduplication.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from strandloom.functions.typing import (
 from strandloom.operators.islands import scan_islands, with_island
 from strandloom.operators.regions import both_ends_inside
 from strandloom.params import CompareParams
+from strandloom.session import settle
 
 SHAPE = ["ctg", "pos", "ctg2", "pos2", "svtype", "svlen"]
 
@@ -44,54 +45,71 @@ def select_reportable(calls: DataFrame, p: CompareParams, bed: DataFrame | None
 
 
 def _keyed(df: DataFrame, w: int, spread: bool) -> DataFrame:
-    """Rows with the join keys of the three match classes; ``spread`` copies to reachable bins."""
+    """Rows with ``cls``, the match class, and ``h``, the hash of the class and its bins.
+
+    ``spread`` marks the base side, which is copied to the bins it can reach.  Classes: ``s``
+    straight ends; ``f`` first ends of an insertion and a duplication; ``b`` and ``t`` crossed ends
+    with a breakend on the base side or only on the test side.
+    """
     size = max(4 * w, 1)
     at = lambda x: F.floor(x / F.lit(size)).cast("bigint")
-    near = lambda x: F.array_distinct(F.array(at(x - w), at(x + w)))
-    bins = near if spread else lambda x: F.array(at(x))
-    is_gain = F.col("svtype").isin("INS", "DUP")
-    none = F.array(F.lit(None).cast("bigint"))
-    p1, p2 = (F.col("pos"), F.col("pos2"))
-    both = F.struct(F.lit("s").alias("k"), F.col("ctg").alias("c1"), bins(p1).alias("b1"), F.col("ctg2").alias("c2"), bins(p2).alias("b2"))
-    first = F.struct(F.lit("f").alias("k"), F.col("ctg").alias("c1"), bins(p1).alias("b1"), F.lit(None).cast("string").alias("c2"), none.alias("b2"))
-    turned = F.struct(F.lit("x").alias("k"), F.col("ctg2").alias("c1"), bins(p2).alias("b1"), F.col("ctg").alias("c2"), bins(p1).alias("b2"))
-    # A crossed match pairs the first end of one call with the second end of the other.
-    cross = turned if spread else F.struct(F.lit("x").alias("k"), F.col("ctg").alias("c1"), bins(p1).alias("b1"), F.col("ctg2").alias("c2"), bins(p2).alias("b2"))
-    classes = F.filter(F.array(both, F.when(is_gain, first), cross), lambda x: x.isNotNull())
+    bins = (lambda x: F.array_distinct(F.array(at(x - w), at(x + w)))) if spread else lambda x: F.array(at(x))
+    bnd = F.col("svtype") == "BND"
+    one, two = (F.col("ctg"), bins(F.col("pos"))), (F.col("ctg2"), bins(F.col("pos2")))
+    nowhere = (F.lit(None).cast("string"), F.array(F.lit(0).cast("bigint")))
+    crossed = (two, one) if spread else (one, two)
+
+    def cls(name: Column, first, second) -> Column:
+        return F.struct(
+            name.alias("cls"), first[0].alias("c1"), first[1].alias("b1"), second[0].alias("c2"), second[1].alias("b2")
+        )
+
+    # The two types of a gain pair look for each other, so the key names the type of the base side.
+    gain = F.when(F.col("svtype") == ("INS" if spread else "DUP"), "fI").when(
+        F.col("svtype") == ("DUP" if spread else "INS"), "fD"
+    )
+    turned = [F.when(bnd, "b").otherwise("t")] if spread else [F.lit("b"), F.when(bnd, "t")]
+    options = [cls(F.lit("s"), one, two), F.when(gain.isNotNull(), cls(gain, one, nowhere))]
+    options += [F.when(t.isNotNull(), cls(t, *crossed)) for t in turned]
     return (
-        df.withColumn("_k", F.explode(classes))
-        .select("*", F.explode("_k.b1").alias("b1"))
-        .select("*", F.explode("_k.b2").alias("b2"))
-        .select(*df.columns, F.col("_k.k").alias("k"), F.col("_k.c1").alias("c1"), "b1", F.col("_k.c2").alias("c2"), "b2")
+        df.select("*", F.explode(F.filter(F.array(*options), lambda x: x.isNotNull())).alias("_k"))
+        .select("*", F.explode("_k.b1").alias("_b1"))
+        .select("*", F.explode("_k.b2").alias("_b2"))
+        .select(
+            *df.columns,
+            F.substring("_k.cls", 1, 1).alias("cls"),
+            F.xxhash64("_k.cls", "_k.c1", "_b1", "_k.c2", "_b2").alias("h"),
+            F.col("_b1").alias("b1"),
+            F.col("_b2").alias("b2"),
+        )
     )
 
 
-def _hit(p: CompareParams) -> tuple[Column, Column]:
-    """Join condition of ``b_`` rows against ``t_`` rows, and their match multiplicity."""
+def _rule(p: CompareParams) -> Column:
+    """Join condition of ``b_`` rows and ``t_`` rows.
+
+    The hash brings candidates together and everything else is checked on the pair, so a collision
+    adds nothing.
+    """
     b, t, w = (lambda c: F.col("b_" + c)), (lambda c: F.col("t_" + c)), p.window
-    any_bnd = (b("svtype") == "BND") | (t("svtype") == "BND")
     straight = straight_match(b, t, w)
     where = (
-        F.when(t("k") == "s", straight & ~gain_pair(b, t))
-        .when(t("k") == "f", gain_pair(b, t) & (F.abs(t("pos") - b("pos")) <= w))
-        .otherwise(any_bnd & ~straight & crossed_match(b, t, w))
-    )
-    cond = (
-        (b("k") == t("k"))
-        & (b("c1") == t("c1"))
-        & (b("b1") == t("b1"))
-        & b("c2").eqNullSafe(t("c2"))
-        & b("b2").eqNullSafe(t("b2"))
-        & types_and_lengths_agree(b, t, p.min_len_ratio)
-        & where
+        F.when(t("cls") == "s", straight & ~gain_pair(b, t))
+        .when(t("cls") == "f", gain_pair(b, t) & (t("ctg") == b("ctg")) & (F.abs(t("pos") - b("pos")) <= w))
+        .otherwise(~straight & crossed_match(b, t, w) & ((b("svtype") == "BND") | (t("svtype") == "BND")))
     )
-    # A matching call is counted once per pair of end points that lies in the half-open window.
+    met = (b("h") == t("h")) & (b("cls") == t("cls")) & (b("b1") == t("b1") + 0) & (b("b2") == t("b2") + 0)
+    return met & types_and_lengths_agree(b, t, p.min_len_ratio) & where
+
+
+def _multiplicity(p: CompareParams) -> Column:
+    """A matching call counts once per pair of end points that lies in the half-open window."""
+    b, t, w = (lambda c: F.col("b_" + c)), (lambda c: F.col("t_" + c)), p.window
     seen = lambda tc, tp, bc, bp: F.when(
         (t(tc) == b(bc)) & (b(bp) >= F.greatest(t(tp) - w, F.lit(0))) & (b(bp) < t(tp) + w), 1
     ).otherwise(0)
     ends = [("ctg", "pos"), ("ctg2", "pos2")]
-    mult = reduce(lambda x, y: x + y, [seen(*te, *be) for te in ends for be in ends])
-    return cond, mult
+    return reduce(lambda x, y: x + y, [seen(*te, *be) for te in ends for be in ends])
 
 
 def _side(df: DataFrame, prefix: str, p: CompareParams, group: list[str]) -> DataFrame:
@@ -101,20 +119,27 @@ def _side(df: DataFrame, prefix: str, p: CompareParams, group: list[str]) -> Dat
 
 
 def match_counts(
-    base: DataFrame, test: DataFrame, p: CompareParams, base_group: list[str] | None = None,
-    test_group: list[str] | None = None, link: Column | None = None,
+    base: DataFrame, test: DataFrame, p: CompareParams,
+    base_group: list[str] | None = None, test_group: list[str] | None = None,
 ) -> DataFrame:
-    """``n_match`` per distinct test shape that matches something (per base group, if given).
-
-    ``link`` may restrict which base group is compared with which test group.
-    """
+    """``n_match`` per distinct test shape that matches something (per base group, if given)."""
     bg, tg = base_group or [], test_group or []
-    cond, mult = _hit(p)
-    pairs = _side(base, "b_", p, bg).join(
-        _side(test, "t_", p, tg), cond if link is None else cond & link
-    )
+    pairs = _side(base, "b_", p, bg).join(_side(test, "t_", p, tg), _rule(p))
     key = [F.col("b_" + c) for c in bg] + [F.col("t_" + c) for c in (*tg, *SHAPE)]
-    return pairs.groupBy(*key).agg(F.sum(mult.cast("bigint") * F.col("b_n")).cast("bigint").alias("n_match"))
+    n = F.sum(_multiplicity(p).cast("bigint") * F.col("b_n")).cast("bigint")
+    return pairs.groupBy(*key).agg(n.alias("n_match")).filter("n_match > 0")
+
+
+def shape_matches(base: DataFrame, test: DataFrame, p: CompareParams) -> DataFrame:
+    """Distinct test shapes with their count ``n`` and whether anything in ``base`` matches.
+
+    Existence needs no pairs: the candidates are semi-joined, which stops at the first match.
+    """
+    b, t = _side(base, "b_", p, []), _side(test, "t_", p, [])
+    hit = t.join(b, _rule(p) & (_multiplicity(p) > 0), "left_semi")
+    hit = hit.select(*[F.col("t_" + c).alias(c) for c in SHAPE]).distinct().withColumn("matched", F.lit(True))
+    shapes = test.groupBy(*SHAPE).agg(F.count("*").alias("n"))
+    return shapes.join(hit, SHAPE, "left").withColumn("matched", F.coalesce("matched", F.lit(False)))
 
 
 def with_match_count(base: DataFrame, test: DataFrame, p: CompareParams) -> DataFrame:
@@ -126,10 +151,11 @@ def with_match_count(base: DataFrame, test: DataFrame, p: CompareParams) -> Data
 
 def error_counts(base: DataFrame, test: DataFrame, p: CompareParams, bed: DataFrame | None = None) -> DataFrame:
     """One row: reportable test calls, how many match nothing in ``base``, and the rate."""
-    rows = with_match_count(base, select_reportable(test, p, bed), p)
+    rows = shape_matches(base, select_reportable(test, p, bed), p)
+    missed = F.sum(F.when(F.col("matched"), 0).otherwise(F.col("n")))
     return rows.agg(
-        F.count("*").alias("total"),
-        F.coalesce(F.sum(F.when(F.col("n_match") == 0, 1).otherwise(0)), F.lit(0)).cast("bigint").alias("errors"),
+        F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("total"),
+        F.coalesce(missed, F.lit(0)).cast("bigint").alias("errors"),
     ).withColumn("rate", _rate(F.col("errors"), F.col("total")))
 
 
@@ -148,11 +174,11 @@ def by_size(truth: DataFrame, test: DataFrame, p: CompareParams, bed: DataFrame
     """Recall and precision per size bin; a bin without calls scores 1."""
 
     def per_bin(base: DataFrame, calls: DataFrame, tag: str) -> DataFrame:
-        rows = with_match_count(base, select_reportable(calls, p, bed), p)
+        rows = shape_matches(base, select_reportable(calls, p, bed), p)
         size = size_bin(F.abs("svlen"), F.col("ctg") == F.col("ctg2"))
         return rows.groupBy(size.alias("size_bin")).agg(
-            F.count("*").alias(tag + "_total"),
-            F.sum(F.when(F.col("n_match") == 0, 1).otherwise(0)).alias(tag + "_errors"),
+            F.sum("n").alias(tag + "_total"),
+            F.sum(F.when(F.col("matched"), 0).otherwise(F.col("n"))).alias(tag + "_errors"),
         ).filter("size_bin is not null")
 
     rows = per_bin(test, truth, "fn").join(per_bin(truth, test, "fp"), "size_bin", "full")
@@ -174,15 +200,20 @@ def shared_matrix(calls: DataFrame, p: CompareParams, bed: DataFrame | None = No
     """
     test = select_reportable(calls, p, bed)
     shapes = match_counts(calls, test, p, ["file_id"], ["file_id"])
-    hit = shapes.filter("n_match > 0").select(
+    hit = shapes.select(
         F.col("b_file_id").alias("file_i"), F.col("t_file_id").alias("file_id"), *[F.col("t_" + c).alias(c) for c in SHAPE]
     )
     n = test.groupBy("file_id", *SHAPE).agg(F.count("*").alias("n"))
     matched = hit.join(n, ["file_id", *SHAPE]).groupBy("file_i", "file_id").agg(F.sum("n").alias("matched"))
     totals = test.groupBy("file_id").agg(F.count("*").alias("total"))
-    files = calls.groupBy("file_id").agg(F.lit(1).alias("_one"))
-    grid = files.select(F.col("file_id").alias("file_i"), "_one").join(
-        totals.withColumn("_one", F.lit(1)), "_one"
+    files = calls.select("file_id").distinct().join(totals, "file_id", "left")
+    # One entry per input file: the pairs are unfolded from one list, not joined.
+    grid = (
+        files.agg(F.collect_list(F.struct("file_id", "total")).alias("f"))
+        .select("f", F.explode("f.file_id").alias("file_i"))
+        .select("file_i", F.explode("f").alias("j"))
+        .select("file_i", "j.file_id", "j.total")
+        .filter("total is not null")
     )
     rows = grid.join(matched, ["file_i", "file_id"], "left")
     m = F.coalesce("matched", F.lit(0))
@@ -264,7 +295,7 @@ def consensus(calls: DataFrame, p: CompareParams) -> DataFrame:
 def against_consensus(calls: DataFrame, file_id: int, p: CompareParams, bed: DataFrame | None = None) -> DataFrame:
     """RN and RP of one call set against the consensus of all others (supported at least twice for RN)."""
     mine = calls.filter(F.col("file_id") == file_id)
-    merged = consensus(calls.filter(F.col("file_id") != file_id), p)
+    merged = settle(consensus(calls.filter(F.col("file_id") != file_id), p))
     twice = merged.filter("support >= 2").drop("support")
     rn = error_counts(mine, twice, p, bed).select(F.lit("RN").alias("label"), F.lit(file_id).alias("file_id"), "*")
     rp = error_counts(merged.drop("support"), mine, p, bed).select(

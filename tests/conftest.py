@@ -10,7 +10,14 @@ from strandloom.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    s = local_session(4, "tests", spark__sql__shuffle__partitions="4")
+    # Inputs are a few rows: interpreting the plans is much faster than compiling them.
+    s = local_session(
+        4,
+        "tests",
+        spark__sql__shuffle__partitions="2",
+        spark__sql__codegen__wholeStage="false",
+        spark__sql__codegen__factoryMode="NO_CODEGEN",
+    )
     if s.conf.get("spark.checkpoint.dir", None) is None:
         s.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
     s.sparkContext.setLogLevel("ERROR")
