@@ -21,18 +21,37 @@ from strandloom.params import CompareParams
 KEY = ["file_id", "line_no", "svid", *SHAPE]
 
 
+LENGTH_STEP = 0.2
+MAX_BUCKET_RATIO = 0.8
+
+
+def compact_evidence(evidence: DataFrame, ratio: float) -> DataFrame:
+    """Evidence per read as shortest and longest length in each (flag, length bucket).
+
+    A bucket spans a factor of about 1.2 on ``length + 1000`` and is narrower than every interval of
+    lengths that ``lengths_agree`` accepts up to this ratio, so an accepted length exists in a bucket
+    exactly when its shortest or its longest is accepted.  A read thus keeps a bounded number of
+    rows however much evidence it has.  For stricter ratios every length is its own bucket.
+    """
+    size = F.col("abs_len")
+    bucket = F.floor(F.log(size + 1000) / F.lit(LENGTH_STEP)) if ratio <= MAX_BUCKET_RATIO else size
+    return evidence.groupBy(F.col("read").alias("e_read"), F.col("flag").alias("e_flag"), bucket.alias("e_bucket")).agg(
+        F.min(size).alias("e_lo"), F.max(size).alias("e_hi")
+    )
+
+
 def _supports(p: CompareParams) -> Column:
-    """Evidence ``e_flag, e_len`` of a read backs a call with ``flag, abs_len``."""
-    f, n, ef, en = F.col("flag"), F.col("abs_len"), F.col("e_flag"), F.col("e_len")
+    """A bucket of evidence of a read backs a call with ``flag, abs_len``."""
+    f, n, ef, lo, hi = (F.col(x) for x in ("flag", "abs_len", "e_flag", "e_lo", "e_hi"))
     local = f.isin(1, 2, 4)
-    similar = lengths_agree(en, n, p.min_len_ratio)
+    similar = lengths_agree(lo, n, p.min_len_ratio) | lengths_agree(hi, n, p.min_len_ratio)
     swapped = ((f == 1) & (ef == 2)) | ((f == 2) & (ef == 1))
     return (
         ((f == FLAG_TRANSLOCATED) & (ef == FLAG_TRANSLOCATED))
         | (local & (n >= 100_000) & (ef == FLAG_TRANSLOCATED))
         | ((f.bitwiseAND(ef) != 0) & similar)
         | (((f == 0) | (ef == 0)) & similar)
-        | (swapped & (n + en <= 1000))
+        | (swapped & (n + lo <= 1000))
     )
 
 
@@ -61,10 +80,8 @@ def typed_support(
 ) -> DataFrame:
     """Calls with ``asm_name_support`` (reads seen at all) and ``asm_support`` (reads with like evidence)."""
     reads = _with_reads(calls, call_reads, strict).select(*KEY, "flag", "abs_len", "read")
-    names = evidence.select(F.col("read").alias("e_read")).distinct()
-    ev = evidence.select(
-        F.col("read").alias("e_read"), F.col("flag").alias("e_flag"), F.col("abs_len").alias("e_len")
-    )
+    ev = compact_evidence(evidence, p.min_len_ratio)
+    names = ev.select("e_read").distinct()
     on_name = F.col("read") == F.col("e_read")
     counted = lambda d, name: d.groupBy(*KEY).agg(F.count("*").alias(name))
     seen = counted(reads.join(names, on_name, "left_semi"), "asm_name_support")

@@ -88,14 +88,14 @@ def read_id_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def asm_evidence(signals: DataFrame) -> DataFrame:
-    """Distinct ``read, flag, abs_len`` of assembly-alignment signals: all that support checks need."""
+    """``read, flag, abs_len`` of assembly-alignment signals: all that support checks need."""
     from strandloom.functions.typing import type_flag
 
     return signals.select(
         "read",
         type_flag(F.col("svtype"), F.col("ctg"), F.coalesce("ctg2", "ctg")).alias("flag"),
         F.abs(F.coalesce("svlen", F.lit(0))).cast("bigint").alias("abs_len"),
-    ).distinct()
+    )
 
 
 __all__ = [

@@ -131,18 +131,13 @@ def merge_rescued(s):
 @query(
     "merge_reads",
     with_views(
-        f"with recursive {merge_ctes('sig')} select p.ctg, s.pos as seed_pos, s.read as seed_read, p.read, p.pos, p.svtype, p.svlen "
-        "from placed p join n s on p.ctg = s.ctg and p.isl = s.isl and p.cid = s.rn",
+        f"with recursive {merge_ctes('sig')} select ctg, cast(min(pos) over (partition by ctg, isl) as bigint) as island, "
+        "cast(dense_rank() over (partition by ctg, isl order by cid) - 1 as bigint) as cluster, read, pos, svtype, svlen from placed",
         "sig",
-    ).replace("select p.ctg, s.pos as seed_pos, s.read as seed_read, p.read, p.pos, p.svtype, p.svlen from placed p join n s on p.ctg = s.ctg and p.isl = s.isl and p.cid = s.rn",
-              "select ctg, min(pos) as lo, max(pos) as hi, svtype, cast(count(*) as bigint) as n_reads, string_agg(read, ',' order by read) as reads from placed group by ctg, isl, cid, svtype"),
+    ),
 )
 def merge_reads(s):
-    rows = cluster_reads(s.view("sig"), RELAXED)
-    return rows.groupBy("ctg", "island", "cluster", "svtype").agg(
-        F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.count("*").alias("n_reads"),
-        F.array_join(F.sort_array(F.collect_list("read")), ",").alias("reads"),
-    ).drop("island", "cluster")
+    return cluster_reads(s.view("sig"), RELAXED).select("ctg", "island", "cluster", "read", "pos", "svtype", "svlen")
 
 
 @query(
