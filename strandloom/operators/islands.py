@@ -10,9 +10,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
+import strandloom
+
+# Scans travel with the plan, so executors need not have this package installed.
+cloudpickle.register_pickle_by_value(strandloom)
+
 
 def with_island(df: DataFrame, keys: list[str], pos: str, window: int, end: str | None = None) -> DataFrame:
     """Adds ``island``: the first position of a run of rows with gaps of at most ``window``.
