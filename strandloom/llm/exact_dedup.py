@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from strandloom.llm.rows import text_key, without
 from strandloom.llm.scratch import written
 
 SLOTS = 4
@@ -138,15 +139,15 @@ class CuckooIndex:
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``uid, doc_id, digest`` of every row; ``uid`` numbers the rows, so write the table before using it twice."""
+    """``uid, doc_id, text_key, digest`` of every row; ``uid`` numbers the rows, so write the table before using it twice."""
 
     def run(batches):
         for batch in batches:
-            raw = [hashlib.sha256(x.lower()).digest() for x in batch.column(2).cast(pa.binary()).fill_null(b"").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(raw, pa.binary())], names=["uid", "doc_id", "digest"])
+            raw = [hashlib.sha256(x.lower()).digest() for x in batch.column(3).cast(pa.binary()).fill_null(b"").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(raw, pa.binary())], names=["uid", "doc_id", "text_key", "digest"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("_text"))
-    return rows.mapInArrow(run, "uid long, doc_id long, digest binary")
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("bigint").alias("doc_id"), text_key(text_col).alias("text_key"), F.col(text_col).cast("string").alias("_text"))
+    return rows.mapInArrow(run, "uid long, doc_id long, text_key long, digest binary")
 
 
 def _shard(n_shards: int):
@@ -242,7 +243,7 @@ def n_shards_for(n_rows: int, rows_per_shard: int = 50_000) -> int:
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: ``uid, doc_id, digest, keep_id, group_size, kept``."""
+    """One row per row of ``docs``: ``uid, doc_id, text_key, digest, keep_id, group_size, kept``."""
     keys = written(digests(docs, id_col, text_col), "digests")
     index = insert(keys, n_shards_for(keys.count()))
     several = entries(index).filter("n > 1")
@@ -252,6 +253,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return rows.select(
         "uid",
         "doc_id",
+        "text_key",
         "digest",
         keep.alias("keep_id"),
         F.coalesce("n", F.lit(1)).cast("bigint").alias("group_size"),
@@ -260,26 +262,6 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that are not kept.
-
-    Kept rows are found again by id and digest.  Where both repeat, the rows differ at most in their
-    other columns, and the smallest of them stays.
-    """
-    decided = written(groups(docs, id_col, text_col), "groups")
-    drop = decided.filter(~F.col("kept")).groupBy("doc_id", "digest").agg(F.count("*").alias("_gone"))
-    keep = decided.filter(F.col("kept")).select(F.col("doc_id").alias("_kept_id"), F.col("digest").alias("_kept_digest"))
-    drop = drop.join(keep, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("digest") == F.col("_kept_digest")), "left")
-    drop = drop.select(
-        F.col("doc_id").alias("_drop_id"), F.col("digest").alias("_drop_digest"), F.col("_kept_digest").isNotNull().alias("_repeats")
-    )
-    cols = docs.columns
-    ids = drop.select("_drop_id").distinct()
-    with_id = F.col(id_col).cast("bigint")
-    clean = docs.join(ids, with_id.eqNullSafe(F.col("_drop_id")), "left_anti")
-    asked = docs.join(ids, with_id.eqNullSafe(F.col("_drop_id")), "left_semi")
-    lowered = F.translate(F.coalesce(text_col, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    asked = asked.withColumn("_digest", F.unhex(F.sha2(F.encode(lowered, "UTF-8"), 256)))
-    asked = asked.join(drop, with_id.eqNullSafe(F.col("_drop_id")) & (F.col("_digest") == F.col("_drop_digest")), "left")
-    kept = asked.filter(F.col("_drop_digest").isNull()).select(*cols)
-    once = asked.filter("_repeats").groupBy("_drop_id", "_digest").agg(F.min(F.struct(*cols)).alias("_row")).select("_row.*")
-    return clean.unionByName(kept).unionByName(once.select(*cols))
+    """``docs`` without the rows that are not kept; all columns stay."""
+    decided = written(groups(docs, id_col, text_col).select("doc_id", "text_key", "kept"), "groups")
+    return without(docs, decided, id_col, text_col)
