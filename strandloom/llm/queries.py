@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strandloom.llm import exact_dedup, mixing, ngram_join, url_filter
+from strandloom.llm import exact_dedup, mixing, ngram_join, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -75,6 +75,15 @@ from judged
 """
 
 
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3))
+    scored = toxicity.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn=fold != 1)
+    return scored.select(
+        "doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
 @query
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact_dedup.groups(table(spark, sf_dir, "documents"))
