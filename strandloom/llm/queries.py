@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strandloom.llm import exact_dedup, mixing, ngram_join, toxicity, url_filter
+from strandloom.llm import bpe, exact_dedup, mixing, ngram_join, token_files, toxicity, url_filter
+from strandloom.llm.scratch import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -19,6 +20,13 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
+def vocabulary(name: str) -> str:
+    """A file of the public vocabularies; operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -45,6 +53,27 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_shingles", "component_id")
 
 
+@query
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, path = table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")
+    encoded = bpe.encode(docs, path, {"doc_id": F.col("doc_id")}, table=bpe.word_table(docs, path))
+    both = bpe.decode(encoded, path)
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "tokens")
+    token_files.write(table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"), end_id=2)
+    rows = token_files.with_start(token_files.checksums(token_files.read(spark, path)))
+    return rows.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 @query
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
