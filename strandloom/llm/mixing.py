@@ -23,6 +23,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from strandloom.llm.rows import text_key
 from strandloom.llm.scratch import written
 from strandloom.llm.words import count_words, small_batches, text_bytes
 
@@ -33,20 +34,21 @@ CELLS = 1024
 
 
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``uid, doc_id, source, size`` of every row; ``size`` counts words."""
+    """``uid, doc_id, text_key, source, size`` of every row; ``size`` counts words."""
 
     def run(batches):
         for batch in small_batches(batches, "_text"):
-            n = count_words(*text_bytes(batch.column(3)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64())], names=["uid", "doc_id", "source", "size"])
+            n = count_words(*text_bytes(batch.column(4)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(n, pa.int64())], names=["uid", "doc_id", "text_key", "source", "size"])
 
     rows = docs.select(
         F.monotonically_increasing_id().alias("uid"),
         F.col(id_col).cast("bigint").alias("doc_id"),
+        text_key(text_col).alias("text_key"),
         F.col(source_col).cast("string").alias("source"),
-        F.col(text_col).alias("_text"),
+        F.col(text_col).cast("string").alias("_text"),
     )
-    return rows.mapInArrow(run, "uid long, doc_id long, source string, size long")
+    return rows.mapInArrow(run, "uid long, doc_id long, text_key long, source string, size long")
 
 
 def targets(sized: DataFrame, weights: list[float], max_repeats: int = 3) -> DataFrame:
@@ -146,7 +148,7 @@ def mix(
     text_col: str = "text",
     source_col: str = "source",
 ) -> DataFrame:
-    """One row per document: ``uid, doc_id, source, size, source_size, target, taken, copies``.
+    """One row per document: ``uid, doc_id, text_key, source, size, source_size, target, taken, copies``.
 
     ``taken`` counts the words that the mix takes of it, repeats included; ``copies`` how often it takes its
     middle word, which is how often the whole document is repeated in a mix of whole documents.
@@ -170,7 +172,7 @@ def mix(
     rows = sized.join(named, F.col("source").eqNullSafe(F.col("_source"))).join(used, "uid", "left")
     zero = F.lit(0).cast("bigint")
     return rows.select(
-        "uid", "doc_id", "source", "size", "source_size", "target",
+        "uid", "doc_id", "text_key", "source", "size", "source_size", "target",
         F.coalesce("taken", zero).alias("taken"), F.coalesce("copies", zero).alias("copies"),
     )
 

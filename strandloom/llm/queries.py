@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strandloom.llm import bpe, exact_dedup, mixing, ngram_join, token_files, toxicity, url_filter
+from strandloom.llm import bpe, exact_dedup, mixing, ngram_join, token_files, toxicity, url_filter, warc
 from strandloom.llm.scratch import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,6 +113,15 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive, index = new_path(spark, "archive"), new_path(spark, "index")
+    warc.write_archives(table(spark, sf_dir, "pages"), archive, min_bytes=0)
+    warc.write_index(warc.captures(spark, archive), index)
+    records = warc.read_records(warc.index_lines(spark.read.parquet(index)), archive)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact_dedup.groups(table(spark, sf_dir, "documents"))
@@ -125,3 +134,10 @@ select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size,
   doc_id = max(doc_id) over g as kept, text_sha256
 from texts window g as (partition by text_sha256)
 """
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
