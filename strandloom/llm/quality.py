@@ -4,7 +4,7 @@ The learner sees trusted positives and unlabelled web text only, never a negativ
 
 1. every whole text becomes a fixed list of numbers (``FEATURES``): shares of kinds of bytes, word lengths,
    repetition of words, neighbours and lines;
-2. a first model tells positives from unlabelled texts; the share of positives among unlabelled texts (the
+2. a first model, on half of both samples, tells positives from unlabelled texts; on the other half the share of positives among unlabelled texts (the
    class prior) is the smallest ratio, over thresholds, of the unlabelled to the positive texts above it,
    widened by a sampling error;
 3. the model is trained on the non-negative unbiased risk: prior times the positives' loss, plus the
@@ -43,8 +43,8 @@ class PuParams:
     max_positive: int = 20_000
     max_unlabelled: int = 20_000
     bins: int = 12
-    steps: int = 400
-    rate: float = 0.5
+    steps: int = 1_500
+    rate: float = 2.0
     ridge: float = 1e-4
     min_recall: float = 0.1
 
@@ -176,8 +176,9 @@ def fit(positive: np.ndarray, rest: np.ndarray, p: PuParams) -> tuple[np.ndarray
     edges = np.sort(np.concatenate((edges, extra), axis=1), axis=1)
     n_weights = both.shape[1] * (edges.shape[1] + 1)
     parts = _binned(positive, edges), _binned(rest, edges)
-    w, b = _descend(parts, n_weights, None, p)
-    prior = class_prior(w[parts[0]].sum(axis=1), w[parts[1]].sum(axis=1), p.min_recall)
+    # The prior comes from texts that the first model has not seen; every other one is set aside for it.
+    w, b = _descend([x[::2] for x in parts], n_weights, None, p)
+    prior = class_prior(*[w[(x[1::2] if len(x) > 1 else x)].sum(axis=1) for x in parts], p.min_recall)
     w, b = _descend(parts, n_weights, prior, p)
     return edges, w, b, prior
 
