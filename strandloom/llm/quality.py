@@ -4,9 +4,10 @@ The learner sees trusted positives and unlabelled web text only, never a negativ
 
 1. every whole text becomes a fixed list of numbers (``FEATURES``): shares of kinds of bytes, word lengths,
    repetition of words, neighbours and lines;
-2. a first model, on half of both samples, tells positives from unlabelled texts; on the other half the share of positives among unlabelled texts (the
-   class prior) is the smallest ratio, over thresholds, of the unlabelled to the positive texts above it,
-   widened by a sampling error;
+2. a first model, trained on one half of both samples, tells positives from unlabelled texts in the other
+   half, and the other way round; the share of positives among unlabelled texts (the class prior) is the
+   smallest ratio, over thresholds, of the unlabelled to the positive texts above it, each share widened by
+   its sampling error;
 3. the model is trained on the non-negative unbiased risk: prior times the positives' loss, plus the
    unlabelled texts' loss as negatives less prior times the positives' loss as negatives, where the second
    part may not fall below zero.
@@ -162,7 +163,7 @@ def class_prior(positive: np.ndarray, rest: np.ndarray, min_recall: float) -> fl
     """Smallest share ratio above a threshold of the scores, each share widened by its sampling error."""
     cuts = np.quantile(positive, np.linspace(0.0, 1.0 - min_recall, 200))
     above = lambda s: 1.0 - np.searchsorted(np.sort(s), cuts, side="left") / len(s)
-    err = lambda s: np.sqrt(np.log(4 * len(s)) / (8 * len(s)))
+    err = lambda s: 0.3 * np.sqrt(np.log(4 * len(s)) / (2 * len(s)))
     top, low = above(rest) + err(rest), np.maximum(above(positive) - err(positive), 1e-9)
     k = int(np.argmin(top / low))
     return float(np.clip(above(rest)[k] / above(positive)[k], 0.01, 0.99))
@@ -176,9 +177,13 @@ def fit(positive: np.ndarray, rest: np.ndarray, p: PuParams) -> tuple[np.ndarray
     edges = np.sort(np.concatenate((edges, extra), axis=1), axis=1)
     n_weights = both.shape[1] * (edges.shape[1] + 1)
     parts = _binned(positive, edges), _binned(rest, edges)
-    # The prior comes from texts that the first model has not seen; every other one is set aside for it.
-    w, b = _descend([x[::2] for x in parts], n_weights, None, p)
-    prior = class_prior(*[w[(x[1::2] if len(x) > 1 else x)].sum(axis=1) for x in parts], p.min_recall)
+    # Each half of both samples is scored by a model that has seen the other half only.
+    seen: list[list[np.ndarray]] = [[], []]
+    for half in (0, 1):
+        w, _ = _descend([x[half::2] for x in parts], n_weights, None, p)
+        for scores, x in zip(seen, parts):
+            scores.append(w[x[1 - half :: 2]].sum(axis=1))
+    prior = class_prior(*[np.concatenate(scores) for scores in seen], p.min_recall)
     w, b = _descend(parts, n_weights, prior, p)
     return edges, w, b, prior
 
