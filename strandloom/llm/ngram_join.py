@@ -6,7 +6,8 @@ matrix with its transpose counts overlaps; only entries that can reach the thres
 * equal sets collapse to one row first;
 * n-grams are put in one global order, rare ones first, and a row enters the product with so many of its
   first n-grams that two sets above the threshold must meet in one of them (bounds from their sizes);
-* within a column, sizes and positions bound the overlap that is still possible; pairs below are discarded;
+* within a column, sizes and positions bound the overlap that is still possible, and parity bits of the sets
+  bound it again; pairs below are discarded;
 * a column whose rows are linked already needs no more pairs.  So a column is worked off in rounds: every
   row against the column's first row (as many pairs as rows), components of the links found, then the rows
   of different components only.  The last round takes all pairs of rows of different components, so no
@@ -39,6 +40,8 @@ COUNTERS = 1 << 20
 SEGMENTS = 16
 BITMAP = 1 << 23
 HOT = 10_000
+SKETCH_WORDS = 8
+SKETCH = "struct<" + ", ".join(f"w{k}: bigint" for k in range(SKETCH_WORDS)) + ">"
 SIGNATURES = "uid long, doc_id long, text_key long, n_shingles long, set_id long, segment int, counts binary"
 
 
@@ -124,7 +127,7 @@ def _need_index(x: Column, percent: int) -> Column:
 def incidence(docs: DataFrame, order: np.ndarray, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """``gram, part, set_id, size, pos``: the first n-grams of every set, rare ones first.
 
-    Copies of a set within a task are left out.  A gram that the counters call hot is dealt over parts.
+    Copies of a set within a task are left out.  A gram that the counters call hot is dealt over parts from 1 on.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(order)
 
@@ -142,7 +145,7 @@ def incidence(docs: DataFrame, order: np.ndarray, width: int, percent: int, id_c
                 often = counters[_counter(grams)]
                 first = np.lexsort((grams, often))[: _need(n, percent)]
                 parts = np.maximum((often[first] - usual) // HOT, 0).astype(np.int64) + 1
-                part = np.where(parts > 1, (me & 0x7FFFFFFF) % parts, 0)
+                part = np.where(parts > 1, (me & 0x7FFFFFFF) % parts + 1, 0)
                 out.append((grams[first].view(np.int64), part, np.full(len(first), me), np.full(len(first), n), np.arange(len(first))))
             if len(seen) > 500_000:
                 seen = set()
@@ -208,44 +211,80 @@ def shared_columns(rows: DataFrame) -> DataFrame:
 
 
 def _possible(size_a: str, pos_a: str, size_b: str, pos_b: str, percent: int) -> Column:
-    """Whether two sets that meet at these positions of the global order can still reach the threshold."""
+    """Whether two sets whose first common n-gram has these positions can still reach the threshold.
+
+    Where the pair meets later again this may say no, but its first meeting says yes if the pair is linked.
+    """
     a, b, i, j = (F.col(c).cast("bigint") for c in (size_a, size_b, pos_a, pos_b))
-    overlap = F.least(i, j) + 1 + F.least(a - i - 1, b - j - 1)
+    overlap = F.least(a - i, b - j)
     return (overlap * (100 + percent) >= (a + b) * percent) & (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
 
 
+def _differ_little(size_a: str, size_b: str, sketch_a: str, sketch_b: str, percent: int) -> Column:
+    """Whether the parity bits allow the threshold: bits that differ are at most the n-grams that differ."""
+    both = F.col(size_a).cast("bigint") + F.col(size_b).cast("bigint")
+    most = both - 2 * F.ceil(both * percent / (100 + percent))
+    bits = [F.bit_count(F.col(f"{sketch_a}.w{k}").bitwiseXOR(F.col(f"{sketch_b}.w{k}"))) for k in range(SKETCH_WORDS)]
+    return sum(bits[1:], bits[0]) <= most
+
+
+def _parities(grams: np.ndarray) -> list[int]:
+    """Parity of the n-grams per bit of ``64 * SKETCH_WORDS``."""
+    bits = np.bincount((mix(grams) >> np.uint64(32)).astype(np.int64) % (64 * SKETCH_WORDS), minlength=64 * SKETCH_WORDS) & 1
+    return np.packbits(bits.astype(np.uint8)).view(">i8").tolist()
+
+
+def _bitmap(sets: DataFrame) -> np.ndarray:
+    """A bit per ``set_id`` modulo ``BITMAP``: of fixed size, so it can be shipped whatever the table's size."""
+    bits = sets.select(F.pmod("set_id", F.lit(BITMAP)).alias("bit")).distinct()
+    slot, place = F.bitmap_bucket_number(F.col("bit") + 1), F.bitmap_bit_position(F.col("bit") + 1)
+    filled = np.zeros(BITMAP // 8, np.uint8)
+    for row in bits.groupBy(slot.alias("bucket")).agg(F.bitmap_construct_agg(place).alias("bits")).collect():
+        at = (row["bucket"] - 1) * 4096
+        filled[at : at + 4096] = np.frombuffer(bytes(row["bits"]), np.uint8)
+    return filled
+
+
+def _let_through(filled: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    k = ids % BITMAP
+    return (filled[k >> 3] >> (k & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def candidate_texts(docs: DataFrame, shared: DataFrame, width: int, text_col: str) -> DataFrame:
-    """``set_id, text`` of the sets in ``shared`` and of a few more that a bitmap of fixed size lets through."""
-    bit = F.pmod("set_id", F.lit(BITMAP))
-    bits = shared.select("set_id").distinct().select(bit.alias("bit"))
-    maps = bits.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
-    filled = np.zeros(BITMAP // 8 + 8192, np.uint8)
-    for row in maps.collect():  # BITMAP bits at most
-        # Buckets are numbered from 1 and hold 32768 bits from 1 on; bit 0 has a bucket of its own.
-        start = (row["bucket"] - 1) * 4096
-        if start >= 0:
-            filled[start : start + 4096] = np.frombuffer(bytes(row["bits"]), np.uint8)
-    zero = any(True for _ in bits.filter("bit = 0").take(1))
-    shipped = docs.sparkSession.sparkContext.broadcast(filled)
+    """``set_id, sketch, text`` of the sets in ``shared`` and of a few more that the bitmap lets through."""
+    shipped = docs.sparkSession.sparkContext.broadcast(_bitmap(shared))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen = shipped.value, set()
         for batch in small_batches(batches, "_text"):
-            at, ids = [], []
-            for i, grams in enumerate(shingle_sets(batch.column(0), width)):
-                me = _set_id(grams)
-                k = me % BITMAP
-                hit = zero if k == 0 else known[(k - 1) >> 3] >> ((k - 1) & 7) & 1
-                if len(grams) and hit and me not in seen:
-                    seen.add(me)
+            sets = shingle_sets(batch.column(0), width)
+            ids = np.array([_set_id(grams) for grams in sets], np.int64)
+            at = []
+            for i in np.flatnonzero(_let_through(known, ids)).tolist():
+                if len(sets[i]) and ids[i] not in seen:
+                    seen.add(ids[i])
                     at.append(i)
-                    ids.append(me)
             if len(seen) > 500_000:
                 seen = set()
             if at:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), batch.column(0).take(pa.array(at))], names=["set_id", "text"])
+                words = list(zip(*[_parities(sets[i]) for i in at]))
+                sketch = pa.StructArray.from_arrays([pa.array(w, pa.int64()) for w in words], names=[f"w{k}" for k in range(SKETCH_WORDS)])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), sketch, batch.column(0).take(pa.array(at))], names=["set_id", "sketch", "text"])
+
+    return docs.select(F.col(text_col).cast("string").alias("_text")).mapInArrow(run, f"set_id long, sketch {SKETCH}, text string")
 
-    return docs.select(F.col(text_col).cast("string").alias("_text")).mapInArrow(run, "set_id long, text string")
+
+def _asked_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The texts of the pairs' sets and of a few more, so that little is shuffled."""
+    sets = pairs.select(F.explode(F.array("a", "b")).alias("set_id"))
+    shipped = pairs.sparkSession.sparkContext.broadcast(_bitmap(sets))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shipped.value
+        for batch in batches:
+            yield batch.filter(pa.array(_let_through(known, np.asarray(batch.column(0)))))
+
+    return texts.select("set_id", "text").mapInArrow(run, "set_id long, text string")
 
 
 def overlaps(pairs: DataFrame, texts: DataFrame, width: int, block: int = 256) -> DataFrame:
@@ -259,7 +298,7 @@ def overlaps(pairs: DataFrame, texts: DataFrame, width: int, block: int = 256) -
     asked = dealt.select("a", "part", F.col("b").alias("set_id"), F.lit(1).alias("role"))
     heads = many.select("a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
     asked = asked.unionByName(heads.select("a", "part", F.col("a").alias("set_id"), F.lit(0).alias("role")))
-    lined_up = asked.join(texts, "set_id").repartition("a", "part").sortWithinPartitions("a", "part", "role", "set_id")
+    lined_up = asked.join(_asked_texts(pairs, texts), "set_id").repartition("a", "part").sortWithinPartitions("a", "part", "role", "set_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, grams_a, last = None, None, None
@@ -286,6 +325,13 @@ def _linked(counted: DataFrame, percent: int) -> DataFrame:
     return counted.filter(enough).select("a", "b")
 
 
+def _could_link(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (``a, b, size_a, size_b``) whose sketches allow the threshold."""
+    side = lambda c: sketches.select(F.col("set_id").alias(c), F.col("sketch").alias(f"sketch_{c}"))
+    both = pairs.filter("a != b").distinct().join(side("a"), "a").join(side("b"), "b")
+    return both.filter(_differ_little("size_a", "size_b", "sketch_a", "sketch_b", percent)).select("a", "b")
+
+
 def labelled(shared: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of the columns that still meet more than one component, with their component."""
     rows = shared.select("gram", "set_id", "size", "pos").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
@@ -295,35 +341,30 @@ def labelled(shared: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def star_pairs(rows: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Every row of an open column against one row of the column's first component and of its last one."""
-    key = F.struct(F.xxhash64("set_id", F.lit(turn)).alias("k"), "set_id", "size", "pos", "comp")
-    by_comp = rows.groupBy("gram", "comp").agg(F.min(key).alias("pick"))
-    size = rows.groupBy("gram", "comp").agg(F.count("*").alias("n"))
-    picks = by_comp.join(size, ["gram", "comp"]).groupBy("gram").agg(
-        F.max(F.struct("n", "pick")).alias("x"), F.min(F.struct(F.col("pick.k"), "pick")).alias("y")
-    )
-    heads = picks.select("gram", F.explode(F.array("x.pick", "y.pick")).alias("h"))
-    heads = heads.select("gram", F.col("h.set_id").alias("c_id"), F.col("h.size").alias("c_size"), F.col("h.pos").alias("c_pos"), F.col("h.comp").alias("c_comp"))
-    met = rows.join(heads, "gram").filter(F.col("comp") != F.col("c_comp"))
-    return _pairs(met.filter(_possible("size", "pos", "c_size", "c_pos", percent)).select(F.col("c_id").alias("a"), F.col("set_id").alias("b")))
+    """Every row of an open column against one row of its largest component, and against one other row."""
+    point = F.xxhash64("set_id", F.lit(turn))
+    comps = rows.groupBy("gram", "comp").agg(F.count("*").alias("n"), F.min(F.struct(point.alias("k"), "set_id", "size", "pos", "comp")).alias("pick"))
+    picks = comps.groupBy("gram").agg(F.max(F.struct("n", "pick")).alias("x"), F.min("pick").alias("y"))
+    heads = picks.select("gram", F.explode(F.array("x.pick", "y")).alias("h"))
+    heads = heads.select("gram", *[F.col(f"h.{c}").alias(f"c_{n}") for c, n in (("set_id", "id"), ("size", "size"), ("pos", "pos"), ("comp", "comp"))])
+    met = rows.join(heads, "gram").filter((F.col("comp") != F.col("c_comp")) & _possible("size", "pos", "c_size", "c_pos", percent))
+    return met.select(F.col("c_id").alias("a"), F.col("set_id").alias("b"), F.col("c_size").alias("size_a"), F.col("size").alias("size_b"))
 
 
-def product_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """All pairs of rows of different components that meet in a column, overlaps counted so far.
+def product_pairs(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs of rows of different components that meet in a column and that all bounds allow.
 
-    The larger set probes with its longer prefix, the smaller one is found by its shorter one.  A pair's
-    count and its last positions bound what the whole sets can share.
+    The larger set probes with its longer prefix, the smaller one is found by its shorter one.  The bounds
+    are part of the join, so a pair that cannot reach the threshold is never made.
     """
+    rows = rows.join(sketches, "set_id")
     small = rows.filter(F.col("pos") < _need_index(F.col("size").cast("bigint"), percent))
-    x, y = (df.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("set_id", "size", "pos", "comp")]) for df, s in ((rows, "x"), (small, "y")))
-    met = x.join(y, "gram").filter(
-        "comp_x != comp_y and (size_x > size_y or (size_x = size_y and set_id_x > set_id_y))"
-    ).filter(_possible("size_x", "pos_x", "size_y", "pos_y", percent))
-    return _pairs(met.select(F.col("set_id_x").alias("a"), F.col("set_id_y").alias("b")))
-
-
-def _pairs(pairs: DataFrame) -> DataFrame:
-    return pairs.filter("a != b").distinct()
+    cols = ("set_id", "size", "pos", "comp", "sketch")
+    x, y = (df.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in cols]) for df, s in ((rows, "x"), (small, "y")))
+    first = F.expr("comp_x != comp_y and (size_x > size_y or (size_x = size_y and set_id_x > set_id_y))")
+    possible = _possible("size_x", "pos_x", "size_y", "pos_y", percent) & _differ_little("size_x", "size_y", "sketch_x", "sketch_y", percent)
+    met = x.join(y, "gram").filter(first & possible)
+    return met.select(F.col("set_id_x").alias("a"), F.col("set_id_y").alias("b")).distinct()
 
 
 def _merge(labels: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -344,7 +385,7 @@ def joined(
     docs: DataFrame,
     width: int = 5,
     percent: int = 80,
-    star_turns: int = 2,
+    star_turns: int = 1,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -358,13 +399,17 @@ def joined(
     shared = written(shared_columns(incidence(docs, order, width, percent, id_col, text_col)), "shared")
     texts = written(candidate_texts(docs, shared, width, text_col), "texts")
 
+    sketches = written(texts.select("set_id", "sketch").dropDuplicates(["set_id"]), "sketches")
+
     first = shared.filter("set_id != c_id").filter(_possible("size", "pos", "c_size", "c_pos", percent))
-    asked = written(_pairs(first.select(F.col("c_id").alias("a"), F.col("set_id").alias("b"))), "pairs")
+    first = first.select(F.col("c_id").alias("a"), F.col("set_id").alias("b"), F.col("c_size").alias("size_a"), F.col("size").alias("size_b"))
+    asked = written(_could_link(first, sketches, percent), "pairs")
     labels = _merge(None, _linked(overlaps(asked, texts, width), percent))
     for turn in range(star_turns + 1):
-        rows = labelled(shared, labels)
-        new = star_pairs(rows, turn, percent) if turn < star_turns else product_pairs(rows, percent)
-        new = new.join(asked, ["a", "b"], "left_anti").join(asked.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
+        rows = written(labelled(shared, labels), "open")
+        new = _could_link(star_pairs(rows, turn, percent), sketches, percent) if turn < star_turns else product_pairs(rows, sketches, percent)
+        for known in (asked, asked.select(F.col("a").alias("b"), F.col("b").alias("a"))):
+            new = new.join(known, ["a", "b"], "left_anti")
         new = written(new, "pairs")
         labels = _merge(labels, _linked(overlaps(new, texts, width), percent))
         asked = asked.unionByName(new)
