@@ -54,7 +54,9 @@ def _emit(df: DataFrame, out: str | None, header: list[str] = ()) -> None:
 
 
 def _table(df: DataFrame) -> DataFrame:
-    return df.select(F.concat_ws("\t", *[F.col(c).cast("string") for c in df.columns]).alias("line"))
+    """Columns by tabs; nulls are written, so that no column moves."""
+    cols = [F.coalesce(F.col(c).cast("string"), F.lit("NA")) for c in df.columns]
+    return df.select(F.concat_ws("\t", *cols).alias("line"))
 
 
 def _bed(spark: SparkSession, path: str | None) -> DataFrame | None:
@@ -83,17 +85,8 @@ def cmd_extract(spark, a):
 
 
 def cmd_isec(spark, a):
-    base = read_lines(spark, a.base)
-    rows = sig.parse_signals(base)
-    kept = intersect(rows, [sig.read_signals(spark, f) for f in a.filters], parse_size(a.w))
-    text = F.concat_ws(
-        "\t",
-        *[F.col(c).cast("string") for c in ("ctg", "pos")],
-        F.when(F.col("is_bp"), F.concat_ws("\t", "ori", "ctg2", F.col("pos2").cast("string"))).otherwise(F.col("en").cast("string")),
-        "read", F.col("mapq").cast("string"), "strand",
-        F.concat_ws(";", "info", F.concat(F.lit("source="), "source")),
-    )
-    _emit(kept.select(text.alias("line")), a.o)
+    rows = sig.parse_signals(read_lines(spark, a.base), keep_line=True)
+    _emit(intersect(rows, [sig.read_signals(spark, f) for f in a.filters], parse_size(a.w)), a.o)
 
 
 def cmd_merge(spark, a):
@@ -123,7 +116,7 @@ def cmd_eval(spark, a):
         for i in range(len(a.inputs)):
             _emit(_table(compare.against_consensus(calls, i, p, bed)), None)
     else:
-        _emit(_table(compare.shared_matrix(calls, p, bed).orderBy("file_i", "file_j")), None)
+        _emit(_table(compare.shared_matrix(calls, p, bed, len(a.inputs)).orderBy("file_i", "file_j")), None)
 
 
 def cmd_annot(spark, a):
@@ -133,8 +126,10 @@ def cmd_annot(spark, a):
 
 
 def cmd_view(spark, a):
-    calls, bed = _calls(spark, a.inputs, a), _bed(spark, a.b)
-    _emit(_table(long_counts(calls, bed) if a.C else view(calls, bed)), a.o)
+    # A listing takes the length as given; only comparisons read shorter calls than they report.
+    calls = read_calls(spark, a.inputs, CallParams(parse_size(a.l), a.c, a.F, a.G))
+    bed = _bed(spark, a.b)
+    _emit(_table(long_counts(calls, bed, len(a.inputs)) if a.C else view(calls, bed)), a.o)
 
 
 def cmd_filterasm(spark, a):
@@ -190,17 +185,23 @@ def cmd_vcf(spark, a):
 
 def cmd_genvcf(spark, a):
     rows = writers.vcf_records(sig.parse_merged_calls(read_numbered_lines(spark, a.input)))
-    head = spark.createDataFrame([("\n".join(writers.VCF_HEADER),)], "line string")
-    _emit(head.unionByName(rows).coalesce(1) if a.one_file else rows, a.o, writers.VCF_HEADER if not a.o else [])
+    head = spark.createDataFrame([("\n".join(writers.VCF_HEADER), 0)], "line string, part int")
+    place = F.struct(F.split("line", "\t")[0], F.split("line", "\t")[1].cast("bigint"))
+    both = head.select("line", "part", F.lit(None).cast(rows.select(place).schema[0].dataType).alias("at")).unionByName(
+        rows.select("line", F.lit(1).alias("part"), place.alias("at"))
+    )
+    # Files of the folder follow each other: the header first, then records by contig and position.
+    ordered = both.repartitionByRange(1, "part", "at") if a.one_file else both.repartitionByRange("part", "at")
+    _emit(ordered.sortWithinPartitions("part", "at", "line"), a.o)
 
 
 def cmd_annotatehp(spark, a):
     lines = read_numbered_lines(spark, a.calls)
     reads = readids.parse_read_ids(lines, "calls").withColumnRenamed("svid", "line_id")
     hp = haplotype_counts(reads, readids.read_haplotypes(spark, a.tags), ["line_id"])
-    rows = lines.withColumn("line_id", F.col("line_no").cast("string")).join(hp, "line_id")
-    text = F.concat("line", F.lit("\t"), F.concat_ws(",", *[F.col(c).cast("string") for c in ("hp_none", "hp1", "hp2")]))
-    _emit(rows.select(text.alias("line")), a.o)
+    rows = lines.withColumn("line_id", F.col("line_no").cast("string")).join(hp, "line_id", "left").orderBy("line_no")
+    counts = [F.coalesce(F.col(c), F.lit(0)).cast("string") for c in ("hp_none", "hp1", "hp2")]
+    _emit(rows.select(F.concat("line", F.lit("\t"), F.concat_ws(",", *counts)).alias("line")), a.o)
 
 
 def _union_params(a) -> UnionParams:
@@ -212,7 +213,7 @@ def cmd_union(spark, a):
     if a.p:
         _emit(writers.union_lines(U.union_rows(calls, p, bed)), a.o)
     else:
-        _emit(_table(U.combination_counts(calls, len(a.inputs), p, bed).orderBy("mask").select("label", "n")), a.o)
+        _emit(_table(U.combination_counts(calls, len(a.inputs), p, bed, a.unseen).orderBy(F.reverse("label"))), a.o)
 
 
 def cmd_advunion(spark, a):
@@ -250,7 +251,7 @@ def cmd_getindel(spark, a):
     files = [(a.input, "tumor_" if a.normal else "")] + ([(a.normal, "normal_")] if a.normal else [])
     rows = None
     for path, tag in files:
-        t = alignment_indels(read_alignments(spark, path, ExtractParams(min_mapq=a.m)), a.l, min_mapq=a.m)
+        t = alignment_indels(read_alignments(spark, path, ExtractParams(min_mapq=a.m)), a.l, a.max_indels, min_mapq=a.m)
         t = t.withColumn("read", F.concat(F.lit(tag), "read"))
         rows = t if rows is None else rows.unionByName(t)
     merged = merge_indels(rows, a.r, a.m)
@@ -276,7 +277,7 @@ def cmd_cross_ref(spark, a):
         names = reads_of_calls(calls, reads.withColumn("svid", canonical_id(F.col("svid"))), p, bed)
         _emit(names.select(F.col("read").alias("line")), f"{a.o}/read_names")
         return
-    own, graph = sig.read_signals(spark, a.self_signals), pass_centromere(sig.read_signals(spark, a.graph_signals))
+    own, graph = pass_centromere(sig.read_signals(spark, a.self_signals)), sig.read_signals(spark, a.graph_signals)
     both = intersect(graph, [own], parse_size(a.w))
     ev = {n: readids.asm_evidence(d) for n, d in (("l+s", own), ("l+g", graph), ("l+g+s", both))}
     cross_reference_filter(calls, reads, ev, range(a.c, a.uc + 1), p, bed).write.partitionBy("category", "cutoff").parquet(f"{a.o}/kept")
@@ -320,7 +321,7 @@ def parser() -> argparse.ArgumentParser:
     command("isec", cmd_isec, "base", many="filters").add_argument("-w", default="1000")
     p = command("merge", cmd_merge, "input")
     for flag, kind, value in (("-c", int, 4), ("-s", int, 2), ("-C", int, 1), ("-r", int, 0), ("-w", str, "100"),
-                              ("-d", float, 0.05), ("-e", str, "500k"), ("-A", int, 100)):
+                              ("-d", float, 0.05), ("-e", str, "500k"), ("-A", int, None)):
         p.add_argument(flag, type=kind, default=value)
     p = command("eval", cmd_eval, many="inputs")
     _call_options(p)
@@ -349,6 +350,7 @@ def parser() -> argparse.ArgumentParser:
     _call_options(p, 5)
     p.add_argument("-g", type=int, default=5)
     p.add_argument("-p", action="store_true")
+    p.add_argument("--unseen", action="store_true", help="list combinations without a group too")
     p = command("advunion", cmd_advunion, "signals")
     _call_options(p, 2)
     p.add_argument("--readids", action="append", required=True)
@@ -363,6 +365,7 @@ def parser() -> argparse.ArgumentParser:
     p = command("getindel", cmd_getindel, "input")
     for flag, kind, value in (("-r", int, 1), ("-m", int, 5), ("-l", int, 100)):
         p.add_argument(flag, type=kind, default=value)
+    p.add_argument("--max-indels", type=int, help="leave out alignments with more long indels")
     for flag in ("--normal", "--vntr", "--cent"):
         p.add_argument(flag)
     p = command("sv-cross-ref-filter", cmd_cross_ref)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from strandloom.functions.typing import (
+    SIZE_BINS,
     crossed_match,
     gain_pair,
     size_bin,
@@ -171,7 +172,7 @@ def recall_precision(truth: DataFrame, test: DataFrame, p: CompareParams, bed: D
 
 
 def by_size(truth: DataFrame, test: DataFrame, p: CompareParams, bed: DataFrame | None = None) -> DataFrame:
-    """Recall and precision per size bin; a bin without calls scores 1."""
+    """Recall and precision of every size bin; a bin without calls scores 1."""
 
     def per_bin(base: DataFrame, calls: DataFrame, tag: str) -> DataFrame:
         rows = shape_matches(base, select_reportable(calls, p, bed), p)
@@ -181,7 +182,8 @@ def by_size(truth: DataFrame, test: DataFrame, p: CompareParams, bed: DataFrame
             F.sum(F.when(F.col("matched"), 0).otherwise(F.col("n"))).alias(tag + "_errors"),
         ).filter("size_bin is not null")
 
-    rows = per_bin(test, truth, "fn").join(per_bin(truth, test, "fp"), "size_bin", "full")
+    bins = truth.sparkSession.createDataFrame([(name,) for name in dict.fromkeys(b[2] for b in SIZE_BINS)], "size_bin string")
+    rows = bins.join(per_bin(test, truth, "fn"), "size_bin", "left").join(per_bin(truth, test, "fp"), "size_bin", "left")
     cnt = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
     score = lambda e, t: F.round(1 - F.coalesce(F.try_divide(cnt(e), cnt(t)), F.lit(0.0)), 4)
     return rows.select(
@@ -193,10 +195,11 @@ def by_size(truth: DataFrame, test: DataFrame, p: CompareParams, bed: DataFrame
     )
 
 
-def shared_matrix(calls: DataFrame, p: CompareParams, bed: DataFrame | None = None) -> DataFrame:
+def shared_matrix(calls: DataFrame, p: CompareParams, bed: DataFrame | None = None, n_files: int | None = None) -> DataFrame:
     """Per file pair (i, j): reportable calls of j, and the share of them matched in i.
 
-    One join for all pairs; on the diagonal the value is the count itself.
+    One join for all pairs; on the diagonal the value is the count itself.  Files without reportable calls have
+    a total of 0 and null rates; with ``n_files`` that includes files without any call.
     """
     test = select_reportable(calls, p, bed)
     shapes = match_counts(calls, test, p, ["file_id"], ["file_id"])
@@ -206,14 +209,16 @@ def shared_matrix(calls: DataFrame, p: CompareParams, bed: DataFrame | None = No
     n = test.groupBy("file_id", *SHAPE).agg(F.count("*").alias("n"))
     matched = hit.join(n, ["file_id", *SHAPE]).groupBy("file_i", "file_id").agg(F.sum("n").alias("matched"))
     totals = test.groupBy("file_id").agg(F.count("*").alias("total"))
-    files = calls.select("file_id").distinct().join(totals, "file_id", "left")
+    every = calls.select("file_id").distinct()
+    if n_files is not None:
+        every = calls.sparkSession.range(n_files).select(F.col("id").cast("int").alias("file_id"))
+    files = every.join(totals, "file_id", "left").fillna(0, ["total"])
     # One entry per input file: the pairs are unfolded from one list, not joined.
     grid = (
         files.agg(F.collect_list(F.struct("file_id", "total")).alias("f"))
         .select("f", F.explode("f.file_id").alias("file_i"))
         .select("file_i", F.explode("f").alias("j"))
         .select("file_i", "j.file_id", "j.total")
-        .filter("total is not null")
     )
     rows = grid.join(matched, ["file_i", "file_id"], "left")
     m = F.coalesce("matched", F.lit(0))

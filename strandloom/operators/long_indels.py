@@ -1,7 +1,7 @@
 """Older indel path: indels per alignment with path contigs, merged by overlap and length.
 
-Differs from ``extract``: insertions span one base on both sides, at most ``max_indels`` per
-alignment, flanks do not move coordinates, and an indel crossing path segments is kept on the
+Differs from ``extract``: insertions span one base on both sides, alignments with more than ``max_indels``
+are left out only on request, flanks do not move coordinates, and an indel crossing path segments is kept on the
 concatenated path.
 """
 
@@ -19,14 +19,17 @@ from strandloom.params import ExtractParams
 
 
 def alignment_indels(
-    alns: DataFrame, min_len: int = 100, max_indels: int = 5, min_frac: float = 0.7, min_mapq: int = 5
+    alns: DataFrame, min_len: int = 100, max_indels: int | None = None, min_frac: float = 0.7, min_mapq: int = 5
 ) -> DataFrame:
     """``ctg, st, en, read, mapq, strand, len, tsd_len, polya_len, seq`` per long indel."""
     rows = alns.filter(
         (F.col("mapq") >= min_mapq) & (F.col("qen") - F.col("qst") >= F.col("qlen") * F.lit(min_frac))
     )
     rows = rows.withColumn("indels", S.cigar_indels("cg", "tst", "qst", "qen", "strand", min_len)).drop("cg")
-    rows = rows.withColumn("indels", F.when(F.size("indels").between(1, max_indels), F.col("indels")))
+    few = F.size("indels") >= 1
+    if max_indels is not None:
+        few = few & (F.size("indels") <= max_indels)
+    rows = rows.withColumn("indels", F.when(few, F.col("indels")))
     rows = with_inserted_sequence(rows, ExtractParams(min_len=min_len))
     rows = rows.withColumn("segs", F.when(F.col("indels").isNotNull(), path_segments("path", "tlen")))
     st, en = "if(d.len > 0, d.st - 1, d.st)", "if(d.len > 0, d.en + 1, d.en)"

@@ -30,8 +30,8 @@ class VoteScan:
     """Open clusters of one island, oldest first.
 
     A row joins the cluster with the most matching members (the oldest on a tie), or opens a new one.
-    Clusters leave from the front once they are out of reach, or while more than ``max_alleles`` are
-    open.
+    Clusters leave from the front once they are out of reach.  Only on request (``max_alleles``) do they
+    also leave while more than that are open.
     """
 
     def __init__(self, emit, p: MergeParams):
@@ -78,7 +78,8 @@ class VoteScan:
 
     def _evict(self, pos: int) -> None:
         while self.open and (
-            pos - self.open[0]["upto"] > self.p.window or len(self.open) > self.p.max_alleles
+            pos - self.open[0]["upto"] > self.p.window
+            or (self.p.max_alleles is not None and len(self.open) > self.p.max_alleles)
         ):
             gone = self.open.pop(0)
             if gone is self.last_cluster:

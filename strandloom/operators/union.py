@@ -66,23 +66,16 @@ def grouped(calls: DataFrame, p: UnionParams = UnionParams(), bed: DataFrame | N
     )
 
 
-def group_summary(rows: DataFrame, p: UnionParams = UnionParams()) -> DataFrame:
-    """Every group with its mask of files, number in creation order, and whether it is reported."""
+def reported_groups(rows: DataFrame, p: UnionParams = UnionParams()) -> DataFrame:
+    """Every group with the files it has calls of, and whether it is reported."""
     g = rows.groupBy(*GROUP_KEY, "seed_pos", "seed_file", "seed_line").agg(
         F.max("count").alias("max_count"),
         F.max(F.abs("svlen")).alias("max_len"),
         F.bool_or(F.col("svtype") == "BND").alias("has_bnd"),
         F.bool_or("in_bed").alias("in_bed"),
-        F.bit_or(F.expr("shiftleft(1L, file_id)")).alias("mask"),
+        F.sort_array(F.collect_set("file_id")).alias("files"),
         F.count("*").alias("n_calls"),
     )
-    # Equal seeds cannot start two groups, except for alleles of one line: the key breaks that tie.
-    g = dense_index(
-        g,
-        ["seed_pos", "seed_file", "seed_line", "ctg2", "grp"],
-        {"_c_ctg": F.col("ctg"), "_c_at": F.floor(F.col("seed_pos") / 1_000_000)},
-        "group_id",
-    )
     kept = (
         (F.col("max_count") >= p.group_min_count)
         & (F.col("has_bnd") | (F.col("max_len") >= p.min_len))
@@ -91,6 +84,17 @@ def group_summary(rows: DataFrame, p: UnionParams = UnionParams()) -> DataFrame:
     return g.withColumn("kept", kept)
 
 
+def group_summary(rows: DataFrame, p: UnionParams = UnionParams()) -> DataFrame:
+    """``reported_groups`` with a number in creation order."""
+    # Equal seeds cannot start two groups, except for alleles of one line: the key breaks that tie.
+    return dense_index(
+        reported_groups(rows, p),
+        ["seed_pos", "seed_file", "seed_line", "ctg2", "grp"],
+        {"_c_ctg": F.col("ctg"), "_c_at": F.floor(F.col("seed_pos") / 1_000_000)},
+        "group_id",
+    )
+
+
 def union_rows(calls: DataFrame, p: UnionParams = UnionParams(), bed: DataFrame | None = None) -> DataFrame:
     """Calls of reported groups with ``group_id``."""
     rows = settle(grouped(calls, p, bed))
@@ -99,22 +103,28 @@ def union_rows(calls: DataFrame, p: UnionParams = UnionParams(), bed: DataFrame
 
 
 def combination_counts(
-    calls: DataFrame, n_files: int, p: UnionParams = UnionParams(), bed: DataFrame | None = None
+    calls: DataFrame, n_files: int, p: UnionParams = UnionParams(), bed: DataFrame | None = None, unseen: bool = False
 ) -> DataFrame:
-    """Reported groups per combination of files; character i of the label stands for file i."""
-    kept = group_summary(grouped(calls, p, bed), p).filter("kept")
-    counts = kept.groupBy("mask").agg(F.count("*").alias("n"))
-    masks = calls.sparkSession.range(1, 1 << n_files).withColumnRenamed("id", "mask")
-    label = F.reverse(F.lpad(F.bin("mask"), n_files, "0"))
-    return masks.join(counts, "mask", "left").select(
-        "mask", label.alias("label"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n")
-    )
+    """Reported groups per combination of files; character i of the label stands for file i.
+
+    With ``unseen``, combinations without a group are listed too: ``2 ** n_files - 1`` rows, so ask for it
+    with few files only.
+    """
+    kept = reported_groups(grouped(calls, p, bed), p).filter("kept")
+    ids = F.sequence(F.lit(0), F.lit(n_files - 1))
+    has = lambda i: F.when(F.array_contains("files", i), "1").otherwise("0")
+    counts = kept.groupBy(F.array_join(F.transform(ids, has), "").alias("label")).agg(F.count("*").alias("n"))
+    if not unseen:
+        return counts
+    every = calls.sparkSession.range(1, 1 << n_files).select(F.reverse(F.lpad(F.bin("id"), n_files, "0")).alias("label"))
+    return every.join(counts, "label", "left").select("label", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
 def _first_best(rows: DataFrame, group: list[str], score: str) -> DataFrame:
-    """Row with the highest score per group, the earliest arrival on a tie."""
+    """Row with the highest score per group, the earliest arrival on a tie, then the largest of the other columns."""
     order = [-F.col(c) for c in ("pos", "file_id", "line_no")]
     rest = [c for c in rows.columns if c not in group]
+    order += [F.col(c) for c, t in rows.dtypes if c in rest and not t.startswith("map")]
     best = rows.groupBy(*group).agg(F.max_by(F.struct(*rest), F.struct(F.col(score), *order)).alias("r"))
     return best.select(*group, "r.*")
 
@@ -183,7 +193,7 @@ def median_rows(rows: DataFrame, drop_last_group: bool = False) -> DataFrame:
     """
     if drop_last_group:
         last = rows.agg(F.max("group_id").alias("_last"))
-        rows = rows.join(F.broadcast(last), F.col("group_id") != F.col("_last")).drop("_last")
+        rows = rows.join(last.select(F.col("_last").alias("group_id")), "group_id", "left_anti")
     rows = settle(rows)
     mid = middle_row(
         rows,

@@ -44,7 +44,7 @@ class MergeParams:
     window: int = 100
     max_len_diff: float = 0.05
     min_cen_dist: int = 500_000
-    max_alleles: int = 100
+    max_alleles: int | None = None  # no limit; a number closes the oldest open cluster early
 
 
 @dataclass(frozen=True)

@@ -81,14 +81,20 @@ def cross_reference_filter(
 def category_unions(
     calls: DataFrame, call_reads: DataFrame, evidence: dict[str, DataFrame], cutoff: int,
     compare: CompareParams = CompareParams(), p: UnionParams = UnionParams(), bed: DataFrame | None = None,
-    n_callers: int = 3,
+    n_callers: int | None = None,
 ) -> dict[str, dict[str, DataFrame]]:
-    """Per category the union of the first callers: rows, combination counts and one row per group."""
+    """Per category the union of all callers, or of the first ``n_callers``: rows, combination counts and one row
+    per group.  ``l_only`` is the union of the calls as they came, without evidence.
+    """
+    if n_callers is None:
+        n_callers = (calls.agg(F.max("file_id")).first()[0] or 0) + 1
     strict = CompareParams(**{**compare.__dict__, "min_count": cutoff})
     out = {}
-    for name, ev in evidence.items():
-        stats = support_stats(calls, call_reads, ev, strict, bed, strict=False)
-        kept = supported_calls(calls, stats, strict).filter(F.col("file_id") < n_callers)
+    for name, ev in [("l_only", None), *evidence.items()]:
+        kept = calls
+        if ev is not None:
+            kept = supported_calls(calls, support_stats(calls, call_reads, ev, strict, bed, strict=False), strict)
+        kept = kept.filter(F.col("file_id") < n_callers)
         rows = union_rows(kept, p, bed)
         out[name] = {
             "rows": rows,

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int = 8, app: str = "strandloom", **conf) -> SparkSession:
@@ -26,29 +26,18 @@ def local_session(cores: int = 8, app: str = "strandloom", **conf) -> SparkSessi
     return b.getOrCreate()
 
 
-def small_or_plain(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Hint a broadcast only after the row count was checked; otherwise leave the join to Spark.
-
-    The check reads at most ``max_rows + 1`` rows, so a table that turns out to be large costs one
-    bounded scan and is then joined by shuffle.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and go on from there.
 
     For results that several branches of a plan read and that are dear to compute, such as ordered
-    scans.  Uses the folder the session names in ``spark.checkpoint.dir``; only a local session
-    without one gets a temporary folder.  A cluster without one keeps the plan as it is, which is
-    slower but gives the same rows.
+    scans.  The folder is the one the session names in ``spark.checkpoint.dir``, which all executors share;
+    a local session without one gets a temporary folder, a cluster without one an error.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not sc.master.startswith("local"):
-            return df
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="strandloom-"))
     return df.checkpoint()

@@ -40,18 +40,19 @@ def parse_read_ids(lines: DataFrame, fmt: str) -> DataFrame:
 
 
 def detect_format(spark: SparkSession, path: str) -> str:
-    """Format by suffix and first lines."""
-    name = path.lower()
-    head = [r.line for r in read_lines(spark, path).limit(50).collect()]
-    if any("avg_mapq" in x for x in head):
-        return "calls"
-    if any(x.startswith("#SV_ID") for x in head):
-        return "severus"
-    if any(x.startswith("VARIANT_ID") for x in head):
-        return "savana"
-    if any(x.startswith("chr") and x[-1] in "+-" for x in head):
-        return "nanomonsv"
-    if name.endswith(("vcf", "gz")):
+    """Format by what the lines of the whole file show, else by suffix."""
+    line = F.col("line")
+    marks = {
+        "calls": line.contains("avg_mapq"),
+        "severus": line.startswith("#SV_ID"),
+        "savana": line.startswith("VARIANT_ID"),
+        "nanomonsv": line.startswith("chr") & line.rlike("[+-]$"),
+    }
+    seen = read_lines(spark, path).agg(*[F.bool_or(m).alias(n) for n, m in marks.items()]).first()
+    for name in marks:
+        if seen[name]:
+            return name
+    if path.lower().endswith(("vcf", "gz")):
         return "vcf"
     raise ValueError(f"cannot tell the read-id format of {path}")
 

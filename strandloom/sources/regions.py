@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from strandloom.session import small_or_plain
 from strandloom.sources.text import read_lines
 
-MAX_CENTROMERE_ROWS = 100_000
-
 
 def _fields(spark: SparkSession, path: str) -> DataFrame:
     return read_lines(spark, path).select(F.split("line", r"\s+").alias("f"), "line")
@@ -63,15 +60,10 @@ def hull(bed: DataFrame) -> DataFrame:
 
 
 def interval_lists(bed: DataFrame) -> DataFrame:
-    """``ctg, cen`` with the start-sorted intervals of each contig.
-
-    Centromere tables have a few rows per contig of an assembly; a table above the checked bound is
-    not a centromere table and is refused rather than collected into one array.
-    """
-    checked = bed.limit(MAX_CENTROMERE_ROWS + 1).count()
-    if checked > MAX_CENTROMERE_ROWS:
-        raise ValueError(f"centromere table has more than {MAX_CENTROMERE_ROWS} intervals")
-    lists = bed.groupBy("ctg").agg(
-        F.sort_array(F.collect_list(F.struct("st", "en"))).alias("cen")
-    )
-    return small_or_plain(lists)
+    """``ctg, cen`` with the start-sorted intervals of each contig, overlapping and touching ones merged first."""
+    w = Window.partitionBy("ctg").orderBy("st", "en")
+    reach = F.max("en").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    starts = bed.distinct().withColumn("_new", F.when(F.coalesce(F.col("st") > reach, F.lit(True)), F.col("st")))
+    runs = starts.withColumn("_run", F.last("_new", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = runs.groupBy("ctg", "_run").agg(F.min("st").alias("st"), F.max("en").alias("en"))
+    return merged.groupBy("ctg").agg(F.sort_array(F.collect_list(F.struct("st", "en"))).alias("cen"))

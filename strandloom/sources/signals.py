@@ -8,10 +8,10 @@ from strandloom.functions.info import info_last
 from strandloom.sources.text import read_lines
 
 
-def parse_signals(lines: DataFrame) -> DataFrame:
-    """Typed signals; ``info`` keeps the annotation text without its ``source``."""
+def parse_signals(lines: DataFrame, keep_line: bool = False) -> DataFrame:
+    """Typed signals; ``info`` keeps the annotation text without its ``source``, ``line`` on request the whole line."""
     t = lambda i: F.get("f", F.lit(i))
-    rows = lines.select(F.split("line", "\t").alias("f")).filter(F.size("f") >= 7)
+    rows = lines.select("line", F.split("line", "\t").alias("f")).filter(F.size("f") >= 7)
     rows = rows.withColumn("is_bp", t(2).rlike("^[><]"))
     pick = lambda bp, indel: F.when(F.col("is_bp"), t(bp)).otherwise(t(indel))
     rows = rows.withColumn("info0", pick(8, 6))
@@ -41,6 +41,7 @@ def parse_signals(lines: DataFrame) -> DataFrame:
         region(2).try_cast("bigint").alias("region_en"),
         val("source").alias("source"),
         F.regexp_replace("info0", r"(;?)source=[^;\s=]+", "").alias("info"),
+        *(["line"] if keep_line else []),
     ).filter(F.col("svtype").isNotNull())
 
 

@@ -48,9 +48,7 @@ def test_extract_to_vcf(run, paf, tmp_path):
     signals = tmp_path / "x.signals"
     signals.write_text("\n".join(rows) + "\n")
     # A signal is always close to itself, so intersecting a file with itself changes nothing.
-    assert sorted(run("isec", signals, signals, signals)) == sorted(
-        r.replace(";source=foo", "") + ";source=foo" for r in rows
-    )
+    assert sorted(run("isec", signals, signals, signals)) == sorted(rows)
     calls = run("merge", signals)
     assert len(calls) == 1
     head, info = calls[0].rsplit("\t", 1)
@@ -58,12 +56,19 @@ def test_extract_to_vcf(run, paf, tmp_path):
     assert info.startswith("avg_mapq=60;count=foo:2,2;rt_len=0;SVTYPE=INS;SVLEN=120;") and info.endswith("reads=r0,r1,r2,r3")
     merged = tmp_path / "x.calls"
     merged.write_text("\n".join(calls) + "\n")
+    run("genvcf", merged, "-o", tmp_path / "vcf")
+    parts = sorted((tmp_path / "vcf").glob("part-*"))
+    whole = "".join(x.read_text() for x in parts).splitlines()
+    assert whole == run("genvcf", merged)
     vcf = run("genvcf", merged)
     assert vcf[0] == "##fileformat=VCFv4.3"
     assert vcf[-1] == "chr1\t9001\tins_1\tN\t<INS>\t4\tPASS\tSVTYPE=INS;SVLEN=120;END=9000;SEQ=.\tGT\t1/1"
     tags = tmp_path / "hp.tsv"
     tags.write_text("r0\t1\nr1\t2\nr2\tNA\n")
     assert run("annotatehp", tags, merged) == [calls[0] + "\t2,1,1"]
+    bare = calls[0].replace(";reads=r0,r1,r2,r3", "")
+    merged.write_text(bare + "\n" + calls[0] + "\n")
+    assert run("annotatehp", tags, merged) == [bare + "\t0,0,0", calls[0] + "\t2,1,1"]
 
 
 def test_streamed_indels_equal_the_batch(spark, paf, tmp_path):
@@ -95,10 +100,14 @@ def test_eval_union_and_view(run, vcfs):
     assert run("eval", a, b) == ["RN\t2\t1\t0.5", "RP\t2\t1\t0.5"]
     matrix = run("eval", a, b, c)
     assert matrix[0] == "0\t0\t2\t2\t2.0" and matrix[1] == "0\t1\t2\t1\t0.5"
-    assert run("union", a, b, c) == ["100\t0", "010\t1", "110\t1", "001\t0", "101\t1", "011\t0", "111\t0"]
+    assert run("union", "--unseen", a, b, c) == ["100\t0", "010\t1", "110\t1", "001\t0", "101\t1", "011\t0", "111\t0"]
+    assert run("union", a, b, c) == ["010\t1", "110\t1", "101\t1"]
+    sizes = run("eval", "-s", a, b)[2:]
+    assert len(sizes) == 7 and sizes.count(">100k\t0\t0\t1.0\t0\t0\t1.0") == 1
     assert len(run("union", "-p", a, b, c)) == 5
     assert run("view", a)[0] == "0\tchr1\t999\t>>\tchr1\t1500\tDEL\t-500"
     assert run("view", "-C", a) == ["0\t0\t0\t0\t0"]
+    assert len(run("view", "-l", 500, a)) == 2 and len(run("view", "-l", 501, a)) == 1
     assert len(run("eval", "-M", a, b, c)) == 6
 
 

@@ -68,9 +68,9 @@ def vcf_counts(s):
     return f.groupBy(vcf_support(F.col("f")).alias("count"), F.get("f", F.lit(6)).alias("filter")).agg(F.count("*").alias("n"))
 
 
-@query("mate_dedup", with_views(f"with {_V0} select id as svid, line_no from c where mate is not null", "vcf"))
+@query("mate_dedup", with_views("select svid, line_no from (" + VCF_SQL.replace(">= 80", ">= 0") + ")", "vcf"))
 def mate_dedup(s):
-    return parse_calls(s.view("vcf"), CallParams(min_read_len=0, min_count=3)).filter("svid like 'm%'").select("svid", "line_no")
+    return parse_calls(s.view("vcf"), CallParams(min_read_len=0, min_count=3)).select("svid", "line_no")
 
 
 @query(
@@ -173,7 +173,8 @@ _REP = "((svtype = 'BND' and ctg <> ctg2) or abs(svlen) >= 100) and (count <= 0
 
 
 def _file(i: int) -> str:
-    return f"(select *, row_number() over () as id from calls where file_id = {i})"
+    """File 0, or the calls of all other files."""
+    return f"(select * replace (cast({i} as int) as file_id), row_number() over () as id from calls where file_id {'=' if i == 0 else '<>'} 0)"
 
 
 def _rn_rp(base: str, test: str, label: str, where: str) -> str:
@@ -185,12 +186,17 @@ def _rn_rp(base: str, test: str, label: str, where: str) -> str:
 _W = _REP.format(2) + " and " + IN_BED.format("t")
 
 
+def _others(c):
+    """The calls of all files but the first, as one set."""
+    return c.filter("file_id <> 0").withColumn("file_id", F.lit(1))
+
+
 @query("eval_rn_rp", with_views(
     "select * from " + _rn_rp(f"select * from {_file(1)}", f"select * from {_file(0)}", "RN", _W)
     + " union all select * from " + _rn_rp(f"select * from {_file(0)}", f"select * from {_file(1)}", "RP", _W), "calls", "bed"))
 def eval_rn_rp(s):
     c = s.view("calls")
-    return compare.recall_precision(c.filter("file_id = 0"), c.filter("file_id = 1"), CompareParams(min_count=2), s.view("bed"))
+    return compare.recall_precision(c.filter("file_id = 0"), _others(c), CompareParams(min_count=2), s.view("bed"))
 
 
 @query("eval_matches", with_views(
@@ -198,7 +204,7 @@ def eval_rn_rp(s):
     f"select {', '.join('t0.' + c for c in CALL)}, cast(coalesce(h.n, 0) as bigint) as n_match from t0 left join hits h on h.tid = t0.id", "calls"))
 def eval_matches(s):
     c = s.view("calls")
-    return compare.with_match_count(c.filter("file_id = 1"), compare.select_reportable(c.filter("file_id = 0"), CMP), CMP)
+    return compare.with_match_count(_others(c), compare.select_reportable(c.filter("file_id = 0"), CMP), CMP)
 
 
 @query("eval_sn_matrix", with_views(
@@ -221,12 +227,13 @@ def _sized(base: int, test: int) -> str:
 
 
 @query("eval_sizes", with_views(
-    f"""select coalesce(a.size_bin, b.size_bin) as size_bin, cast(coalesce(a.tot, 0) as bigint) as fn_total, cast(coalesce(a.err, 0) as bigint) as fn_errors, round(1 - coalesce(a.err / cast(a.tot as double), 0), 4) as recall,
+    f"""select n.size_bin, cast(coalesce(a.tot, 0) as bigint) as fn_total, cast(coalesce(a.err, 0) as bigint) as fn_errors, round(1 - coalesce(a.err / cast(a.tot as double), 0), 4) as recall,
       cast(coalesce(b.tot, 0) as bigint) as fp_total, cast(coalesce(b.err, 0) as bigint) as fp_errors, round(1 - coalesce(b.err / cast(b.tot as double), 0), 4) as precision
-      from {_sized(1, 0)} a full join {_sized(0, 1)} b on a.size_bin = b.size_bin where coalesce(a.size_bin, b.size_bin) is not null""", "calls"))
+      from (select unnest(['50-100', '100-500', '500-1000', '1k-10k', '10k-20k', '20k-100k', '>100k']) as size_bin) n
+      left join {_sized(1, 0)} a on a.size_bin = n.size_bin left join {_sized(0, 1)} b on b.size_bin = n.size_bin""", "calls"))
 def eval_sizes(s):
     c = s.view("calls")
-    return compare.by_size(c.filter("file_id = 0"), c.filter("file_id = 1"), CMP)
+    return compare.by_size(c.filter("file_id = 0"), _others(c), CMP)
 
 
 # Greedy grouping ----------------------------------------------------------------------------------
@@ -301,10 +308,10 @@ def union_rows(s):
 
 
 @query("union_combos", with_views(
-    union_ctes("calls") + """ select m.mask, concat(m.mask & 1, (m.mask >> 1) & 1, (m.mask >> 2) & 1) as label, cast(coalesce(n, 0) as bigint) as n
+    union_ctes("calls") + """ select concat(m.mask & 1, (m.mask >> 1) & 1, (m.mask >> 2) & 1) as label, cast(coalesce(n, 0) as bigint) as n
       from (select cast(range as bigint) as mask from range(1, 8)) m left join (select mask, count(*) as n from kept group by 1) k on k.mask = m.mask""", "calls"))
 def union_combos(s):
-    return U.combination_counts(s.view("calls"), 3)
+    return U.combination_counts(s.view("calls"), 3, unseen=True)
 
 
 @query("union_text", with_views(
@@ -402,9 +409,9 @@ def crossref_categories(s):
 
 
 @query("reads_to_realign", with_views(
-    f"select distinct read from locus_reads r where exists (select 1 from locus_calls c where c.file_id = r.file_id and c.svid = r.svid and {_REP.format(3)} and svlen > 1000)", "locus_calls", "locus_reads"))
+    f"select distinct read from locus_reads r where exists (select 1 from locus_calls c where c.file_id = r.file_id and c.svid = r.svid and {_REP.format(3)})", "locus_calls", "locus_reads"))
 def reads_to_realign(s):
-    return reads_of_calls(s.view("locus_calls").filter("svlen > 1000"), s.view("locus_reads"), CompareParams(min_count=3))
+    return reads_of_calls(s.view("locus_calls"), s.view("locus_reads"), CompareParams(min_count=3))
 
 
 # Annotation ---------------------------------------------------------------------------------------
@@ -437,12 +444,14 @@ def union_tr(s):
     return rows.select(*CALL, "group_id", "tr_info", "segdup_info", "lens", "counts")
 
 
-_DSB_CALLS = """select c.svid, c.ctg, c.pos, c.ori, c.ctg2, c.pos2, c.svtype, array_sort(array_agg(distinct r.read)) as asm_reads
-  from locus_calls c join locus_reads r on r.file_id = c.file_id and r.svid = c.svid where c.file_id = 0 group by c.svid, c.ctg, c.pos, c.ori, c.ctg2, c.pos2, c.svtype"""
+_DSB_CALLS = """select c.file_id, c.svid, c.ctg, c.pos, c.ori, c.ctg2, c.pos2, c.svtype, array_sort(array_agg(distinct r.read)) as asm_reads
+  from locus_calls c join locus_reads r on r.file_id = c.file_id and r.svid = c.svid group by c.file_id, c.svid, c.ctg, c.pos, c.ori, c.ctg2, c.pos2, c.svtype"""
 _DSB = f"""with dc as ({_DSB_CALLS.replace('array_sort(array_agg(distinct r.read))', 'list_sort(list(distinct r.read))')}),
   pt as (select ctg, pos, ori[1:1] as ori, svid, svtype, asm_reads from dc union all select ctg2, pos2, ori[2:2], svid, svtype, asm_reads from dc),
   pr as (select a.ctg, a.pos as pos0, b.pos as pos1, a.svid as svid0, b.svid as svid1, a.svtype as t0, b.svtype as t1, a.ori as o0, b.ori as o1, len(list_intersect(a.asm_reads, b.asm_reads)) as sh, len(a.asm_reads) as n0
-    from pt a join pt b on a.ctg = b.ctg and b.pos - a.pos > 49 and b.pos - a.pos < 25000),
+    from (select *, pos // 25000 as bin from pt) a join (select *, pos // 25000 - unnest([0, 1]) as bin from pt) b on a.ctg = b.ctg and a.bin = b.bin
+      and b.pos - a.pos > 49 and b.pos - a.pos < 25000 and (a.svtype = b.svtype or a.svtype = 'BND' or b.svtype = 'BND')
+      and ((a.svtype = 'DUP' and b.svtype = 'DUP') or list_has_any(a.asm_reads, b.asm_reads))),
   kd as (select *, case when (t0 = 'BND' or t1 = 'BND') and sh >= 1 and sh = n0 then 'Insertions_case3' when t0 = 'DUP' and t1 = 'DUP' then 'case2'
     when ((t0 = 'INV' and t1 = 'INV') or ((t0 = 'BND' or t1 = 'BND') and o0 = o1)) and sh >= 1 then 'Parallel_Breakpoints_case4' when t0 = 'DEL' and t1 = 'DEL' and sh >= 1 then 'case1' end as dsb_type from pr)"""
 
