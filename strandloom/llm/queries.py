@@ -56,8 +56,7 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, path = table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")
-    encoded = bpe.encode(docs, path, {"doc_id": F.col("doc_id")}, table=bpe.word_table(docs, path))
-    both = bpe.decode(encoded, path)
+    both = bpe.round_trip(docs, path, {"doc_id": F.col("doc_id")}, table=bpe.word_table(docs, path))
     return both.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
