@@ -53,8 +53,7 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, lang, source, ids, n_tokens`` and ``decoded``, the text that the ids give back."""
     path = vocabulary("byte_bpe_50k.json")
     keep = {c: F.col(c) for c in ("doc_id", "lang", "source") if c in docs.columns}
-    encoded = bpe.encode(docs, path, keep, table=bpe.word_table(docs, path))
-    return bpe.decode(encoded, path).withColumn("n_tokens", F.size("ids").cast("bigint"))
+    return bpe.round_trip(docs, path, keep, table=bpe.word_table(docs, path)).withColumn("n_tokens", F.size("ids").cast("bigint"))
 
 
 STAGES = [
