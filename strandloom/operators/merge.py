@@ -4,7 +4,8 @@ Plan, on tables of any skew:
 
 1. rows that agree in everything but the read name are counted first (map-side combine), so a hot
    position, source or group of copies shrinks to its distinct rows before anything is shuffled;
-2. gap islands on the occupied bins;
+2. gap islands on the occupied bins, for each kind of signal (type, breakend or not, second contig): rows of
+   different kinds never vote for each other, so this cuts a deep locus exactly;
 3. one ordered scan per island, which streams and keeps only open clusters;
 4. a plain aggregate per cluster; the scan has already marked the representative row.
 
@@ -22,7 +23,7 @@ from strandloom.operators.islands import scan_islands, with_island
 from strandloom.params import MergeParams
 
 SIGNATURE = ["pos", "is_bp", "en", "ori", "ctg2", "pos2", "svtype", "svlen"]
-CLUSTER_KEY = ["ctg", "island", "cluster"]
+CLUSTER_KEY = ["ctg", "kind", "island", "cluster"]
 OPTIONAL = {"tsd_len": "bigint", "polya_len": "bigint", "cen_dist": "bigint", "cen_overlap": "bigint", "info": "string"}
 
 
@@ -125,15 +126,18 @@ def assign_clusters(signals: DataFrame, p: MergeParams = MergeParams()) -> DataF
     """Distinct signal rows with ``cluster`` (creation index in the island), ``n`` and marks.
 
     A row appears once per cluster it contributes to; ``is_mid`` marks the middle member in arrival
-    order and ``is_rt`` the middle one among members with both flank and tail lengths.
+    order and ``is_rt`` the middle one among members with both flank and tail lengths.  A limit on open
+    clusters counts those of all kinds, so with one all kinds are one.
     """
     rows = distinct_rows(signals)
     attrs = sorted(c for c in rows.columns if c not in {"ctg", "n", *SIGNATURE})
+    own = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("is_bp", "svtype", "ctg2")]
+    rows = rows.withColumn("kind", F.concat_ws("|", *own) if p.max_alleles is None else F.lit(""))
     rows = rows.withColumn("has_rt", F.col("tsd_len").isNotNull() & F.col("polya_len").isNotNull())
-    rows = with_island(rows, ["ctg"], "pos", p.window)
+    rows = with_island(rows, ["ctg", "kind"], "pos", p.window)
     placed = scan_islands(
         rows,
-        ["ctg"],
+        ["ctg", "kind"],
         [*SIGNATURE, *attrs],
         [*SIGNATURE, "n", "has_rt"],
         [("cluster", T.LongType()), ("n_in", T.LongType()), ("is_mid", T.BooleanType()), ("is_rt", T.BooleanType())],
@@ -143,7 +147,7 @@ def assign_clusters(signals: DataFrame, p: MergeParams = MergeParams()) -> DataF
 
 
 def cluster_reads(signals: DataFrame, p: MergeParams = MergeParams()) -> DataFrame:
-    """``ctg, island, cluster`` and the signal columns: every supporting read in its own row.
+    """``ctg, kind, island, cluster`` and the signal columns: every supporting read in its own row.
 
     A zero length matches nothing, so the copies of such a row may sit in different clusters; they
     are paired with their places one to one in read order.
@@ -162,11 +166,11 @@ def cluster_reads(signals: DataFrame, p: MergeParams = MergeParams()) -> DataFra
     right = placed.withColumn("_copy", F.lit(0)).filter(~zero).unionByName(
         placed.filter(zero).withColumn("_copy", F.row_number().over(by_row.orderBy("island", "cluster")))
     )
-    right = right.select(*[F.col(c).alias("_p_" + c) for c in (*shared, "_copy")], "island", "cluster")
+    right = right.select(*[F.col(c).alias("_p_" + c) for c in (*shared, "_copy")], "kind", "island", "cluster")
     cond = F.col("_copy") == F.col("_p__copy")
     for c in shared:
         cond = cond & F.col(c).eqNullSafe(F.col("_p_" + c))
-    return left.join(right, cond).select("ctg", "island", "cluster", *[c for c in full.columns if c != "ctg"])
+    return left.join(right, cond).select(*CLUSTER_KEY, *[c for c in full.columns if c != "ctg"])
 
 
 def summarise(placed: DataFrame) -> DataFrame:

@@ -131,8 +131,12 @@ def merge_rescued(s):
 @query(
     "merge_reads",
     with_views(
-        f"with recursive {merge_ctes('sig')} select ctg, cast(min(pos) over (partition by ctg, isl) as bigint) as island, "
-        "cast(dense_rank() over (partition by ctg, isl order by cid) - 1 as bigint) as cluster, read, pos, svtype, svlen from placed",
+        f"""with recursive {merge_ctes('sig')},
+      pk as (select *, concat_ws('|', cast(is_bp as varchar), coalesce(svtype, ''), coalesce(ctg2, '')) as kind from placed),
+      pg as (select *, case when pos - lag(pos) over (partition by ctg, kind order by pos) <= 100 then 0 else 1 end as kb from pk),
+      pi as (select *, sum(kb) over (partition by ctg, kind order by pos range unbounded preceding) as ki from pg)
+      select ctg, cast(min(pos) over (partition by ctg, kind, ki) as bigint) as island,
+        cast(dense_rank() over (partition by ctg, kind, ki order by isl, cid) - 1 as bigint) as cluster, read, pos, svtype, svlen from pi""",
         "sig",
     ),
 )
@@ -482,7 +486,7 @@ def polya_len(s):
     f"with recursive {merge_ctes('sig')} select n_reads, svtype, cast(count(*) as bigint) as n from clusters group by all", "sig"))
 def merge_cluster_sizes(s):
     placed = assign_clusters(s.view("sig"))
-    sizes = placed.groupBy("ctg", "island", "cluster", "svtype").agg(F.sum("n").alias("n_reads"))
+    sizes = placed.groupBy("ctg", "kind", "island", "cluster", "svtype").agg(F.sum("n").alias("n_reads"))
     return sizes.groupBy("n_reads", "svtype").agg(F.count("*").alias("n"))
 
 
