@@ -1,8 +1,9 @@
 """BPE encoding and decoding through a table of distinct words.
 
 A text is cut before a space, tab or line end that follows a character which is no white space, and between
-an ASCII letter and an ASCII mark other than an apostrophe.  No pre-token of the vocabularies spans such a
-place, so the ids of a text are the ids of its words in a row.
+an ASCII letter and an ASCII mark other than an apostrophe or one of ``<|>``, which special tokens are made
+of.  No pre-token or special token of the vocabularies spans such a place, so the ids of a text are the ids of
+its words in a row.
 
 1. Words are split and counted in Spark over all texts; the most frequent ones, ``most_words`` at most, are
    encoded once each: the word table, bounded, which all tasks get.
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import json
 import os
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -35,7 +37,7 @@ BREAKS[[0x20, 0x09, 0x0A, 0x0D]] = True
 LETTERS = np.zeros(256, dtype=bool)
 LETTERS[[*range(65, 91), *range(97, 123)]] = True
 MARKS = np.zeros(256, dtype=bool)
-MARKS[[b for b in range(0x21, 0x7F) if not chr(b).isalnum() and chr(b) != "'"]] = True
+MARKS[[b for b in range(0x21, 0x7F) if not chr(b).isalnum() and chr(b) not in "'<|>"]] = True
 
 
 def byte_chars() -> dict[int, str]:
@@ -69,6 +71,16 @@ def bpe_spans(data: np.ndarray, at: np.ndarray, fold: bool = False) -> tuple[np.
     return starts, ends, bounds
 
 
+def word_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of words, and which of them hold a ``<``: special tokens are matched by case, so those never fold."""
+    opens = np.flatnonzero(data == ord("<"))
+    special = np.searchsorted(opens, ends) > np.searchsorted(opens, starts)
+    keys = span_hashes(data, starts, ends, lower=fold)
+    if fold and special.any():
+        keys[special] = span_hashes(data, starts[special], ends[special], lower=False)
+    return keys, special
+
+
 def gather(flat: np.ndarray, offsets: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The entries of the picked lists in a row, and the length of each."""
     lengths = (offsets[1:] - offsets[:-1])[pick]
@@ -98,7 +110,7 @@ class WordEncoder:
     are then one word.
     """
 
-    def __init__(self, tokenizer_json: str, table: tuple[np.ndarray, np.ndarray, np.ndarray] | None, most: int = 100_000):
+    def __init__(self, tokenizer_json: str, table: tuple[np.ndarray, np.ndarray, np.ndarray] | None, most: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -106,9 +118,15 @@ class WordEncoder:
         self.tok.no_padding()
         self.tok.no_truncation()
         self.fold, self.direct = _ways(tokenizer_json)
+        for special in json.loads(tokenizer_json)["added_tokens"]:
+            raw = np.frombuffer(special["content"].encode("utf-8"), np.uint8)
+            if len(bpe_spans(raw, np.array([0, len(raw)]))[0]) > 1:
+                raise ValueError(f"texts would be cut inside the special token {special['content']!r}")
+            if self.fold and "<" not in special["content"]:
+                raise ValueError(f"the special token {special['content']!r} could fold into another word")
         self.chars = byte_chars()
         self.table = table or (np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int32))
-        self.own: dict[int, np.ndarray] = {}
+        self.own: dict[int, bytes] = {}
         self.most = most
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
@@ -134,29 +152,29 @@ class WordEncoder:
         starts, ends, bounds = bpe_spans(data, at, self.fold)
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
-        distinct, first, place = np.unique(span_hashes(data, starts, ends, lower=self.fold), return_index=True, return_inverse=True)
+        distinct, first, place = np.unique(word_keys(data, starts, ends, self.fold)[0], return_index=True, return_inverse=True)
         hashes, offsets, flat = self.table
         at_table = np.minimum(np.searchsorted(hashes, distinct), max(len(hashes) - 1, 0))
         hit = hashes[at_table] == distinct if len(hashes) else np.zeros(len(distinct), bool)
         rare = np.flatnonzero(~hit)
-        if len(self.own) > self.most:
-            self.own = {}
         keys = distinct[rare].tolist()
         new = [i for i, k in enumerate(keys) if k not in self.own]
         if new:
             raw, where = data.tobytes(), first[rare[new]]
             words = [raw[s:e].decode("utf-8") for s, e in zip(starts[where].tolist(), ends[where].tolist())]
             for i, ids in zip(new, self.encode_words(words)):
-                self.own[keys[i]] = np.array(ids, np.int32)
+                self.own[keys[i]] = array("i", ids).tobytes()
         shared, shared_n = gather(flat, offsets, at_table[hit])
         mine = [self.own[k] for k in keys]
+        if len(self.own) > self.most:  # what this batch has used stays
+            self.own = dict(zip(keys, mine))
         sizes = np.empty(len(distinct), np.int64)
-        sizes[hit], sizes[rare] = shared_n, [len(x) for x in mine]
+        sizes[hit], sizes[rare] = shared_n, [len(x) // 4 for x in mine]
         # Lists of the distinct words: those of the table first, then the rare ones.
         rank = np.empty(len(distinct), np.int64)
         rank[np.flatnonzero(hit)] = np.arange(int(hit.sum()))
         rank[rare] = int(hit.sum()) + np.arange(len(rare))
-        lists = np.concatenate([shared, *mine])
+        lists = np.concatenate((shared, np.frombuffer(b"".join(mine), np.int32)))
         ordered = np.empty(len(distinct), np.int64)
         ordered[rank] = sizes
         ids, lengths = gather(lists, np.concatenate(([0], np.cumsum(ordered))), rank[place])
@@ -165,14 +183,16 @@ class WordEncoder:
 
 
 def word_counts(docs: DataFrame, text_col: str = "text", fold: bool = False) -> DataFrame:
-    """``word, n`` over all texts.  Tasks send each distinct word of a few texts once."""
+    """``word, n`` over all texts.  Tasks send each distinct word of a few texts once; words with a ``<`` are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "_text"):
             data, at = text_bytes(batch.column(0))
             starts, ends, _ = bpe_spans(data, at, fold)
             if len(starts):
-                _, first, n = np.unique(span_hashes(data, starts, ends, lower=fold), return_index=True, return_counts=True)
+                keys, special = word_keys(data, starts, ends, fold)
+                starts, ends = starts[~special], ends[~special]
+                _, first, n = np.unique(keys[~special], return_index=True, return_counts=True)
                 raw = data.tobytes()
                 words = [raw[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist())]
                 if fold:

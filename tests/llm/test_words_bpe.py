@@ -19,6 +19,7 @@ TEXTS = [
     "   ",
     "é\u00a0x \u2003y\u3000z a\x1cb !\x1c c\x85 d",
     "says <|endoftext|> here<|endoftext|> <|startoftext|>x",
+    "a<|ENDOFTEXT|> <|endoftext|>b, <|EndOfText|>. X<b> x<B> x<b>",
     "don't (we'll) [b]c{d}e 'quoted' 12 345,678 a1b2 ﬁ ß İ µm ªº Ωmega 日本語 text",
     "word " * 3000 + "x" * 5000,
     "e\u0301 cafe\u0301 \u0301 a \u0301",
@@ -100,13 +101,13 @@ def test_unknown_ids_have_no_piece(spark):
 
 
 def test_token_files(spark, tmp_path):
-    ids = [5, None, 3, 3, 9, -1, 7, 8, 2]
-    docs = spark.createDataFrame(list(zip(ids, TEXTS, range(9))), "doc_id long, text string, row long")
+    ids = [5, None, 3, 3, 9, -1, 7, 8, 2, 11]
+    docs = spark.createDataFrame(list(zip(ids, TEXTS, range(10))), "doc_id long, text string, row long")
     path = str(tmp_path / "tokens")
     token_files.write(docs, path, public_tokenizers.path("word_bpe_49k.json"), 2)
     rows = token_files.with_start(token_files.checksums(token_files.read(spark, path))).orderBy("row").collect()
     lib, start = plain("word_bpe_49k.json"), 0
-    order = sorted(range(9), key=lambda i: (ids[i] is not None, ids[i] or 0, i))
+    order = sorted(range(10), key=lambda i: (ids[i] is not None, ids[i] or 0, i))
     for i, r in zip(order, rows):
         want = lib.encode(TEXTS[i] or "", add_special_tokens=False).ids + [2]
         assert (r["doc_id"], r["start"], r["n_tokens"]) == (ids[i], start, len(want))
