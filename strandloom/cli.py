@@ -223,7 +223,9 @@ def cmd_advunion(spark, a):
         t = readids.read_read_ids(spark, path).withColumn("file_id", F.lit(i))
         reads = t if reads is None else reads.unionByName(t)
     ev = readids.asm_evidence(sig.read_signals(spark, a.signals))
-    _emit(writers.union_lines(U.supported_union(calls, reads, ev, _union_params(a), _bed(spark, a.b))), a.o)
+    p = _union_params(a)
+    rows = U.supported_union(calls, reads, ev, p, _bed(spark, a.b), strict=True)
+    _emit(writers.union_lines(asmfilter.read_lists(rows, reads, ev, CompareParams(min_len_ratio=p.min_len_ratio))), a.o)
 
 
 def cmd_union_tr(spark, a):

@@ -94,6 +94,18 @@ def typed_support(
     )
 
 
+def read_lists(calls: DataFrame, call_reads: DataFrame, evidence: DataFrame, p: CompareParams) -> DataFrame:
+    """Calls with ``orig_reads`` and ``asm_reads``, for text rows: names of all reads and of those with like evidence.
+
+    The names of a call become one text only here, where its row is written; operators keep (call, read) rows.
+    """
+    reads = _with_reads(calls, call_reads, False).select(*KEY, "flag", "abs_len", "read")
+    ev = compact_evidence(evidence, p.min_len_ratio)
+    backed = reads.join(ev, (F.col("read") == F.col("e_read")) & _supports(p), "left_semi")
+    text = lambda d, name: d.groupBy(*KEY).agg(F.array_join(F.sort_array(F.collect_set("read")), ",").alias(name))
+    return calls.join(text(reads, "orig_reads"), KEY, "left").join(text(backed, "asm_reads"), KEY, "left")
+
+
 def support_stats(
     calls: DataFrame,
     call_reads: DataFrame,

@@ -135,13 +135,14 @@ def supported_union(
     evidence: DataFrame,
     p: UnionParams = UnionParams(),
     bed: DataFrame | None = None,
+    strict: bool = False,
 ) -> DataFrame:
-    """Reported groups with assembly support per call, ``n_asm``.
+    """Reported groups with assembly support per call, ``n_asm``; ``strict`` refuses calls without listed reads.
 
     ``call_reads`` is ``file_id, svid, read``; ``evidence`` comes from ``readids.asm_evidence``.
     Collapsed, a group is its best supported call; otherwise every sufficiently supported call.
     """
-    support = typed_support(calls, call_reads, evidence, CompareParams(min_len_ratio=p.min_len_ratio))
+    support = typed_support(calls, call_reads, evidence, CompareParams(min_len_ratio=p.min_len_ratio), strict)
     rows = union_rows(calls, p, bed).join(
         support.select(*CALL_KEY, F.col("asm_support").alias("n_asm")), CALL_KEY, "left"
     ).withColumn("n_asm", F.coalesce("n_asm", F.lit(0)).cast("bigint"))

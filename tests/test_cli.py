@@ -123,3 +123,20 @@ def test_filters_by_reads(run, vcfs, tmp_path):
     assert [x.split("\t")[2] for x in out if not x.startswith("#")] == ["a1"]
     assert len([x for x in run("snfpair", a) if not x.startswith("#")]) == 2
     assert any(x.startswith("##FORMAT=<ID=VAF") for x in run("vcf", a))
+
+
+def test_read_ids_go_from_union_to_break_pairs(run, tmp_path):
+    def rec(ident, pos, reads):
+        return f"chr1\t{pos}\t{ident}\tN\t<DEL>\t.\tPASS\tSVTYPE=DEL;SVLEN=-500;END={pos + 500};RNAMES={reads}\tGT:DV\t0/1:6\t0/0:0\n"
+
+    a, b, sig = tmp_path / "a.vcf", tmp_path / "b.vcf", tmp_path / "asm"
+    a.write_text("#CHROM\tPOS\n" + rec("a1", 1000, "r1,r2,r3") + rec("a2", 9000, "r1,r2"))
+    b.write_text("#CHROM\tPOS\n" + rec("b1", 90000, "r9"))
+    sig.write_text("".join(f"h1\t10\t510\t{r}\t60\t+\tSVTYPE=DEL;SVLEN=-480;qoff_l=1;qoff_r=1;source=x\n" for r in ("r1", "r2", "r9")))
+    rows = run("advunion", "-g", 1, "--calls", a, "--calls", b, "--readids", a, "--readids", b, sig)
+    assert sum(";orig_read_ids=r1,r2,r3;asm_read_ids=r1,r2;" in r for r in rows) == 1 and len(rows) == 3
+    union = tmp_path / "union"
+    union.write_text("\n".join(rows) + "\n")
+    out = run("doublestrandbreak", union)
+    pairs = [r for r in out if r.endswith("\tcase1")]
+    assert pairs and "case1\t" + str(len(pairs)) in out
