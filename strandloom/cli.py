@@ -110,8 +110,14 @@ def cmd_eval(spark, a):
         _emit(_table(compare.recall_precision(of(0), of(1), p, bed)), None)
         if a.s:
             _emit(_table(compare.by_size(of(0), of(1), p, bed)), None)
-        if a.a:
-            _emit(_table(compare.with_match_count(of(1), compare.select_reportable(of(0), p, bed), p)), a.o)
+        if a.a or a.e:
+            rows = compare.reported_rows(of(0), of(1), p, bed)
+            place = ["ctg", "pos", "ori", "ctg2", "pos2", "svtype"]
+            at = lambda part: f"{a.o}/{part}" if a.o and a.a and a.e else a.o
+            if a.e:
+                _emit(_table(rows.filter("n_match = 0").select("label", *place, "svid", "svlen", "n_match")), at("errors"))
+            if a.a:
+                _emit(_table(rows.select(*place, "svlen", "svid", "n_match")), at("all"))
     elif a.M:
         for i in range(len(a.inputs)):
             _emit(_table(compare.against_consensus(calls, i, p, bed)), None)
@@ -327,7 +333,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument(flag, type=kind, default=value)
     p = command("eval", cmd_eval, many="inputs")
     _call_options(p)
-    for flag in ("-M", "-s", "-a"):
+    for flag in ("-M", "-s", "-a", "-e"):
         p.add_argument(flag, action="store_true")
     _call_options(command("annot", cmd_annot, many="inputs"))
     p = command("view", cmd_view, many="inputs")

@@ -150,6 +150,13 @@ def with_match_count(base: DataFrame, test: DataFrame, p: CompareParams) -> Data
     return test.join(hits, SHAPE, "left").withColumn("n_match", F.coalesce("n_match", F.lit(0)).cast("bigint"))
 
 
+def reported_rows(truth: DataFrame, test: DataFrame, p: CompareParams, bed: DataFrame | None = None) -> DataFrame:
+    """Reportable calls of both sides with ``n_match``: ``FN`` are those of the truth, ``FP`` those of the test set."""
+    fn = with_match_count(test, select_reportable(truth, p, bed), p).withColumn("label", F.lit("FN"))
+    fp = with_match_count(truth, select_reportable(test, p, bed), p).withColumn("label", F.lit("FP"))
+    return fn.unionByName(fp)
+
+
 def error_counts(base: DataFrame, test: DataFrame, p: CompareParams, bed: DataFrame | None = None) -> DataFrame:
     """One row: reportable test calls, how many match nothing in ``base``, and the rate."""
     rows = shape_matches(base, select_reportable(test, p, bed), p)

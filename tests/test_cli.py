@@ -98,6 +98,9 @@ def vcfs(tmp_path):
 def test_eval_union_and_view(run, vcfs):
     a, b, c = vcfs
     assert run("eval", a, b) == ["RN\t2\t1\t0.5", "RP\t2\t1\t0.5"]
+    wrong = run("eval", "-e", a, b)[2:]
+    assert wrong == ["FN\tchr1\t89999\t>>\tchr1\t95000\tDEL\ta2\t-5000\t0", "FP\tchr1\t499999\t>>\tchr1\t505000\tDEL\tb2\t-5000\t0"]
+    assert len(run("eval", "-a", a, b)) == 2 + 4
     matrix = run("eval", a, b, c)
     assert matrix[0] == "0\t0\t2\t2\t2.0" and matrix[1] == "0\t1\t2\t1\t0.5"
     assert run("union", "--unseen", a, b, c) == ["100\t0", "010\t1", "110\t1", "001\t0", "101\t1", "011\t0", "111\t0"]

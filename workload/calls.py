@@ -207,6 +207,18 @@ def eval_matches(s):
     return compare.with_match_count(_others(c), compare.select_reportable(c.filter("file_id = 0"), CMP), CMP)
 
 
+def _unmatched(base: int, test: int, label: str) -> str:
+    return f"""(with b0 as (select * from {_file(base)}), t0 as (select * from {_file(test)} t where {_REP.format(0)}), {hits_cte('b0', 't0')}
+      select '{label}' as label, ctg, pos, ori, ctg2, pos2, svtype, svid, svlen, cast(0 as bigint) as n_match from t0 where id not in (select tid from hits))"""
+
+
+@query("eval_errors", with_views(f"select * from {_unmatched(1, 0, 'FN')} union all select * from {_unmatched(0, 1, 'FP')}", "calls"))
+def eval_errors(s):
+    c = s.view("calls")
+    rows = compare.reported_rows(c.filter("file_id = 0"), _others(c), CMP).filter("n_match = 0")
+    return rows.select("label", "ctg", "pos", "ori", "ctg2", "pos2", "svtype", "svid", "svlen", "n_match")
+
+
 @query("eval_sn_matrix", with_views(
     f"""with b0 as (select *, row_number() over () as id from calls), t0 as (select * from b0 t where {_REP.format(0)}), {hits_cte('b0', 't0')},
     m as (select h.bfile, t0.file_id, count(*) as k from hits h join t0 on t0.id = h.tid group by all), tt as (select file_id, count(*) as total from t0 group by 1)
