@@ -90,8 +90,22 @@ def gather(flat: np.ndarray, offsets: np.ndarray, pick: np.ndarray) -> tuple[np.
 
 
 def _ways(tokenizer_json: str) -> tuple[bool, bool]:
-    """Whether the vocabulary folds case and white space, and whether words of letters are one pre-token of it."""
+    """Whether the vocabulary folds case and white space, and whether words of letters are one pre-token of it.
+
+    Vocabularies with a special token that a cut or folding could change are refused.
+    """
     made = json.loads(tokenizer_json)
+    fold, direct = _kind(made)
+    for special in made["added_tokens"]:
+        raw = np.frombuffer(special["content"].encode("utf-8"), np.uint8)
+        if len(bpe_spans(raw, np.array([0, len(raw)]))[0]) > 1:
+            raise ValueError(f"texts would be cut inside the special token {special['content']!r}")
+        if fold and "<" not in special["content"]:
+            raise ValueError(f"the special token {special['content']!r} could fold into another word")
+    return fold, direct
+
+
+def _kind(made: dict) -> tuple[bool, bool]:
     norm, pre = made["normalizer"], made["pre_tokenizer"]
     steps = pre.get("pretokenizers", [pre]) if pre else []
     kinds = [x["type"] for x in steps]
@@ -110,20 +124,14 @@ class WordEncoder:
     are then one word.
     """
 
-    def __init__(self, tokenizer_json: str, table: tuple[np.ndarray, np.ndarray, np.ndarray] | None, most: int = 250_000):
+    def __init__(self, tokenizer_json: str, table: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None, most: int = 150_000, ways: tuple[bool, bool] | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_str(tokenizer_json)
         self.tok.no_padding()
         self.tok.no_truncation()
-        self.fold, self.direct = _ways(tokenizer_json)
-        for special in json.loads(tokenizer_json)["added_tokens"]:
-            raw = np.frombuffer(special["content"].encode("utf-8"), np.uint8)
-            if len(bpe_spans(raw, np.array([0, len(raw)]))[0]) > 1:
-                raise ValueError(f"texts would be cut inside the special token {special['content']!r}")
-            if self.fold and "<" not in special["content"]:
-                raise ValueError(f"the special token {special['content']!r} could fold into another word")
+        self.fold, self.direct = ways or _ways(tokenizer_json)
         self.chars = byte_chars()
         self.table = table or (np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int32))
         self.own: dict[int, bytes] = {}
@@ -238,12 +246,21 @@ def word_table(docs: DataFrame, tokenizer_path: str, text_col: str = "text", mos
     return hashes[order], np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int64), np.fromiter((i for x in lists for i in x), np.int32)
 
 
+def _shipment(tokenizer_path: str, table) -> dict:
+    """What tasks need to encode.  A worker keeps its encoder here, so later tasks need not build it again."""
+    made = Path(tokenizer_path).read_text("utf-8")
+    return {"tokenizer": made, "table": table, "ways": _ways(made)}
+
+
 def _encoding(shipped, names: list[str], end_ids: list[int] | None):
     """Batches with ``_text`` last to batches with ``ids`` in its place."""
     end = np.array(end_ids or [], np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = WordEncoder(*shipped.value)
+        kit = shipped.value
+        if "encoder" not in kit:
+            kit["encoder"] = WordEncoder(kit["tokenizer"], kit["table"], ways=kit["ways"])
+        enc = kit["encoder"]
         for batch in small_batches(batches, "_text", 2 << 20):
             ids, n = enc.batch(batch.column(batch.num_columns - 1))
             if len(end):
@@ -290,7 +307,7 @@ def encode(
 
     Rows stay where and in the order they are.
     """
-    shipped = docs.sparkSession.sparkContext.broadcast((Path(tokenizer_path).read_text("utf-8"), table))
+    shipped = docs.sparkSession.sparkContext.broadcast(_shipment(tokenizer_path, table))
     rows, kinds = _texts(docs, keep, text_col)
     return rows.mapInArrow(_encoding(shipped, [*keep, "ids"], end_ids), f"{kinds}ids array<int>")
 
@@ -304,7 +321,7 @@ def round_trip(
 ) -> DataFrame:
     """``ids`` and ``decoded``: encoding and decoding in one pass, without moving the ids in between."""
     sc = docs.sparkSession.sparkContext
-    shipped = sc.broadcast((Path(tokenizer_path).read_text("utf-8"), table))
+    shipped = sc.broadcast(_shipment(tokenizer_path, table))
     rows, kinds = _texts(docs, keep, text_col)
     first = _encoding(shipped, [*keep, "ids"], None)
     second = _decoding(sc.broadcast(pieces(tokenizer_path)), [*keep, "ids", "decoded"], len(keep))
