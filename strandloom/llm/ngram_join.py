@@ -157,10 +157,11 @@ def incidence(docs: DataFrame, order: np.ndarray, width: int, percent: int, id_c
     return docs.select(F.col(text_col).cast("string").alias("_text")).mapInArrow(run, "gram long, part int, set_id long, size int, pos int")
 
 
-def shared_columns(rows: DataFrame) -> DataFrame:
+def shared_columns(rows: DataFrame, percent: int) -> DataFrame:
     """The rows of columns with two sets or more, each with its column's first set (``c_*``).
 
-    One sorted pass: nothing is held but a column's first row.  Parts of a hot column keep all rows.
+    One sorted pass: nothing is held but a column's first row.  Parts of a hot column keep all rows.  Two rows
+    that are alone in their column and cannot reach the threshold there are left out.
     """
     names = ["gram", "part", "set_id", "size", "pos"]
 
@@ -191,6 +192,12 @@ def shared_columns(rows: DataFrame) -> DataFrame:
             n = np.diff(np.append(at, len(g)))
             head = np.repeat(at, n)
             go = np.repeat(n > 1, n) | (p > 0)
+            two = at[:-1][(n[:-1] == 2) & (p[at[:-1]] == 0)]  # the last column may go on
+            if held is not None and written_first:
+                two = two[two > 0]
+            a, i, b, j = (c[k].astype(np.int64) for k in (two, two + 1) for c in (cols[3], cols[4]))
+            meet = (np.minimum(a - i, b - j) * (100 + percent) >= (a + b) * percent) & (np.minimum(a, b) * 100 >= np.maximum(a, b) * percent)
+            go[two[~meet]] = go[two[~meet] + 1] = False
             was_out = written_first if held is not None else False
             held = [c[at[-1]] for c in cols]
             out_now = bool(go[at[-1]])
@@ -396,7 +403,7 @@ def joined(
     """
     signed = written(signatures(docs, width, id_col, text_col), "signatures")
     order = _summed_counters(signed)
-    shared = written(shared_columns(incidence(docs, order, width, percent, id_col, text_col)), "shared")
+    shared = written(shared_columns(incidence(docs, order, width, percent, id_col, text_col), percent), "shared")
     texts = written(candidate_texts(docs, shared, width, text_col), "texts")
 
     sketches = written(texts.select("set_id", "sketch").dropDuplicates(["set_id"]), "sketches")
