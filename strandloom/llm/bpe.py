@@ -239,7 +239,9 @@ def word_table(docs: DataFrame, tokenizer_path: str, text_col: str = "text", mos
             ids = enc.encode_words([w.decode("utf-8") for w in words])
             yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(ids, pa.list_(pa.int32()))], names=["hash", "ids"])
 
-    got = counts.filter(F.col("step") >= least).select("word").mapInArrow(encode, "hash long, ids array<int>").toArrow().combine_chunks()
+    # At most ``most_words`` rows, so a few tasks do, and each builds one tokenizer.
+    few = counts.filter(F.col("step") >= least).select("word").coalesce(max(1, most_words >> 15))
+    got = few.mapInArrow(encode, "hash long, ids array<int>").toArrow().combine_chunks()
     hashes, ids = got.column("hash").to_numpy().view(np.uint64), got.column("ids").to_pylist()
     order = np.argsort(hashes)
     lists = [ids[i] for i in order]
