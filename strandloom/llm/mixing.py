@@ -1,11 +1,13 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
 1. Each source's documents are shuffled by a hash and laid end to end: a stream of words, cut into blocks
-   of equal size.
+   of equal size.  The size is the source's own, so that a small source has as many slots as a large one.
 2. Slot ``k`` of the schedule gets the point ``frac(k / golden ratio)``, and the source whose span of the
-   cumulative target weights holds it.  A source's slots come evenly all along the schedule.
-3. Slots are ranked per source; the slot of rank ``r`` takes block ``r`` of the source's stream, again from
-   the start after the last one, at most ``max_repeats`` times around.
+   cumulative slot numbers holds it.  A source's slots come evenly all along the schedule.
+3. Slots are ranked per source; they take the blocks of its stream in order, around and around, until its
+   target is reached: the last slot takes only the words that are left, later slots of the source stay empty.
+   What the points have left out (a few slots) follows after the last one.  So each source gets its target,
+   rounded to a word.
 
 Targets share all words by weight; a target above ``max_repeats`` times its source is cut to that, and the
 excess is shared again by weight until none is above.
@@ -30,6 +32,9 @@ from strandloom.llm.words import count_words, small_batches, text_bytes
 #: Golden ratio less 1, times 2**32.
 GOLDEN = 2654435769
 BINS = 4096
+#: Words of a block at most; slots of a source at least, if its target has so many words.
+MAX_BLOCK = 1024
+LEAST_SLOTS = 1024
 CELLS = 1024
 
 
@@ -94,16 +99,29 @@ def golden_point(k: Column) -> Column:
     return F.pmod(low * F.lit(GOLDEN) + upper, F.lit(1 << 32))
 
 
-def schedule(wanted: DataFrame, n_slots: int) -> DataFrame:
-    """``slot, no, rank``: the source of every slot, and how many slots of that source come before it.
+def with_slots(wanted: DataFrame) -> DataFrame:
+    """Adds ``block, n_blocks, laps, rest, n_slots``: a source's stream is taken ``laps`` times, then ``rest`` words.
+
+    A block has ``MAX_BLOCK`` words, or less where the source would have fewer than ``LEAST_SLOTS`` slots.
+    """
+    out = wanted.withColumn("_words", F.round("target").cast("bigint"))
+    out = out.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(MAX_BLOCK), F.expr(f"_words div {LEAST_SLOTS}"))))
+    out = out.withColumn("n_blocks", F.expr("(source_size + block - 1) div block"))
+    out = out.withColumn("laps", F.expr("_words div greatest(source_size, 1)"))
+    out = out.withColumn("rest", F.expr("_words - laps * source_size"))
+    return out.withColumn("n_slots", F.expr("laps * n_blocks + (rest + block - 1) div block")).drop("_words")
+
+
+def schedule(wanted: DataFrame) -> DataFrame:
+    """``slot, no, rank, block_no, upto, whole``: a row per taken block, up to word ``upto`` of the stream.
 
     The spans of the sources are cut at the edges of equal bins, so a slot meets the few sources of its bin.
     """
     spark = wanted.sparkSession
+    n_slots = wanted.agg(F.sum("n_slots")).first()[0] or 0
     order = Window.orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    upto = F.sum("target").over(order) / F.sum("target").over(whole)
-    spans = wanted.filter("target > 0").withColumn("_hi", F.round(upto * F.lit(float(1 << 32))).cast("bigint"))
+    upto = F.sum("n_slots").over(order) / F.lit(float(max(1, n_slots)))
+    spans = wanted.filter("n_slots > 0").withColumn("_hi", F.round(upto * F.lit(float(1 << 32))).cast("bigint"))
     spans = spans.withColumn("_lo", F.coalesce(F.lag("_hi").over(Window.orderBy("no")), F.lit(0).cast("bigint")))
     width = (1 << 32) // BINS
     bins = F.sequence(F.floor(F.col("_lo") / width), F.floor((F.col("_hi") - 1) / width))
@@ -111,19 +129,24 @@ def schedule(wanted: DataFrame, n_slots: int) -> DataFrame:
     slots = spark.range(n_slots).select(F.col("id").alias("slot"), golden_point(F.col("id")).alias("_point"))
     slots = slots.withColumn("_bin", F.floor(F.col("_point") / width))
     dealt = slots.join(spans, "_bin").filter("_point >= _lo and _point < _hi").select("slot", "no")
-    return running(dealt, "no", F.floor(F.col("slot") / 8192), [F.col("slot")], F.lit(1).cast("bigint"), "rank")
-
-
-def block_size(total_words: int, most: int = 1024, least_slots: int = 1 << 18) -> int:
-    """Words of a block: ``most``, or less where the schedule would have fewer than ``least_slots`` slots."""
-    return max(1, min(most, total_words // least_slots))
+    ranked = running(dealt, "no", F.floor(F.col("slot") / 8192), [F.col("slot")], F.lit(1).cast("bigint"), "rank")
+    got = dealt.groupBy("no").agg(F.count("*").alias("_got"))
+    short = wanted.select("no", "n_slots").join(got, "no", "left").withColumn("_got", F.coalesce("_got", F.lit(0)))
+    short = short.filter("_got < n_slots").withColumn("_base", F.sum(F.col("n_slots") - F.col("_got")).over(order) - F.col("n_slots"))
+    late = short.select("no", "_base", F.explode(F.sequence("_got", F.col("n_slots") - 1)).alias("rank"))
+    late = late.select((F.lit(n_slots) + F.col("_base") + F.col("rank")).alias("slot"), "no", "rank")
+    every = ranked.select("slot", "no", "rank").unionByName(late)
+    every = every.join(wanted.select("no", "source_size", "block", "n_blocks", "laps", "rest", "n_slots"), "no").filter("rank < n_slots")
+    every = every.withColumn("lap", F.expr("rank div n_blocks")).withColumn("block_no", F.expr("rank % n_blocks"))
+    end = F.least((F.col("block_no") + 1) * F.col("block"), F.when(F.col("lap") < F.col("laps"), F.col("source_size")).otherwise(F.col("rest")))
+    return every.select("slot", "no", "rank", "block_no", end.alias("upto"), (F.col("lap") < F.col("laps")).alias("whole"))
 
 
 def placed(sized: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
     """Documents with words in their source's shuffled stream: ``no``, ``start`` (words before them)."""
     key = F.xxhash64("doc_id", F.lit(seed))
     rows = sized.filter("size > 0").join(
-        wanted.select("no", "source_size", "target", F.col("source").alias("_source")),
+        wanted.select("no", "block", "laps", "rest", F.col("source").alias("_source")),
         F.col("source").eqNullSafe(F.col("_source")),
     )
     rows = rows.drop("source", "_source").withColumn("_key", key)
@@ -131,12 +154,20 @@ def placed(sized: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
     return running(rows, "no", cell, [F.col("_key"), F.col("doc_id"), F.col("uid")], F.col("size"), "start").drop("_key")
 
 
-def takes(where: DataFrame, wanted: DataFrame, block: int, n_slots: int, max_repeats: int) -> DataFrame:
-    """``no, block_no, n_taken``: how many slots take each block of each source."""
-    n_blocks = F.ceil(F.col("source_size") / F.lit(block))
-    slots = schedule(wanted, n_slots).join(wanted.select("no", n_blocks.alias("_blocks")), "no")
-    slots = slots.filter(F.col("rank") < F.col("_blocks") * max_repeats)
-    return slots.groupBy("no", F.pmod(F.col("rank"), F.col("_blocks")).alias("block_no")).agg(F.count("*").alias("n_taken"))
+def pieces_of(where: DataFrame) -> DataFrame:
+    """``no, block_no, lo, hi`` of the parts of documents that lie in blocks, without blocks that are never taken."""
+    first, last = F.expr("start div block"), F.expr("(start + size - 1) div block")
+    last = F.when(F.col("laps") == 0, F.least(last, F.expr("(rest - 1) div block"))).otherwise(last)
+    rows = where.filter("laps > 0 or start < rest")
+    rows = rows.select("uid", "doc_id", "no", "start", "size", "block", F.explode(F.sequence(first, last)).alias("block_no"))
+    rows = rows.withColumn("lo", F.greatest(F.col("start"), F.col("block_no") * F.col("block")))
+    return rows.withColumn("hi", F.least(F.col("start") + F.col("size"), (F.col("block_no") + 1) * F.col("block")))
+
+
+def takes(slots: DataFrame) -> DataFrame:
+    """``no, block_no, n_taken, upto``: how often each block is taken whole, and how far it is taken once more."""
+    once_more = F.coalesce(F.max(F.when(~F.col("whole"), F.col("upto"))), F.lit(0))
+    return slots.groupBy("no", "block_no").agg(F.count_if("whole").alias("n_taken"), once_more.alias("upto"))
 
 
 def mix(
@@ -154,19 +185,13 @@ def mix(
     middle word, which is how often the whole document is repeated in a mix of whole documents.
     """
     sized = written(sizes(docs, id_col, text_col, source_col), "sizes")
-    total = sized.agg(F.sum("size")).first()[0] or 0
-    block = block_size(total)
-    wanted = written(targets(sized, weights, max_repeats), "targets")
-    where = placed(sized, wanted, seed)
-    first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
-    pieces = where.select("uid", "no", "start", "size", F.explode(F.sequence(first, last)).alias("block_no"))
-    lo = F.greatest(F.col("start"), F.col("block_no") * block)
-    hi = F.least(F.col("start") + F.col("size"), (F.col("block_no") + 1) * block)
+    wanted = written(with_slots(targets(sized, weights, max_repeats)), "targets")
     middle = F.col("start") + F.floor(F.col("size") / 2)
-    used = pieces.join(takes(where, wanted, block, -(-total // block), max_repeats), ["no", "block_no"])
+    used = pieces_of(placed(sized, wanted, seed)).join(takes(schedule(wanted)), ["no", "block_no"])
+    more = F.greatest(F.lit(0), F.least("hi", "upto") - F.col("lo"))
     used = used.groupBy("uid").agg(
-        F.sum((hi - lo) * F.col("n_taken")).alias("taken"),
-        F.max(F.when((middle >= lo) & (middle < hi), F.col("n_taken"))).alias("copies"),
+        F.sum((F.col("hi") - F.col("lo")) * F.col("n_taken") + more).alias("taken"),
+        F.max(F.when((middle >= F.col("lo")) & (middle < F.col("hi")), F.col("n_taken") + (middle < F.col("upto")).cast("bigint"))).alias("copies"),
     )
     named = wanted.select(F.col("source").alias("_source"), "source_size", "target")
     rows = sized.join(named, F.col("source").eqNullSafe(F.col("_source"))).join(used, "uid", "left")
@@ -180,16 +205,7 @@ def mix(
 def sequence_of(docs: DataFrame, weights: list[float], max_repeats: int = 3, seed: int = 7, **cols: str) -> DataFrame:
     """The mix itself: ``slot, doc_id, first_word, n_words`` in the order of the schedule's slots."""
     sized = written(sizes(docs, **cols), "sizes")
-    total = sized.agg(F.sum("size")).first()[0] or 0
-    block = block_size(total)
-    wanted = written(targets(sized, weights, max_repeats), "targets")
-    where = placed(sized, wanted, seed)
-    blocks = F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))
-    pieces = where.select("doc_id", "no", "start", "size", F.explode(blocks).alias("block_no"))
-    n_blocks = F.ceil(F.col("source_size") / F.lit(block))
-    slots = schedule(wanted, -(-total // block)).join(wanted.select("no", n_blocks.alias("_blocks")), "no")
-    slots = slots.filter(F.col("rank") < F.col("_blocks") * max_repeats).withColumn("block_no", F.pmod("rank", "_blocks"))
-    lo = F.greatest(F.col("start"), F.col("block_no") * block)
-    hi = F.least(F.col("start") + F.col("size"), (F.col("block_no") + 1) * block)
-    out = slots.join(pieces, ["no", "block_no"])
-    return out.select("slot", "doc_id", (lo - F.col("start")).alias("first_word"), (hi - lo).alias("n_words"))
+    wanted = written(with_slots(targets(sized, weights, max_repeats)), "targets")
+    out = schedule(wanted).join(pieces_of(placed(sized, wanted, seed)), ["no", "block_no"])
+    n = F.least("hi", "upto") - F.col("lo")
+    return out.select("slot", "doc_id", (F.col("lo") - F.col("start")).alias("first_word"), n.alias("n_words")).filter("n_words > 0")

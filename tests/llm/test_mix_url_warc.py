@@ -53,6 +53,26 @@ def test_mix(spark):
     assert mixing.mix(docs.limit(0), [5, 2, 1]).count() == 0
 
 
+def test_small_sources_get_their_targets_beside_large_ones(spark):
+    """Sources of a few words beside one whose blocks are longer than they are."""
+    from pyspark.sql import functions as F
+
+    small = {f"s{n:05d}": n for n in (1, 7, 50, 150, 300, 1000, 1500, 3000)}
+    rows = [(i, "w " * 20000, "large") for i in range(180)]
+    rows += [(1000 + i, "w " * max(1, n // 5), s) for s, n in small.items() for i in range(min(5, n))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = mixing.mix(docs, [5, 2, 1], max_repeats=3).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"))
+    got = {r["source"]: r for r in mixed.collect()}
+    assert set(got) == {"large", *small}
+    assert all(abs(r["taken"] - r["target"]) <= 0.5 for r in got.values())
+    parts = mixing.sequence_of(docs, [5, 2, 1])
+    assert parts.agg({"n_words": "sum"}).first()[0] == sum(r["taken"] for r in got.values())
+    # Slots of a small source are spread over the schedule.
+    where = parts.filter("doc_id >= 1000").groupBy(F.col("doc_id") >= 1035).agg(F.min("slot"), F.max("slot")).collect()
+    n_slots = parts.agg(F.max("slot")).first()[0]
+    assert all(lo < 0.1 * n_slots and hi > 0.9 * n_slots for _, lo, hi in where)
+
+
 def test_golden_points_are_exact(spark):
     from pyspark.sql import functions as F
 
