@@ -5,12 +5,12 @@ bounded size, and every block is indexed: each of ``n_projections`` random direc
 the block's projected values, sorted.  A query puts a window around its own projected value in each array and
 widens all windows by ``growth`` per round (virtual rehashing: a wider window is a coarser bucket, no second
 index is built).  A vector that lies in ``threshold`` of the windows is verified on the original vectors.  A
-block is done when its k best are nearer than the windows vouch for, or when ``verify_share`` of its rows, and
-some more, are verified.
+block is done when its k best are nearer than the windows vouch for, or when as many different directions as
+``verify_share`` of its rows, and some more, are verified.
 
 Queries are a stated set, dealt to blocks too; each pair of blocks is one group of bounded size, so neither
-side is ever held whole.  All rows are indexed, none is capped: copies of one vector collide alike and are all
-verified.
+side is ever held whole.  All rows take part, none is capped.  Rows of one direction are one entry of the index, so
+copies of a vector do not use up what may be verified; of equal vectors a block needs the k + 1 smallest ids only.
 
 Defined cases: vectors that are null, all zero, or hold a null or non-finite component take no part, as query
 or candidate; vectors of different lengths are not compared; a query's own id is no candidate; ties go to the
@@ -43,27 +43,47 @@ class AnnParams:
     seed: int = 5
 
 
+def smallest_of_equal(ids: np.ndarray, vectors: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows without those that repeat a vector and have ``most`` smaller ids beside them: none can be among the best."""
+    vectors = np.ascontiguousarray(vectors) + 0.0
+    same = np.unique(vectors.view(np.dtype((np.void, vectors.strides[0]))).ravel(), return_inverse=True)[1].ravel()
+    order = np.lexsort((ids, same))
+    i, g = ids[order], same[order]
+    new = np.ones(len(i), bool)
+    new[1:] = (i[1:] != i[:-1]) | (g[1:] != g[:-1])
+    order, g = order[new], g[new]
+    rank = np.arange(len(g)) - np.searchsorted(g, g)
+    kept = np.sort(order[rank < most])
+    return ids[kept], vectors[kept]
+
+
 class BlockIndex:
     """Sorted projections of a block of vectors."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, p: AnnParams):
-        self.p, self.ids, self.vectors = p, ids, vectors
-        self.norms = np.sqrt((vectors * vectors).sum(axis=1))
+        self.n_rows = len(ids)
+        ids, vectors = smallest_of_equal(ids, vectors, p.k + 1)
+        norms = np.sqrt((vectors * vectors).sum(axis=1))
+        # Vectors of one direction are one entry; its rows lie side by side.
+        unit, entry = np.unique(np.round(vectors / norms[:, None], 12) + 0.0, axis=0, return_inverse=True)
+        by_entry = np.argsort(entry.ravel(), kind="stable")
+        self.p, self.ids, self.vectors, self.norms = p, ids[by_entry], vectors[by_entry], norms[by_entry]
+        self.sizes = np.bincount(entry.ravel(), minlength=len(unit))
+        self.starts = np.cumsum(self.sizes) - self.sizes
         self.axes = np.random.default_rng(p.seed).standard_normal((vectors.shape[1], p.n_projections))
-        at = (vectors / self.norms[:, None]) @ self.axes
+        at = unit @ self.axes
         self.order = np.ascontiguousarray(np.argsort(at, axis=0, kind="stable").T)
         self.values = np.take_along_axis(at.T, self.order, axis=1)
 
     def nearest(self, query_id: int, query: np.ndarray) -> list[tuple[float, int]]:
         """Best ``k`` of the block as ``(cosine, id)``; how far it looks depends on the rows alone."""
-        p, n = self.p, len(self.ids)
+        p, n = self.p, len(self.sizes)
         norm = float(np.sqrt((query * query).sum()))
         center = (query / norm) @ self.axes
         lo = hi = np.array([np.searchsorted(v, c) for v, c in zip(self.values, center)])
         counts, done = np.zeros(n, np.int32), np.zeros(n, bool)
-        done[self.ids == query_id] = True
         scores, found = np.zeros(0), np.zeros(0, np.int64)
-        enough, reach = p.verify_least + int(p.verify_share * n), p.width
+        enough, reach = p.verify_least + int(p.verify_share * self.n_rows), p.width
         while True:
             new_lo = np.array([np.searchsorted(v, c - reach, "left") for v, c in zip(self.values, center)])
             new_hi = np.array([np.searchsorted(v, c + reach, "right") for v, c in zip(self.values, center)])
@@ -73,10 +93,12 @@ class BlockIndex:
             fresh = np.flatnonzero((counts >= p.threshold) & ~done)
             if len(fresh):
                 done[fresh] = True
-                v = self.vectors[fresh]
-                scores = np.concatenate((scores, (v * query).sum(axis=1) / (self.norms[fresh] * norm)))
-                found = np.concatenate((found, self.ids[fresh]))
-            if len(found) >= enough or done.all():
+                sizes = self.sizes[fresh]
+                rows = np.repeat(self.starts[fresh] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+                rows = rows[self.ids[rows] != query_id]
+                scores = np.concatenate((scores, (self.vectors[rows] * query).sum(axis=1) / (self.norms[rows] * norm)))
+                found = np.concatenate((found, self.ids[rows]))
+            if done.sum() >= enough and len(found) >= p.k or done.all():
                 break
             if len(found) >= p.k:
                 kth = np.sqrt(max(0.0, 2.0 - 2.0 * np.partition(scores, -p.k)[-p.k]))

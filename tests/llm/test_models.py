@@ -107,6 +107,32 @@ def test_nearest_neighbours(spark):
     assert len(few) == 2 and ann.search(df.limit(0), F.col("vec_id") == 0, p).count() == 0
 
 
+@pytest.mark.parametrize("scaled", [False, True])
+def test_copies_of_a_vector_do_not_end_the_search(scaled):
+    """A third of the rows has one direction; the neighbours of the others are found as well as without it."""
+    ids = np.arange(1500)
+    for seed in (1, 4):
+        rng = np.random.default_rng(seed)
+        x = rng.standard_normal((1500, 64))
+        x[500:1000] = x[500]
+        if scaled:
+            x[500:1000] *= rng.uniform(0.5, 2, (500, 1))
+        index, unit, hit = ann.BlockIndex(ids, x, ann.AnnParams()), x / np.sqrt((x * x).sum(axis=1))[:, None], 0
+        for q in range(0, 500, 5):
+            s = (unit @ unit[q]).round(12)
+            s[q] = -9
+            best = set(np.lexsort((ids, -s))[:5].tolist())
+            hit += len(best & {i for _, i in index.nearest(q, x[q])})
+        assert hit / 500 >= 0.95
+
+
+def test_repeated_ids_are_one_candidate():
+    ids, x = np.array([1, 1, 1, 2, 3, 3, 4, 9]), np.ones((8, 4))
+    x[7] = [1, 2, 3, 4]
+    got = ann.BlockIndex(ids, x, ann.AnnParams(k=3)).nearest(1, x[0])
+    assert [i for _, i in got] == [2, 3, 4]
+
+
 def test_pipeline(spark, tmp_path):
     docs, labels = labelled_docs(2, 160)
     docs = [(i, t, "en", f"s{k % 3}", len(t or "")) for k, (i, t) in enumerate(docs)]
