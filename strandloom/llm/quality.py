@@ -13,8 +13,8 @@ The learner sees trusted positives and unlabelled web text only, never a negativ
    part may not fall below zero.
 
 The model is logistic over bins of each number, so it is one weight per bin.  Positives and unlabelled texts
-are bounded samples (``max_positive``, ``max_unlabelled``, the smallest hashes of the id); scores are made for
-every text.
+are bounded samples of rows (``max_positive``, ``max_unlabelled``, by the hash of the id, within an id by row
+number); scores are made for every text.
 
 Defined cases: null and empty texts have all numbers zero and get a score like any other; null labels are not
 used; without any positive every score is 0.5.
@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from strandloom.llm.rows import sample_rate, sampled
 from strandloom.llm.scratch import written
 from strandloom.llm.words import chain, small_batches, span_hashes, text_bytes, word_spans
 
@@ -190,15 +191,13 @@ def fit(positive: np.ndarray, rest: np.ndarray, p: PuParams) -> tuple[np.ndarray
 
 def train(rows: DataFrame, labels: DataFrame, label: Column, learn: Column, p: PuParams, id_col: str) -> tuple | None:
     """Fit in one task on the bounded samples of ``rows`` (``doc_id, x``)."""
-    total = rows.count()
     good = labels.select(F.col(id_col).cast("bigint").alias("doc_id"), label.cast("int").alias("y")).filter(learn & (F.col("y") == 1))
     good = good.filter(F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    n_good = good.count()
-    point = lambda seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20))
-    rate = lambda most, n: int((1 << 20) * min(1.0, most / max(1, n)))
-    picked = good.filter(point(3) < rate(p.max_positive, n_good))
-    positive = rows.join(F.broadcast(picked), "doc_id").select(F.lit(1).alias("y"), "doc_id", "x")
-    rest = rows.filter(point(4) < rate(p.max_unlabelled, total)).select(F.lit(0).alias("y"), "doc_id", "x")
+    every = written(rows.groupBy("doc_id").agg(F.count("*").alias("n")).withColumn("m", F.lit(1)), "ids")
+    known = every.join(good, "doc_id", "left_semi")
+    total, n_good = (groups.agg(F.sum("n")).first()[0] or 0 for groups in (every, known))
+    positive = sampled(rows, known, F.lit(sample_rate(p.max_positive, n_good)), 3).select(F.lit(1).alias("y"), "doc_id", "x")
+    rest = sampled(rows, every, F.lit(sample_rate(p.max_unlabelled, total)), 4).select(F.lit(0).alias("y"), "doc_id", "x")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ys, xs = [], []

@@ -27,3 +27,27 @@ def without(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", text_co
     once = keyed.join(both, same, "left_semi").groupBy("__i__", "__x__")
     once = once.agg(F.min_by(F.struct(*cols), F.struct(*simple)).alias("__row__")).select("__row__.*")
     return rest.unionByName(once)
+
+
+#: Rates and points of a sample are parts of this.
+POINTS = 1 << 20
+
+
+def sample_rate(most: int, n: int) -> int:
+    return int(POINTS * min(1.0, most / max(1, n)))
+
+
+def sampled(rows: DataFrame, groups: DataFrame, rate: Column, seed: int) -> DataFrame:
+    """``rows`` at a rate by the hash of ``doc_id``, with the columns of ``groups`` but ``n`` and ``m``.
+
+    ``groups`` (``doc_id, n, m``, ...) tells how many rows an id has and how often each counts.  An id of one row
+    is in or out; of an id that many rows share, as many are taken as the rate gives, picked by row number.
+    So the sample is as large as the rate says whatever the ids are, and the picked ids are as few as its rows.
+    """
+    point = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(POINTS))
+    most = F.floor((F.col("n").cast("double") * F.col("m") * rate + F.lit(POINTS - 1) - point) / F.lit(float(POINTS)))
+    picked = groups.withColumn("_most", most).filter("_most > 0").withColumnRenamed("doc_id", "_id")
+    row = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)), F.lit(POINTS)) / F.lit(float(POINTS))
+    met = rows.withColumn("_row", row).join(F.broadcast(picked), F.col("doc_id").eqNullSafe(F.col("_id")))
+    times = F.floor(F.col("_most") / F.col("n") + F.col("_row")).cast("int")
+    return met.withColumn("_times", F.explode(F.array_repeat(F.lit(0), times))).drop("_id", "_most", "_row", "_times", "n", "m")

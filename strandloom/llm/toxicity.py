@@ -4,8 +4,8 @@ Features of a text are 32-bit hashes of what occurs in it: words, pairs of neigh
 one (skip-grams), and the first 4, 5 and 6 bytes of words, which carry over to other endings.  A word loses
 outer punctuation; A-Z is lower-cased.  Every feature counts once per text.
 
-Training sees a bounded sample of labelled rows (``max_toxic`` and ``max_clean``, the smallest hashes of the
-id), once per epoch in hash order.  Every coordinate has its own learning rate, and L1 keeps weights at zero
+Training sees a bounded sample of labelled rows (``max_toxic`` and ``max_clean``, by the hash of the id, within
+an id by row number), once per epoch in hash order.  Every coordinate has its own learning rate, and L1 keeps weights at zero
 that the labels do not support, so what is shipped to the scoring tasks is a short sorted list.  Features
 seen in one sampled text only are left out.
 
@@ -23,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from strandloom.llm.rows import sample_rate, sampled
+from strandloom.llm.scratch import written
 from strandloom.llm.words import chain, small_batches, span_hashes, text_bytes, word_spans
 
 PREFIXES = (4, 5, 6)
@@ -96,17 +98,17 @@ def ftrl(rows: list[np.ndarray], labels: list[int], n_features: int, p: FtrlPara
 def sample_of(docs: DataFrame, labels: DataFrame, label: Column, learn: Column, p: FtrlParams, id_col: str, text_col: str) -> DataFrame:
     """``doc_id, y, text`` of the sampled rows.
 
-    Ids are picked by their hash at a rate that gives the bounded numbers; the picked ids are few and are
-    shipped, the texts are read in one scan and not shuffled.
+    Labels and rows are counted per id before they meet.  The picked ids are few and are shipped, the texts are
+    read in one scan and not shuffled.
     """
     ids = labels.select(F.col(id_col).cast("bigint").alias("doc_id"), label.cast("int").alias("y"))
-    ids = ids.filter(learn & F.col("y").isin(0, 1) & F.col("doc_id").isNotNull())
-    counts = {r["y"]: r["n"] for r in ids.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    point = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20))
-    rate = {y: int((1 << 20) * min(1.0, most / max(1, counts.get(y, 0)))) for y, most in ((1, p.max_toxic), (0, p.max_clean))}
-    picked = ids.filter(point < F.when(F.col("y") == 1, rate[1]).otherwise(rate[0]))
+    ids = ids.filter(learn & F.col("y").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id", "y").agg(F.count("*").alias("m"))
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return texts.join(F.broadcast(picked), "doc_id").select("doc_id", "y", "text")
+    groups = written(texts.groupBy("doc_id").agg(F.count("*").alias("n")).join(ids, "doc_id"), "ids")
+    counts = {r["y"]: r["n"] for r in groups.groupBy("y").agg(F.sum(F.col("n") * F.col("m")).alias("n")).collect()}
+    rate = {y: sample_rate(most, counts.get(y, 0)) for y, most in ((1, p.max_toxic), (0, p.max_clean))}
+    picked = sampled(texts, groups, F.when(F.col("y") == 1, rate[1]).otherwise(rate[0]), 11)
+    return picked.select("doc_id", "y", "text")
 
 
 def train(sample: DataFrame, p: FtrlParams = FtrlParams()) -> tuple[np.ndarray, np.ndarray, float]:

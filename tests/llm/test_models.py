@@ -1,6 +1,7 @@
 """Classifiers on held-out rows, nearest neighbours against brute force, the pipeline end to end."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -107,6 +108,27 @@ def test_nearest_neighbours(spark):
     assert len(few) == 2 and ann.search(df.limit(0), F.col("vec_id") == 0, p).count() == 0
 
 
+def test_samples_are_bounded_whatever_the_ids(spark, monkeypatch):
+    """A third of the rows has one id and a third has none; each kind is in the samples by its share."""
+    docs = spark.createDataFrame([(7 if i % 3 == 0 else None if i % 3 == 1 else i, f"word {i}") for i in range(3000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 1, 1)] * 3 + [(i, 1, i % 2) for i in range(2, 3000, 3)], "doc_id long, quality int, toxic int")
+    got = toxicity.sample_of(docs, labels, F.col("toxic"), F.lit(True), toxicity.FtrlParams(max_toxic=350, max_clean=100), "doc_id", "text").collect()
+    toxic = [r for r in got if r["y"] == 1]
+    assert 280 <= len(toxic) <= 420 and 70 <= len(got) - len(toxic) <= 130
+    assert 0.8 <= sum(r["doc_id"] == 7 for r in toxic) / len(toxic) <= 0.92 and len({r["text"] for r in toxic}) > 200
+    seen = {}
+
+    def fit(positive, rest, p):
+        seen.update(positive=len(positive), rest=len(rest))
+        raise ValueError("seen " + repr(seen))
+
+    monkeypatch.setattr(quality, "fit", fit)
+    with pytest.raises(Exception, match="seen") as caught:
+        quality.scored(docs, labels, p=quality.PuParams(max_positive=200, max_unlabelled=300))
+    n = [int(x) for x in re.search(r"'positive': (\d+), 'rest': (\d+)", str(caught.value)).groups()]
+    assert 150 <= n[0] <= 250 and 240 <= n[1] <= 360
+
+
 @pytest.mark.parametrize("scaled", [False, True])
 def test_copies_of_a_vector_do_not_end_the_search(scaled):
     """A third of the rows has one direction; the neighbours of the others are found as well as without it."""
