@@ -73,6 +73,17 @@ def test_small_sources_get_their_targets_beside_large_ones(spark):
     assert all(lo < 0.1 * n_slots and hi > 0.9 * n_slots for _, lo, hi in where)
 
 
+def test_whole_documents_of_every_source_stay_within_half_a_document(spark):
+    """Also where one long document holds most words, and for tiny and null sources beside a large one."""
+    rows = [(i, "w " * 20000, "large") for i in range(180)] + [(1000 + i, "z z", "tiny") for i in range(5)]
+    rows += [(2000 + i, "w " * (1 + i % 37), "d") for i in range(100)] + [(3000, "big " * 4000, "d"), (None, "n n n", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs, [5, 2, 1], max_repeats=3).collect()
+    for s in ("large", "tiny", "d", None):
+        mine = [r for r in got if r["source"] == s]
+        assert abs(sum(r["copies"] * r["size"] for r in mine) - mine[0]["target"]) <= max(r["size"] for r in mine) / 2 + 1
+
+
 def test_golden_points_are_exact(spark):
     from pyspark.sql import functions as F
 
