@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strandloom.llm import ann, bpe, exact_dedup, mixing, ngram_join, quality, token_files, toxicity, url_filter, warc
+from strandloom.llm import ann, bpe, exact_dedup, mixing, ngram_join, phrases, quality, token_files, toxicity, url_filter, warc
 from strandloom.llm.scratch import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,6 +149,42 @@ from texts window g as (partition by text_sha256)
 """
 
 
+@query
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_phrases"] = rf"""
+with texts as (
+  select coalesce(lang, 'und') as lang, unnest(string_split_regex({LOWER_SQL}, '[.,;:!?\x0A-\x0D]')) as piece from documents),
+pieces as (
+  select lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') as w from texts),
+totals as (select lang, sum(len(w))::bigint as n from pieces group by lang),
+places as (
+  select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) as p
+  from pieces, (select unnest([1, 2, 3, 4]) as k) where len(w) >= k),
+found as (select lang, k, p, count(*) as a from places group by all having count(*) >= 30),
+cuts as (
+  select c.lang, c.p, c.a, cut, l.a as l, r.a as r,
+    (2000000 * c.a::hugeint // (l.a::hugeint + r.a::hugeint))::bigint as score
+  from (select *, unnest(range(1, k)) as cut from found where k > 1) c
+  join found l on l.lang = c.lang and l.p = c.p[1:cut]
+  join found r on r.lang = c.lang and r.p = c.p[cut + 1:]),
+low as (
+  select lang, p, any_value(a) as a, arg_min(l, score * 4 + cut) as l, arg_min(r, score * 4 + cut) as r, min(score) as score
+  from cuts group by lang, p),
+inside as (
+  select lang, list_transform(range(1, k - m + 2), lambda i: p[i:i + m - 1]) as parts, a
+  from found, (select unnest([2, 3]) as m) where m < k),
+longer as (select lang, p, max(a) as longer from (select lang, unnest(parts) as p, a from inside) group by lang, p),
+kept as (
+  select low.*, array_to_string(low.p, ' ') as phrase from low left join longer using (lang, p)
+  where longer is null or 100 * longer::hugeint < 80 * low.a::hugeint),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+select lang, rank, phrase, a, l, r, n, score from ranked join totals using (lang) where rank <= 2000
+"""
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
