@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strandloom.llm import ann, bpe, exact_dedup, mixing, ngram_join, phrases, quality, token_files, toxicity, url_filter, warc
+from strandloom.llm import ann, bpe, exact_dedup, exact_topk, hard_negatives, mixing, ngram_join, phrases, quality, token_files, toxicity, url_filter, warc
 from strandloom.llm.scratch import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Vectors that take part in a search over whole numbers.
+WHOLE_SQL = """where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"""
+
 #: Fixed values of the queries' contracts.
 MIX_WEIGHTS = [5, 2, 1]
 URL_RULES = [
@@ -185,6 +188,48 @@ select lang, rank, phrase, a, l, r, n, score from ranked join totals using (lang
 """
 
 
+@query
+def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+ORACLES["op12_exact_topk"] = f"""
+with rows as (
+  select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as v from embeddings {WHOLE_SQL}),
+scored as (
+  select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score
+  from rows q join rows c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id),
+ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from scored)
+select query_id, rank, vec_id, score from ranked where rank <= 10
+"""
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+ORACLES["op13_hard_negatives"] = f"""
+with rows as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings {WHOLE_SQL} and label is not null),
+scored as (
+  select q.vec_id as anchor_id, c.vec_id, q.label = c.label as same, list_inner_product(q.v, c.v)::bigint as score
+  from rows q join rows c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id),
+near as (
+  select anchor_id, vec_id as positive_id, score as positive_score from scored where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+met as (
+  select n.*, vec_id as negative_id, score as negative_score,
+    row_number() over (partition by n.anchor_id, positive_id order by score desc, vec_id)::int as rank
+  from near n join scored s on s.anchor_id = n.anchor_id and not same
+  where 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from met where rank <= 10
+"""
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
