@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strandloom.functions.info import sample_values
 from strandloom.functions.typing import canonical_id, length_class
-from strandloom.operators import asmfilter, compare, union as U
+from strandloom.operators import asmfilter, compare, intervals, union as U
 from strandloom.operators.chains import hull_distance
 from strandloom.operators.extract import extract
 from strandloom.operators.haplotypes import haplotype_counts
@@ -64,7 +64,7 @@ def _bed(spark: SparkSession, path: str | None) -> DataFrame | None:
 
 
 def _cen(spark: SparkSession, path: str | None) -> DataFrame | None:
-    return regions.interval_lists(regions.read_bed(spark, path)) if path else None
+    return intervals.merged(regions.read_bed(spark, path)) if path else None
 
 
 def _calls(spark: SparkSession, paths: list[str], a) -> DataFrame:

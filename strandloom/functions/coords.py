@@ -1,4 +1,4 @@
-"""Graph-path and centromere geometry as expressions over arrays."""
+"""Graph-path geometry as expressions over arrays."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from pyspark.sql import Column, functions as F
 # Fixed value: one oriented segment of a graph path.
 PATH_SEGMENT = r"([><])([^><:\s]+):(\d+)-(\d+)"
 SEGMENT_TYPE = "array<struct<ctg:string,st:bigint,en:bigint,fwd:boolean,p_st:bigint,p_en:bigint>>"
-NO_INTERVAL = 1_000_000_000
 
 
 def path_segments(path: str, tlen: str) -> Column:
@@ -41,27 +40,3 @@ def segment_index(segs: str, off: str, is_end: bool) -> str:
 def on_contig(seg: str, off: str) -> str:
     """SQL text: contig coordinate of a path offset inside one segment."""
     return f"if({seg}.fwd, {seg}.st + ({off} - {seg}.p_st), {seg}.en - ({off} - {seg}.p_st))"
-
-
-def interval_distance(intervals: Column, pos: Column) -> Column:
-    """Distance to the nearest half-open interval, 0 inside; a large number without intervals."""
-    gap = lambda b: F.when(pos < b["st"], b["st"] - pos).otherwise(
-        F.when(pos < b["en"], F.lit(0).cast("bigint")).otherwise(pos - b["en"])
-    )
-    nearest = F.array_min(F.transform(intervals, gap))
-    return F.least(F.coalesce(nearest, F.lit(NO_INTERVAL)), F.lit(NO_INTERVAL)).cast("bigint")
-
-
-def interval_cover(intervals: str, st: str, en: str) -> Column:
-    """Bases of ``[st, en)`` covered by a start-sorted interval list, overlaps counted once."""
-    return F.expr(
-        f"""
-        coalesce(aggregate(
-          filter({intervals}, b -> b.en > {st} and b.st < {en}),
-          named_struct('upto', cast({st} as bigint), 'n', 0L),
-          (s, b) -> named_struct(
-            'upto', greatest(s.upto, least(b.en, {en})),
-            'n', s.n + greatest(0L, least(b.en, {en}) - greatest(b.st, s.upto))),
-          s -> s.n), 0L)
-        """
-    )

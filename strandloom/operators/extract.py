@@ -10,14 +10,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strandloom.functions import sequence as S
 from strandloom.functions.coords import (
-    NO_INTERVAL,
-    interval_cover,
-    interval_distance,
     on_contig,
     path_segments,
     segment_index,
 )
 from strandloom.functions.typing import split_read_type
+from strandloom.operators.intervals import with_points
 from strandloom.params import ExtractParams
 
 SIGNAL_COLUMNS = [
@@ -265,29 +263,21 @@ def with_indel_centromere(signals: DataFrame, cen: DataFrame | None) -> DataFram
     """``cen_dist`` of an indel: the nearer of its two ends; null on contigs without centromere."""
     if cen is None:
         return signals.withColumn("cen_dist", _null("bigint"))
-    rows = signals.join(cen, "ctg", "left")
-    near = F.least(interval_distance(F.col("cen"), F.col("pos")), interval_distance(F.col("cen"), F.col("en")))
-    return rows.withColumn("cen_dist", F.when(F.col("cen").isNotNull(), near)).drop("cen")
+    rows = with_points(signals, cen, {"a": ("ctg", "pos"), "b": ("ctg", "en")})
+    return rows.withColumn("cen_dist", F.least("a_dist", "b_dist")).drop("a_dist", "a_upto", "b_dist", "b_upto")
 
 
 def with_breakend_centromere(signals: DataFrame, cen: DataFrame | None) -> DataFrame:
-    """``cen_dist`` over both ends and ``cen_overlap`` of the typed region."""
+    """``cen_dist`` over both ends and ``cen_overlap`` of the typed region, counted on the first contig."""
     if cen is None:
         return signals.withColumns({"cen_dist": _null("bigint"), "cen_overlap": _null("bigint")})
-    other = cen.select(F.col("ctg").alias("ctg2"), F.col("cen").alias("cen2"))
-    rows = signals.join(cen, "ctg", "left").join(other, "ctg2", "left")
-    known = F.col("cen").isNotNull() | F.col("cen2").isNotNull()
-    near = F.least(
-        F.coalesce(interval_distance(F.col("cen"), F.col("pos")), F.lit(NO_INTERVAL)),
-        F.coalesce(interval_distance(F.col("cen2"), F.col("pos2")), F.lit(NO_INTERVAL)),
-    )
+    points = {"a": ("ctg", "pos"), "b": ("ctg2", "pos2"), "s": ("ctg", "region_st"), "e": ("ctg", "region_en")}
+    rows = with_points(signals, cen, points)
+    near = F.least("a_dist", "b_dist")
     has_region = (F.col("region_st") >= 0) & (F.col("region_en") >= F.col("region_st"))
-    return rows.withColumns(
-        {
-            "cen_dist": F.when(known, near),
-            "cen_overlap": F.when(known & has_region, interval_cover("cen", "region_st", "region_en")),
-        }
-    ).drop("cen", "cen2")
+    cover = F.coalesce(F.col("e_upto") - F.col("s_upto"), F.lit(0).cast("bigint"))
+    rows = rows.withColumns({"cen_dist": near, "cen_overlap": F.when(near.isNotNull() & has_region, cover)})
+    return rows.drop(*[f"{n}_{c}" for n in points for c in ("dist", "upto")])
 
 
 def _as_signals(rows: DataFrame, is_bp: bool, source: str) -> DataFrame:
@@ -309,5 +299,5 @@ def breakend_signals(alns: DataFrame, p: ExtractParams = ExtractParams(), cen: D
 
 
 def extract(alns: DataFrame, p: ExtractParams = ExtractParams(), cen: DataFrame | None = None) -> DataFrame:
-    """All signals of a set of alignments; ``cen`` comes from ``regions.interval_lists``."""
+    """All signals of a set of alignments; ``cen`` comes from ``intervals.merged``."""
     return indel_signals(alns, p, cen).unionByName(breakend_signals(alns, p, cen))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from strandloom.functions.info import info_first, info_long, strand_count_total, vcf_support
 from strandloom.params import CallParams
+from strandloom.sources.mates import staying_lines
 from strandloom.sources.text import read_numbered_lines
 
 CALL_COLUMNS = [
@@ -75,25 +76,19 @@ def _supported(lines: DataFrame, p: CallParams) -> DataFrame:
 
 
 def _without_later_mates(rows: DataFrame) -> DataFrame:
-    """Drop a symbolic record whose id was used, or named as a mate, by an earlier record.
+    """Drop a symbolic record whose id an earlier record that stays has used or named as its mate.
 
-    Every symbolic record claims its own id and its mate's id at its line; the earliest claim per id
-    is one aggregated row, so a record survives exactly when that claim is its own.  Records that
-    cannot be dropped get a key of their own, so that a common id such as ``.`` does not pile up.
+    A dropped record claims nothing, so along a chain of mates kept and dropped records alternate.  Of records
+    that share an id only the first can stay; whether it does is settled by ``mates.staying_lines`` on the ids that
+    are claimed.  Records that cannot be dropped get a key of their own, so that a common id such as ``.`` does
+    not pile up.
     """
-    sym = rows.filter("symbolic")
-    claims = sym.select(
-        F.col("file_id").alias("_file"), "line_no", F.explode_outer(F.array("svid", "mate")).alias("_claimed")
-    ).filter("_claimed != '.'")
-    first = claims.groupBy("_file", "_claimed").agg(F.min("line_no").alias("_first"))
+    claims = rows.filter("symbolic").select("file_id", "line_no", "svid", "mate")
+    ids = staying_lines(claims).withColumnsRenamed({"file_id": "_file", "svid": "_id"})
     named = F.col("symbolic") & (F.col("svid") != ".")
     key = F.when(named, F.col("svid")).otherwise(F.concat(F.lit("\t"), F.col("line_no").cast("string")))
-    return (
-        rows.withColumn("_key", key)
-        .join(first, (F.col("file_id") == F.col("_file")) & (F.col("_key") == F.col("_claimed")), "left")
-        .filter(F.col("_first").isNull() | (F.col("_first") == F.col("line_no")))
-        .drop("_key", "_file", "_claimed", "_first")
-    )
+    met = rows.withColumn("_key", key).join(ids, (F.col("file_id") == F.col("_file")) & (F.col("_key") == F.col("_id")), "left")
+    return met.filter(F.col("_id").isNull() | (F.col("stays") == F.col("line_no"))).drop("_key", "_file", "_id", "stays")
 
 
 def _steps(rows: DataFrame, *steps: dict[str, Column]) -> DataFrame:

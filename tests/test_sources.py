@@ -192,12 +192,3 @@ def test_format_is_told_by_any_line(spark, tmp_path):
     path = tmp_path / "ids"
     path.write_text("".join(f"x\t{i}\n" for i in range(80)) + "VARIANT_ID\treads\n")
     assert detect_format(spark, str(path)) == "savana"
-
-
-def test_many_centromere_intervals_and_touching_ones(spark):
-    from strandloom.sources.regions import interval_lists
-
-    bed = spark.range(150_000).selectExpr("concat('chr', id % 3) as ctg", "id * 10 as st", "id * 10 + 5 as en")
-    assert {len(r["cen"]) for r in interval_lists(bed).collect()} == {50_000}
-    few = spark.createDataFrame([("a", 0, 5), ("a", 3, 8), ("a", 8, 9), ("a", 20, 21), ("a", 0, 5)], "ctg string, st long, en long")
-    assert [(c["st"], c["en"]) for c in interval_lists(few).first()["cen"]] == [(0, 9), (20, 21)]

@@ -57,7 +57,7 @@ def test_combinations_add_up_to_the_groups(spark):
     calls = spark.createDataFrame(random_calls(21), CALL)
     p = UnionParams(group_min_count=1)
     counts = combination_counts(calls, 3, p).collect()
-    assert [r.label for r in sorted(counts, key=lambda r: r.mask)] == ["100", "010", "110", "001", "101", "011", "111"]
+    assert [r.label for r in sorted(counts, key=lambda r: r.label[::-1])] == ["100", "010", "110", "001", "101", "011", "111"]
     assert sum(r.n for r in counts) == union_rows(calls, p).select("group_id").distinct().count()
 
 

@@ -73,6 +73,20 @@ def mate_dedup(s):
     return parse_calls(s.view("vcf"), CallParams(min_read_len=0, min_count=3)).select("svid", "line_no")
 
 
+# Line by line within a locus, as mates never leave it: a record whose id is taken is passed over.
+@query("mate_chains", with_views(r"""with recursive r as (
+    select cast(line_no // 100000 as bigint) as locus, line_no % 100000 as j, line_no, string_split(line, chr(9))[3] as id, regexp_extract(line, 'MATEID=([^;\t]+)', 1) as mate from mates),
+  walk as (
+    select locus, 1 as j, line_no, id, true as kept, [id, mate] as taken from r where j = 1
+    union all
+    select r.locus, r.j, r.line_no, r.id, (r.id = '.' or not list_contains(w.taken, r.id)),
+      case when r.id = '.' then list_append(w.taken, r.mate) when list_contains(w.taken, r.id) then w.taken else list_concat(w.taken, [r.id, r.mate]) end
+    from walk w join r on r.locus = w.locus and r.j = w.j + 1)
+  select id as svid, line_no from walk where kept""", "mates"))
+def mate_chains(s):
+    return parse_calls(s.view("mates"), CallParams(min_read_len=0)).select("svid", "line_no")
+
+
 @query(
     "vcf_pass",
     with_views("select line_no, list_aggregate(list_transform(string_split(line, chr(9)), lambda x, i: case when i = 7 then 'PASS' else x end), 'string_agg', chr(9)) as line, 0 as part from vcf", "vcf"),

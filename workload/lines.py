@@ -55,3 +55,22 @@ def vcf_lines() -> str:
         parts.append(f"select line_no + {end - 1} as line_no, {line} as line from vr where style >= 9")
     body = " union all ".join(parts)
     return f"with vr as ({rows}) select 0 as file_id, line_no, max(line) as line from ({body}) group by line_no"
+
+
+def mate_lines() -> str:
+    """``file_id, line_no, line``: records of a locus name each other in chains of up to its number of rows.
+
+    Most name the next record, some the one after it, the one before or themselves; some have no id, some repeat one.
+    """
+    rows = """
+      select *, row_number() over (partition by l_partkey order by l_orderkey, l_linenumber, l_extendedprice, l_suppkey, l_quantity) as j
+      from lineitem"""
+    ident = (
+        "case when l_suppkey % 41 = 3 then '.' when l_suppkey % 37 = 5 then concat('c', cast(l_partkey as string), '_', cast(j - 1 as string)) "
+        "else concat('c', cast(l_partkey as string), '_', cast(j as string)) end"
+    )
+    step = "case when l_suppkey % 13 = 0 then 2 when l_suppkey % 17 = 0 then -1 when l_suppkey % 19 = 0 then 0 else 1 end"
+    info = f"concat('SVTYPE=BND;MATEID=c', cast(l_partkey as string), '_', cast(j + {step} as string))"
+    fields = [_S("100 + j"), ident, "'N'", "concat('N[chr7:', cast(5000 + j as string), '[')", "'.'", "'PASS'", info]
+    line = _line("'chr1'", *fields)
+    return f"select 0 as file_id, cast(l_partkey * 100000 + j as bigint) as line_no, {line} as line from ({rows})"

@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from workload.lines import vcf_lines
+from workload.lines import mate_lines, vcf_lines
 from workload.views import VIEWS
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
     "labels conversations"
 ).split()
-SQL_VIEWS = {**VIEWS, "vcf": vcf_lines()}
+SQL_VIEWS = {**VIEWS, "vcf": vcf_lines(), "mates": mate_lines()}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}

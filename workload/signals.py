@@ -9,6 +9,7 @@ from strandloom.functions.typing import canonical_id, length_class, split_read_t
 from strandloom.operators import extract as X
 from strandloom.operators import long_indels as LI
 from strandloom.operators.intersect import intersect
+from strandloom.operators.intervals import merged
 from strandloom.operators.merge import assign_clusters, cluster_reads, merge_signals, only_sources
 from strandloom.params import ExtractParams, MergeParams
 from strandloom.plans.flows import mosaic_calls
@@ -382,12 +383,30 @@ _CEN_SQL = (
 
 @query("cen_breakends", with_views(_CEN_SQL, "chain_alns", "cen"))
 def cen_breakends(s):
-    from strandloom.sources.regions import interval_lists
-
-    rows = X.breakend_signals(s.view("chain_alns"), cen=interval_lists(s.view("cen")))
+    rows = X.breakend_signals(s.view("chain_alns"), cen=merged(s.view("cen")))
     return rows.select("read", "ctg", "pos", "ctg2", "pos2", "cen_dist", "cen_overlap")
 
 
+# Indels near any of many overlapping and touching regions, on both ends.
+_IV = "select concat('chr', cast(s_suppkey % 5 + 1 as string)) as ctg, cast(s_suppkey % 97 * 9100 as bigint) as st, cast(s_suppkey % 97 * 9100 + s_suppkey % 11 * 1700 as bigint) as en from supplier"
+
+
+@query(
+    "cen_indels",
+    with_views(
+        f"""iv as ({_IV}), s as (select distinct ctg, pos, en from sig where not is_bp),
+        d as (select s.ctg, s.pos, s.en, min(least({_DIST.format(p='s.pos').replace('c.', 'iv.')}, {_DIST.format(p='s.en').replace('c.', 'iv.')})) as dist from s join iv on s.ctg = iv.ctg group by all)
+        select sig.ctg, sig.pos, sig.en, read, cast(dist as bigint) as cen_dist from sig left join d on sig.ctg = d.ctg and sig.pos = d.pos and sig.en = d.en where not is_bp""".replace("iv as (", "with iv as (", 1),
+        "sig",
+    ),
+)
+def cen_indels(s):
+    s.table("supplier").createOrReplaceTempView("supplier")
+    regions = s.spark.sql(_IV)
+    rows = s.view("sig").filter("not is_bp").select("ctg", "pos", "en", "read")
+    return X.with_indel_centromere(rows, merged(regions))
+
+
 @query(
     "signal_text",
     with_views(
