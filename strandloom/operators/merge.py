@@ -32,7 +32,8 @@ class VoteScan:
 
     A row joins the cluster with the most matching members (the oldest on a tie), or opens a new one.
     Clusters leave from the front once they are out of reach.  Only on request (``max_alleles``) do they
-    also leave while more than that are open.
+    also leave while more than that are open.  Clusters of one row each that are alike in all but their number
+    (copies of a zero length) are held as one with ``copies``.
     """
 
     def __init__(self, emit, p: MergeParams):
@@ -46,32 +47,40 @@ class VoteScan:
         sig, n, has_rt = v[:8], v[8], v[9]
         if sig == self.last and self.last_cluster is not None:
             # Same evidence as the row before: it already holds the most votes for this signature.
-            self._join(self.last_cluster, sig, batch, i, n, has_rt, fresh=False)
+            self._join(self.last_cluster, sig, batch, i, n, has_rt)
             return
-        repeats, each = (n, 1) if sig[7] == 0 else (1, n)
-        for _ in range(repeats):
+        # A zero length never matches itself: its copies follow another cluster together or stay alone each.
+        alone = sig[7] == 0
+        for _ in range(n if alone and self.p.max_alleles is not None else 1):
             self._evict(sig[0])
             best, most = None, 0
-            for c in self.open:
+            for at, c in enumerate(self.open):
                 if c["label"] != sig[6] and not (c["label"] == "INS" and sig[6] == "DUP"):
                     continue
                 votes = sum(w for m, w in c["members"].items() if self._same(m, sig))
                 if votes > most:
-                    best, most = c, votes
+                    best, most, place = c, votes, at
+            each = 1 if alone and (best is None or self.p.max_alleles is not None) else n
             if best is None:
                 label = "INS" if sig[6] == "DUP" else sig[6]
-                best = {"label": label, "upto": sig[0], "members": {}, "rows": [], "n": 0, "id": self.n_seen}
-                self.n_seen += 1
+                copies = n if alone and self.p.max_alleles is None else 1
+                best = {"label": label, "upto": sig[0], "members": {}, "rows": [], "n": 0, "id": self.n_seen, "copies": copies}
+                self.n_seen += copies
                 self.open.append(best)
-            self._join(best, sig, batch, i, each, has_rt, fresh=True)
-        # A zero length never matches itself, so equal rows do not follow each other.
-        self.last, self.last_cluster = (None, None) if sig[7] == 0 else (sig, best)
+            elif best["copies"] > 1:
+                # The oldest of several clusters of one row each is joined; the others stay behind it.
+                best = {**best, "members": dict(best["members"]), "rows": list(best["rows"]), "copies": 1}
+                self.open[place]["id"] += 1
+                self.open[place]["copies"] -= 1
+                self.open.insert(place, best)
+            self._join(best, sig, batch, i, each, has_rt)
+        self.last, self.last_cluster = (None, None) if alone else (sig, best)
 
     def close(self) -> None:
         while self.open:
             self._finish(self.open.pop(0))
 
-    def _join(self, c: dict, sig: tuple, batch, i: int, n: int, has_rt: bool, fresh: bool) -> None:
+    def _join(self, c: dict, sig: tuple, batch, i: int, n: int, has_rt: bool) -> None:
         c["upto"] = max(c["upto"], sig[0])
         c["members"][sig] = c["members"].get(sig, 0) + n
         c["rows"].append((batch, i, n, has_rt))
@@ -108,7 +117,8 @@ class VoteScan:
         for batch, i, n, rt in c["rows"]:
             is_mid = seen <= half < seen + n
             is_rt = rt and rt_seen <= (rt_total >> 1) < rt_seen + n
-            self.emit(batch, i, c["id"], n, is_mid, is_rt)
+            for k in range(c["copies"]):
+                self.emit(batch, i, c["id"] + k, n, is_mid, is_rt)
             seen += n
             rt_seen += n if rt else 0
 
@@ -135,6 +145,12 @@ def assign_clusters(signals: DataFrame, p: MergeParams = MergeParams()) -> DataF
     rows = rows.withColumn("kind", F.concat_ws("|", *own) if p.max_alleles is None else F.lit(""))
     rows = rows.withColumn("has_rt", F.col("tsd_len").isNotNull() & F.col("polya_len").isNotNull())
     rows = with_island(rows, ["ctg", "kind"], "pos", p.window)
+    if p.max_alleles is None:
+        # The other end must be near too: a long island falls apart where it has gaps there.
+        other = F.coalesce(F.when(F.col("is_bp"), F.col("pos2")).otherwise(F.col("en")), F.lit(0))
+        rows = rows.withColumnsRenamed({"island": "_at"}).withColumn("_other", other)
+        rows = with_island(rows, ["ctg", "kind", "_at"], "_other", p.window)
+        rows = rows.withColumns({"kind": F.concat_ws("|", "kind", F.col("island").cast("string")), "island": F.col("_at")}).drop("_at", "_other")
     placed = scan_islands(
         rows,
         ["ctg", "kind"],
@@ -164,7 +180,10 @@ def cluster_reads(signals: DataFrame, p: MergeParams = MergeParams()) -> DataFra
         full.filter(zero).withColumn("_copy", F.row_number().over(by_row.orderBy("read")))
     )
     right = placed.withColumn("_copy", F.lit(0)).filter(~zero).unionByName(
-        placed.filter(zero).withColumn("_copy", F.row_number().over(by_row.orderBy("island", "cluster")))
+        placed.filter(zero)
+        .withColumn("_each", F.explode(F.sequence(F.lit(1).cast("bigint"), "n")))
+        .withColumn("_copy", F.row_number().over(by_row.orderBy("kind", "island", "cluster", "_each")))
+        .drop("_each")
     )
     right = right.select(*[F.col(c).alias("_p_" + c) for c in (*shared, "_copy")], "kind", "island", "cluster")
     cond = F.col("_copy") == F.col("_p__copy")

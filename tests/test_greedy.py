@@ -234,3 +234,38 @@ def test_indel_merge_equals_serial_scan(spark):
         (c[0][0], c[0][1], max(m[2] for m in c), mean(c, 6), mean(c, 7), mean(c, 8), len(c), sum(m[5] == "+" for m in c), c[0][9])
         for c in want
     )
+
+
+def test_copies_of_a_zero_length_take_linear_time():
+    """They match nothing of their kind, so each is a cluster; a row without length joins the oldest."""
+    import time
+
+    from strandloom.operators.merge import VoteScan
+
+    def took(n):
+        out = []
+        scan = VoteScan(lambda batch, i, *v: out.append((i, *v)), MergeParams())
+        sig = (100, True, None, ">>", "d", 500, "INV", 0)
+        t = time.perf_counter()
+        for k in range(5):
+            scan.row(None, k, (100 + k, *sig[1:], n, False))
+        for k in (5, 6):
+            scan.row(None, k, (110, True, None, ">>", "d", 500, "INV", None, 2, False))
+        scan.close()
+        return time.perf_counter() - t, out
+
+    took(10)
+    (_, few), (long, many) = took(3), took(100_000)
+    assert len(few) == 5 * 3 + 2 and sorted({r[1] for r in few}) == list(range(15))
+    assert [r for r in few if r[0] >= 5] == [(5, 0, 2, True, False), (6, 0, 2, False, False)]
+    assert [r for r in few if r[1] == 0][0] == (0, 0, 1, False, False)
+    assert len(many) == 500_002 and long < 20
+
+
+def test_a_contig_long_island_falls_apart_at_its_other_ends(spark):
+    rows = spark.range(20_000).selectExpr(
+        "'c' as ctg", "id * 50 as pos", "cast(null as bigint) as en", "true as is_bp", "'>>' as ori", "'d' as ctg2", "id % 97 * 1000 + id div 9700 as pos2", "'BND' as svtype",
+        "cast(null as bigint) as svlen", "30 as mapq", "'+' as strand", "'A' as source", "cast(null as bigint) as tsd_len", "cast(null as bigint) as polya_len", "concat('r', id) as read",
+    )
+    placed = assign_clusters(rows, MergeParams())
+    assert placed.select("kind", "island").distinct().count() == 97 and placed.agg(F.sum("n")).first()[0] == 20_000
