@@ -249,10 +249,11 @@ def cmd_ensembleunion(spark, a):
 
 
 def cmd_doublestrandbreak(spark, a):
-    pairs = U.strand_break_pairs(sig.parse_union_rows(read_numbered_lines(spark, a.input)))
+    rows = sig.parse_union_rows(read_numbered_lines(spark, a.input))
+    calls, reads = rows.drop("asm_reads"), rows.select("file_id", "line_no", "svid", F.explode("asm_reads").alias("read"))
     cols = ["ctg0", "pos0", "ori0", "ctg1", "pos1", "ori1", "svtype0", "svtype1", "dsb_type"]
-    _emit(_table(pairs.select(*cols)), a.o)
-    _emit(_table(U.strand_break_stats(pairs)), None)
+    _emit(_table(U.strand_break_pairs(calls, reads).select(*cols)), a.o)
+    _emit(_table(U.strand_break_stats(calls, reads)), None)
 
 
 def cmd_getindel(spark, a):

@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from strandloom.operators.asmfilter import typed_support
 from strandloom.operators.compare import SHAPE, same_shape
+from strandloom.operators.intervals import BIN, running
 from strandloom.operators.islands import scan_islands, with_island
 from strandloom.operators.ordinals import dense_index, middle_row
 from strandloom.operators.regions import annotate_near, flag_inside
@@ -219,44 +220,79 @@ def median_rows(rows: DataFrame, drop_last_group: bool = False) -> DataFrame:
     return mid.join(files, "group_id")
 
 
-def _shared(a: Column, b: Column) -> Column:
-    return F.size(F.array_intersect(a, b))
-
+def _break_points(calls: DataFrame, key: list[str]) -> DataFrame:
+    """Both points of every call: ``key``, ``end`` (0, 1), ``ctg, pos, ori, svtype``."""
+    point = lambda ctg, pos, end: F.struct(
+        F.lit(end).alias("end"), F.col(ctg).alias("ctg"), F.col(pos).alias("pos"), F.substring("ori", end + 1, 1).alias("ori")
+    )
+    both = F.explode(F.array(point("ctg", "pos", 0), point("ctg2", "pos2", 1)))
+    return calls.select(*[F.col(k).alias("_k_" + k) for k in key], both.alias("p"), "svtype").select(*["_k_" + k for k in key], "p.*", "svtype")
 
-def strand_break_pairs(calls: DataFrame, max_gap: int = 25_000, min_gap: int = 50) -> DataFrame:
-    """Pairs of nearby break points classified by their types and shared assembly reads.
 
-    Every call gives two points; a point meets the points of its own and the next position bin, and
-    only classified pairs leave the join.  ``asm_reads`` is the array of supporting reads.
-    """
-    point = lambda ctg, pos, at: F.struct(
-        F.col(ctg).alias("ctg"), F.col(pos).alias("pos"), F.substring("ori", at, 1).alias("ori")
-    )
-    pts = calls.select(
-        F.explode(F.array(point("ctg", "pos", 1), point("ctg2", "pos2", 2))).alias("p"), "svtype", "asm_reads", "svid"
-    ).select("p.*", "svtype", "asm_reads", "svid")
+def _banded(pts: DataFrame, on: list[str], allowed: Column, min_gap: int, max_gap: int) -> DataFrame:
+    """Pairs of points with equal ``on`` from ``min_gap`` to below ``max_gap`` apart, the first by position as ``*0``."""
     at = F.floor(F.col("pos") / F.lit(max_gap)).cast("bigint")
     left = pts.select(*[F.col(c).alias(c + "0") for c in pts.columns], at.alias("bin0"))
-    right = pts.withColumn("bin1", F.explode(F.array(at - 1, at))).select(
-        *[F.col(c).alias(c + "1") for c in pts.columns], "bin1"
-    )
+    right = pts.withColumn("bin1", F.explode(F.array(at - 1, at))).select(*[F.col(c).alias(c + "1") for c in pts.columns], "bin1")
+    gap = F.col("pos1") - F.col("pos0")
+    cond = (F.col("bin0") == F.col("bin1")) & (gap >= min_gap) & (gap < max_gap) & allowed
+    for c in on:
+        cond = cond & (F.col(c + "0") == F.col(c + "1"))
+    return left.join(right, cond).drop("bin0", "bin1")
+
+
+def _shared_pairs(calls: DataFrame, reads: DataFrame, key: list[str], min_gap: int, max_gap: int) -> DataFrame:
+    """Classified pairs of points that share assembly reads, counted read by read."""
     c = F.col
-    shared = _shared(c("asm_reads0"), c("asm_reads1"))
+    names = ["_k_" + k for k in key]
+    per_read = reads.select(*[c(k).alias("_k_" + k) for k in key], "read")
+    pts = _break_points(calls, key)
     bnd = (c("svtype0") == "BND") | (c("svtype1") == "BND")
     both = lambda t: (c("svtype0") == t) & (c("svtype1") == t)
-    gap = c("pos1") - c("pos0")
+    met = _banded(pts.join(per_read.distinct(), names), ["ctg", "read"], bnd | both("INV") | both("DEL"), min_gap, max_gap)
+    sides = [f"{x}{i}" for i in (0, 1) for x in (*names, "end", "ctg", "pos", "ori", "svtype")]
+    counted = met.groupBy(*sides).agg(F.count("*").alias("shared"))
+    listed = per_read.groupBy(*[c(n).alias(n + "0") for n in names]).agg(F.count("*").alias("listed"))
     kind = (
-        F.when(bnd & (shared >= 1) & (shared == F.size("asm_reads0")), "Insertions_case3")
-        .when(both("DUP"), "case2")
-        .when((both("INV") | (bnd & (c("ori0") == c("ori1")))) & (shared >= 1), "Parallel_Breakpoints_case4")
-        .when(both("DEL") & (shared >= 1), "case1")
-    )
-    pairs = left.join(
-        right,
-        (c("ctg0") == c("ctg1")) & (c("bin0") == c("bin1")) & (gap >= min_gap) & (gap < max_gap) & kind.isNotNull(),
+        F.when(bnd & (c("shared") == c("listed")), "Insertions_case3")
+        .when(both("INV") | (bnd & (c("ori0") == c("ori1"))), "Parallel_Breakpoints_case4")
+        .when(both("DEL"), "case1")
     )
-    return pairs.withColumn("dsb_type", kind).drop("bin0", "bin1")
+    return counted.join(listed, [n + "0" for n in names]).withColumn("dsb_type", kind).filter("dsb_type is not null").select(*sides, "dsb_type")
 
 
-def strand_break_stats(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("dsb_type").agg(F.count("*").alias("n"))
+def _named(pairs: DataFrame, key: list[str]) -> DataFrame:
+    return pairs.withColumnsRenamed({f"_k_{k}{i}": f"{k}{i}" for k in key for i in (0, 1)}).drop("end0", "end1")
+
+
+def strand_break_pairs(
+    calls: DataFrame, reads: DataFrame, key: list[str] = ("file_id", "line_no", "svid"), max_gap: int = 25_000, min_gap: int = 50
+) -> DataFrame:
+    """Pairs of nearby break points classified by their types and shared assembly reads.
+
+    ``reads`` has a row per read a call lists (``key, read``).  Points meet read by read on (contig, read, position
+    bin), so no call carries its reads through a join; shared reads are counted per pair.  Pairs of duplications
+    need no common read: their points meet on (contig, position bin).
+    """
+    key = list(key)
+    dup = _break_points(calls.filter("svtype = 'DUP'"), key)
+    pairs = _banded(dup, ["ctg"], F.lit(True), min_gap, max_gap).withColumn("dsb_type", F.lit("case2"))
+    return _named(_shared_pairs(calls, reads, key, min_gap, max_gap).unionByName(pairs), key)
+
+
+def strand_break_stats(
+    calls: DataFrame, reads: DataFrame, key: list[str] = ("file_id", "line_no", "svid"), max_gap: int = 25_000, min_gap: int = 50
+) -> DataFrame:
+    """``dsb_type, n`` of all pairs.  Pairs of duplications are counted from sums over positions, none is formed."""
+    counts = _shared_pairs(calls, reads, list(key), min_gap, max_gap).groupBy("dsb_type").agg(F.count("*").alias("n"))
+    at = _break_points(calls.filter("svtype = 'DUP'"), list(key)).groupBy("ctg", "pos").agg(F.count("*").alias("n"))
+    # Every point asks how many lie up to min_gap before it, less those max_gap before it and further.
+    ask = lambda back, sign: F.struct((F.col("pos") - back).alias("at"), F.lit(0).cast("bigint").alias("has"), (sign * F.col("n")).alias("times"))
+    own = F.struct(F.col("pos").alias("at"), F.col("n").alias("has"), F.lit(None).cast("bigint").alias("times"))
+    rows = at.select("ctg", F.explode(F.array(own, ask(min_gap, 1), ask(max_gap, -1))).alias("x")).select("ctg", "x.*")
+    rows = rows.withColumn("bin", F.floor(F.col("at") / BIN).cast("bigint"))
+    rows, local, carry = running(rows, ["ctg"], [F.col("at"), F.col("times").isNotNull()], F.sum, F.col("has"), own=True)
+    upto = F.coalesce(local, F.lit(0)) + F.coalesce(carry, F.lit(0))
+    total = F.sum(upto.cast("decimal(19,0)") * F.col("times").cast("decimal(19,0)")).cast("bigint")
+    dups = rows.agg(total.alias("n")).filter("n > 0").select(F.lit("case2").alias("dsb_type"), "n")
+    return counts.unionByName(dups)

@@ -483,17 +483,17 @@ _DSB = f"""with dc as ({_DSB_CALLS.replace('array_sort(array_agg(distinct r.read
 
 
 def _dsb(s):
-    return U.strand_break_pairs(s.sql(_DSB_CALLS, "locus_calls", "locus_reads"))
+    return s.view("locus_calls"), s.view("locus_reads").distinct(), ["file_id", "svid"]
 
 
 @query("dsb_pairs", with_views(_DSB + " select ctg as ctg0, pos0, pos1, svid0, svid1, dsb_type from kd where dsb_type is not null", "locus_calls", "locus_reads"))
 def dsb_pairs(s):
-    return _dsb(s).select("ctg0", "pos0", "pos1", "svid0", "svid1", "dsb_type")
+    return U.strand_break_pairs(*_dsb(s)).select("ctg0", "pos0", "pos1", "svid0", "svid1", "dsb_type")
 
 
 @query("dsb_stats", with_views(_DSB + " select dsb_type, cast(count(*) as bigint) as n from kd where dsb_type is not null group by 1", "locus_calls", "locus_reads"))
 def dsb_stats(s):
-    return U.strand_break_stats(_dsb(s))
+    return U.strand_break_stats(*_dsb(s))
 
 
 # Chains -------------------------------------------------------------------------------------------

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from strandloom.functions import coords, sequence
 from strandloom.functions.typing import canonical_id, length_class, split_read_type, type_flag
@@ -10,7 +10,7 @@ from strandloom.operators import extract as X
 from strandloom.operators import long_indels as LI
 from strandloom.operators.intersect import intersect
 from strandloom.operators.intervals import merged
-from strandloom.operators.merge import assign_clusters, cluster_reads, merge_signals, only_sources
+from strandloom.operators.merge import CLUSTER_KEY, SIGNATURE, assign_clusters, cluster_reads, merge_signals, only_sources
 from strandloom.params import ExtractParams, MergeParams
 from strandloom.plans.flows import mosaic_calls
 from strandloom.sources.alignments import parse_alignments
@@ -142,7 +142,14 @@ def merge_rescued(s):
     ),
 )
 def merge_reads(s):
-    return cluster_reads(s.view("sig"), RELAXED).select("ctg", "island", "cluster", "read", "pos", "svtype", "svlen")
+    rows = cluster_reads(s.view("sig"), RELAXED)
+    # Clusters are numbered within what the other ends leave of an island; here they are in order of their first rows.
+    rest = sorted(c for c in rows.columns if c not in {*CLUSTER_KEY, *SIGNATURE, "read"})
+    first = rows.groupBy(*CLUSTER_KEY).agg(F.min(F.struct(*SIGNATURE, *rest)).alias("first"))
+    of_kind = Window.partitionBy("ctg", F.substring_index("kind", "|", 3), "island").orderBy("first", "kind", "cluster")
+    numbers = first.select(*CLUSTER_KEY, (F.row_number().over(of_kind) - 1).cast("bigint").alias("number"))
+    rows = rows.join(numbers, CLUSTER_KEY).drop("cluster").withColumnRenamed("number", "cluster")
+    return rows.select("ctg", "island", "cluster", "read", "pos", "svtype", "svlen")
 
 
 @query(
