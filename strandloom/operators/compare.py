@@ -202,19 +202,40 @@ def by_size(truth: DataFrame, test: DataFrame, p: CompareParams, bed: DataFrame
     )
 
 
+def _with_files(calls: DataFrame) -> DataFrame:
+    """Distinct shapes with the files they occur in (``files``, sorted) and how often in each (``counts``)."""
+    per_file = calls.groupBy(*SHAPE, "file_id").agg(F.count("*").alias("n"))
+    lists = F.array_sort(F.collect_list(F.struct("file_id", "n")))  # an entry per input file at most
+    return per_file.groupBy(*SHAPE).agg(lists.alias("_f")).select(*SHAPE, F.col("_f.file_id").alias("files"), F.col("_f.n").alias("counts"))
+
+
+def matched_counts(calls: DataFrame, test: DataFrame, p: CompareParams) -> DataFrame:
+    """``file_i, file_id, matched``: calls of ``test`` in one file that match a call of ``calls`` in another.
+
+    A shape is matched once whatever files it is in: its matches' sets of files are united first, the files without
+    the shape's own copies are unfolded last, on shapes of equal sets together.
+    """
+    sides = [_keyed(rows, p.window, spread=x == "b_") for x, rows in (("b_", _with_files(calls)), ("t_", _with_files(test)))]
+    b, t = (df.select(*[F.col(c).alias(x + c) for c in df.columns]) for x, df in zip(("b_", "t_"), sides))
+    pairs = b.join(t, _rule(p) & (_multiplicity(p) > 0))
+    own = [F.col("t_" + c).alias(c) for c in SHAPE]
+    # One row per file a shape meets, not per shape it meets there.
+    met = pairs.select(*own, F.col("t_files").alias("files"), F.col("t_counts").alias("counts"), F.explode("b_files").alias("file_i"))
+    met = met.groupBy(*SHAPE, "files", "counts").agg(F.sort_array(F.collect_set("file_i")).alias("met"))
+    same = met.groupBy("met", "files", "counts").agg(F.count("*").alias("times"))
+    each = same.select("met", "times", F.explode(F.arrays_zip("files", "counts")).alias("x"))
+    each = each.groupBy("met", F.col("x.files").alias("file_id")).agg(F.sum(F.col("x.counts") * F.col("times")).alias("matched"))
+    return each.select(F.explode("met").alias("file_i"), "file_id", "matched").groupBy("file_i", "file_id").agg(F.sum("matched").alias("matched"))
+
+
 def shared_matrix(calls: DataFrame, p: CompareParams, bed: DataFrame | None = None, n_files: int | None = None) -> DataFrame:
     """Per file pair (i, j): reportable calls of j, and the share of them matched in i.
 
-    One join for all pairs; on the diagonal the value is the count itself.  Files without reportable calls have
-    a total of 0 and null rates; with ``n_files`` that includes files without any call.
+    On the diagonal the value is the count itself.  Files without reportable calls have a total of 0 and null rates;
+    with ``n_files`` that includes files without any call.
     """
     test = select_reportable(calls, p, bed)
-    shapes = match_counts(calls, test, p, ["file_id"], ["file_id"])
-    hit = shapes.select(
-        F.col("b_file_id").alias("file_i"), F.col("t_file_id").alias("file_id"), *[F.col("t_" + c).alias(c) for c in SHAPE]
-    )
-    n = test.groupBy("file_id", *SHAPE).agg(F.count("*").alias("n"))
-    matched = hit.join(n, ["file_id", *SHAPE]).groupBy("file_i", "file_id").agg(F.sum("n").alias("matched"))
+    matched = matched_counts(calls, test, p)
     totals = test.groupBy("file_id").agg(F.count("*").alias("total"))
     every = calls.select("file_id").distinct()
     if n_files is not None:
