@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from strandloom.llm.rows import text_key, without
 from strandloom.llm.scratch import written
+from strandloom.llm.words import small_batches
 
 SLOTS = 4
 INDEX_SCHEMA = "shard int, n_buckets long, n_keys long, n_resizes int, tags binary, keys binary, doc_ids binary, uids binary, counts binary"
@@ -142,7 +143,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """``uid, doc_id, text_key, digest`` of every row; ``uid`` numbers the rows, so write the table before using it twice."""
 
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches, "_text"):
             raw = [hashlib.sha256(x.lower()).digest() for x in batch.column(3).cast(pa.binary()).fill_null(b"").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(raw, pa.binary())], names=["uid", "doc_id", "text_key", "digest"])
 

@@ -32,8 +32,21 @@ def _folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/strandloom-llm/{spark.sparkContext.applicationId}"
 
 
+#: Bytes of one Arrow batch between Spark and its Python workers.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's bound on the bytes of Arrow batches: by rows alone, 10,000 long texts are one batch."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).lower().rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
+    """A fresh path in the shared folder; every operator asks for one before its tasks run."""
+    bound_batches(spark)
     return f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 

@@ -4,8 +4,8 @@ Features of a text are 32-bit hashes of what occurs in it: words, pairs of neigh
 one (skip-grams), and the first 4, 5 and 6 bytes of words, which carry over to other endings.  A word loses
 outer punctuation; A-Z is lower-cased.  Every feature counts once per text.
 
-Training sees a bounded sample of labelled rows (``max_toxic`` and ``max_clean``, by the hash of the id, within
-an id by row number), once per epoch in hash order.  Every coordinate has its own learning rate, and L1 keeps weights at zero
+Training sees a bounded sample of labelled rows (``max_toxic`` and ``max_clean`` rows, ``max_bytes`` of text of
+each kind, by the hash of the id, within an id by row number), once per epoch in hash order.  Every coordinate has its own learning rate, and L1 keeps weights at zero
 that the labels do not support, so what is shipped to the scoring tasks is a short sorted list.  Features
 seen in one sampled text only are left out.
 
@@ -42,6 +42,7 @@ class FtrlParams:
     epochs: int = 10
     max_toxic: int = 3_000
     max_clean: int = 9_000
+    max_bytes: int = 64 << 20
 
 
 def text_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -104,9 +105,15 @@ def sample_of(docs: DataFrame, labels: DataFrame, label: Column, learn: Column,
     ids = labels.select(F.col(id_col).cast("bigint").alias("doc_id"), label.cast("int").alias("y"))
     ids = ids.filter(learn & F.col("y").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id", "y").agg(F.count("*").alias("m"))
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    groups = written(texts.groupBy("doc_id").agg(F.count("*").alias("n")).join(ids, "doc_id"), "ids")
-    counts = {r["y"]: r["n"] for r in groups.groupBy("y").agg(F.sum(F.col("n") * F.col("m")).alias("n")).collect()}
-    rate = {y: sample_rate(most, counts.get(y, 0)) for y, most in ((1, p.max_toxic), (0, p.max_clean))}
+    size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint"))
+    groups = written(texts.groupBy("doc_id").agg(F.count("*").alias("n"), size.alias("bytes")).join(ids, "doc_id"), "ids")
+    sums = groups.groupBy("y").agg(F.sum(F.col("n") * F.col("m")).alias("n"), F.sum(F.col("bytes") * F.col("m")).alias("bytes"))
+    sums = {r["y"]: (r["n"], r["bytes"]) for r in sums.collect()}
+    rate = {}
+    for y, most in ((1, p.max_toxic), (0, p.max_clean)):
+        n, held = sums.get(y, (0, 0))
+        rate[y] = min(sample_rate(most, n), sample_rate(p.max_bytes, held))
+    groups = groups.drop("bytes")
     picked = sampled(texts, groups, F.when(F.col("y") == 1, rate[1]).otherwise(rate[0]), 11)
     return picked.select("doc_id", "y", "text")
 
@@ -129,10 +136,12 @@ def train(sample: DataFrame, p: FtrlParams = FtrlParams()) -> tuple[np.ndarray,
             rows += [np.frombuffer(x.as_buffer(), np.uint32) for x in batch.column(1)]
         if not rows or len(set(ys)) < 2:
             return
-        every = np.sort(np.concatenate(rows))
-        again = np.flatnonzero(every[1:] == every[:-1])
-        known = np.unique(every[again])
-        del every
+        # Features of two texts or more, one range of hashes at a time: the whole sample is never copied.
+        known = []
+        for lo in range(0, 1 << 32, 1 << 27):
+            every = np.sort(np.concatenate([r[np.searchsorted(r, lo) : np.searchsorted(r, lo + (1 << 27))] for r in rows]))
+            known.append(np.unique(every[:-1][every[1:] == every[:-1]]))
+        known = np.concatenate(known)
         if not len(known):
             return
         for i, r in enumerate(rows):
