@@ -19,6 +19,7 @@ from strandloom.operators.extract import extract
 from strandloom.operators.haplotypes import haplotype_counts
 from strandloom.operators.intersect import intersect
 from strandloom.operators.long_indels import alignment_indels, flag_overlap, merge_indels
+from strandloom.operators.ordinals import run_numbers
 from strandloom.operators.merge import CLUSTER_KEY, assign_clusters, cluster_reads, passes, summarise
 from strandloom.operators.views import long_counts, view
 from strandloom.params import (
@@ -30,7 +31,7 @@ from strandloom.params import (
     parse_size,
     read_level_length,
 )
-from strandloom.plans.flows import category_unions, cross_reference_filter, pass_centromere, reads_of_calls
+from strandloom.plans.flows import category_unions, cross_reference_filter, reads_of_calls
 from strandloom.sources import readids, regions, signals as sig, writers
 from strandloom.sources.alignments import read_alignments
 from strandloom.sources.calls import read_calls
@@ -244,13 +245,14 @@ def cmd_union_tr(spark, a):
 
 
 def cmd_ensembleunion(spark, a):
-    rows = sig.parse_union_rows(read_numbered_lines(spark, a.input))
-    _emit(writers.union_lines(U.median_rows(rows.drop("asm_reads"), a.drop_last)), a.o)
+    rows = sig.parse_union_rows(read_numbered_lines(spark, a.input)).select("file_id", "line_no", "svid", "pos", "pos2", "svtype", "svlen", "group_id", "line")
+    rows = run_numbers(rows, "group_id", []).drop("group_id").withColumnRenamed("run", "group_id")
+    _emit(U.median_rows(rows, a.drop_last).select(F.concat_ws("\t", "line", "file_ids").alias("line")), a.o)
 
 
 def cmd_doublestrandbreak(spark, a):
     rows = sig.parse_union_rows(read_numbered_lines(spark, a.input))
-    calls, reads = rows.drop("asm_reads"), rows.select("file_id", "line_no", "svid", F.explode("asm_reads").alias("read"))
+    calls, reads = rows.drop("asm_reads", "line"), rows.select("file_id", "line_no", "svid", F.explode("asm_reads").alias("read"))
     cols = ["ctg0", "pos0", "ori0", "ctg1", "pos1", "ori1", "svtype0", "svtype1", "dsb_type"]
     _emit(_table(U.strand_break_pairs(calls, reads).select(*cols)), a.o)
     _emit(_table(U.strand_break_stats(calls, reads)), None)
@@ -286,7 +288,7 @@ def cmd_cross_ref(spark, a):
         names = reads_of_calls(calls, reads.withColumn("svid", canonical_id(F.col("svid"))), p, bed)
         _emit(names.select(F.col("read").alias("line")), f"{a.o}/read_names")
         return
-    own, graph = pass_centromere(sig.read_signals(spark, a.self_signals)), sig.read_signals(spark, a.graph_signals)
+    own, graph = sig.read_signals(spark, a.self_signals), sig.read_signals(spark, a.graph_signals)
     both = intersect(graph, [own], parse_size(a.w))
     ev = {n: readids.asm_evidence(d) for n, d in (("l+s", own), ("l+g", graph), ("l+g+s", both))}
     cross_reference_filter(calls, reads, ev, range(a.c, a.uc + 1), p, bed).write.partitionBy("category", "cutoff").parquet(f"{a.o}/kept")

@@ -57,14 +57,20 @@ def size_bin(abs_len: Column, same_contig: Column) -> Column:
     return out
 
 
+#: How an id of each style begins, what stands before the end's number, and the numbers of the ends.
+PAIRED_IDS = [("^severus", "", "12"), ("^ID_", r"ID_\d+", "12"), ("^[rid]_", r"r_\d+", "01")]
+
+
 def canonical_id(svid: Column) -> Column:
-    """One id for both ends of a paired record, by the id style of the caller."""
-    return (
-        F.when(svid.startswith("severus"), F.regexp_replace(svid, "_[12]", ""))
-        .when(svid.startswith("ID_"), F.regexp_replace(svid, r"(ID_\d+)_[1,2]", "$1"))
-        .when(svid.rlike("^[rid]_"), F.regexp_replace(svid, r"(r_\d+)_[0,1]", "$1"))
-        .otherwise(svid)
-    )
+    """One id for both ends of a paired record, by the id style of the caller.
+
+    The ends are ``_1`` and ``_2`` behind the number, or ``_0`` and ``_1`` in the styles of one letter, where only
+    ``r_`` records are pairs.
+    """
+    out = svid
+    for style, number, ends in reversed(PAIRED_IDS):
+        out = F.when(svid.rlike(style), F.regexp_replace(svid, f"({number})_[{ends}]", "$1")).otherwise(out)
+    return out
 
 
 def split_read_type(

@@ -16,6 +16,7 @@ from strandloom.functions.typing import (
     type_flag,
 )
 from strandloom.operators.compare import SHAPE, select_reportable
+from strandloom.operators.ordinals import union_all
 from strandloom.params import CompareParams
 
 KEY = ["file_id", "line_no", "svid", *SHAPE]
@@ -94,6 +95,34 @@ def typed_support(
     )
 
 
+def category_support(
+    calls: DataFrame, call_reads: DataFrame, evidence: dict[str, DataFrame], p: CompareParams, strict: bool = False
+) -> DataFrame:
+    """Calls with ``support``: per category a struct of ``category, asm_support, asm_name_support``.
+
+    All categories meet the reads in one join.  Evidence is a row per read, flag and length with a bit for every
+    category that has it (in each length bucket only a category's shortest and longest count); bits are united per
+    (call, read) and counted per call.
+    """
+    if len(evidence) > 63:
+        raise ValueError("at most 63 categories")
+    rows = []
+    for i, ev in enumerate(evidence.values()):
+        ends = F.explode(F.array_distinct(F.array("e_lo", "e_hi"))).alias("e_lo")
+        rows.append(compact_evidence(ev, p.min_len_ratio).select("e_read", "e_flag", ends, F.lit(1 << i).cast("bigint").alias("mask")))
+    bits = union_all(rows).groupBy("e_read", "e_flag", "e_lo").agg(F.bit_or("mask").alias("mask")).withColumn("e_hi", F.col("e_lo"))
+    reads = _with_reads(calls, call_reads, strict).select(*KEY, "flag", "abs_len", "read")
+    met = reads.join(bits, F.col("read") == F.col("e_read"))
+    zero = F.lit(0).cast("bigint")
+    per_read = met.groupBy(*KEY, "read").agg(F.bit_or("mask").alias("named"), F.bit_or(F.when(_supports(p), F.col("mask")).otherwise(zero)).alias("typed"))
+    has = lambda c, i: F.count_if(F.col(c).bitwiseAND(F.lit(1 << i)) != 0)
+    counts = [(has("typed", i).alias(f"_t{i}"), has("named", i).alias(f"_n{i}")) for i in range(len(evidence))]
+    sums = per_read.groupBy(*KEY).agg(*[c for pair in counts for c in pair])
+    count = lambda c: F.coalesce(F.col(c), zero)
+    each = [F.struct(F.lit(n).alias("category"), count(f"_t{i}").alias("asm_support"), count(f"_n{i}").alias("asm_name_support")) for i, n in enumerate(evidence)]
+    return calls.join(sums, KEY, "left").select(*calls.columns, F.array(*each).alias("support"))
+
+
 def read_lists(calls: DataFrame, call_reads: DataFrame, evidence: DataFrame, p: CompareParams) -> DataFrame:
     """Calls with ``orig_reads`` and ``asm_reads``, for text rows: names of all reads and of those with like evidence.
 

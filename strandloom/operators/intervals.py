@@ -36,7 +36,7 @@ def running(df: DataFrame, keys: list[str], order: list[Column], fold, value: Co
     return rows.join(bins, [*keys, "bin"]), "_local", "_carry"
 
 
-def _last(c: Column) -> Column:
+def last_known(c: Column) -> Column:
     return F.last(c, ignorenulls=True)
 
 
@@ -48,7 +48,7 @@ def merged(bed: DataFrame) -> DataFrame:
     rows, local, carry = running(rows, ["ctg"], order, F.max, F.col("en"), own=False)
     reach = F.greatest(local, carry)
     rows = rows.withColumn("new", F.when(reach.isNull() | (F.col("st") > reach), F.col("st"))).drop(local, carry)
-    rows, local, carry = running(rows, ["ctg"], order, _last, F.col("new"), own=True)
+    rows, local, carry = running(rows, ["ctg"], order, last_known, F.col("new"), own=True)
     runs = rows.withColumn("st", F.coalesce(local, carry)).groupBy("ctg", "st").agg(F.max("en").alias("en"))
     runs = runs.withColumn("bin", F.floor(F.col("st") / BIN).cast("bigint"))
     runs, local, carry = running(runs, ["ctg"], [F.col("st")], F.sum, F.col("en") - F.col("st"), own=False)
@@ -68,9 +68,9 @@ def located(points: DataFrame, intervals: DataFrame) -> DataFrame:
     both = rows.unionByName(starts, allowMissingColumns=True).withColumn("bin", F.floor(F.col("at") / BIN).cast("bigint"))
     is_point = F.col("iv").isNull()
     # An interval that starts at a point lies before it.
-    both, local, carry = running(both, ["ctg"], [F.col("at"), is_point.asc()], _last, F.col("iv"), own=True)
+    both, local, carry = running(both, ["ctg"], [F.col("at"), is_point.asc()], last_known, F.col("iv"), own=True)
     both = both.withColumn("prev", F.coalesce(local, carry)).drop(local, carry)
-    both, local, carry = running(both, ["ctg"], [F.desc("at"), is_point.desc()], _last, F.col("iv"), own=True, back=True)
+    both, local, carry = running(both, ["ctg"], [F.desc("at"), is_point.desc()], last_known, F.col("iv"), own=True, back=True)
     at, prev, after = F.col("at"), F.col("prev"), F.coalesce(local, carry)
     left = F.greatest(at - prev["en"], F.when(prev["en"].isNotNull(), F.lit(0).cast("bigint")))
     met = both.filter(is_point).select(

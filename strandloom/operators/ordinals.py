@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from strandloom.operators.intervals import last_known, running
+
 
 def dense_index(
     df: DataFrame, order: list[str], chunk: dict[str, Column], name: str, partition: list[str] | None = None
@@ -59,5 +61,22 @@ def middle_row(df: DataFrame, group: list[str], levels: list[dict[str, Column]])
     return rows
 
 
+def run_numbers(rows: DataFrame, value: str, partition: list[str], line: str = "line_no", chunk: int = 1_000_000) -> DataFrame:
+    """Adds ``run``: which run of equal neighbours in ``value`` a row belongs to, from 1, in the order of ``line``.
+
+    Equal values that others part are different runs; a null is a value like others.  Lines are compared within
+    chunks of ``chunk`` numbers, and a chunk hands over its last value and its number of runs.
+    """
+    binned = rows.withColumns({"bin": F.floor(F.col(line) / chunk).cast("bigint"), "_v": F.struct(F.col(value).alias("x"))})
+    order = [F.col(line)]
+    seen, local, carry = running(binned, partition, order, last_known, F.col("_v"), own=False)
+    before = F.coalesce(local, carry)
+    new = (before.isNull() | ~before["x"].eqNullSafe(F.col(value))).cast("bigint")
+    seen = seen.withColumn("_new", new).drop(local, carry, "_v")
+    seen, local, carry = running(seen, partition, order, F.sum, F.col("_new"), own=True)
+    run = F.coalesce(local, F.lit(0)) + F.coalesce(carry, F.lit(0))
+    return seen.withColumn("run", run.cast("bigint")).drop(local, carry, "_new", "bin")
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)

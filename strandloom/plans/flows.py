@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from strandloom.operators.asmfilter import support_stats, supported_calls
+from strandloom.operators.asmfilter import category_support, supported_calls
 from strandloom.operators.compare import select_reportable
 from strandloom.operators.intersect import intersect
 from strandloom.operators.merge import merge_signals, only_sources
-from strandloom.operators.ordinals import union_all
 from strandloom.operators.union import combination_counts, median_rows, union_rows
-from strandloom.functions.typing import canonical_id
+from strandloom.functions.typing import canonical_id, length_class
 from strandloom.params import CompareParams, MergeParams, UnionParams
+from strandloom.session import settle
 
 
 def germline_calls(signals: DataFrame, p: MergeParams = MergeParams()) -> DataFrame:
@@ -36,13 +36,6 @@ def mosaic_calls(
     return merge_signals(intersect(signals, filters, window), p)
 
 
-def pass_centromere(signals: DataFrame, min_dist: int = 500_000) -> DataFrame:
-    """Signals away from centromeres."""
-    return signals.filter(
-        ~F.coalesce(F.col("cen_overlap") > 0, F.lit(False)) & ~F.coalesce(F.col("cen_dist") <= min_dist, F.lit(False))
-    )
-
-
 def reads_of_calls(calls: DataFrame, call_reads: DataFrame, p: CompareParams, bed: DataFrame | None = None) -> DataFrame:
     """Distinct names of the reads behind reportable calls: what has to be realigned."""
     ids = select_reportable(calls, p, bed).select("file_id", canonical_id(F.col("svid")).alias("svid"))
@@ -56,44 +49,40 @@ def cross_reference_filter(
     cutoffs: range,
     compare: CompareParams = CompareParams(),
     bed: DataFrame | None = None,
+    strict: bool = True,
 ) -> DataFrame:
     """Calls of every caller kept per evidence category and cutoff.
 
-    Support does not depend on the cutoff, so it is computed once per category and only compared
-    with each cutoff.
+    Support is computed once for all categories and does not depend on the cutoff: a call is kept up to the
+    smallest of its three counts.  A call whose reads are not listed is an error, or without ``strict`` unsupported.
     """
-    out = []
-    for name, ev in evidence.items():
-        stats = support_stats(calls, call_reads, ev, compare, bed, strict=False)
-        steps = F.array(*[F.lit(c) for c in cutoffs])
-        out.append(
-            stats.withColumn("cutoff", F.explode(steps))
-            .filter(
-                (F.col("asm_support") >= F.col("cutoff"))
-                & (F.col("asm_name_support") >= F.col("cutoff"))
-                & (F.col("count") >= F.col("cutoff"))
-            )
-            .withColumn("category", F.lit(name))
-        )
-    return union_all(out)
+    rows = category_support(select_reportable(calls, compare, bed), call_reads, evidence, compare, strict)
+    rows = rows.withColumns({"clean_id": canonical_id(F.col("svid")), "is_consensus": F.lit(True), "svlen_range": length_class(F.abs("svlen"))})
+    rows = rows.withColumn("_s", F.explode("support")).drop("support").select("*", "_s.*").drop("_s")
+    most = F.least("asm_support", "asm_name_support", "count")
+    kept = F.filter(F.array(*[F.lit(c) for c in cutoffs]), lambda c: c <= most)
+    return rows.withColumn("cutoff", F.explode(kept))
 
 
 def category_unions(
     calls: DataFrame, call_reads: DataFrame, evidence: dict[str, DataFrame], cutoff: int,
     compare: CompareParams = CompareParams(), p: UnionParams = UnionParams(), bed: DataFrame | None = None,
-    n_callers: int | None = None,
+    n_callers: int | None = None, strict: bool = True,
 ) -> dict[str, dict[str, DataFrame]]:
     """Per category the union of all callers, or of the first ``n_callers``: rows, combination counts and one row
-    per group.  ``l_only`` is the union of the calls as they came, without evidence.
+    per group.  ``l_only`` is the union of the calls with ``cutoff`` reads, without evidence.  A call is kept by its
+    canonical id, whichever of its records is supported; support of all categories comes from one join.
     """
     if n_callers is None:
         n_callers = (calls.agg(F.max("file_id")).first()[0] or 0) + 1
-    strict = CompareParams(**{**compare.__dict__, "min_count": cutoff})
+    enough = CompareParams(**{**compare.__dict__, "min_count": cutoff})
+    stats = category_support(select_reportable(calls, enough, bed), call_reads, evidence, enough, strict)
+    stats = settle(stats.select("file_id", canonical_id(F.col("svid")).alias("clean_id"), "count", F.explode("support").alias("s")).select("file_id", "clean_id", "count", "s.*"))
     out = {}
-    for name, ev in [("l_only", None), *evidence.items()]:
-        kept = calls
-        if ev is not None:
-            kept = supported_calls(calls, support_stats(calls, call_reads, ev, strict, bed, strict=False), strict)
+    for name in ["l_only", *evidence]:
+        kept = calls.filter((F.col("count") <= 0) | (F.col("count") >= cutoff))
+        if name != "l_only":
+            kept = supported_calls(calls, stats.filter(F.col("category") == name), enough)
         kept = kept.filter(F.col("file_id") < n_callers)
         rows = union_rows(kept, p, bed)
         out[name] = {

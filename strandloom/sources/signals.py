@@ -74,10 +74,10 @@ def parse_merged_calls(lines: DataFrame) -> DataFrame:
 
 
 def parse_union_rows(lines: DataFrame) -> DataFrame:
-    """Union rows (``line_no, line``) back to columns; ``asm_reads`` is the array of supporting reads."""
+    """Union rows (``line_no, line``) back to columns; ``asm_reads`` is the array of supporting reads, ``line`` the row itself."""
     t = lambda i: F.get("f", F.lit(i))
     val = lambda k: info_last(t(5), k)
-    rows = lines.select("line_no", F.split("line", "\t").alias("f")).filter(F.size("f") >= 6)
+    rows = lines.select("line_no", F.split("line", "\t").alias("f"), "line").filter(F.size("f") >= 6)
     return rows.select(
         val("file_id").cast("int").alias("file_id"),
         "line_no",
@@ -92,4 +92,5 @@ def parse_union_rows(lines: DataFrame) -> DataFrame:
         val("count").try_cast("bigint").alias("count"),
         val("group_id").cast("bigint").alias("group_id"),
         F.split(val("asm_read_ids"), ",").alias("asm_reads"),
+        "line",
     )

@@ -41,7 +41,9 @@ def _comma(a: Column, b: Column) -> Column:
 
 
 def _tabs(*cols: Column | str) -> Column:
-    return F.concat_ws("\t", *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in cols])
+    """Columns by tabs; a null is written as ``NA``, so that no column moves."""
+    text = [(F.col(c) if isinstance(c, str) else c).cast("string") for c in cols]
+    return F.concat_ws("\t", *[F.coalesce(t, F.lit("NA")) for t in text])
 
 
 def signal_lines(signals: DataFrame) -> DataFrame:

@@ -143,3 +143,14 @@ def test_read_ids_go_from_union_to_break_pairs(run, tmp_path):
     out = run("doublestrandbreak", union)
     pairs = [r for r in out if r.endswith("\tcase1")]
     assert pairs and "case1\t" + str(len(pairs)) in out
+
+
+def test_ensembleunion_repeats_the_middle_line_of_each_run(run, tmp_path):
+    def row(pos, group, file, extra):
+        return f"chr1\t{pos}\t>>\tchr1\t{pos + 500}\tSVTYPE=DEL;SVLEN=-500;count=3;group_id={group};file_id={file};{extra}"
+
+    rows = [row(300, 7, 0, "tr=abc"), row(100, 7, 2, "orig_read_ids=r1,r2"), row(200, 7, 1, "asm_read_ids=r1;segdup=x"), row(50, 8, 1, "y=1"), row(900, 7, 0, "z=2")]
+    union = tmp_path / "union"
+    union.write_text("\n".join(rows) + "\n")
+    assert sorted(run("ensembleunion", union)) == sorted([rows[2] + "\t0,1,2", rows[3] + "\t1", rows[4] + "\t0"])
+    assert sorted(run("ensembleunion", "--drop-last", union)) == sorted([rows[2] + "\t0,1,2", rows[3] + "\t1"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from strandloom.operators import asmfilter as A
 from strandloom.operators import chains, compare, union as U
 from strandloom.operators.haplotypes import haplotype_counts
+from strandloom.operators.ordinals import run_numbers
 from strandloom.operators.regions import both_ends_inside
 from strandloom.operators.views import long_counts, view
 from strandloom.functions.info import sample_values
@@ -353,6 +354,19 @@ def ensemble_collapse(s):
     return U.median_rows(U.union_rows(s.view("calls"))).select(*CALL, "group_id", "file_ids")
 
 
+# Union lines in their order: neighbours of one group are a run, and a group may come again.
+_RUNS = "select cast(l_linenumber % 3 as int) as file_id, (l_orderkey * 8 + l_linenumber) * 100000000 + cast(round(l_extendedprice * 100) as bigint) as line_no, l_orderkey // 3 % 40 as group_id from lineitem"
+
+
+@query("runs_by_line", f"""with r as (select line_no, max(group_id) as group_id, max(file_id) as file_id from ({_RUNS}) group by line_no),
+  b as (select *, case when group_id is distinct from lag(group_id) over (order by line_no) or row_number() over (order by line_no) = 1 then 1 else 0 end as new from r)
+  select line_no, group_id, cast(sum(new) over (order by line_no) as bigint) as run from b""")
+def runs_by_line(s):
+    s.table("lineitem").createOrReplaceTempView("lineitem")
+    rows = s.spark.sql(_RUNS.replace("//", "div")).groupBy("line_no").agg(F.max("group_id").alias("group_id"))
+    return run_numbers(rows, "group_id", [], chunk=100_000_000_000).select("line_no", "group_id", "run")
+
+
 # Assembly support ---------------------------------------------------------------------------------
 
 _FL = "(case when {0}svtype in ('INS','DUP') then 1 when {0}svtype = 'DEL' then 2 when {0}svtype = 'INV' then 4 when {0}svtype = 'BND' and {0}ctg <> coalesce({0}ctg2, {0}ctg) then 8 else 0 end)"
