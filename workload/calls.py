@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from strandloom.operators import asmfilter as A
 from strandloom.operators import chains, compare, union as U
 from strandloom.operators.haplotypes import haplotype_counts
-from strandloom.operators.ordinals import run_numbers
+from strandloom.operators.ordinals import run_numbers, union_all
 from strandloom.operators.regions import both_ends_inside
 from strandloom.operators.views import long_counts, view
 from strandloom.functions.info import sample_values
 from strandloom.params import CallParams, CompareParams, UnionParams
+from strandloom.plans import flows
 from strandloom.plans.flows import cross_reference_filter, reads_of_calls
 from strandloom.sources.calls import parse_calls
 from strandloom.sources.readids import asm_evidence, latest_haplotypes
@@ -448,6 +449,27 @@ def crossref_categories(s):
     return rows.select("svid", "file_id", "svtype", "cutoff", "category", "asm_support", "asm_name_support")
 
 
+def _category(name: str, asm: str | None) -> str:
+    """Combinations of files in the union of what one category of evidence keeps."""
+    head = "" if asm is None else _SUPPORT.format(asm=asm) + ","
+    keep = "count <= 0 or count >= 2" if asm is None else (
+        f"exists (select 1 from sup s where s.file_id = c.file_id and s.svid = c.svid and {_REP.format(2)} and s.count >= 2 and asm_support >= 2 and asm_name_support >= 2)"
+    )
+    kept = f"kc as (select c.* from locus_calls c where {keep}),"
+    body = union_ctes("kc")[len("with recursive"):]
+    return f"select * from (with recursive {head} {kept} {body} select '{name}' as category, concat(mask & 1, (mask >> 1) & 1, (mask >> 2) & 1) as label, count(*) as n from kept group by mask)"
+
+
+_CATEGORIES = [("l_only", None), ("l+s", "alt1"), ("l+g", "alt2")]
+
+
+@query("category_unions", with_views(" union all ".join(_category(*c) for c in _CATEGORIES), "locus_calls", "locus_reads", "alt1", "alt2"))
+def category_unions(s):
+    ev = {n: asm_evidence(s.view(v)) for n, v in _CATEGORIES if v}
+    out = flows.category_unions(s.view("locus_calls"), s.view("locus_reads"), ev, 2, n_callers=3)
+    return union_all([parts["combinations"].select(F.lit(n).alias("category"), "label", "n") for n, parts in out.items()])
+
+
 @query("reads_to_realign", with_views(
     f"select distinct read from locus_reads r where exists (select 1 from locus_calls c where c.file_id = r.file_id and c.svid = r.svid and {_REP.format(3)})", "locus_calls", "locus_reads"))
 def reads_to_realign(s):
