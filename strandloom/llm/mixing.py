@@ -144,7 +144,8 @@ def schedule(wanted: DataFrame) -> DataFrame:
 
 def placed(sized: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
     """Documents with words in their source's shuffled stream: ``no``, ``start`` (words before them)."""
-    key = F.xxhash64("doc_id", F.lit(seed))
+    # Rows of one id are told apart by their texts, rows without id by their numbers: no id gathers in one cell.
+    key = F.xxhash64("doc_id", "text_key", F.when(F.col("doc_id").isNull(), F.col("uid")), F.lit(seed))
     rows = sized.filter("size > 0").join(
         wanted.select("no", "block", "laps", "rest", F.col("source").alias("_source")),
         F.col("source").eqNullSafe(F.col("_source")),
