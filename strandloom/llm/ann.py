@@ -5,8 +5,8 @@ bounded size, and every block is indexed: each of ``n_projections`` random direc
 the block's projected values, sorted.  A query puts a window around its own projected value in each array and
 widens all windows by ``growth`` per round (virtual rehashing: a wider window is a coarser bucket, no second
 index is built).  A vector that lies in ``threshold`` of the windows is verified on the original vectors.  A
-block is done when its k best are nearer than the windows vouch for, or when as many different directions as
-``verify_share`` of its rows, and some more, are verified.
+block is done when its k best are nearer than the windows vouch for, or when as many coarse cells of directions as
+``verify_share`` of its rows, and some more, are verified: copies and near copies of a vector count once.
 
 Queries are a stated set, dealt to blocks too; each pair of blocks is one group of bounded size, so neither
 side is ever held whole.  All rows take part, none is capped.  Rows of one direction are one entry of the index, so
@@ -37,6 +37,8 @@ class AnnParams:
     growth: float = 1.2
     verify_share: float = 0.15
     verify_least: int = 100
+    cell_axes: int = 6
+    cell_width: float = 0.2
     vouch: float = 0.6
     block_rows: int = 16_384
     query_rows: int = 1024
@@ -69,6 +71,9 @@ class BlockIndex:
         by_entry = np.argsort(entry.ravel(), kind="stable")
         self.p, self.ids, self.vectors, self.norms = p, ids[by_entry], vectors[by_entry], norms[by_entry]
         self.sizes = np.bincount(entry.ravel(), minlength=len(unit))
+        # Near copies share a coarse cell of a few projections, and count once towards what may be verified.
+        coarse = np.floor(unit @ np.random.default_rng(p.seed + 1).standard_normal((vectors.shape[1], p.cell_axes)) / p.cell_width)
+        self.cell = np.unique(coarse, axis=0, return_inverse=True)[1].ravel()
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.axes = np.random.default_rng(p.seed).standard_normal((vectors.shape[1], p.n_projections))
         at = unit @ self.axes
@@ -81,7 +86,7 @@ class BlockIndex:
         norm = float(np.sqrt((query * query).sum()))
         center = (query / norm) @ self.axes
         lo = hi = np.array([np.searchsorted(v, c) for v, c in zip(self.values, center)])
-        counts, done = np.zeros(n, np.int32), np.zeros(n, bool)
+        counts, done, cells = np.zeros(n, np.int32), np.zeros(n, bool), np.zeros(int(self.cell.max(initial=-1)) + 1, bool)
         scores, found = np.zeros(0), np.zeros(0, np.int64)
         enough, reach = p.verify_least + int(p.verify_share * self.n_rows), p.width
         while True:
@@ -92,13 +97,13 @@ class BlockIndex:
             lo, hi = new_lo, new_hi
             fresh = np.flatnonzero((counts >= p.threshold) & ~done)
             if len(fresh):
-                done[fresh] = True
+                done[fresh] = cells[self.cell[fresh]] = True
                 sizes = self.sizes[fresh]
                 rows = np.repeat(self.starts[fresh] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
                 rows = rows[self.ids[rows] != query_id]
                 scores = np.concatenate((scores, (self.vectors[rows] * query).sum(axis=1) / (self.norms[rows] * norm)))
                 found = np.concatenate((found, self.ids[rows]))
-            if done.sum() >= enough and len(found) >= p.k or done.all():
+            if cells.sum() >= enough and len(found) >= p.k or done.all():
                 break
             if len(found) >= p.k:
                 kth = np.sqrt(max(0.0, 2.0 - 2.0 * np.partition(scores, -p.k)[-p.k]))
