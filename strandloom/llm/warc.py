@@ -32,6 +32,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from strandloom.llm.scratch import written
 from strandloom.llm.url_filter import split_url
 
+#: Payload bytes of an archive file, on average over its records.
+ARCHIVE_BYTES = 64 << 20
 BLOCK_LINES = 3000
 PREFIX = "urn:page:"
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
@@ -116,13 +118,16 @@ def page_id_of(text: str) -> int | None:
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, level: int = 4, date: str = "1970-01-01T00:00:00Z", cols: tuple[str, str, str] = ("page_id", "url", "html")) -> None:
-    """Write a record per row.  Payloads are compared by digest; only repeats are joined back."""
+    """Write a record per row, in files of about ``ARCHIVE_BYTES`` of payload.
+
+    Payloads are equal where length, SHA-1 and SHA-256 are; only repeats are joined back.
+    """
     rows = pages.select(F.col(cols[0]).cast("bigint").alias("page_id"), F.col(cols[1]).cast("string").alias("url"), F.coalesce(F.col(cols[2]).cast("binary"), F.lit(b"")).alias("html"))
-    keys = rows.select("page_id", F.sha1("html").alias("digest"), F.octet_length("html").alias("n"))
+    keys = rows.select("page_id", F.concat_ws(" ", F.octet_length("html").cast("string"), F.sha1("html"), F.sha2("html", 256)).alias("digest"), F.octet_length("html").alias("n"))
     groups = keys.filter(F.col("n") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("copies")).filter("copies > 1")
     repeats = keys.join(groups, "digest").filter(~F.col("page_id").eqNullSafe(F.col("refers_to")))
     repeats = written(repeats.select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "refers_to").distinct(), "revisits")
-    same = F.col("page_id").eqNullSafe(F.col("_id")) & (F.sha1("html") == F.col("_digest"))
+    same = F.col("page_id").eqNullSafe(F.col("_id")) & (F.concat_ws(" ", F.octet_length("html").cast("string"), F.sha1("html"), F.sha2("html", 256)) == F.col("_digest"))
     judged = rows.join(repeats, same, "left").select("page_id", "url", "html", "refers_to", F.col("_digest").isNotNull().alias("revisit"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +138,10 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, level: int =
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["member"])
 
     made = judged.mapInArrow(run, "member binary").select(F.col("member").cast("string").alias("value"))
-    made.write.option("lineSep", "\u0000").option("compression", "none").text(path)
+    # A file is one row when it is read back, so its size is bounded; records per file come from the mean length.
+    mean = rows.agg(F.avg(F.octet_length("html"))).first()[0] or 0.0
+    per_file = max(1, int(ARCHIVE_BYTES / (mean + 512)))
+    made.write.option("lineSep", "\u0000").option("compression", "none").option("maxRecordsPerFile", per_file).text(path)
 
 
 def archives(spark: SparkSession, path: str) -> DataFrame:

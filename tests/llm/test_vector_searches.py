@@ -188,3 +188,20 @@ def test_windows_are_whole_numbers():
         lo, hi = window(positive, p)
         for s in {lo - 1, lo, lo + 1, hi - 1, hi, hi + 1}:
             assert (lo <= s <= hi) == (30 * positive <= 100 * s <= 90 * positive)
+
+
+@pytest.mark.parametrize("noise", [0.0, 1e-4, 1e-2])
+def test_near_copies_leave_room_for_the_others(noise):
+    """A third of the rows around one vector: the other queries still find their nearest."""
+    from strandloom.llm.ann import AnnParams, BlockIndex
+
+    r, p = np.random.default_rng(11), AnnParams()
+    v = r.normal(size=(2000, 64))
+    v[:666] = v[0] + r.normal(size=(666, 64)) * noise
+    unit, index = v / np.linalg.norm(v, axis=1, keepdims=True), BlockIndex(np.arange(2000), v, p)
+    hit = 0
+    for q in range(700, 2000, 50):
+        s = unit @ unit[q]
+        s[q] = -2
+        hit += sum(x >= np.sort(s)[-p.k] - 1e-12 for x, _ in index.nearest(q, v[q]))
+    assert hit >= 0.95 * p.k * 26
