@@ -155,22 +155,41 @@ def cmd_filterasm(spark, a):
 
 
 def _name_filter(spark, a, fmt: str):
-    """Name-only support of one call file, without typing."""
+    """Name-only support of one call file, without typing.
+
+    Every call gets a stat row, one without listed reads with counts of 0; of paired break ends the first one does.
+    """
     lines = read_numbered_lines(spark, a.calls)
     names = readids.read_read_ids(spark, a.readids) if fmt == "severus" else readids.parse_read_ids(lines, fmt)
     names = names.withColumn("svid", canonical_id(F.col("svid")))
     support = asmfilter.name_support(names, sig.read_signals(spark, a.signals), ["svid"])
     body = lines.filter(~F.col("line").startswith("#")).withColumn("f", F.split("line", r"\s+"))
     own = F.col("line_no").cast("string") if fmt == "calls" else F.get("f", F.lit(2))
-    body = body.withColumn("svid", canonical_id(own))
+    body = body.withColumns({"own": own, "svid": canonical_id(own)})
     if fmt == "vcf":
         dv = sample_values(F.col("f"), "DV")
         body = body.withColumns({"tumor_dv": F.get(dv, F.lit(0)), "normal_dv": F.get(dv, F.lit(1))})
         body = asmfilter.tumor_only(body, min_tumor=a.c)
-    rows = body.join(support, "svid")
-    size = F.abs(F.coalesce(F.regexp_extract("line", r"\bSVLEN=(-?\d+)", 1).try_cast("bigint"), F.lit(0)))
-    stat = rows.select(size.alias("svlen"), length_class(size).alias("range"), "svid", "n_names", "n_asm_names")
-    _emit(_table(stat.filter("range != '<100bp'")), a.stat)
+    rows = body.join(support, "svid", "left").fillna(0, ["n_names", "n_asm_names"])
+    size = F.coalesce(F.regexp_extract("line", r"\bSVLEN=(-?\d+)", 1).try_cast("bigint"), F.lit(0))
+    last = lambda i, k: F.get(F.reverse(F.split(F.get(F.reverse("f"), F.lit(i)), ":")), F.lit(k))
+    stat = {"svlen": size, "range": length_class(F.abs(size))}
+    counts = {"n_names": F.col("n_names"), "n_asm_names": F.col("n_asm_names")}
+    if fmt == "severus":
+        known = F.lit("False")
+        if a.consensus:
+            ids = readids.read_id_list(spark, a.consensus).select(F.col("svid").alias("_id"))
+            rows = rows.join(ids, F.col("svid") == F.col("_id"), "left")
+            known = F.when(F.col("_id").isNull(), "False").otherwise("True")
+        stat |= {"svid": F.col("svid"), "is_consensus": known, "dv": last(0, 0), **counts}
+    elif fmt == "vcf":
+        reads = F.nullif(F.regexp_extract("line", r"\bSUPPORT=([^;\s]+)", 1), F.lit(""))
+        stat |= {"support": F.coalesce(reads, F.lit("0")), "svid": F.col("own"), "n_names": F.col("n_names"), "dv": last(1, 1), "n_asm_names": F.col("n_asm_names")}
+    else:
+        stat |= counts
+    shown = rows.filter(~F.col("own").endswith("_2")) if fmt == "severus" else rows
+    shown = shown.select(*[c.alias(n) for n, c in stat.items()]).filter("range != '<100bp'")
+    _emit(_table(shown), a.stat)
     head = lines.filter(F.col("line").startswith("#")).select("line_no", "line")
     kept = rows.filter(F.col("n_asm_names") >= a.c).select("line_no", "line")
     _emit(head.unionByName(kept).orderBy("line_no"), a.o)
@@ -351,6 +370,8 @@ def parser() -> argparse.ArgumentParser:
         extra = ["readids"] if fmt == "severus" else []
         p = command(name, lambda s, a, f=fmt: _name_filter(s, a, f), "calls", *extra, "signals", "stat")
         p.add_argument("-c", type=int, default=2)
+        if fmt == "severus":
+            p.add_argument("--consensus", help="ids of consensus calls")
     p = command("snfpair", cmd_snfpair, "calls")
     p.add_argument("-t", type=int, default=1)
     p.add_argument("-n", type=int, default=2)

@@ -154,3 +154,35 @@ def test_ensembleunion_repeats_the_middle_line_of_each_run(run, tmp_path):
     union.write_text("\n".join(rows) + "\n")
     assert sorted(run("ensembleunion", union)) == sorted([rows[2] + "\t0,1,2", rows[3] + "\t1", rows[4] + "\t0"])
     assert sorted(run("ensembleunion", "--drop-last", union)) == sorted([rows[2] + "\t0,1,2", rows[3] + "\t1"])
+
+
+def test_name_filters_have_a_stat_row_for_every_call(run, tmp_path):
+    sig, calls, ids, consensus = (tmp_path / x for x in ("asm", "calls.vcf", "ids.tsv", "consensus"))
+    sig.write_text("".join(f"h1\t10\t510\t{r}\t60\t+\tSVTYPE=DEL;SVLEN=-480;qoff_l=1;qoff_r=1;source=x\n" for r in ("r1", "r2")))
+
+    def rec(ident, n, dv):
+        return f"chr1\t100\t{ident}\tN\t<DEL>\t.\tPASS\tSVTYPE=DEL;SVLEN={n};END=600\tGT:GQ:VAF:hVAF:DR:DV\t0/1:9:1:1:2:{dv}\n"
+
+    calls.write_text("##x\n" + rec("severus_BND1_1", -500, 7) + rec("severus_BND1_2", -500, 7) + rec("severus_DEL2", -30_000, 3) + rec("severus_DEL3", -50, 3))
+    ids.write_text("#VARIANT_ID\tx\treads\n")
+    consensus.write_text("severus_BND1_1\n")
+    from strandloom import cli
+    from strandloom.sources import readids
+
+    listed = readids.read_read_ids
+    try:
+        readids.read_read_ids = lambda spark, path: spark.createDataFrame([("severus_BND1", r) for r in ("r1", "r2", "r3")], "svid string, read string")
+        out = run("filterseverus", "--consensus", consensus, calls, ids, sig, tmp_path / "stat")
+    finally:
+        readids.read_read_ids = listed
+    assert cli and [x.split("\t")[2] for x in out if not x.startswith("#")] == ["severus_BND1_1", "severus_BND1_2"]
+    stat = sorted("".join(p.read_text() for p in (tmp_path / "stat").glob("part-*")).splitlines())
+    assert stat == ["-30000\t20kb-100kb\tseverus_DEL2\tFalse\t3\t0\t0", "-500\t100bp-20kb\tseverus_BND1\tTrue\t7\t3\t2"]
+
+    snf = tmp_path / "snf.vcf"
+    row = "chr1\t100\t{}\tN\t<DEL>\t.\tPASS\tSVTYPE=DEL;SVLEN=-700;{}\tGT:GQ:DR:DV:ID\t0/1:9:2:{}:a\t0/0:9:2:{}:b\n".format
+    snf.write_text(row("s1", "SUPPORT=4;RNAMES=r1,r2,r9", 4, 0) + row("s2", "SUPPORT=5", 5, 0) + row("s3", "SUPPORT=5;RNAMES=r1", 5, 1))
+    out = run("filtersnf", snf, sig, tmp_path / "stat2")
+    assert [x.split("\t")[2] for x in out] == ["s1"]
+    stat = sorted("".join(p.read_text() for p in (tmp_path / "stat2").glob("part-*")).splitlines())
+    assert stat == ["-700\t100bp-20kb\t4\ts1\t3\t4\t2", "-700\t100bp-20kb\t5\ts2\t0\t5\t0"]
