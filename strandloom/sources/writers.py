@@ -137,6 +137,28 @@ def vcf_records(calls: DataFrame) -> DataFrame:
     )
 
 
+def break_records(chains: DataFrame) -> DataFrame:
+    """Two mated breakend records of every chain of break points, numbered along contigs: ``line_no, line``.
+
+    ``chains`` has ``ctg, pos, ori, ctg2, pos2, qual, n_reads``, and ``reads`` (names, joined by commas) if they are to
+    be listed.  Ends that both face left are written like ``<>``.
+    """
+    c = F.col
+    order = ["ctg", "pos", "ctg2", "pos2", "ori", "qual", "n_reads"]
+    rows = dense_index(chains, order, {"_c_ctg": c("ctg"), "_c_at": F.floor(c("pos") / 1_000_000)}, "no")
+    ori = F.when(c("ori") == "<<", "<>").otherwise(c("ori"))
+    listed = c("reads") if "reads" in chains.columns else F.lit(None).cast("string")
+    ident = lambda i: F.concat(F.lit("bnd_"), (2 * c("no") + i).cast("string"))
+
+    def record(i: int, ctg: str, pos: str, other: str, at: str) -> Column:
+        alt = _bracket(ori, c(other), c(at) - 1, i == 1)
+        text = _pairs(("SVTYPE", F.lit("BND")), ("MATEID", ident(1 - i)), ("READ_COUNTS", c("n_reads")), ("READ_IDS", listed))
+        return F.struct((2 * c("no") + i).alias("line_no"), _tabs(ctg, pos, ident(i), F.lit("N"), alt, "qual", F.lit("."), text).alias("line"))
+
+    both = F.array(record(0, "ctg", "pos", "ctg2", "pos2"), record(1, "ctg2", "pos2", "ctg", "pos"))
+    return rows.select(F.explode(both).alias("r")).select("r.*")
+
+
 def union_lines(rows: DataFrame) -> DataFrame:
     """Union rows: place and one annotation column; optional columns are written when present."""
     c = F.col

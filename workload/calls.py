@@ -16,8 +16,8 @@ from strandloom.plans import flows
 from strandloom.plans.flows import cross_reference_filter, reads_of_calls
 from strandloom.sources.calls import parse_calls
 from strandloom.sources.readids import asm_evidence, latest_haplotypes
-from strandloom.sources.writers import patched_vcf, union_lines
-from workload.registry import query, with_views
+from strandloom.sources.writers import break_records, patched_vcf, union_lines
+from workload.registry import ORACLES, query, with_views
 
 CALL = "file_id line_no svid ctg pos ori ctg2 pos2 svtype svlen inv count vaf".split()
 CMP = CompareParams()
@@ -549,6 +549,18 @@ def chain_merge(s):
     return chains.chain_breaks(s.spark.sql(_BRK).drop("sample"))
 
 
+_CHAIN_VCF = """select * from (select *, row_number() over (order by ctg, pos, ctg2, pos2, ori, qual, n_reads) - 1 as no from cm) m, (select unnest([0, 1]) as e)"""
+
+
+@query("chain_vcf", ORACLES["chain_merge"].replace("select ctg, ctg2, cast(round_even(median(pos)", "cm as (select ctg, ctg2, cast(round_even(median(pos)").replace("  cm as (", ", cm as (") + f""")
+  select cast(2 * no + e as bigint) as line_no, concat_ws(chr(9), case e when 0 then ctg else ctg2 end, case e when 0 then pos else pos2 end, concat('bnd_', 2 * no + e), 'N',
+    case when ori = '>>' and e = 0 then concat('N[', ctg2, ':', pos2, '[') when ori = '>>' then concat(']', ctg, ':', pos, ']N')
+      when ori = '><' then concat('N]', case e when 0 then ctg2 else ctg end, ':', case e when 0 then pos2 else pos end, ']') else concat('[', case e when 0 then ctg2 else ctg end, ':', case e when 0 then pos2 else pos end, '[N') end,
+    qual, '.', concat('SVTYPE=BND;MATEID=bnd_', 2 * no + 1 - e, ';READ_COUNTS=', n_reads)) as line from ({_CHAIN_VCF})""")
+def chain_vcf(s):
+    return break_records(chain_merge(s))
+
+
 @query("paired_chain", f"""with b as ({_BRK}),
   c1 as (select *, sum(case when pos - p <= 100 and abs(pos2 - q) <= 100 then 0 else 1 end) over (partition by ctg, ctg2 order by pos, pos2, sample, read, ori, mapq rows unbounded preceding) as g
     from (select *, lag(pos) over w as p, lag(pos2) over w as q from b window w as (partition by ctg, ctg2 order by pos, pos2, sample, read, ori, mapq)))
