@@ -261,9 +261,9 @@ def _encoding(shipped, names: list[str], end_ids: list[int] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kit = shipped.value
         if "encoder" not in kit:
-            kit["encoder"] = WordEncoder(kit["tokenizer"], kit["table"], ways=kit["ways"])
+            kit["encoder"] = WordEncoder(kit.pop("tokenizer"), kit["table"], ways=kit["ways"])
         enc = kit["encoder"]
-        for batch in small_batches(batches, "_text", 2 << 20):
+        for batch in small_batches(batches, "_text", 1 << 19):
             ids, n = enc.batch(batch.column(batch.num_columns - 1))
             if len(end):
                 ids = np.insert(ids, np.repeat(np.cumsum(n), len(end)), np.tile(end, len(n)))

@@ -7,6 +7,7 @@ few windows besides one number per word.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,8 +51,20 @@ def text_bytes(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarra
     return whole[at[0] : at[-1]], at - at[0]
 
 
+def give_back() -> None:
+    """Return free memory of this process to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``most_bytes`` of text; a longer text comes alone."""
+    """The same rows in batches of about ``most_bytes`` of text; a longer text comes alone.
+
+    At the end the worker, which later tasks use again, gives memory back that it does not hold any more.
+    """
     for batch in batches:
         lengths = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0)
         ends = np.cumsum(np.asarray(lengths, dtype=np.int64))
@@ -61,6 +74,7 @@ def small_batches(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int
             stop = max(start + 1, int(np.searchsorted(ends, base + most_bytes, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    give_back()
 
 
 def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
