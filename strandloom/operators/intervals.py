@@ -15,8 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BIN = 1 << 16
-#: Distances are never more than this.
-FAR = 1_000_000_000
+#: The largest distance a column holds; there is no other limit.
+FAR = (1 << 63) - 1
 
 
 def running(df: DataFrame, keys: list[str], order: list[Column], fold, value: Column, own: bool, back: bool = False) -> tuple[DataFrame, str, str]:
@@ -77,7 +77,7 @@ def located(points: DataFrame, intervals: DataFrame) -> DataFrame:
         "ctg",
         "at",
         *more,
-        F.least(left, after["st"] - at, F.lit(FAR).cast("bigint")).alias("dist"),
+        F.least(left, after["st"] - at).alias("dist"),
         F.coalesce(prev["before"] + F.least(at, prev["en"]) - prev["st"], F.lit(0).cast("bigint")).alias("upto"),
         (prev.isNotNull() | after.isNotNull()).alias("known"),
     )

@@ -68,3 +68,9 @@ def test_many_intervals_of_one_contig(spark):
             assert upto == k * 5 + min(off, 5)
             assert dist == (0 if off < 5 else min(off - 5, 10 - off) if k + 1 < 300_000 else off - 5)
     assert len(got) == 1000
+
+
+def test_distances_beyond_a_billion(spark):
+    rows = spark.createDataFrame([("a", 6_000_000_000, 6_000_000_100, 1)], "ctg string, pos long, en long, id int")
+    out = with_indel_centromere(rows, I.merged(bed_of(spark, [("a", 10, 20)]))).collect()
+    assert [r["cen_dist"] for r in out] == [6_000_000_000 - 20]
