@@ -14,8 +14,10 @@ from strandloom.operators.merge import CLUSTER_KEY, SIGNATURE, assign_clusters,
 from strandloom.params import ExtractParams, MergeParams
 from strandloom.plans.flows import mosaic_calls
 from strandloom.sources.alignments import parse_alignments
+from strandloom.sources.calls import kept_rows
 from strandloom.sources.writers import call_lines, signal_lines, vcf_records
 from workload.registry import query, with_views
+from workload.views import VIEWS
 
 SIG = "ctg, pos, en, is_bp, ori, ctg2, pos2, svtype, svlen"
 SIG_COLS = "ctg pos en is_bp ori ctg2 pos2 read mapq strand svtype svlen qoff_l qoff_r source".split()
@@ -249,6 +251,10 @@ def typed_alignments(s):
     )
 
 
+# A line for every row of ``indel_alns``: rows may share a number, so lines are not told apart by it.
+ALN_TEXT = VIEWS["aln_lines"].replace(VIEWS["indel_alns"], "select * from indel_alns").replace("max(line) as line", "line").replace(") group by line_no", ")")
+
+
 @query(
     "parse_alignments",
     with_views(
@@ -257,7 +263,7 @@ def typed_alignments(s):
     ),
 )
 def parsed_alignments(s):
-    return parse_alignments(s.view("aln_lines"))
+    return parse_alignments(kept_rows(s.sql(ALN_TEXT, "indel_alns"), F.lit(True), "line"))
 
 
 @query(
