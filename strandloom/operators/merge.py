@@ -123,27 +123,60 @@ class VoteScan:
             rt_seen += n if rt else 0
 
 
-def distinct_rows(signals: DataFrame) -> DataFrame:
-    """Signals without read names, counted; absent optional columns are filled with null."""
+class ReadScan(VoteScan):
+    """Places single rows, each as soon as it is read: open clusters keep counts per signature and no rows."""
+
+    def __init__(self, emit, p: MergeParams):
+        super().__init__(emit, p)
+        self.joined: dict | None = None
+        self.copied: tuple | None = None
+
+    def row(self, batch, i: int, v: tuple) -> None:
+        if self.copied is not None and self.copied[0] == v:
+            _, c, new = self.copied
+            if not new:
+                self._join(c, v, batch, i, 1, False)
+                return
+            c["copies"] += 1
+            self.n_seen += 1
+            self.emit(batch, i, c["id"] + c["copies"] - 1)
+            return
+        seen = self.n_seen
+        super().row(batch, i, (*v, 1, False))
+        self.copied = (v, self.joined, self.n_seen > seen) if v[7] == 0 and self.p.max_alleles is None else None
+
+    def _join(self, c: dict, sig: tuple, batch, i: int, n: int, has_rt: bool) -> None:
+        c["upto"] = max(c["upto"], sig[0])
+        c["members"][sig] = c["members"].get(sig, 0) + n
+        self.joined = c
+        self.emit(batch, i, c["id"])
+
+    def _finish(self, c: dict) -> None:
+        pass
+
+
+def with_optional(signals: DataFrame) -> DataFrame:
+    """Absent optional columns are filled with null."""
     for c, t in OPTIONAL.items():
         if c not in signals.columns:
             signals = signals.withColumn(c, F.lit(None).cast(t))
+    return signals
+
+
+def distinct_rows(signals: DataFrame) -> DataFrame:
+    """Signals without read names, counted."""
+    signals = with_optional(signals)
     keys = [c for c in signals.columns if c != "read"]
     return signals.groupBy(*keys).agg(F.count("*").alias("n"))
 
 
-def assign_clusters(signals: DataFrame, p: MergeParams = MergeParams()) -> DataFrame:
-    """Distinct signal rows with ``cluster`` (creation index in the island), ``n`` and marks.
+def with_groups(rows: DataFrame, p: MergeParams) -> DataFrame:
+    """Adds ``kind`` and ``island``: rows of different ones never share a cluster.
 
-    A row appears once per cluster it contributes to; ``is_mid`` marks the middle member in arrival
-    order and ``is_rt`` the middle one among members with both flank and tail lengths.  A limit on open
-    clusters counts those of all kinds, so with one all kinds are one.
+    A limit on open clusters counts those of all kinds, so with one all kinds are one.
     """
-    rows = distinct_rows(signals)
-    attrs = sorted(c for c in rows.columns if c not in {"ctg", "n", *SIGNATURE})
     own = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("is_bp", "svtype", "ctg2")]
     rows = rows.withColumn("kind", F.concat_ws("|", *own) if p.max_alleles is None else F.lit(""))
-    rows = rows.withColumn("has_rt", F.col("tsd_len").isNotNull() & F.col("polya_len").isNotNull())
     rows = with_island(rows, ["ctg", "kind"], "pos", p.window)
     if p.max_alleles is None:
         # The other end must be near too: a long island falls apart where it has gaps there.
@@ -151,8 +184,20 @@ def assign_clusters(signals: DataFrame, p: MergeParams = MergeParams()) -> DataF
         rows = rows.withColumnsRenamed({"island": "_at"}).withColumn("_other", other)
         rows = with_island(rows, ["ctg", "kind", "_at"], "_other", p.window)
         rows = rows.withColumns({"kind": F.concat_ws("|", "kind", F.col("island").cast("string")), "island": F.col("_at")}).drop("_at", "_other")
+    return rows
+
+
+def assign_clusters(signals: DataFrame, p: MergeParams = MergeParams()) -> DataFrame:
+    """Distinct signal rows with ``cluster`` (creation index in the island), ``n`` and marks.
+
+    A row appears once per cluster it contributes to; ``is_mid`` marks the middle member in arrival
+    order and ``is_rt`` the middle one among members with both flank and tail lengths.
+    """
+    rows = distinct_rows(signals)
+    attrs = sorted(c for c in rows.columns if c not in {"ctg", "n", *SIGNATURE})
+    rows = rows.withColumn("has_rt", F.col("tsd_len").isNotNull() & F.col("polya_len").isNotNull())
     placed = scan_islands(
-        rows,
+        with_groups(rows, p),
         ["ctg", "kind"],
         [*SIGNATURE, *attrs],
         [*SIGNATURE, "n", "has_rt"],
@@ -165,31 +210,17 @@ def assign_clusters(signals: DataFrame, p: MergeParams = MergeParams()) -> DataF
 def cluster_reads(signals: DataFrame, p: MergeParams = MergeParams()) -> DataFrame:
     """``ctg, kind, island, cluster`` and the signal columns: every supporting read in its own row.
 
-    A zero length matches nothing, so the copies of such a row may sit in different clusters; they
-    are paired with their places one to one in read order.
+    The rows themselves are scanned, in the order of ``assign_clusters`` and then by read, so nothing is joined
+    back.  A zero length matches nothing, so the copies of such a row may sit in different clusters; they
+    take these in read order.
     """
-    placed = assign_clusters(signals, p)
-    full = signals
-    for c, t in placed.dtypes:
-        if c not in full.columns and c in OPTIONAL:
-            full = full.withColumn(c, F.lit(None).cast(t))
-    shared = [c for c in full.columns if c != "read"]
-    zero = F.coalesce(F.col("svlen") == 0, F.lit(False))
-    by_row = Window.partitionBy(*shared)
-    left = full.withColumn("_copy", F.lit(0)).filter(~zero).unionByName(
-        full.filter(zero).withColumn("_copy", F.row_number().over(by_row.orderBy("read")))
-    )
-    right = placed.withColumn("_copy", F.lit(0)).filter(~zero).unionByName(
-        placed.filter(zero)
-        .withColumn("_each", F.explode(F.sequence(F.lit(1).cast("bigint"), "n")))
-        .withColumn("_copy", F.row_number().over(by_row.orderBy("kind", "island", "cluster", "_each")))
-        .drop("_each")
+    rows = with_optional(signals)
+    cols = rows.columns
+    attrs = sorted(c for c in cols if c not in {"ctg", "read", *SIGNATURE})
+    placed = scan_islands(
+        with_groups(rows, p), ["ctg", "kind"], [*SIGNATURE, *attrs, "read"], SIGNATURE, [("cluster", T.LongType())], lambda emit: ReadScan(emit, p)
     )
-    right = right.select(*[F.col(c).alias("_p_" + c) for c in (*shared, "_copy")], "kind", "island", "cluster")
-    cond = F.col("_copy") == F.col("_p__copy")
-    for c in shared:
-        cond = cond & F.col(c).eqNullSafe(F.col("_p_" + c))
-    return left.join(right, cond).select(*CLUSTER_KEY, *[c for c in full.columns if c != "ctg"])
+    return placed.select(*CLUSTER_KEY, *[c for c in cols if c != "ctg"])
 
 
 def summarise(placed: DataFrame) -> DataFrame:

@@ -269,3 +269,13 @@ def test_a_contig_long_island_falls_apart_at_its_other_ends(spark):
     )
     placed = assign_clusters(rows, MergeParams())
     assert placed.select("kind", "island").distinct().count() == 97 and placed.agg(F.sum("n")).first()[0] == 20_000
+
+
+def test_reads_are_placed_without_joining_them_back(spark):
+    """Island numbers are joined to the rows, nothing else is; copies of a zero length take their clusters in read order."""
+    rows = [("c", 100 + k, None, True, ">>", "d", 500, "INV", 0, 60, "+", "A", None, None, f"r{k}{j}") for k in range(2) for j in range(3)]
+    rows += [("c", 110, None, True, ">>", "d", 500, "INV", None, 60, "+", "A", None, None, f"s{j}") for j in range(2)]
+    out = cluster_reads(spark.createDataFrame(rows, SIGNAL).repartition(3), MergeParams())
+    assert {r.read: r.cluster for r in out.collect()} == {**{f"r{k}{j}": 3 * k + j for k in range(2) for j in range(3)}, "s0": 0, "s1": 0}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 3  # the second island numbers are found on the rows with the first ones

@@ -147,10 +147,12 @@ def merge_reads(s):
     rows = cluster_reads(s.view("sig"), RELAXED)
     # Clusters are numbered within what the other ends leave of an island; here they are in order of their first rows.
     rest = sorted(c for c in rows.columns if c not in {*CLUSTER_KEY, *SIGNATURE, "read"})
-    first = rows.groupBy(*CLUSTER_KEY).agg(F.min(F.struct(*SIGNATURE, *rest)).alias("first"))
-    of_kind = Window.partitionBy("ctg", F.substring_index("kind", "|", 3), "island").orderBy("first", "kind", "cluster")
-    numbers = first.select(*CLUSTER_KEY, (F.row_number().over(of_kind) - 1).cast("bigint").alias("number"))
-    rows = rows.join(numbers, CLUSTER_KEY).drop("cluster").withColumnRenamed("number", "cluster")
+    # All clusters of an island come to one task at once, where both windows find them sorted.
+    island = ["ctg", "plain", "island"]
+    rows = rows.withColumn("plain", F.substring_index("kind", "|", 3)).repartition(*island)
+    rows = rows.withColumn("first", F.min(F.struct(*SIGNATURE, *rest)).over(Window.partitionBy(*island, "kind", "cluster")))
+    number = F.dense_rank().over(Window.partitionBy(*island).orderBy("first", "kind", "cluster")) - 1
+    rows = rows.withColumn("cluster", number.cast("bigint"))
     return rows.select("ctg", "island", "cluster", "read", "pos", "svtype", "svlen")
 
 
