@@ -41,76 +41,59 @@ def aligned_indels(alns: DataFrame, p: ExtractParams = ExtractParams()) -> DataF
 
 
 def with_inserted_sequence(rows: DataFrame, p: ExtractParams = ExtractParams()) -> DataFrame:
-    """Pairs the k-th long difference with the k-th CIGAR indel and splits off duplicated flanks.
+    """A row per indel, ``d``: the k-th CIGAR indel with the k-th long difference, whose duplicated flanks are split off.
 
-    The two encodings describe the same alignment; a disagreement is an error in the input.
+    The two encodings describe the same alignment; a disagreement is an error in the input.  ``stl`` to ``enr`` are the
+    furthest offsets up to the indel, see ``placed_indels``.
     """
-    rows = rows.withColumn(
-        "diffs", F.when(F.col("indels").isNotNull(), S.diff_indels("ds", "tst", p.min_len))
+    wanted = F.when(F.col("indels").isNotNull(), F.col("ds"))
+    rows = rows.withColumn("diffs", S.diff_indels(wanted, "tst", p.min_len, p.polya_penalty, p.polya_drop)).drop("ds")
+    others = [c for c in rows.columns if c not in ("indels", "diffs")]
+    both = F.when(F.col("indels").isNotNull(), F.arrays_zip(F.col("indels").alias("a"), F.coalesce("diffs", F.array()).alias("b")))
+    rows = rows.select(*others, F.col("diffs").isNull().alias("_plain"), F.explode_outer(both).alias("x")).filter("x is not null")
+    # One comparison and one struct per row: the walk of an alignment is not repeated for its indels.
+    text = lambda n: f"coalesce(x.b.{n}, '')"
+    spots = ", ".join(f"'{n}', coalesce(x.b.{n}, x.a.{n[:2]})" for n in ("stl", "enl", "str", "enr"))
+    d = F.expr(
+        f"""
+        if(_plain or (x.a.st <=> x.b.st and x.a.en <=> x.b.en and x.a.len <=> x.b.len),
+          named_struct(
+            'len', x.a.len, 'st', x.a.st, 'en', x.a.en, 'qoff_l', x.a.qoff_l, 'qoff_r', x.a.qoff_r,
+            'l', {text("l")}, 'mid', {text("mid")}, 'r', {text("r")}, 'polya', coalesce(x.b.polya, 0L), {spots}),
+          raise_error(concat('CIGAR and difference string disagree on read ', qname)))
+        """
     )
-    shape = lambda x: F.struct(x["st"], x["en"], x["len"])
-    agree = F.transform("diffs", shape) == F.transform("indels", shape)
-    rows = rows.withColumn(
-        "diffs",
-        F.when(F.col("diffs").isNull() | agree, F.col("diffs")).otherwise(
-            F.raise_error(F.concat(F.lit("CIGAR and difference string disagree on read "), F.col("qname")))
-        ),
-    )
-    part = lambda i: f"regexp_extract(coalesce(get(diffs, i).seq, ''), '{S._sql(S.FLANKED_SEQ)}', {i})"
-    return rows.withColumn(
-        "indels",
-        F.expr(
-            f"""
-            transform(indels, (d, i) -> named_struct(
-              'len', d.len, 'st', d.st, 'en', d.en, 'qoff_l', d.qoff_l, 'qoff_r', d.qoff_r,
-              'l', {part(1)}, 'mid', {part(2)}, 'r', {part(3)}))
-            """
-        ),
-    ).drop("diffs", "ds")
+    return rows.select(*others, F.explode(F.array(d)).alias("d"))
 
 
 def placed_indels(rows: DataFrame, p: ExtractParams = ExtractParams()) -> DataFrame:
-    """Explodes indels onto the contig of their path segment; indels crossing segments are dropped.
+    """Puts indels on the contig of their path segment; indels crossing segments are dropped.
 
     The segment of an indel never lies before that of an earlier indel of the alignment; since the
     lookup grows with the offset, that is the lookup of the largest offset so far.
     """
     rows = rows.filter((F.col("strand") == "+") | ~F.col("path").rlike("^[><]"))
-    rows = rows.withColumn("segs", F.when(F.col("indels").isNotNull(), path_segments("path", "tlen")))
+    rows = rows.withColumn("segs", path_segments("path", "tlen"))
     spots = {"stl": ("d.st - length(d.r)", False), "enl": ("d.en - length(d.r)", True),
              "str": ("d.st + length(d.l)", False), "enr": ("d.en + length(d.l)", True)}
-
-    def furthest(off: str) -> str:
-        return f"array_max(transform(slice(indels, 1, i + 1), d -> {off}))"
-
-    lookup = ", ".join(
-        f"'{n}', {segment_index('segs', furthest(off), is_end)}" for n, (off, is_end) in spots.items()
-    )
     within = " and ".join(f"{off} {'<=' if is_end else '<'} segs[0].p_en" for off, is_end in spots.values())
-    # The choice is made inside the array: only indels that stay on one segment are exploded.
-    rows = rows.withColumn(
-        "placed",
-        F.expr(
-            f"""
-            filter(
-              transform(
-                transform(indels, (d, i) -> named_struct('d', d, 's',
-                  if(size(segs) = 1 and {within}, named_struct('stl', 0, 'enl', 0, 'str', 0, 'enr', 0),
-                     named_struct({lookup})))),
-                x -> named_struct('d', x.d, 'k', case
-                  when greatest(x.s.stl, x.s.enl, x.s.str, x.s.enr) >= size(segs)
-                    then cast(raise_error(concat('indel past the end of the path of ', qname)) as int)
-                  when x.s.stl = x.s.enl and x.s.stl = x.s.str and x.s.stl = x.s.enr then x.s.stl end)),
-              x -> x.k is not null)
-            """
-        ),
+    lookup = ", ".join(f"'{n}', {segment_index('segs', 'd.' + n, is_end)}" for n, (_, is_end) in spots.items())
+    at = f"if(size(segs) = 1 and {within}, named_struct('stl', 0, 'enl', 0, 'str', 0, 'enr', 0), named_struct({lookup}))"
+    rows = rows.select("qname", "mapq", "strand", "segs", "d", F.explode(F.array(F.expr(at))).alias("s"))
+    segment = F.expr(
+        """
+        case when greatest(s.stl, s.enl, s.str, s.enr) >= size(segs)
+             then cast(raise_error(concat('indel past the end of the path of ', qname)) as int)
+             when s.stl = s.enl and s.stl = s.str and s.stl = s.enr then s.stl end
+        """
     )
-    rows = rows.select("qname", "mapq", "strand", "segs", F.explode_outer("placed").alias("x")).filter("x is not null")
-    rows = rows.select("qname", "mapq", "strand", F.col("x.d").alias("d"), F.expr("get(segs, x.k)").alias("g"))
+    # Decided in a generator: a filter would be pushed down with the lookup copied into it.
+    rows = rows.select("qname", "mapq", "strand", "segs", "d", F.explode_outer(F.array(segment)).alias("k")).filter("k is not null")
+    rows = rows.select("qname", "mapq", "strand", "d", F.expr("get(segs, k)").alias("g"))
     at = lambda n: F.expr(on_contig("g", f"({spots[n][0]})"))
     fwd = F.col("g.fwd")
     tsd = F.concat("d.r", "d.l")
-    polya = F.when(F.col("d.mid") != "", S.poly_a_length("d.mid", p.polya_penalty, p.polya_drop)).otherwise(0)
+    polya = F.col("d.polya")
     seq_or_dot = lambda c: F.when(c == "", ".").otherwise(c)
     rev = F.col("strand") == "-"
     return rows.select(
@@ -125,7 +108,7 @@ def placed_indels(rows: DataFrame, p: ExtractParams = ExtractParams()) -> DataFr
         (F.col("d.qoff_l") - F.length(F.when(rev, F.col("d.l")).otherwise(F.col("d.r")))).alias("qoff_l"),
         (F.col("d.qoff_r") + F.length(F.when(rev, F.col("d.r")).otherwise(F.col("d.l")))).alias("qoff_r"),
         F.length(tsd).cast("bigint").alias("tsd_len"),
-        F.when(fwd, polya).otherwise(-polya).cast("bigint").alias("polya_len"),
+        F.when(fwd, polya).otherwise(-polya).alias("polya_len"),
         seq_or_dot(F.when(fwd, tsd).otherwise(S.reverse_complement(tsd))).alias("tsd_seq"),
         seq_or_dot(F.when(fwd, F.col("d.mid")).otherwise(S.reverse_complement(F.col("d.mid")))).alias("insert_seq"),
     )

@@ -31,16 +31,11 @@ def alignment_indels(
         few = few & (F.size("indels") <= max_indels)
     rows = rows.withColumn("indels", F.when(few, F.col("indels")))
     rows = with_inserted_sequence(rows, ExtractParams(min_len=min_len))
-    rows = rows.withColumn("segs", F.when(F.col("indels").isNotNull(), path_segments("path", "tlen")))
+    rows = rows.withColumn("segs", path_segments("path", "tlen"))
     st, en = "if(d.len > 0, d.st - 1, d.st)", "if(d.len > 0, d.en + 1, d.en)"
-    rows = rows.withColumn(
-        "placed",
-        F.expr(
-            f"transform(indels, d -> named_struct('d', d, 'st', {st}, 'en', {en}, "
-            f"'k0', {segment_index('segs', st, False)}, 'k1', {segment_index('segs', en, False)}))"
-        ),
-    )
-    rows = rows.select("qname", "mapq", "strand", "segs", F.explode_outer("placed").alias("x")).filter("x is not null")
+    inside = lambda off: f"if(size(segs) = 1, if(segs[0].p_en <= {off}, 1, 0), {segment_index('segs', off, False)})"
+    place = F.expr(f"named_struct('d', d, 'st', {st}, 'en', {en}, 'k0', {inside(st)}, 'k1', {inside(en)})")
+    rows = rows.select("qname", "mapq", "strand", "segs", F.explode(F.array(place)).alias("x"))
     past = F.col("x.k1") >= F.size("segs")
     rows = rows.withColumn(
         "k",
@@ -64,7 +59,7 @@ def alignment_indels(
         F.when(~one, "+").when(F.col("g.fwd"), F.col("strand")).otherwise(F.when(rev, "+").otherwise("-")).alias("strand"),
         F.col("x.d.len").alias("len"),
         (F.length("x.d.l") + F.length("x.d.r")).cast("bigint").alias("tsd_len"),
-        F.when(mid != "", S.poly_a_length("x.d.mid")).otherwise(0).cast("bigint").alias("polya_len"),
+        F.col("x.d.polya").alias("polya_len"),
         F.when(mid == "", ".").otherwise(mid).alias("seq"),
     )
 

@@ -36,8 +36,15 @@ class Source:
         return self.spark.sql(sql)
 
     def spread(self, name: str) -> DataFrame:
-        """A view whose rows feed heavy per-row work; the driver tables are single files of one split."""
-        return self.view(name).repartition(self.spark.sparkContext.defaultParallelism)
+        """A view whose rows feed heavy per-row work: a table of fewer splits than cores is dealt out before it is derived."""
+        sql, cores = SQL_VIEWS[name], self.spark.sparkContext.defaultParallelism
+        for t in TABLES:
+            if f"from {t}" in sql:
+                rows = self.table(t)
+                if rows.rdd.getNumPartitions() < cores:
+                    rows = rows.repartition(cores)
+                rows.createOrReplaceTempView(t)
+        return self.spark.sql(sql)
 
     def sql(self, text: str, *views: str) -> DataFrame:
         for v in views:
