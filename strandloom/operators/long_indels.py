@@ -16,6 +16,7 @@ from strandloom.operators.extract import with_inserted_sequence
 from strandloom.operators.islands import scan_islands, with_island
 from strandloom.operators.regions import REGION_BIN, binned_regions
 from strandloom.params import ExtractParams
+from strandloom.session import settle
 
 
 def alignment_indels(
@@ -80,7 +81,7 @@ class OverlapScan:
         for c in reversed(self.open):
             if c["len"] * n <= 0:
                 continue
-            if min(abs(size - x) for x in c["sizes"]) <= max(*c["sizes"], size) * self.max_diff:
+            if size in c["sizes"] or min(abs(size - x) for x in c["sizes"]) <= max(*c["sizes"], size) * self.max_diff:
                 break
         else:
             c = {"id": self.made, "len": n, "en": en, "sizes": set()}
@@ -108,7 +109,8 @@ def merge_indels(
         *[F.sum(F.col(c).cast("bigint")).alias(c + "_sum") for c in ("mapq", "tsd_len", "polya_len")],
         F.min_by("seq", first).alias("seq"),
     )
-    rows = with_island(shapes, ["ctg"], "st", window, end="en")
+    # Islands and rows are read from it: the alignments are parsed once.
+    rows = with_island(settle(shapes), ["ctg"], "st", window, end="en")
     placed = scan_islands(
         rows, ["ctg"], ["st", "en", "len"], ["st", "en", "len"], [("cluster", T.LongType())],
         lambda emit: OverlapScan(emit, window, max_diff),

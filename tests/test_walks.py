@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import sequence as S
 from strandloom.operators.extract import indel_signals
+from strandloom.operators.long_indels import merge_indels
 
 ALN = "qname string, qlen long, qst long, qen long, strand string, path string, tlen long, tst long, ten long, mapq int, cg string, ds string"
 
@@ -44,3 +45,17 @@ def test_diff_walk(spark):
 def test_poly_a_of_runs(spark):
     for seq, want in [("", 0), ("gaaa", 3), ("TTTTTTg", -6), ("a" * 30 + "c" + "a" * 10, 41), ("a" * 60 + "c" * 21 + "a" * 4, 4), ("gg", 0)]:
         assert spark.createDataFrame([(seq,)], "s string").select(S.poly_a_length("s")).first()[0] == want
+
+
+def test_indels_are_read_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(x):
+        seen.add(1)
+        return x
+
+    rows = [("c1", 10 * i, 10 * i + 1, f"r{i}", 60, "+", 100 + i, 0, 0, "a") for i in range(20)]
+    df = spark.createDataFrame(rows, "ctg string, st long, en long, read string, mapq int, strand string, len long, tsd_len long, polya_len long, seq string")
+    merged = merge_indels(df.withColumn("st", F.udf(count, "long")("st")))
+    assert sum(r.n_reads for r in merged.collect()) == 20
+    assert seen.value == 20
