@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,18 +27,32 @@ def local_session(cores: int = 8, app: str = "strandloom", **conf) -> SparkSessi
     return b.getOrCreate()
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and go on from there.
+def _shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder: the one the session names in ``spark.checkpoint.dir``, which all executors share.
 
-    For results that several branches of a plan read and that are dear to compute, such as ordered
-    scans.  The folder is the one the session names in ``spark.checkpoint.dir``, which all executors share;
-    a local session without one gets a temporary folder, a cluster without one an error.
+    A local session without one gets a temporary folder, a cluster without one an error.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="strandloom-"))
+    return sc.getCheckpointDir()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the checkpoint folder and go on from there.
+
+    For results that several branches of a plan read and that are dear to compute, such as ordered
+    scans.
+    """
+    _shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``settle`` for wide rows of which later steps read few columns: a Parquet table in the checkpoint folder."""
+    path = f"{_shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

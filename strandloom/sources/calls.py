@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from strandloom.functions.info import info_first, info_long, strand_count_total, vcf_support
 from strandloom.params import CallParams
+from strandloom.session import written
 from strandloom.sources.mates import staying_lines
 from strandloom.sources.text import read_numbered_lines
 
@@ -80,15 +81,16 @@ def _without_later_mates(rows: DataFrame) -> DataFrame:
 
     A dropped record claims nothing, so along a chain of mates kept and dropped records alternate.  Of records
     that share an id only the first can stay; whether it does is settled by ``mates.staying_lines`` on the ids that
-    are claimed.  Records that cannot be dropped get a key of their own, so that a common id such as ``.`` does
-    not pile up.
+    are claimed.  ``rows`` are read several times; only the lines that go are joined to them.
     """
     claims = rows.filter("symbolic").select("file_id", "line_no", "svid", "mate")
-    ids = staying_lines(claims).withColumnsRenamed({"file_id": "_file", "svid": "_id"})
-    named = F.col("symbolic") & (F.col("svid") != ".")
-    key = F.when(named, F.col("svid")).otherwise(F.concat(F.lit("\t"), F.col("line_no").cast("string")))
-    met = rows.withColumn("_key", key).join(ids, (F.col("file_id") == F.col("_file")) & (F.col("_key") == F.col("_id")), "left")
-    return met.filter(F.col("_id").isNull() | (F.col("stays") == F.col("line_no"))).drop("_key", "_file", "_id", "stays")
+    if claims.isEmpty():
+        return rows
+    key = ["file_id", "line_no", "svid"]
+    met = claims.filter("svid != '.'").join(staying_lines(claims), ["file_id", "svid"])
+    lost = met.filter("stays is null or stays != line_no").select(*key).distinct()
+    named = F.col("symbolic") & F.coalesce(F.col("svid") != ".", F.lit(False))
+    return rows.filter(~named).unionByName(rows.filter(named).join(lost, key, "left_anti").select(*rows.columns))
 
 
 def _steps(rows: DataFrame, *steps: dict[str, Column]) -> DataFrame:
@@ -100,12 +102,13 @@ def parse_calls(lines: DataFrame, params: CallParams = CallParams()) -> DataFram
     """``file_id, line_no, line`` to calls; positions are 0-based, VCF mate/END positions stay 1-based.
 
     Each step sees what the steps before it wrote.  Conditions to drop a row are collected in
-    ``keep`` and applied once at the end.
+    ``keep`` and applied once at the end.  Lines are parsed once and written; which records are later mates is
+    then decided on the narrow rows, so what is wrong with a record (``fault``) counts only if it stays.
     """
     c, min_len = F.col, params.min_read_len
     is_vcf, is_bp, is_indel = c("kind") == "vcf", c("kind") == "breakend", c("kind") == "indel"
     sym, spelled = c("symbolic"), c("spelled")
-    rows = _without_later_mates(_supported(lines, params))
+    rows = _supported(lines, params)
 
     # Alleles spelled out as bases: one row per allele that is long enough.
     ref_len = F.length(_field(3)).cast("bigint")
@@ -143,18 +146,19 @@ def parse_calls(lines: DataFrame, params: CallParams = CallParams()) -> DataFram
         {
             "inv": F.coalesce(c("svtype") == "INV", F.lit(False)),
             "svtype": F.when(spelled, F.when(c("allele") < 0, "DEL").otherwise("INS"))
-            .when(untyped, F.raise_error(F.lit("call without SVTYPE")).cast("string"))
             .otherwise(c("svtype")),
+            "fault": F.when(untyped, "call without SVTYPE"),
             "svlen": F.when(spelled, c("allele"))
             .when(
                 sym & (c("svtype") == "INS"),
                 F.coalesce(info_first(c("info"), "SVINSLEN", False).try_cast("bigint"), c("svlen")),
             )
             .otherwise(c("svlen")),
-            "alt_ori": F.when(sym & c("alt").rlike(fwd), ">>")
-            .when(sym & c("alt").rlike(rev), "<<")
-            .when(sym & c("alt").rlike(left), "<>")
-            .when(sym & c("alt").rlike(right), "><"),
+            # The bracket at an end of the text tells which one pattern can match.
+            "alt_ori": F.when(sym & c("alt").endswith("[") & c("alt").rlike(fwd), ">>")
+            .when(sym & c("alt").startswith("]") & c("alt").rlike(rev), "<<")
+            .when(sym & c("alt").startswith("[") & c("alt").rlike(left), "<>")
+            .when(sym & c("alt").endswith("]") & c("alt").rlike(right), "><"),
             "pos": F.when(is_vcf, c("vpos") - 1).otherwise(c("vpos")),
         },
         # Length bounds look at the annotated length, before break ends are retyped.
@@ -202,19 +206,17 @@ def parse_calls(lines: DataFrame, params: CallParams = CallParams()) -> DataFram
                 sym & same & bnd & (c("ori") == ">>") & info_first(c("info"), "DETAILED_TYPE", False).isNull(), "DEL"
             )
             .when(sym & same & bnd & (c("ori") == "<<"), "DUP")
-            .when(
-                c("keep") & sym & ~same & ~bnd,
-                F.raise_error(F.lit("only breakends may join two contigs")).cast("string"),
-            )
-            .otherwise(c("svtype"))
+            .otherwise(c("svtype")),
+            "fault": F.coalesce(c("fault"), F.when(c("keep") & sym & ~same & ~bnd, "only breakends may join two contigs")),
         },
         {"svlen": F.when(sym & (c("svtype") == "DEL") & (c("svlen") > 0), -c("svlen")).otherwise(c("svlen"))},
     )
     reach = F.when(c("svlen") == 0, F.abs(c("pos2") - c("pos"))).otherwise(F.abs("svlen"))
     swap = sym & same & (c("pos") > c("pos2"))
-    return kept_rows(
+    keep = F.coalesce(c("keep") & (~(sym & same & bnd) | (reach >= min_len)), F.lit(False))
+    rows = kept_rows(
         rows,
-        c("keep") & (~(sym & same & bnd) | (reach >= min_len)),
+        keep | sym,
         "file_id",
         "line_no",
         "svid",
@@ -227,8 +229,13 @@ def parse_calls(lines: DataFrame, params: CallParams = CallParams()) -> DataFram
         "svlen",
         "inv",
         "count",
-        F.lit(1.0).alias("vaf"),
+        "symbolic",
+        "mate",
+        "fault",
+        keep.alias("keep"),
     )
+    sound = F.when(c("fault").isNull(), c("keep")).otherwise(F.raise_error(c("fault")).cast("boolean"))
+    return kept_rows(_without_later_mates(written(rows)), sound, *CALL_COLUMNS[:-1], F.lit(1.0).alias("vaf"))
 
 
 def read_calls(
