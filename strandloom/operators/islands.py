@@ -9,12 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 import strandloom
+from strandloom.session import written
 
 # Scans travel with the plan, so executors need not have this package installed.
 cloudpickle.register_pickle_by_value(strandloom)
@@ -113,3 +115,117 @@ def scan_islands(
 
     spread = df.repartition(*group).sortWithinPartitions(*group, *order)
     return spread.mapInArrow(run, out)
+
+
+#: Cells a table is cut into, about; rows of linked cells beyond which their islands are spread on their own.
+CELLS, DEEP = 1 << 16, 1 << 20
+
+
+def with_segment(rows: DataFrame, keys: list[str], pos: str, window: int, deep: int = DEEP) -> tuple[DataFrame, DataFrame | None]:
+    """``rows`` with ``segment``, which holds whole islands, and the rows of chains of cells with more than ``deep`` rows.
+
+    ``rows`` are read several times, so they should be a table.  Positions are cut into about ``CELLS`` cells; a
+    segment begins at the first gap of a cell and ends at that of a later one, so it is as long as a cell unless
+    an island is longer.  The table of cells is small, so rows find their segment without being shuffled.  Cells that
+    islands link form a chain; a chain that is too much for one task comes back without ``segment``.
+    """
+    size = max(window, 1)
+    at = F.floor(F.col(pos) / F.lit(size)).cast("bigint")
+    spans = rows.filter(F.col(pos).isNotNull()).groupBy(*keys).agg((F.max(at) - F.min(at) + 1).alias("n"))
+    wide = max(16, (spans.agg(F.sum("n")).first()[0] or 0) // CELLS + 1)
+    cell = F.floor(at / F.lit(wide)).cast("bigint")
+    bins = rows.filter(F.col(pos).isNotNull()).groupBy(*keys, cell.alias("_cell"), at.alias("_bin"))
+    bins = bins.agg(F.min(pos).alias("_lo"), F.max(pos).alias("_hi"), F.count("*").alias("_n"))
+    gap = F.col("_lo") - F.lag("_hi").over(Window.partitionBy(*keys, "_cell").orderBy("_bin")) > window
+    cells = bins.withColumn("_gap", F.when(gap, F.col("_lo"))).groupBy(*keys, "_cell")
+    cells = cells.agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.min("_gap").alias("_gap"), F.sum("_n").alias("_n"))
+    w = Window.partitionBy(*keys).orderBy("_cell")
+    free = F.coalesce(F.col("_lo") - F.lag("_hi").over(w) > window, F.lit(True))
+    cells = cells.withColumn("_free", free).withColumn("_cut", F.when(F.col("_free"), F.col("_lo")).otherwise(F.col("_gap")))
+    begun = F.last(F.when(F.col("_cut").isNotNull(), F.col("_cell")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    chain = F.last(F.when(F.col("_free"), F.col("_cell")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    cells = cells.withColumns({"_head": begun, "_chain": chain})
+    cells = cells.withColumn("_deep", F.sum("_n").over(Window.partitionBy(*keys, "_chain")) > deep)
+    cells = written(cells.select(*[F.col(k).alias("_k_" + k) for k in keys], "_cell", "_cut", "_head", "_deep"))
+    cond = cell == F.col("_cell")
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col("_k_" + k))
+    met = rows.join(cells, cond)
+    own = F.coalesce(F.col(pos) >= F.col("_cut"), F.lit(False))
+    light = met.filter("not _deep").withColumn("segment", F.when(own, F.col("_cell")).otherwise(F.col("_head")))
+    is_deep = not cells.filter("_deep").isEmpty()
+    return light.select(*rows.columns, "segment"), met.filter("_deep").select(*rows.columns) if is_deep else None
+
+
+def codes(column: pa.ChunkedArray) -> np.ndarray:
+    """Numbers that are equal where the values are; -1 for null."""
+    return column.combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+
+
+def numbers(column: pa.ChunkedArray) -> np.ndarray:
+    """The values, 0 or false for null."""
+    return column.combine_chunks().fill_null(False if pa.types.is_boolean(column.type) else 0).to_numpy(zero_copy_only=False)
+
+
+def gathered(picks: list[tuple[pa.Table, int]]) -> pa.Table:
+    """The rows (table, index) in the order given."""
+    by: dict[int, tuple[pa.Table, list[int], list[int]]] = {}
+    for at, (table, i) in enumerate(picks):
+        _, rows, places = by.setdefault(id(table), (table, [], []))
+        rows.append(i)
+        places.append(at)
+    back = np.empty(len(picks), np.int64)
+    back[np.concatenate([np.array(x[2]) for x in by.values()])] = np.arange(len(picks))
+    return pa.concat_tables([t.take(pa.array(rows)) for t, rows, _ in by.values()]).take(pa.array(back))
+
+
+def scan_segments(
+    df: DataFrame, keys: list[str], order: list[str], pos: str, window: int, out: T.StructType, new_scan: Callable[[], object], most: int = 100_000
+) -> DataFrame:
+    """Streams rows with ``segment`` in order and cuts them into islands as they come.
+
+    The scan gets tables of whole islands: ``whole(table, starts)``, with the indices where islands start.  An island of
+    more than ``most`` rows comes piece by piece: ``part(table, last)``.  Both yield tables with the columns of ``out``.
+    """
+    group = [*keys, "segment"]
+    names = [f.name for f in out.fields]
+
+    def starts_of(t: pa.Table) -> np.ndarray:
+        new = np.ones(t.num_rows, bool)
+        at = numbers(t[pos])
+        new[1:] = at[1:] - at[:-1] > window
+        for g in group:
+            c = codes(t[g])
+            new[1:] |= c[1:] != c[:-1]
+        return np.flatnonzero(new)
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        scan, held, passed = new_scan(), None, 0  # held: the island not yet ended; of a very long one the last row, which was passed on
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            if held is not None:
+                t = pa.concat_tables([held, t]).combine_chunks()
+            if t.num_rows == 0:
+                continue
+            starts = starts_of(t)
+            if passed and len(starts) > 1:
+                yield from scan.part(t.slice(passed, starts[1] - passed), True)
+                t, starts, passed = t.slice(starts[1]), starts[1:] - starts[1], 0
+            if not passed and len(starts) > 1:
+                yield from scan.whole(t.slice(0, starts[-1]), starts[:-1])
+            held = t.slice(starts[-1])
+            if passed or held.num_rows > most:
+                yield from scan.part(held.slice(passed), False)
+                held, passed = held.slice(held.num_rows - 1), 1
+        if passed:
+            yield from scan.part(held.slice(passed), True)
+        elif held is not None:
+            yield from scan.whole(held, np.zeros(1, np.int64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in pieces(batches):
+            yield from table.select(names).combine_chunks().to_batches()
+
+    # A number for the group in front: most rows are told apart by it alone when they are sorted.
+    spread = df.repartition(*group).sortWithinPartitions(F.xxhash64(*group), *group, *order)
+    return spread.mapInArrow(run, out)

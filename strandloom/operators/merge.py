@@ -16,11 +16,15 @@ with a weight, so no sampling is needed for deep clusters.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
-from strandloom.operators.islands import scan_islands, with_island
+from strandloom.operators.islands import DEEP, codes, gathered, numbers, scan_islands, scan_segments, with_island, with_segment
 from strandloom.params import MergeParams
+from strandloom.session import written
 
 SIGNATURE = ["pos", "is_bp", "en", "ori", "ctg2", "pos2", "svtype", "svlen"]
 CLUSTER_KEY = ["ctg", "kind", "island", "cluster"]
@@ -57,7 +61,7 @@ class VoteScan:
             for at, c in enumerate(self.open):
                 if c["label"] != sig[6] and not (c["label"] == "INS" and sig[6] == "DUP"):
                     continue
-                votes = sum(w for m, w in c["members"].items() if self._same(m, sig))
+                votes = self._votes(c["members"], sig)
                 if votes > most:
                     best, most, place = c, votes, at
             each = 1 if alone and (best is None or self.p.max_alleles is not None) else n
@@ -111,6 +115,13 @@ class VoteScan:
         a, b = abs(m[7]), abs(v[7])
         return m[7] * v[7] > 0 and abs(a - b) <= 0.5 * (a + b) * self.p.max_len_diff
 
+    def _votes(self, members: dict, v: tuple) -> int:
+        pos, w, votes = v[0], self.p.window, 0
+        for m, n in members.items():
+            if -w <= m[0] - pos <= w and self._same(m, v):
+                votes += n
+        return votes
+
     def _finish(self, c: dict) -> None:
         half, rt_total = c["n"] >> 1, sum(n for _, _, n, rt in c["rows"] if rt)
         seen = rt_seen = 0
@@ -170,13 +181,17 @@ def distinct_rows(signals: DataFrame) -> DataFrame:
     return signals.groupBy(*keys).agg(F.count("*").alias("n"))
 
 
+def _kind(p: MergeParams) -> Column:
+    own = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("is_bp", "svtype", "ctg2")]
+    return F.concat_ws("|", *own) if p.max_alleles is None else F.lit("")
+
+
 def with_groups(rows: DataFrame, p: MergeParams) -> DataFrame:
     """Adds ``kind`` and ``island``: rows of different ones never share a cluster.
 
     A limit on open clusters counts those of all kinds, so with one all kinds are one.
     """
-    own = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("is_bp", "svtype", "ctg2")]
-    rows = rows.withColumn("kind", F.concat_ws("|", *own) if p.max_alleles is None else F.lit(""))
+    rows = rows.withColumn("kind", _kind(p))
     rows = with_island(rows, ["ctg", "kind"], "pos", p.window)
     if p.max_alleles is None:
         # The other end must be near too: a long island falls apart where it has gaps there.
@@ -193,7 +208,10 @@ def assign_clusters(signals: DataFrame, p: MergeParams = MergeParams()) -> DataF
     A row appears once per cluster it contributes to; ``is_mid`` marks the middle member in arrival
     order and ``is_rt`` the middle one among members with both flank and tail lengths.
     """
-    rows = distinct_rows(signals)
+    return _assigned(distinct_rows(signals), p)
+
+
+def _assigned(rows: DataFrame, p: MergeParams) -> DataFrame:
     attrs = sorted(c for c in rows.columns if c not in {"ctg", "n", *SIGNATURE})
     rows = rows.withColumn("has_rt", F.col("tsd_len").isNotNull() & F.col("polya_len").isNotNull())
     placed = scan_islands(
@@ -268,6 +286,166 @@ def summarise(placed: DataFrame) -> DataFrame:
     )
 
 
+class ClusterScan:
+    """Tables of whole islands to one row per cluster.
+
+    Where every row matches one of the ``BACK`` rows before it in its island, each joins the only open cluster: such
+    islands are settled for a whole table at once.  The others are scanned row by row.
+    """
+
+    BACK = 4
+
+    def __init__(self, p: MergeParams, rep: list[str]):
+        self.p, self.rep = p, rep
+        self.found: list[tuple] = []
+        self.votes: VoteScan | None = None
+        self.at: int = 0
+
+    def whole(self, t: pa.Table, starts: np.ndarray):
+        size = np.diff(np.append(starts, t.num_rows))
+        island = np.repeat(np.arange(len(starts)), size)
+        first = numbers(t["pos"])[starts]
+        plain = np.zeros(len(starts), bool) if self.p.max_alleles is not None else self._single(t, island, starts)
+        rows = np.flatnonzero(plain[island])
+        if len(rows):
+            part = t if len(rows) == t.num_rows else t.take(pa.array(rows))
+            yield self._summary(part, island[rows], first[island[rows]], np.zeros(len(rows), np.int64), numbers(part["n"]))
+        rows = np.flatnonzero(~plain[island])
+        if len(rows):
+            part = t if len(rows) == t.num_rows else t.take(pa.array(rows))
+            values, own = _votable(part), island[rows]
+            votes = last = None
+            for i, v in enumerate(values):
+                if own[i] != last:
+                    if votes is not None:
+                        votes.close()
+                    last, votes = own[i], VoteScan(lambda table, i, cluster, n, *_: self.found.append((table, i, cluster, n)), self.p)
+                votes.row(part, i, v)
+            votes.close()
+            yield self._flushed(lambda picked: (own[picked], first[own[picked]]))
+
+    def part(self, t: pa.Table, last: bool):
+        if self.votes is None:
+            self.votes = VoteScan(lambda table, i, cluster, n, *_: self.found.append((table, i, cluster, n)), self.p)
+            self.at = int(t["pos"][0].as_py())
+        t = t.combine_chunks()
+        for i, v in enumerate(_votable(t)):
+            self.votes.row(t, i, v)
+        if last:
+            self.votes.close()
+            self.votes = None
+        if self.found:
+            yield self._flushed(lambda picked: (np.zeros(len(picked), np.int64), np.full(len(picked), self.at)))
+
+    def _flushed(self, placed) -> pa.Table:
+        """Clusters that are settled; all rows of a cluster were found together, in arrival order."""
+        rows = gathered([f[:2] for f in self.found])
+        picked, cluster, n = (np.array([f[k] for f in self.found], np.int64) for k in (1, 2, 3))
+        self.found = []
+        island, first = placed(picked)
+        order = np.lexsort((np.arange(len(picked)), cluster, island))
+        return self._summary(rows.take(pa.array(order)), island[order], first[order], cluster[order], n[order])
+
+    def _single(self, t: pa.Table, island: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Islands in which every row but the first matches one of the rows just before it, and no length is zero."""
+        w, pos, bp, size = self.p.window, numbers(t["pos"]), numbers(t["is_bp"]), numbers(t["svlen"])
+        ori, ty, ctg2 = (codes(t[c]) for c in ("ori", "svtype", "ctg2"))
+        turned = _equal(t["ori"], "><") | _equal(t["ori"], "<>")
+        end = np.where(bp, numbers(t["pos2"]), numbers(t["en"]))
+        known = ~t["svlen"].combine_chunks().is_null().to_numpy(zero_copy_only=False)
+        ok = np.zeros(t.num_rows, bool)
+        ok[starts] = True
+        for back in range(1, min(self.BACK, t.num_rows - 1) + 1):
+            a, b = slice(None, -back), slice(back, None)
+            same = (island[a] == island[b]) & (pos[b] - pos[a] <= w) & (bp[a] == bp[b]) & (ty[a] == ty[b]) & (np.abs(end[a] - end[b]) <= w)
+            same &= ~bp[a] | ((ctg2[a] == ctg2[b]) & ((ori[a] == ori[b]) | (turned[a] & turned[b])))
+            x, y = np.abs(size[a]), np.abs(size[b])
+            alike = (np.sign(size[a]) == np.sign(size[b])) & (np.abs(x - y) <= 0.5 * (x + y) * self.p.max_len_diff)
+            ok[b] |= same & (alike | ~known[a] | ~known[b])
+        ok &= ~(known & (size == 0))
+        return np.logical_and.reduceat(ok, starts)
+
+    def _summary(self, t: pa.Table, island, first, cluster, n) -> pa.Table:
+        """One row per (island, cluster); rows are in that order and then in arrival order."""
+        new = np.ones(t.num_rows, bool)
+        new[1:] = (island[1:] != island[:-1]) | (cluster[1:] != cluster[:-1])
+        starts = np.flatnonzero(new)
+        own = np.cumsum(new) - 1
+        total = lambda x: np.add.reduceat(x, starts)
+
+        def middle(weight):
+            """The row at place n div 2 of each cluster, counted by ``weight``."""
+            upto = np.cumsum(weight)
+            return np.searchsorted(upto, upto[starts] - weight[starts] + (total(weight) >> 1), side="right")
+
+        fwd = np.where(_equal(t["strand"], "+"), n, 0)
+        null = lambda c: t[c].combine_chunks().is_null().to_numpy(zero_copy_only=False)
+        has_q, has_rt = ~null("mapq"), ~(null("tsd_len") | null("polya_len"))
+        quality = total(numbers(t["mapq"]).astype(np.int64) * n)
+        rt = np.where(has_rt, n, 0)
+        mid_rt = np.minimum(middle(rt), t.num_rows - 1)
+        rt_len = np.minimum(numbers(t["tsd_len"]), np.abs(numbers(t["polya_len"])))[mid_rt]
+        names = t["source"].combine_chunks().dictionary_encode()
+        word = names.indices.fill_null(len(names.dictionary)).to_numpy(zero_copy_only=False).astype(np.int64)
+        _, seen, back = np.unique(own * (len(names.dictionary) + 1) + word, return_index=True, return_inverse=True)
+        by_time = np.argsort(seen)
+        per = lambda x: np.bincount(back, x, len(seen)).astype(np.int64)[by_time]  # noqa: E731  # exact: counts stay under 2^53
+        entry = pa.StructArray.from_arrays(
+            [t["source"].combine_chunks().take(pa.array(seen[by_time])), pa.array(per(n)), pa.array(per(fwd))], ["source", "n", "n_fwd"]
+        )
+        ends = np.searchsorted(own[seen[by_time]], np.arange(len(starts) + 1))
+        cols = {
+            "island": pa.array(first[starts]), "cluster": pa.array(cluster[starts]), "n_reads": pa.array(total(n)), "n_fwd": pa.array(total(fwd)),
+            "mapq_sum": pa.array(quality, mask=~np.logical_or.reduceat(has_q, starts)),
+            "by_source": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entry),
+            "rt_len": pa.array(np.where(total(rt) > 0, rt_len, 0)),
+            "count_fr": pa.array(total(np.where(_equal(t["ori"], "><"), n, 0))), "count_rf": pa.array(total(np.where(_equal(t["ori"], "<>"), n, 0))),
+        }
+        rep = t.select(["ctg", "kind", *self.rep]).take(pa.array(middle(n)))
+        for name, c in cols.items():
+            rep = rep.append_column(name, c)
+        return rep
+
+
+def _equal(column: pa.ChunkedArray, value: str) -> np.ndarray:
+    return pc.equal(column.combine_chunks(), value).fill_null(False).to_numpy(zero_copy_only=False)
+
+
+def _votable(t: pa.Table):
+    """Signature, count and whether both flank and tail lengths are there, row by row."""
+    cols = [t[c].to_pylist() for c in (*SIGNATURE, "n", "tsd_len", "polya_len")]
+    for *sig, n, tsd, polya in zip(*cols):
+        yield (*sig, n, tsd is not None and polya is not None)
+
+
+def clusters(signals: DataFrame, p: MergeParams = MergeParams(), deep: int = DEEP) -> DataFrame:
+    """``summarise(assign_clusters(signals, p))``, summed up where the rows are scanned.
+
+    Distinct rows are written once; a segment of positions is one ordered scan, which finds the islands in it.
+    Only chains of cells with more than ``deep`` distinct rows are cut into islands before they are spread.
+    """
+    rows = distinct_rows(signals).withColumn("kind", _kind(p))
+    rows = written(rows)
+    light, dense = with_segment(rows, ["ctg", "kind"], "pos", p.window, deep)
+    rep = [c for c in rows.columns if c not in {"ctg", "kind", "n", "source"}]
+    attrs = sorted(c for c in rows.columns if c not in {"ctg", "kind", "n", *SIGNATURE})
+    types = {f.name: f.dataType for f in rows.schema.fields}
+    longs = lambda *names: [T.StructField(c, T.LongType()) for c in names]
+    entry = T.StructType([T.StructField("source", T.StringType()), *longs("n", "n_fwd")])
+    out = [T.StructField(c, types[c]) for c in ("ctg", "kind", *rep)]
+    out += [*longs("island", "cluster", "n_reads", "n_fwd", "mapq_sum"), T.StructField("by_source", T.ArrayType(entry)), *longs("rt_len", "count_fr", "count_rf")]
+    found = scan_segments(light, ["ctg", "kind"], [*SIGNATURE, *attrs], "pos", p.window, T.StructType(out), lambda: ClusterScan(p, rep))
+    support = lambda s: F.concat(s["source"], F.lit(":"), s["n_fwd"].cast("string"), F.lit(","), (s["n"] - s["n_fwd"]).cast("string"))
+    found = found.withColumns({
+        "avg_mapq": F.floor(F.col("mapq_sum") / F.col("n_reads") + 0.5).cast("bigint"),
+        "count": F.array_join(F.transform("by_source", support), "|"),
+        "sources": F.array_join(F.sort_array("by_source.source"), ","),
+    })
+    head = [*CLUSTER_KEY, "n_reads", "n_fwd", "avg_mapq", "count", "sources", "rt_len", "count_fr", "count_rf"]
+    found = found.select(*head, *rep)
+    return found if dense is None else found.unionByName(summarise(_assigned(dense.drop("kind"), p)))
+
+
 def passes(p: MergeParams) -> Column:
     """Reporting filter of a summarised cluster."""
     c = F.col
@@ -283,7 +461,7 @@ def passes(p: MergeParams) -> Column:
 
 def merge_signals(signals: DataFrame, p: MergeParams = MergeParams()) -> DataFrame:
     """Calls supported by enough reads."""
-    calls = summarise(assign_clusters(signals, p)).filter(passes(p))
+    calls = clusters(signals, p).filter(passes(p))
     return calls.withColumn(
         "foldback",
         (F.col("count_fr") + F.col("count_rf") > 0)

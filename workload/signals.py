@@ -10,7 +10,7 @@ from strandloom.operators import extract as X
 from strandloom.operators import long_indels as LI
 from strandloom.operators.intersect import intersect
 from strandloom.operators.intervals import merged
-from strandloom.operators.merge import CLUSTER_KEY, SIGNATURE, assign_clusters, cluster_reads, merge_signals, only_sources
+from strandloom.operators.merge import CLUSTER_KEY, SIGNATURE, cluster_reads, clusters, merge_signals, only_sources
 from strandloom.params import ExtractParams, MergeParams
 from strandloom.plans.flows import mosaic_calls
 from strandloom.sources.alignments import parse_alignments
@@ -519,9 +519,7 @@ def polya_len(s):
 @query("merge_cluster_sizes", with_views(
     f"with recursive {merge_ctes('sig')} select n_reads, svtype, cast(count(*) as bigint) as n from clusters group by all", "sig"))
 def merge_cluster_sizes(s):
-    placed = assign_clusters(s.view("sig"))
-    sizes = placed.groupBy("ctg", "kind", "island", "cluster", "svtype").agg(F.sum("n").alias("n_reads"))
-    return sizes.groupBy("n_reads", "svtype").agg(F.count("*").alias("n"))
+    return clusters(s.view("sig")).groupBy("n_reads", "svtype").agg(F.count("*").alias("n"))
 
 
 PARAMS = ExtractParams()
