@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strandloom.operators.intervals import last_known, running
+from strandloom.session import written
 
 
 def dense_index(
@@ -16,11 +17,11 @@ def dense_index(
 
     ``chunk`` are coarse keys that sort like ``order``, such as (contig, position div 1M).  The rows
     of a chunk are numbered on their own and shifted by the size of the chunks before it; only the
-    chunk table is ordered as a whole.
+    chunk table is ordered as a whole.  Rows are read twice, so they are written first.
     """
     part = partition or []
     keys = list(chunk)
-    rows = df.withColumns(chunk)
+    rows = written(df.withColumns(chunk))
     sizes = rows.groupBy(*part, *keys).agg(F.count("*").alias("_n"))
     w = (Window.partitionBy(*part) if part else Window.partitionBy(F.lit(0))).orderBy(*keys)
     sizes = sizes.withColumn(
