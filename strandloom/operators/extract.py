@@ -15,7 +15,7 @@ from strandloom.functions.coords import (
     segment_index,
 )
 from strandloom.functions.typing import split_read_type
-from strandloom.operators.intervals import with_points
+from strandloom.operators.intervals import merged, with_points
 from strandloom.params import ExtractParams
 
 SIGNAL_COLUMNS = [
@@ -242,11 +242,16 @@ def typed_pairs(pairs: DataFrame, p: ExtractParams = ExtractParams()) -> DataFra
     )
 
 
+def _disjoint(cen: DataFrame) -> DataFrame:
+    """Centromeres as ``intervals.merged`` gives them; those listed per contig (``ctg, cen``) are merged here."""
+    return merged(cen.select("ctg", F.inline("cen"))) if "cen" in cen.columns else cen
+
+
 def with_indel_centromere(signals: DataFrame, cen: DataFrame | None) -> DataFrame:
     """``cen_dist`` of an indel: the nearer of its two ends; null on contigs without centromere."""
     if cen is None:
         return signals.withColumn("cen_dist", _null("bigint"))
-    rows = with_points(signals, cen, {"a": ("ctg", "pos"), "b": ("ctg", "en")})
+    rows = with_points(signals, _disjoint(cen), {"a": ("ctg", "pos"), "b": ("ctg", "en")})
     return rows.withColumn("cen_dist", F.least("a_dist", "b_dist")).drop("a_dist", "a_upto", "b_dist", "b_upto")
 
 
@@ -255,7 +260,7 @@ def with_breakend_centromere(signals: DataFrame, cen: DataFrame | None) -> DataF
     if cen is None:
         return signals.withColumns({"cen_dist": _null("bigint"), "cen_overlap": _null("bigint")})
     points = {"a": ("ctg", "pos"), "b": ("ctg2", "pos2"), "s": ("ctg", "region_st"), "e": ("ctg", "region_en")}
-    rows = with_points(signals, cen, points)
+    rows = with_points(signals, _disjoint(cen), points)
     near = F.least("a_dist", "b_dist")
     has_region = (F.col("region_st") >= 0) & (F.col("region_en") >= F.col("region_st"))
     cover = F.coalesce(F.col("e_upto") - F.col("s_upto"), F.lit(0).cast("bigint"))
@@ -282,5 +287,5 @@ def breakend_signals(alns: DataFrame, p: ExtractParams = ExtractParams(), cen: D
 
 
 def extract(alns: DataFrame, p: ExtractParams = ExtractParams(), cen: DataFrame | None = None) -> DataFrame:
-    """All signals of a set of alignments; ``cen`` comes from ``intervals.merged``."""
+    """All signals of a set of alignments; ``cen`` comes from ``intervals.merged``, or lists the intervals of each contig."""
     return indel_signals(alns, p, cen).unionByName(breakend_signals(alns, p, cen))
