@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
@@ -21,12 +23,13 @@ from strandloom.functions.typing import (
     straight_match,
     types_and_lengths_agree,
 )
-from strandloom.operators.islands import scan_islands, with_island
+from strandloom.operators.islands import DEEP, codes, known, numbers, scan_islands, scan_segments, with_island, with_segment
 from strandloom.operators.regions import both_ends_inside
 from strandloom.params import CompareParams
 from strandloom.session import settle
 
 SHAPE = ["ctg", "pos", "ctg2", "pos2", "svtype", "svlen"]
+ARRIVAL = ["pos", "file_id", "line_no", *[c for c in SHAPE if c != "pos"], "svid"]
 
 
 def reportable(p: CompareParams) -> Column:
@@ -309,6 +312,40 @@ def same_shape(b: tuple, t: tuple, w: int, ratio: float) -> bool:
     return "BND" in types and near(b[2], b[3], t[0], t[1]) and near(b[0], b[1], t[2], t[3])
 
 
+class Shapes:
+    """``same_shape`` for pairs of rows of one (contig, contig) pair in a table; crossed ends are left out."""
+
+    def __init__(self, t: pa.Table, w: int, ratio: float):
+        self.w, self.ratio = w, ratio
+        self.pos, self.pos2, self.size = (numbers(t[c]) for c in ("pos", "pos2", "svlen"))
+        self.type, self.sized, self.ended = codes(t["svtype"]), known(t["svlen"]), known(t["pos2"])
+        words = t["svtype"].combine_chunks().dictionary_encode().dictionary.to_pylist()
+        self.bnd, self.ins, self.dup = (self.type == (words.index(x) if x in words else -2) for x in ("BND", "INS", "DUP"))
+
+    def match(self, a, b) -> np.ndarray:
+        x, y = np.abs(self.size[a]), np.abs(self.size[b])
+        alike = self.sized[a] & self.sized[b] & ((np.abs(x - y) <= 1000) | ((x >= y * self.ratio) & (y >= x * self.ratio)))
+        gain = (self.ins[a] & self.dup[b]) | (self.dup[a] & self.ins[b])
+        fits = self.bnd[a] | self.bnd[b] | (alike & ((self.type[a] == self.type[b]) | gain))
+        ends = gain | (self.ended[a] & self.ended[b] & (np.abs(self.pos2[a] - self.pos2[b]) <= self.w))
+        return fits & ends & (np.abs(self.pos[a] - self.pos[b]) <= self.w)
+
+
+def island_scan(calls: DataFrame, window: int, needed: list[str], out: list[T.StructField], new_tables, new_scan, deep: int = DEEP) -> DataFrame:
+    """Calls of every (contig, contig) pair in the order of ``ARRIVAL`` through a scan of each island; adds ``island`` and ``out``.
+
+    Cells are found first, on few columns of the calls; calls that are dear to compute should be a table.
+    """
+    keys = ["ctg", "ctg2"]
+    light, dense = with_segment(calls, keys, "pos", window, deep)
+    fields = [*calls.schema.fields, T.StructField("island", T.LongType()), *out]
+    placed = scan_segments(light, keys, ARRIVAL, "pos", window, T.StructType(fields), new_tables)
+    if dense is None:
+        return placed
+    extra = [(f.name, f.dataType) for f in out]
+    return placed.unionByName(scan_islands(with_island(dense, keys, "pos", window), keys, ARRIVAL, needed, extra, new_scan))
+
+
 def consensus(calls: DataFrame, p: CompareParams) -> DataFrame:
     """Seeds of the merged call sets with ``support``, the number of calls they stand for.
 
@@ -318,7 +355,7 @@ def consensus(calls: DataFrame, p: CompareParams) -> DataFrame:
     return scan_islands(
         rows,
         ["ctg", "ctg2"],
-        ["pos", "file_id", "line_no", *[c for c in SHAPE if c != "pos"], "svid"],
+        ARRIVAL,
         SHAPE,
         [("support", T.LongType())],
         lambda emit: SeedScan(emit, p),

@@ -167,6 +167,10 @@ def numbers(column: pa.ChunkedArray) -> np.ndarray:
     return column.combine_chunks().fill_null(False if pa.types.is_boolean(column.type) else 0).to_numpy(zero_copy_only=False)
 
 
+def known(column: pa.ChunkedArray) -> np.ndarray:
+    return ~column.combine_chunks().is_null().to_numpy(zero_copy_only=False)
+
+
 def gathered(picks: list[tuple[pa.Table, int]]) -> pa.Table:
     """The rows (table, index) in the order given."""
     by: dict[int, tuple[pa.Table, list[int], list[int]]] = {}
@@ -229,3 +233,59 @@ def scan_segments(
     # A number for the group in front: most rows are told apart by it alone when they are sorted.
     spread = df.repartition(*group).sortWithinPartitions(F.xxhash64(*group), *group, *order)
     return spread.mapInArrow(run, out)
+
+
+class IslandTables:
+    """Tables of whole islands for a scan that goes row by row, with a way around it.
+
+    ``plain(table, island, starts)`` tells the islands that need no scan, ``settled(table, starts)`` gives their rows;
+    ``scan(emit)`` places the rows of the others, which come back with the values emitted in the columns ``extra``
+    and, as ``island``, the position the island starts at.
+    """
+
+    def __init__(self, scan: Callable, needed: list[str], pos: str, extra: list[tuple[str, pa.DataType]], plain: Callable, settled: Callable):
+        self.scan, self.needed, self.pos, self.extra, self.plain, self.settled = scan, needed, pos, extra, plain, settled
+        self.found: list[tuple] = []
+        self.open, self.at = None, 0
+
+    def _emit(self, table, i: int, *values) -> None:
+        self.found.append((table, i, self.at, *values))
+
+    def whole(self, t: pa.Table, starts: np.ndarray) -> Iterator[pa.Table]:
+        island = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, t.num_rows)))
+        plain = self.plain(t, island, starts)
+        rows = np.flatnonzero(plain[island])
+        if len(rows):
+            own = island[rows]
+            yield self.settled(t.take(pa.array(rows)), np.flatnonzero(np.append(True, own[1:] != own[:-1])))
+        rows = np.flatnonzero(~plain[island])
+        if len(rows):
+            part, own, last, scan = t.take(pa.array(rows)), island[rows], None, None
+            first = numbers(t[self.pos])[starts]
+            for i, v in enumerate(zip(*[part[c].to_pylist() for c in self.needed])):
+                if own[i] != last:
+                    if scan is not None:
+                        scan.close()
+                    last, scan, self.at = own[i], self.scan(self._emit), first[own[i]]
+                scan.row(part, i, v)
+            scan.close()
+            yield from self._placed()
+
+    def part(self, t: pa.Table, last: bool) -> Iterator[pa.Table]:
+        if self.open is None:
+            self.open, self.at = self.scan(self._emit), t[self.pos][0].as_py()
+        t = t.combine_chunks()
+        for i, v in enumerate(zip(*[t[c].to_pylist() for c in self.needed])):
+            self.open.row(t, i, v)
+        if last:
+            self.open.close()
+            self.open = None
+        yield from self._placed()
+
+    def _placed(self) -> Iterator[pa.Table]:
+        if self.found:
+            rows = gathered([f[:2] for f in self.found])
+            for k, (name, t) in enumerate([("island", pa.int64()), *self.extra], 2):
+                rows = rows.append_column(name, pa.array([f[k] for f in self.found], t))
+            self.found = []
+            yield rows

@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from strandloom.operators.asmfilter import typed_support
-from strandloom.operators.compare import SHAPE, same_shape
+from strandloom.operators.compare import SHAPE, Shapes, island_scan, same_shape
 from strandloom.operators.intervals import BIN, running
-from strandloom.operators.islands import scan_islands, with_island
+from strandloom.operators.islands import DEEP, IslandTables, numbers
 from strandloom.operators.ordinals import dense_index, middle_row
 from strandloom.operators.regions import annotate_near, flag_inside
 from strandloom.params import CompareParams, UnionParams
-from strandloom.session import settle
+from strandloom.session import settle, written
 
 CALL_KEY = ["file_id", "line_no", "svid", *SHAPE]
 GROUP_KEY = ["ctg", "ctg2", "island", "grp"]
-ARRIVAL = ["pos", "file_id", "line_no", *[c for c in SHAPE if c != "pos"], "svid"]
+#: Rows before a call that are looked at for a match without a scan; members of a group whose middle a window finds.
+BACK, LARGE = 4, 1000
 
 
 class GroupScan:
@@ -50,21 +53,35 @@ class GroupScan:
         self.groups.clear()
 
 
-def grouped(calls: DataFrame, p: UnionParams = UnionParams(), bed: DataFrame | None = None) -> DataFrame:
+def grouped(calls: DataFrame, p: UnionParams = UnionParams(), bed: DataFrame | None = None, deep: int = DEEP) -> DataFrame:
     """Calls with their group key, the place of the group's first call, and ``in_bed``.
 
     Only calls of one (contig, contig) pair can match, so the pair is part of the island key.
     """
     rows = calls.withColumn("in_bed", F.lit(True)) if bed is None else flag_inside(calls, bed, CALL_KEY)
-    rows = with_island(rows, ["ctg", "ctg2"], "pos", p.window)
-    return scan_islands(
-        rows,
-        ["ctg", "ctg2"],
-        ARRIVAL,
-        [*SHAPE, "file_id", "line_no"],
-        [("grp", T.LongType()), ("seed_pos", T.LongType()), ("seed_file", T.IntegerType()), ("seed_line", T.LongType())],
-        lambda emit: GroupScan(emit, p),
-    )
+    out = [T.StructField("grp", T.LongType()), T.StructField("seed_pos", T.LongType()), T.StructField("seed_file", T.IntegerType()), T.StructField("seed_line", T.LongType())]
+    extra = [("grp", pa.int64()), ("seed_pos", pa.int64()), ("seed_file", pa.int32()), ("seed_line", pa.int64())]
+
+    def plain(t: pa.Table, island, starts):
+        """Every call lies in reach of the first one of its island and matches one just before it."""
+        shapes, pos, ok = Shapes(t, p.window, p.min_len_ratio), numbers(t["pos"]), np.zeros(t.num_rows, bool)
+        ok[starts] = True
+        for back in range(1, min(BACK, t.num_rows - 1) + 1):
+            a, b = np.arange(t.num_rows - back), np.arange(back, t.num_rows)
+            ok[b] |= (island[a] == island[b]) & shapes.match(a, b)
+        return np.logical_and.reduceat(ok & (pos - pos[starts][island] <= p.window), starts)
+
+    def settled(t: pa.Table, starts):
+        seeds = pa.array(np.repeat(starts, np.diff(np.append(starts, t.num_rows))))
+        first = {"island": "pos", "grp": None, "seed_pos": "pos", "seed_file": "file_id", "seed_line": "line_no"}
+        cols = t
+        for name, c in first.items():
+            cols = cols.append_column(name, pa.array(np.zeros(t.num_rows, np.int64)) if c is None else t[c].take(seeds))
+        return cols
+
+    scan = lambda emit: GroupScan(emit, p)
+    needed = [*SHAPE, "file_id", "line_no"]
+    return island_scan(rows, p.window, needed, out, lambda: IslandTables(scan, needed, "pos", extra, plain, settled), scan, deep)
 
 
 def reported_groups(rows: DataFrame, p: UnionParams = UnionParams()) -> DataFrame:
@@ -86,10 +103,10 @@ def reported_groups(rows: DataFrame, p: UnionParams = UnionParams()) -> DataFram
 
 
 def group_summary(rows: DataFrame, p: UnionParams = UnionParams()) -> DataFrame:
-    """``reported_groups`` with a number in creation order."""
+    """Key and ``kept`` of ``reported_groups`` with a number in creation order."""
     # Equal seeds cannot start two groups, except for alleles of one line: the key breaks that tie.
     return dense_index(
-        reported_groups(rows, p),
+        reported_groups(rows, p).select(*GROUP_KEY, "seed_pos", "seed_file", "seed_line", "kept"),
         ["seed_pos", "seed_file", "seed_line", "ctg2", "grp"],
         {"_c_ctg": F.col("ctg"), "_c_at": F.floor(F.col("seed_pos") / 1_000_000)},
         "group_id",
@@ -98,7 +115,11 @@ def group_summary(rows: DataFrame, p: UnionParams = UnionParams()) -> DataFrame:
 
 def union_rows(calls: DataFrame, p: UnionParams = UnionParams(), bed: DataFrame | None = None) -> DataFrame:
     """Calls of reported groups with ``group_id``."""
-    rows = settle(grouped(calls, p, bed))
+    return rows_of(written(grouped(calls, p, bed)), p)
+
+
+def rows_of(rows: DataFrame, p: UnionParams) -> DataFrame:
+    """``union_rows`` of calls that are ``grouped``."""
     kept = group_summary(rows, p).filter("kept").select(*GROUP_KEY, "group_id")
     return rows.join(kept, GROUP_KEY).drop("island", "grp", "in_bed", "seed_pos", "seed_file", "seed_line")
 
@@ -111,13 +132,18 @@ def combination_counts(
     With ``unseen``, combinations without a group are listed too: ``2 ** n_files - 1`` rows, so ask for it
     with few files only.
     """
-    kept = reported_groups(grouped(calls, p, bed), p).filter("kept")
+    return combinations_of(grouped(calls, p, bed), n_files, p, unseen)
+
+
+def combinations_of(rows: DataFrame, n_files: int, p: UnionParams, unseen: bool = False) -> DataFrame:
+    """``combination_counts`` of calls that are ``grouped``."""
+    kept = reported_groups(rows, p).filter("kept")
     ids = F.sequence(F.lit(0), F.lit(n_files - 1))
     has = lambda i: F.when(F.array_contains("files", i), "1").otherwise("0")
     counts = kept.groupBy(F.array_join(F.transform(ids, has), "").alias("label")).agg(F.count("*").alias("n"))
     if not unseen:
         return counts
-    every = calls.sparkSession.range(1, 1 << n_files).select(F.reverse(F.lpad(F.bin("id"), n_files, "0")).alias("label"))
+    every = rows.sparkSession.range(1, 1 << n_files).select(F.reverse(F.lpad(F.bin("id"), n_files, "0")).alias("label"))
     return every.join(counts, "label", "left").select("label", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
@@ -196,7 +222,25 @@ def median_rows(rows: DataFrame, drop_last_group: bool = False) -> DataFrame:
     if drop_last_group:
         last = rows.agg(F.max("group_id").alias("_last"))
         rows = rows.join(last.select(F.col("_last").alias("group_id")), "group_id", "left_anti")
-    rows = settle(rows)
+    rows = written(rows)
+    large = settle(rows.groupBy("group_id").agg(F.count("*").alias("n")).filter(F.col("n") > LARGE).select("group_id"))
+    if large.isEmpty():
+        return _small_medians(rows)
+    few, many = (rows.join(large, "group_id", how) for how in ("left_anti", "left_semi"))
+    return _small_medians(few).unionByName(_large_medians(many))
+
+
+def _small_medians(rows: DataFrame) -> DataFrame:
+    """Groups of few rows: put in order, with the files of all next to each."""
+    w = Window.partitionBy("group_id")
+    order = ["pos", "pos2", "file_id", "line_no", "svtype", "svlen", "svid"]
+    files = F.array_join(F.transform(F.sort_array(F.collect_list("file_id").over(w)), lambda x: x.cast("string")), ",")
+    placed = rows.withColumns({"_at": F.row_number().over(w.orderBy(*order)), "_n": F.count("*").over(w), "file_ids": files})
+    return placed.filter(F.col("_at") - 1 == F.floor(F.col("_n") / 2)).drop("_at", "_n")
+
+
+def _large_medians(rows: DataFrame) -> DataFrame:
+    """Groups of any size: narrowed by counting."""
     mid = middle_row(
         rows,
         ["group_id"],

@@ -8,10 +8,10 @@ from strandloom.operators.asmfilter import category_support, supported_calls
 from strandloom.operators.compare import select_reportable
 from strandloom.operators.intersect import intersect
 from strandloom.operators.merge import merge_signals, only_sources
-from strandloom.operators.union import combination_counts, median_rows, union_rows
+from strandloom.operators.union import combinations_of, grouped, median_rows, rows_of
 from strandloom.functions.typing import canonical_id, length_class
 from strandloom.params import CompareParams, MergeParams, UnionParams
-from strandloom.session import settle
+from strandloom.session import settle, written
 
 
 def germline_calls(signals: DataFrame, p: MergeParams = MergeParams()) -> DataFrame:
@@ -67,11 +67,12 @@ def cross_reference_filter(
 def category_unions(
     calls: DataFrame, call_reads: DataFrame, evidence: dict[str, DataFrame], cutoff: int,
     compare: CompareParams = CompareParams(), p: UnionParams = UnionParams(), bed: DataFrame | None = None,
-    n_callers: int | None = None, strict: bool = True,
+    n_callers: int | None = None, strict: bool = True, parts: tuple[str, ...] = ("rows", "combinations", "dedup"),
 ) -> dict[str, dict[str, DataFrame]]:
     """Per category the union of all callers, or of the first ``n_callers``: rows, combination counts and one row
     per group.  ``l_only`` is the union of the calls with ``cutoff`` reads, without evidence.  A call is kept by its
-    canonical id, whichever of its records is supported; support of all categories comes from one join.
+    canonical id, whichever of its records is supported; support of all categories comes from one join.  Calls are
+    grouped once per category, and only the ``parts`` asked for are made.
     """
     if n_callers is None:
         n_callers = (calls.agg(F.max("file_id")).first()[0] or 0) + 1
@@ -83,11 +84,12 @@ def category_unions(
         kept = calls.filter((F.col("count") <= 0) | (F.col("count") >= cutoff))
         if name != "l_only":
             kept = supported_calls(calls, stats.filter(F.col("category") == name), enough)
-        kept = kept.filter(F.col("file_id") < n_callers)
-        rows = union_rows(kept, p, bed)
-        out[name] = {
-            "rows": rows,
-            "combinations": combination_counts(kept, n_callers, p, bed),
-            "dedup": median_rows(rows),
-        }
+        kept = written(kept.filter(F.col("file_id") < n_callers))
+        placed = grouped(kept, p, bed) if parts == ("combinations",) else written(grouped(kept, p, bed))
+        out[name] = {}
+        if "combinations" in parts:
+            out[name]["combinations"] = combinations_of(placed, n_callers, p)
+        if "rows" in parts or "dedup" in parts:
+            rows = rows_of(placed, p)
+            out[name] |= {"rows": rows} | ({"dedup": median_rows(rows)} if "dedup" in parts else {})
     return out

@@ -1,12 +1,18 @@
 """Islands found by the scan itself: summaries, segments and pieces against the ones cut beforehand."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from strandloom.operators import islands, merge
 from strandloom.operators.merge import assign_clusters, clusters, summarise
-from strandloom.params import MergeParams
-from tests.test_greedy import SIGNAL, random_signals
+from strandloom.operators.compare import ARRIVAL
+from strandloom.operators.union import GroupScan, grouped
+from strandloom.params import MergeParams, UnionParams
+from strandloom.plans import flows
+from strandloom.sources.readids import asm_evidence
+from tests.test_greedy import CALL, SIGNAL, random_signals
 
 
 def texts(df):
@@ -49,3 +55,46 @@ def test_plain_islands_need_no_votes(spark, monkeypatch):
     rows = [("c", 1000 * k + i, 1000 * k + i, False, None, None, None, "INS", 100, 60, "+-"[i % 2], "A", 5, 9, f"r{k}{i}") for k in (1, 9) for i in range(3)]
     got = clusters(spark.createDataFrame(rows, SIGNAL), MergeParams()).orderBy("pos").collect()
     assert [(r["pos"], r["n_reads"], r["count"], r["rt_len"]) for r in got] == [(1001, 3, "A:2,1", 5), (9001, 3, "A:2,1", 5)]
+
+
+def random_calls(seed, n=600):
+    rnd = random.Random(seed)
+    out = []
+    for i in range(n):
+        pos, kind, n_ = rnd.randrange(0, 60_000, 20), rnd.choice(["INS", "DUP", "DEL", "BND"]), rnd.choice([90, 150, 400, 3000])
+        out.append((i % 3, i, f"v{i}", rnd.choice("ab"), pos, ">>", rnd.choice("ab"), pos + rnd.choice([0, 300, 900]), kind, -n_ if kind == "DEL" else n_, False, rnd.randint(0, 9), 1.0))
+    return out
+
+
+@pytest.mark.parametrize("deep", [islands.DEEP, 50])
+def test_groups_of_segments_equal_one_scan_by_rows(spark, monkeypatch, deep):
+    monkeypatch.setattr(islands, "CELLS", 5)
+    rows, p = random_calls(2), UnionParams()
+    names = [x.split()[0] for x in CALL.split(", ")]
+    at = {c: i for i, c in enumerate(names)}
+    want = {}
+    for pair in {(r[at["ctg"]], r[at["ctg2"]]) for r in rows}:
+        mine = sorted((r for r in rows if (r[at["ctg"]], r[at["ctg2"]]) == pair), key=lambda r: [r[at[c]] for c in ARRIVAL])
+        scan = GroupScan(lambda _, i, grp, *seed: want.__setitem__(mine[i][at["svid"]], seed), p)  # noqa: B023
+        for i, r in enumerate(mine):
+            scan.row(None, i, tuple(r[at[c]] for c in ("ctg", "pos", "ctg2", "pos2", "svtype", "svlen", "file_id", "line_no")))
+    got = {r["svid"]: [r["seed_pos"], r["seed_file"], r["seed_line"]] for r in grouped(spark.createDataFrame(rows, CALL).repartition(4), p, deep=deep).collect()}
+    assert got == {k: list(v) for k, v in want.items()}
+
+
+def test_middles_of_large_and_small_groups_agree(spark, monkeypatch):
+    from strandloom.operators import union
+
+    df = union.union_rows(spark.createDataFrame(random_calls(4), CALL), UnionParams(group_min_count=0))
+    small = texts(union.median_rows(df))
+    monkeypatch.setattr(union, "LARGE", 2)
+    assert small == texts(union.median_rows(df)) and len(small) > 50
+
+
+def test_only_the_parts_asked_for_are_made(spark, monkeypatch):
+    monkeypatch.setattr(flows, "rows_of", None)
+    calls = spark.createDataFrame(random_calls(6, 60), CALL)
+    reads = calls.selectExpr("file_id", "svid", "svid read")
+    evidence = {"l+s": asm_evidence(spark.createDataFrame(random_signals(1, 5), SIGNAL))}
+    out = flows.category_unions(calls, reads, evidence, 2, n_callers=3, parts=("combinations",))
+    assert list(out["l_only"]) == ["combinations"] and not out["l_only"]["combinations"].isEmpty()
