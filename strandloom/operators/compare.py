@@ -1,9 +1,10 @@
 """Comparison of call sets: matching within a window, error rates, consensus.
 
-Calls are reduced to distinct shapes with counts before they are matched, so copies cost one row.
-Matching is an equi-join on the hash of binned end points: bins are four windows wide and one side is
-copied to the one or two bins it can reach, in one dimension per compared end.  A pair matches in
-exactly one class and meets in one bin of it, so counts need no deduplication.
+Calls are dealt by cells of the genome and matched in one pass (``operators/matches.py``).  Cells with too many rows
+for one task are reduced to distinct shapes with counts, so copies cost one row, and matched by an equi-join on the
+hash of binned end points: bins are four windows wide and one side is copied to the one or two bins it can reach, in
+one dimension per compared end.  A pair matches in exactly one class and meets in one bin of it, so counts need no
+deduplication.
 """
 
 from __future__ import annotations
@@ -24,11 +25,11 @@ from strandloom.functions.typing import (
     types_and_lengths_agree,
 )
 from strandloom.operators.islands import DEEP, codes, known, numbers, scan_islands, scan_segments, with_island, with_segment
+from strandloom.operators.matches import DEEP as CELL_DEEP, SHAPE, by_file, counting, in_cells, parted, scan_cells
 from strandloom.operators.regions import both_ends_inside
 from strandloom.params import CompareParams
-from strandloom.session import settle
+from strandloom.session import settle, written
 
-SHAPE = ["ctg", "pos", "ctg2", "pos2", "svtype", "svlen"]
 ARRIVAL = ["pos", "file_id", "line_no", *[c for c in SHAPE if c != "pos"], "svid"]
 
 
@@ -124,50 +125,69 @@ def _side(df: DataFrame, prefix: str, p: CompareParams, group: list[str]) -> Dat
 
 def match_counts(
     base: DataFrame, test: DataFrame, p: CompareParams,
-    base_group: list[str] | None = None, test_group: list[str] | None = None,
+    base_group: list[str] | None = None, test_group: list[str] | None = None, also: Column | None = None,
 ) -> DataFrame:
     """``n_match`` per distinct test shape that matches something (per base group, if given)."""
     bg, tg = base_group or [], test_group or []
-    pairs = _side(base, "b_", p, bg).join(_side(test, "t_", p, tg), _rule(p))
+    rule = _rule(p) if also is None else _rule(p) & also
+    pairs = _side(base, "b_", p, bg).join(_side(test, "t_", p, tg), rule)
     key = [F.col("b_" + c) for c in bg] + [F.col("t_" + c) for c in (*tg, *SHAPE)]
     n = F.sum(_multiplicity(p).cast("bigint") * F.col("b_n")).cast("bigint")
     return pairs.groupBy(*key).agg(n.alias("n_match")).filter("n_match > 0")
 
 
-def shape_matches(base: DataFrame, test: DataFrame, p: CompareParams) -> DataFrame:
-    """Distinct test shapes with their count ``n`` and whether anything in ``base`` matches.
+def _roles(rows: DataFrame, side: int, test: Column, base: bool = True) -> DataFrame:
+    return rows.select("*", F.lit(side).alias("_side"), F.coalesce(test, F.lit(False)).alias("_test"), F.lit(base).alias("_base"))
 
-    Existence needs no pairs: the candidates are semi-joined, which stops at the first match.
-    """
-    b, t = _side(base, "b_", p, []), _side(test, "t_", p, [])
-    hit = t.join(b, _rule(p) & (_multiplicity(p) > 0), "left_semi")
-    hit = hit.select(*[F.col("t_" + c).alias(c) for c in SHAPE]).distinct().withColumn("matched", F.lit(True))
-    shapes = test.groupBy(*SHAPE).agg(F.count("*").alias("n"))
-    return shapes.join(hit, SHAPE, "left").withColumn("matched", F.coalesce("matched", F.lit(False)))
+
+def _asked(calls: DataFrame, side: int, p: CompareParams, bed: DataFrame | None, also: str = "true") -> DataFrame:
+    """All calls of a side as base rows, and those to be reported as test rows."""
+    if bed is None:
+        return _roles(calls, side, reportable(p) & F.expr(also))
+    inside = _roles(select_reportable(calls.filter(also), p, bed), side, F.lit(True), False)
+    return inside.unionByName(_roles(calls, side, F.lit(False)))
+
+
+def counted(rows: DataFrame, p: CompareParams, out: list[str], deep: int = CELL_DEEP) -> DataFrame:
+    """``out`` and ``n_match`` of the test rows: matches among the base rows of the other ``_side``."""
+    needed = dict.fromkeys([*SHAPE, "_side", "_test", "_base", *out])
+    light, dense = parted(in_cells(rows.select(*needed), p, "_side"), deep)
+    fields = [light.schema[c] for c in out]
+    found = scan_cells(light, T.StructType([*fields, T.StructField("n_match", T.LongType())]), counting(p))
+    if dense is None:
+        return found
+    # Cells that are too much for one task: copies collapse, and Spark joins what is left by bins of both ends.
+    own = ["_cell", "_side"]
+    other = (F.col("b__cell") == F.col("t__cell")) & (F.col("b__side") != F.col("t__side"))
+    tests = dense.filter("_test")
+    hits = match_counts(dense.filter("_base"), tests, p, own, own, other).drop(*["b_" + c for c in own])
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col("t_" + c)) for c in (*own, *SHAPE)])
+    n = F.coalesce("n_match", F.lit(0)).cast("bigint").alias("n_match")
+    return found.unionByName(tests.join(hits, same, "left").select(*out, n))
 
 
 def with_match_count(base: DataFrame, test: DataFrame, p: CompareParams) -> DataFrame:
     """Every test call with ``n_match``, 0 when nothing in ``base`` matches."""
-    hits = match_counts(base, test, p)
-    hits = hits.select(*[F.col("t_" + c).alias(c) for c in SHAPE], "n_match")
-    return test.join(hits, SHAPE, "left").withColumn("n_match", F.coalesce("n_match", F.lit(0)).cast("bigint"))
+    asked = _roles(test, 0, F.lit(True), False)
+    rows = asked.unionByName(_roles(base.select(*SHAPE), 1, F.lit(False)), allowMissingColumns=True)
+    return counted(rows, p, test.columns)
 
 
 def reported_rows(truth: DataFrame, test: DataFrame, p: CompareParams, bed: DataFrame | None = None) -> DataFrame:
     """Reportable calls of both sides with ``n_match``: ``FN`` are those of the truth, ``FP`` those of the test set."""
-    fn = with_match_count(test, select_reportable(truth, p, bed), p).withColumn("label", F.lit("FN"))
-    fp = with_match_count(truth, select_reportable(test, p, bed), p).withColumn("label", F.lit("FP"))
-    return fn.unionByName(fp)
+    rows = _asked(truth, 0, p, bed).unionByName(_asked(test, 1, p, bed))
+    label = F.when(F.col("_side") == 0, F.lit("FN")).otherwise(F.lit("FP")).alias("label")
+    return counted(rows, p, [*truth.columns, "_side"]).select(*truth.columns, "n_match", label)
 
 
-def error_counts(base: DataFrame, test: DataFrame, p: CompareParams, bed: DataFrame | None = None) -> DataFrame:
-    """One row: reportable test calls, how many match nothing in ``base``, and the rate."""
-    rows = shape_matches(base, select_reportable(test, p, bed), p)
-    missed = F.sum(F.when(F.col("matched"), 0).otherwise(F.col("n")))
-    return rows.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("total"),
-        F.coalesce(missed, F.lit(0)).cast("bigint").alias("errors"),
-    ).withColumn("rate", _rate(F.col("errors"), F.col("total")))
+def _errors(rows: DataFrame, p: CompareParams, labels: list[tuple[str, int]]) -> DataFrame:
+    """Per label the reportable calls of its side, how many match nothing on the other, and the rate."""
+    rows = counted(rows, p, ["_side"])
+    mine = lambda side, also=F.lit(True): F.count(F.when((F.col("_side") == side) & also, 1))
+    sums = [c for name, side in labels for c in (mine(side).alias(name + "_n"), mine(side, F.col("n_match") == 0).alias(name + "_e"))]
+    parts = [F.struct(F.lit(x).alias("label"), F.col(x + "_n").alias("total"), F.col(x + "_e").alias("errors")) for x, _ in labels]
+    each = rows.agg(*sums).select(F.explode(F.array(*parts)).alias("x")).select("x.*")
+    return each.withColumn("rate", _rate(F.col("errors"), F.col("total")))
 
 
 def _rate(part: Column, whole: Column) -> Column:
@@ -176,24 +196,20 @@ def _rate(part: Column, whole: Column) -> Column:
 
 def recall_precision(truth: DataFrame, test: DataFrame, p: CompareParams, bed: DataFrame | None = None) -> DataFrame:
     """Two rows: RN counts truth calls missed by the test set, RP test calls not in the truth set."""
-    rn = error_counts(test, truth, p, bed).select(F.lit("RN").alias("label"), "*")
-    rp = error_counts(truth, test, p, bed).select(F.lit("RP").alias("label"), "*")
-    return rn.unionByName(rp)
+    return _errors(_asked(truth, 0, p, bed).unionByName(_asked(test, 1, p, bed)), p, [("RN", 0), ("RP", 1)])
 
 
 def by_size(truth: DataFrame, test: DataFrame, p: CompareParams, bed: DataFrame | None = None) -> DataFrame:
     """Recall and precision of every size bin; a bin without calls scores 1."""
-
-    def per_bin(base: DataFrame, calls: DataFrame, tag: str) -> DataFrame:
-        rows = shape_matches(base, select_reportable(calls, p, bed), p)
-        size = size_bin(F.abs("svlen"), F.col("ctg") == F.col("ctg2"))
-        return rows.groupBy(size.alias("size_bin")).agg(
-            F.sum("n").alias(tag + "_total"),
-            F.sum(F.when(F.col("matched"), 0).otherwise(F.col("n"))).alias(tag + "_errors"),
-        ).filter("size_bin is not null")
-
+    size = size_bin(F.abs("svlen"), F.col("ctg") == F.col("ctg2"))
+    asked = _asked(truth, 0, p, bed).unionByName(_asked(test, 1, p, bed)).withColumn("size_bin", size)
+    of = lambda side, also=F.lit(True): F.count(F.when((F.col("_side") == side) & also, 1))
+    missed = F.col("n_match") == 0
+    sums = counted(asked, p, ["_side", "size_bin"]).filter("size_bin is not null").groupBy("size_bin").agg(
+        of(0).alias("fn_total"), of(0, missed).alias("fn_errors"), of(1).alias("fp_total"), of(1, missed).alias("fp_errors")
+    )
     bins = truth.sparkSession.createDataFrame([(name,) for name in dict.fromkeys(b[2] for b in SIZE_BINS)], "size_bin string")
-    rows = bins.join(per_bin(test, truth, "fn"), "size_bin", "left").join(per_bin(truth, test, "fp"), "size_bin", "left")
+    rows = bins.join(sums, "size_bin", "left")
     cnt = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
     score = lambda e, t: F.round(1 - F.coalesce(F.try_divide(cnt(e), cnt(t)), F.lit(0.0)), 4)
     return rows.select(
@@ -206,21 +222,39 @@ def by_size(truth: DataFrame, test: DataFrame, p: CompareParams, bed: DataFrame
 
 
 def _with_files(calls: DataFrame) -> DataFrame:
-    """Distinct shapes with the files they occur in (``files``, sorted) and how often in each (``counts``)."""
-    per_file = calls.groupBy(*SHAPE, "file_id").agg(F.count("*").alias("n"))
+    """Distinct shapes of each cell with the files they occur in (``files``, sorted) and how often in each (``counts``)."""
+    per_file = calls.groupBy("_cell", *SHAPE, "file_id").agg(F.count("*").alias("n"))
     lists = F.array_sort(F.collect_list(F.struct("file_id", "n")))  # an entry per input file at most
-    return per_file.groupBy(*SHAPE).agg(lists.alias("_f")).select(*SHAPE, F.col("_f.file_id").alias("files"), F.col("_f.n").alias("counts"))
+    return per_file.groupBy("_cell", *SHAPE).agg(lists.alias("_f")).select("_cell", *SHAPE, F.col("_f.file_id").alias("files"), F.col("_f.n").alias("counts"))
 
 
 def matched_counts(calls: DataFrame, test: DataFrame, p: CompareParams) -> DataFrame:
-    """``file_i, file_id, matched``: calls of ``test`` in one file that match a call of ``calls`` in another.
+    """``file_i, file_id, matched``: calls of ``test`` in one file that match a call of ``calls`` in another."""
+    cols = [*SHAPE, "file_id"]
+    asked = _roles(test.select(*cols), 0, F.lit(True), False)
+    return matched_files(asked.unionByName(_roles(calls.select(*cols), 0, F.lit(False))), p)
+
+
+def matched_files(rows: DataFrame, p: CompareParams, deep: int = CELL_DEEP) -> DataFrame:
+    """``file_i, file_id, matched``: test rows in one file that match a base row in another.
 
-    A shape is matched once whatever files it is in: its matches' sets of files are united first, the files without
-    the shape's own copies are unfolded last, on shapes of equal sets together.
+    Cells are counted up in the scan.  In cells that are too much for one task a shape is joined once whatever files
+    it is in: its matches' sets of files are united first, the files without the shape's own copies are unfolded last,
+    on shapes of equal sets together.
     """
-    sides = [_keyed(rows, p.window, spread=x == "b_") for x, rows in (("b_", _with_files(calls)), ("t_", _with_files(test)))]
+    rows = rows.filter("file_id is not null").select(*SHAPE, "file_id", "_test", "_base")
+    light, dense = parted(in_cells(rows, p, "file_id"), deep)
+    out = T.StructType([T.StructField(c, T.LongType()) for c in ("file_i", "file_id", "matched")])
+    found = scan_cells(light, out, by_file(p))
+    if dense is not None:
+        found = found.unionByName(_dense_files(dense, p))
+    return found.groupBy("file_i", "file_id").agg(F.sum("matched").alias("matched"))
+
+
+def _dense_files(cells: DataFrame, p: CompareParams) -> DataFrame:
+    sides = [_keyed(_with_files(cells.filter(role)), p.window, spread=x == "b_") for x, role in (("b_", "_base"), ("t_", "_test"))]
     b, t = (df.select(*[F.col(c).alias(x + c) for c in df.columns]) for x, df in zip(("b_", "t_"), sides))
-    pairs = b.join(t, _rule(p) & (_multiplicity(p) > 0))
+    pairs = b.join(t, _rule(p) & (F.col("b__cell") == F.col("t__cell")) & (_multiplicity(p) > 0))
     own = [F.col("t_" + c).alias(c) for c in SHAPE]
     # One row per file a shape meets, not per shape it meets there.
     met = pairs.select(*own, F.col("t_files").alias("files"), F.col("t_counts").alias("counts"), F.explode("b_files").alias("file_i"))
@@ -228,7 +262,8 @@ def matched_counts(calls: DataFrame, test: DataFrame, p: CompareParams) -> DataF
     same = met.groupBy("met", "files", "counts").agg(F.count("*").alias("times"))
     each = same.select("met", "times", F.explode(F.arrays_zip("files", "counts")).alias("x"))
     each = each.groupBy("met", F.col("x.files").alias("file_id")).agg(F.sum(F.col("x.counts") * F.col("times")).alias("matched"))
-    return each.select(F.explode("met").alias("file_i"), "file_id", "matched").groupBy("file_i", "file_id").agg(F.sum("matched").alias("matched"))
+    each = each.select(F.explode("met").alias("file_i"), "file_id", "matched")
+    return each.select(*[F.col(c).cast("bigint").alias(c) for c in each.columns])
 
 
 def shared_matrix(calls: DataFrame, p: CompareParams, bed: DataFrame | None = None, n_files: int | None = None) -> DataFrame:
@@ -237,10 +272,12 @@ def shared_matrix(calls: DataFrame, p: CompareParams, bed: DataFrame | None = No
     On the diagonal the value is the count itself.  Files without reportable calls have a total of 0 and null rates;
     with ``n_files`` that includes files without any call.
     """
-    test = select_reportable(calls, p, bed)
-    matched = matched_counts(calls, test, p)
-    totals = test.groupBy("file_id").agg(F.count("*").alias("total"))
+    matched = matched_files(_asked(calls, 0, p, bed), p)
     every = calls.select("file_id").distinct()
+    totals = select_reportable(calls, p, bed).groupBy("file_id").agg(F.count("*").alias("total"))
+    if bed is None and n_files is None:
+        totals = calls.groupBy("file_id").agg(F.count_if(reportable(p)).alias("total"))
+        every = totals.select("file_id")
     if n_files is not None:
         every = calls.sparkSession.range(n_files).select(F.col("id").cast("int").alias("file_id"))
     files = every.join(totals, "file_id", "left").fillna(0, ["total"])
@@ -366,15 +403,13 @@ def against_consensus(calls: DataFrame, file_id: int, p: CompareParams, bed: Dat
     """RN and RP of one call set against the consensus of all others (supported at least twice for RN)."""
     mine = calls.filter(F.col("file_id") == file_id)
     merged = settle(consensus(calls.filter(F.col("file_id") != file_id), p))
-    twice = merged.filter("support >= 2").drop("support")
-    rn = error_counts(mine, twice, p, bed).select(F.lit("RN").alias("label"), F.lit(file_id).alias("file_id"), "*")
-    rp = error_counts(merged.drop("support"), mine, p, bed).select(
-        F.lit("RP").alias("label"), F.lit(file_id).alias("file_id"), "*"
-    )
-    return rn.unionByName(rp)
+    rows = _asked(mine.withColumn("support", F.lit(None).cast("bigint")), 0, p, bed)
+    rows = rows.unionByName(_asked(merged, 1, p, bed, "support >= 2"))
+    errors = _errors(rows, p, [("RN", 1), ("RP", 0)])
+    return errors.select("label", F.lit(file_id).alias("file_id"), "total", "errors", "rate")
 
 
 def annotate_first(calls: DataFrame, p: CompareParams, bed: DataFrame | None = None) -> DataFrame:
     """Reportable calls of file 0 with the number of consensus calls of the other files they match."""
-    merged = consensus(calls.filter("file_id != 0"), p).drop("support")
+    merged = written(consensus(calls.filter("file_id != 0"), p).select(*SHAPE))
     return with_match_count(merged, select_reportable(calls.filter("file_id = 0"), p, bed), p)
