@@ -32,6 +32,8 @@ from strandloom.llm.scratch import written
 from strandloom.llm.words import small_batches, span_hashes, text_bytes
 
 MOST_WORDS = 1 << 18
+#: Words a task remembers as Python objects before they move to its table.
+RECENT = 1 << 15
 BREAKS = np.zeros(256, dtype=bool)
 BREAKS[[0x20, 0x09, 0x0A, 0x0D]] = True
 LETTERS = np.zeros(256, dtype=bool)
@@ -120,11 +122,14 @@ def _kind(made: dict) -> tuple[bool, bool]:
 class WordEncoder:
     """Ids of distinct words: from the shared table, else from the tokenizer, remembered up to a bound.
 
+    Words encoded here join the table in sorted arrays, some tens of bytes each.  A table of more than ``most`` words
+    goes on with those that were met since it was last cut, half of ``most`` at most.
+
     ``fold`` is set for vocabularies that lower-case and drop white space: words that differ in these alone
     are then one word.
     """
 
-    def __init__(self, tokenizer_json: str, table: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None, most: int = 150_000, ways: tuple[bool, bool] | None = None):
+    def __init__(self, tokenizer_json: str, table: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None, most: int = 1 << 19, ways: tuple[bool, bool] | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -134,6 +139,7 @@ class WordEncoder:
         self.fold, self.direct = ways or _ways(tokenizer_json)
         self.chars = byte_chars()
         self.table = table or (np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int32))
+        self.used = np.zeros(len(self.table[0]), bool)
         self.own: dict[int, bytes] = {}
         self.most = most
 
@@ -154,6 +160,24 @@ class WordEncoder:
             out[i] = e.ids
         return out
 
+    def _remember(self) -> None:
+        """Move ``own`` to the table."""
+        hashes, offsets, flat = self.table
+        kept = np.arange(len(hashes))
+        if len(hashes) + len(self.own) > self.most:
+            kept = np.flatnonzero(self.used)[: self.most // 2]
+            self.used[:] = False
+        mine = np.fromiter(self.own, np.uint64, len(self.own))
+        ids, sizes = gather(flat, offsets, kept)
+        every = np.concatenate((hashes[kept], mine))
+        ends = np.cumsum(np.concatenate((sizes, np.array([len(x) // 4 for x in self.own.values()], np.int64))))
+        order = np.argsort(every, kind="stable")
+        lists = np.concatenate((ids, np.frombuffer(b"".join(self.own.values()), np.int32)))
+        lists, sizes = gather(lists, np.concatenate(([0], ends)), order)
+        self.used = np.concatenate((self.used[kept], np.ones(len(mine), bool)))[order]
+        self.table = every[order], np.concatenate(([0], np.cumsum(sizes))), lists
+        self.own = {}
+
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each has."""
         data, at = text_bytes(texts)
@@ -164,6 +188,7 @@ class WordEncoder:
         hashes, offsets, flat = self.table
         at_table = np.minimum(np.searchsorted(hashes, distinct), max(len(hashes) - 1, 0))
         hit = hashes[at_table] == distinct if len(hashes) else np.zeros(len(distinct), bool)
+        self.used[at_table[hit]] = True
         rare = np.flatnonzero(~hit)
         keys = distinct[rare].tolist()
         new = [i for i, k in enumerate(keys) if k not in self.own]
@@ -174,8 +199,8 @@ class WordEncoder:
                 self.own[keys[i]] = array("i", ids).tobytes()
         shared, shared_n = gather(flat, offsets, at_table[hit])
         mine = [self.own[k] for k in keys]
-        if len(self.own) > self.most:  # what this batch has used stays
-            self.own = dict(zip(keys, mine))
+        if len(self.own) > min(RECENT, self.most // 2):
+            self._remember()
         sizes = np.empty(len(distinct), np.int64)
         sizes[hit], sizes[rare] = shared_n, [len(x) // 4 for x in mine]
         # Lists of the distinct words: those of the table first, then the rare ones.

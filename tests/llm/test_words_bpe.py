@@ -73,6 +73,23 @@ def test_any_text_encodes_as_the_library_does(text):
         assert enc.batch(pa.array([text]))[0].tolist() == lib.encode(text, add_special_tokens=False).ids
 
 
+def test_words_of_earlier_batches_are_not_encoded_again(monkeypatch):
+    lib = plain("word_bpe_49k.json")
+    monkeypatch.setattr(bpe, "RECENT", 50)
+    enc, asked = bpe.WordEncoder(lib.to_str(), None, most=4000), []
+    encode_words = enc.encode_words
+    enc.encode_words = lambda words: asked.extend(words) or encode_words(words)
+    texts = [" ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + k)} {i % 7}" for i in range(100)) for k in range(20)]
+    for text in texts * 2:
+        ids, n = enc.batch(pa.array([text, None]))
+        assert ids.tolist() == lib.encode(text, add_special_tokens=False).ids and n.tolist() == [len(ids), 0]
+    assert len(asked) == len(set(asked)) and len(enc.own) <= 50
+    small = bpe.WordEncoder(lib.to_str(), None, most=300)
+    for text in texts * 2:
+        assert small.batch(pa.array([text]))[0].tolist() == lib.encode(text, add_special_tokens=False).ids
+        assert len(small.table[0]) <= 300 and (np.diff(small.table[0].astype(object)) > 0).all()
+
+
 LIBS = {n: (plain(n), bpe.WordEncoder(plain(n).to_str(), None)) for n in ("byte_bpe_50k.json", "word_bpe_49k.json")}
 
 
