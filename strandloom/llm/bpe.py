@@ -86,9 +86,14 @@ def word_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool
 def gather(flat: np.ndarray, offsets: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The entries of the picked lists in a row, and the length of each."""
     lengths = (offsets[1:] - offsets[:-1])[pick]
+    return lists_at(flat, offsets[pick], lengths), lengths
+
+
+def lists_at(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The lists of these places in a row."""
     ends = np.cumsum(lengths)
     total = int(ends[-1]) if len(ends) else 0
-    return flat[np.arange(total) + np.repeat(offsets[pick] - (ends - lengths), lengths)], lengths
+    return flat[np.arange(total) + np.repeat(starts - (ends - lengths), lengths)]
 
 
 def _ways(tokenizer_json: str) -> tuple[bool, bool]:
@@ -138,8 +143,10 @@ class WordEncoder:
         self.tok.no_truncation()
         self.fold, self.direct = ways or _ways(tokenizer_json)
         self.chars = byte_chars()
-        self.table = table or (np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int32))
-        self.used = np.zeros(len(self.table[0]), bool)
+        hashes, offsets, flat = table or (np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int32))
+        #: Hashes in order, and where the ids of each word are and how many.
+        self.hashes, self.starts, self.sizes, self.flat = hashes, offsets[:-1], np.diff(offsets).astype(np.int32), flat
+        self.used = np.zeros(len(self.hashes), bool)
         self.own: dict[int, bytes] = {}
         self.most = most
 
@@ -162,20 +169,20 @@ class WordEncoder:
 
     def _remember(self) -> None:
         """Move ``own`` to the table."""
-        hashes, offsets, flat = self.table
-        kept = np.arange(len(hashes))
-        if len(hashes) + len(self.own) > self.most:
+        if len(self.hashes) + len(self.own) > self.most:
             kept = np.flatnonzero(self.used)[: self.most // 2]
-            self.used[:] = False
+            self.flat = lists_at(self.flat, self.starts[kept], self.sizes[kept])
+            self.hashes, self.sizes = self.hashes[kept], self.sizes[kept]
+            self.starts = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
+            self.used = np.zeros(len(kept), bool)
         mine = np.fromiter(self.own, np.uint64, len(self.own))
-        ids, sizes = gather(flat, offsets, kept)
-        every = np.concatenate((hashes[kept], mine))
-        ends = np.cumsum(np.concatenate((sizes, np.array([len(x) // 4 for x in self.own.values()], np.int64))))
-        order = np.argsort(every, kind="stable")
-        lists = np.concatenate((ids, np.frombuffer(b"".join(self.own.values()), np.int32)))
-        lists, sizes = gather(lists, np.concatenate(([0], ends)), order)
-        self.used = np.concatenate((self.used[kept], np.ones(len(mine), bool)))[order]
-        self.table = every[order], np.concatenate(([0], np.cumsum(sizes))), lists
+        sizes = np.array([len(x) // 4 for x in self.own.values()], np.int32)
+        starts = len(self.flat) + np.cumsum(sizes, dtype=np.int64) - sizes
+        order = np.argsort(mine)
+        at = np.searchsorted(self.hashes, mine[order])
+        self.flat = np.concatenate((self.flat, np.frombuffer(b"".join(self.own.values()), np.int32)))
+        self.starts, self.sizes = np.insert(self.starts, at, starts[order]), np.insert(self.sizes, at, sizes[order])
+        self.hashes, self.used = np.insert(self.hashes, at, mine[order]), np.insert(self.used, at, True)
         self.own = {}
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -185,7 +192,7 @@ class WordEncoder:
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
         distinct, first, place = np.unique(word_keys(data, starts, ends, self.fold)[0], return_index=True, return_inverse=True)
-        hashes, offsets, flat = self.table
+        hashes = self.hashes
         at_table = np.minimum(np.searchsorted(hashes, distinct), max(len(hashes) - 1, 0))
         hit = hashes[at_table] == distinct if len(hashes) else np.zeros(len(distinct), bool)
         self.used[at_table[hit]] = True
@@ -197,7 +204,9 @@ class WordEncoder:
             words = [raw[s:e].decode("utf-8") for s, e in zip(starts[where].tolist(), ends[where].tolist())]
             for i, ids in zip(new, self.encode_words(words)):
                 self.own[keys[i]] = array("i", ids).tobytes()
-        shared, shared_n = gather(flat, offsets, at_table[hit])
+        there = at_table[hit]
+        shared_n = self.sizes[there]
+        shared = lists_at(self.flat, self.starts[there], shared_n)
         mine = [self.own[k] for k in keys]
         if len(self.own) > min(RECENT, self.most // 2):
             self._remember()

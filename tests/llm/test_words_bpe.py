@@ -87,7 +87,7 @@ def test_words_of_earlier_batches_are_not_encoded_again(monkeypatch):
     small = bpe.WordEncoder(lib.to_str(), None, most=300)
     for text in texts * 2:
         assert small.batch(pa.array([text]))[0].tolist() == lib.encode(text, add_special_tokens=False).ids
-        assert len(small.table[0]) <= 300 and (np.diff(small.table[0].astype(object)) > 0).all()
+        assert len(small.hashes) <= 300 and (np.diff(small.hashes.astype(object)) > 0).all()
 
 
 LIBS = {n: (plain(n), bpe.WordEncoder(plain(n).to_str(), None)) for n in ("byte_bpe_50k.json", "word_bpe_49k.json")}
