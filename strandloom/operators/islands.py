@@ -150,7 +150,8 @@ def with_segment(rows: DataFrame, keys: list[str], pos: str, window: int, deep:
     cond = cell == F.col("_cell")
     for k in keys:
         cond = cond & F.col(k).eqNullSafe(F.col("_k_" + k))
-    met = rows.join(cells, cond)
+    # There are about as many cells as said, unless there are still more keys: wide rows need not move to meet them.
+    met = rows.join(F.broadcast(cells) if cells.count() <= 4 * CELLS else cells, cond)
     own = F.coalesce(F.col(pos) >= F.col("_cut"), F.lit(False))
     light = met.filter("not _deep").withColumn("segment", F.when(own, F.col("_cell")).otherwise(F.col("_head")))
     is_deep = not cells.filter("_deep").isEmpty()

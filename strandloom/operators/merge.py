@@ -19,10 +19,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
-from strandloom.operators.islands import DEEP, codes, gathered, numbers, scan_islands, scan_segments, with_island, with_segment
+from strandloom.operators.islands import DEEP, IslandTables, codes, gathered, numbers, scan_islands, scan_segments, with_island, with_segment
 from strandloom.params import MergeParams
 from strandloom.session import written
 
@@ -225,15 +225,18 @@ def _assigned(rows: DataFrame, p: MergeParams) -> DataFrame:
     return placed.drop("n").withColumnRenamed("n_in", "n")
 
 
-def cluster_reads(signals: DataFrame, p: MergeParams = MergeParams()) -> DataFrame:
+def cluster_reads(signals: DataFrame, p: MergeParams = MergeParams(), whole: bool = False, deep: int = DEEP) -> DataFrame:
     """``ctg, kind, island, cluster`` and the signal columns: every supporting read in its own row.
 
     The rows themselves are scanned, in the order of ``assign_clusters`` and then by read, so nothing is joined
     back.  A zero length matches nothing, so the copies of such a row may sit in different clusters; they
-    take these in read order.
+    take these in read order.  With ``whole``, islands are not cut at the gaps of the other end, and their clusters are
+    numbered in the order of their first rows: rows move once, to a scan that finds the islands in segments.
     """
     rows = with_optional(signals)
     cols = rows.columns
+    if whole:
+        return _whole_islands(rows, p, deep)
     attrs = sorted(c for c in cols if c not in {"ctg", "read", *SIGNATURE})
     placed = scan_islands(
         with_groups(rows, p), ["ctg", "kind"], [*SIGNATURE, *attrs, "read"], SIGNATURE, [("cluster", T.LongType())], lambda emit: ReadScan(emit, p)
@@ -241,6 +244,37 @@ def cluster_reads(signals: DataFrame, p: MergeParams = MergeParams()) -> DataFra
     return placed.select(*CLUSTER_KEY, *[c for c in cols if c != "ctg"])
 
 
+def _whole_islands(rows: DataFrame, p: MergeParams, deep: int) -> DataFrame:
+    """``cluster_reads`` with ``whole``; only chains of cells with more than ``deep`` rows are cut before they are spread."""
+    cols = rows.columns
+    attrs = sorted(c for c in cols if c not in {"ctg", "read", *SIGNATURE})
+    light, dense = with_segment(rows.withColumn("kind", _kind(p)), ["ctg", "kind"], "pos", p.window, deep)
+    types = {f.name: f.dataType for f in light.schema.fields}
+    out = [T.StructField(c, types[c]) for c in ("ctg", "kind", *[c for c in cols if c != "ctg"])]
+    out += [T.StructField(c, T.LongType()) for c in ("island", "cluster")]
+    single = ClusterScan(p, [])
+
+    def settled(t: pa.Table, starts: np.ndarray) -> pa.Table:
+        first = np.repeat(numbers(t["pos"])[starts], np.diff(np.append(starts, t.num_rows)))
+        return t.append_column("island", pa.array(first)).append_column("cluster", pa.array(np.zeros(t.num_rows, np.int64)))
+
+    def tables() -> IslandTables:
+        plain = (lambda t, island, starts: np.zeros(len(starts), bool)) if p.max_alleles is not None else single._single
+        return IslandTables(lambda emit: ReadScan(emit, p), SIGNATURE, "pos", [("cluster", pa.int64())], plain, settled)
+
+    placed = scan_segments(light, ["ctg", "kind"], [*SIGNATURE, *attrs, "read"], "pos", p.window, T.StructType(out), tables)
+    order = [*CLUSTER_KEY, *[c for c in cols if c != "ctg"]]
+    if dense is None:
+        return placed.select(*order)
+    # Clusters are numbered within what the other ends leave of an island; here they are in order of their first rows.
+    island = ["ctg", "_plain", "island"]
+    cut = cluster_reads(dense.drop("kind"), p).withColumn("_plain", F.regexp_replace("kind", r"\|-?\d+$", "") if p.max_alleles is None else F.col("kind"))
+    first = F.min(F.struct(*SIGNATURE, *attrs)).over(Window.partitionBy(*island, "kind", "cluster"))
+    number = F.dense_rank().over(Window.partitionBy(*island).orderBy("_first", "kind", "cluster")) - 1
+    cut = cut.repartition(*island).withColumn("_first", first).withColumn("cluster", number.cast("bigint"))
+    return placed.select(*order).unionByName(cut.withColumn("kind", F.col("_plain")).select(*order))
+
+
 def summarise(placed: DataFrame) -> DataFrame:
     """One row per cluster: representative, supports by source and strand, and orientation counts."""
     n = F.col("n")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from strandloom.functions import coords, sequence
 from strandloom.functions.typing import canonical_id, length_class, split_read_type, type_flag
@@ -10,7 +10,7 @@ from strandloom.operators import extract as X
 from strandloom.operators import long_indels as LI
 from strandloom.operators.intersect import intersect
 from strandloom.operators.intervals import merged
-from strandloom.operators.merge import CLUSTER_KEY, SIGNATURE, cluster_reads, clusters, merge_signals, only_sources
+from strandloom.operators.merge import cluster_reads, clusters, merge_signals, only_sources
 from strandloom.params import ExtractParams, MergeParams
 from strandloom.plans.flows import mosaic_calls
 from strandloom.sources.alignments import parse_alignments
@@ -144,15 +144,7 @@ def merge_rescued(s):
     ),
 )
 def merge_reads(s):
-    rows = cluster_reads(s.view("sig"), RELAXED)
-    # Clusters are numbered within what the other ends leave of an island; here they are in order of their first rows.
-    rest = sorted(c for c in rows.columns if c not in {*CLUSTER_KEY, *SIGNATURE, "read"})
-    # All clusters of an island come to one task at once, where both windows find them sorted.
-    island = ["ctg", "plain", "island"]
-    rows = rows.withColumn("plain", F.substring_index("kind", "|", 3)).repartition(*island)
-    rows = rows.withColumn("first", F.min(F.struct(*SIGNATURE, *rest)).over(Window.partitionBy(*island, "kind", "cluster")))
-    number = F.dense_rank().over(Window.partitionBy(*island).orderBy("first", "kind", "cluster")) - 1
-    rows = rows.withColumn("cluster", number.cast("bigint"))
+    rows = cluster_reads(s.view("sig"), RELAXED, whole=True)
     return rows.select("ctg", "island", "cluster", "read", "pos", "svtype", "svlen")
 
 
