@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from strandloom.operators.asmfilter import typed_support
 from strandloom.operators.compare import SHAPE, Shapes, island_scan, same_shape
 from strandloom.operators.intervals import BIN, running
-from strandloom.operators.islands import DEEP, IslandTables, numbers
+from strandloom.operators.islands import DEEP, IslandTables, numbers, scan_segments
 from strandloom.operators.ordinals import dense_index, middle_row
 from strandloom.operators.regions import annotate_near, flag_inside
 from strandloom.params import CompareParams, UnionParams
@@ -18,8 +19,9 @@ from strandloom.session import settle, written
 
 CALL_KEY = ["file_id", "line_no", "svid", *SHAPE]
 GROUP_KEY = ["ctg", "ctg2", "island", "grp"]
-#: Rows before a call that are looked at for a match without a scan; members of a group whose middle a window finds.
-BACK, LARGE = 4, 1000
+#: Rows before a call that are looked at for a match without a scan; members of a group whose middle a window finds;
+#: largest gaps in a stretch in which the points of a read are paired.
+BACK, LARGE, STRETCH = 4, 1000, 16
 
 
 class GroupScan:
@@ -264,13 +266,13 @@ def _large_medians(rows: DataFrame) -> DataFrame:
     return mid.join(files, "group_id")
 
 
-def _break_points(calls: DataFrame, key: list[str]) -> DataFrame:
-    """Both points of every call: ``key``, ``end`` (0, 1), ``ctg, pos, ori, svtype``."""
+def _break_points(calls: DataFrame, key: list[str], more: tuple[str, ...] = ()) -> DataFrame:
+    """Both points of every call: ``key``, ``end`` (0, 1), ``ctg, pos, ori, svtype`` and ``more``."""
     point = lambda ctg, pos, end: F.struct(
         F.lit(end).alias("end"), F.col(ctg).alias("ctg"), F.col(pos).alias("pos"), F.substring("ori", end + 1, 1).alias("ori")
     )
     both = F.explode(F.array(point("ctg", "pos", 0), point("ctg2", "pos2", 1)))
-    return calls.select(*[F.col(k).alias("_k_" + k) for k in key], both.alias("p"), "svtype").select(*["_k_" + k for k in key], "p.*", "svtype")
+    return calls.select(*[F.col(k).alias("_k_" + k) for k in key], both.alias("p"), "svtype", *more).select(*["_k_" + k for k in key], "p.*", "svtype", *more)
 
 
 def _banded(pts: DataFrame, on: list[str], allowed: Column, min_gap: int, max_gap: int) -> DataFrame:
@@ -285,24 +287,84 @@ def _banded(pts: DataFrame, on: list[str], allowed: Column, min_gap: int, max_ga
     return left.join(right, cond).drop("bin0", "bin1")
 
 
+class PairScan:
+    """Pairs of the points of one read on one contig, ``min_gap`` to below ``max_gap`` apart, whose types need a shared read.
+
+    Points come in order.  One that lies in the next stretch (``size`` long) is there as the second of a pair only.
+    """
+
+    def __init__(self, cols: list[str], min_gap: int, max_gap: int, size: int, most: int = 200_000):
+        self.cols, self.min_gap, self.max_gap, self.size, self.most = cols, min_gap, max_gap, size, most
+        self.held: pa.Table | None = None
+
+    def whole(self, t: pa.Table, starts: np.ndarray):
+        yield from self._pairs(t, np.repeat(np.arange(len(starts)), np.diff(np.append(starts, t.num_rows))), 0)
+
+    def part(self, t: pa.Table, last: bool):
+        before = 0 if self.held is None else self.held.num_rows
+        t = t.combine_chunks() if self.held is None else pa.concat_tables([self.held, t]).combine_chunks()
+        yield from self._pairs(t, np.zeros(t.num_rows, np.int64), before)
+        pos = numbers(t["pos"])
+        self.held = None if last else t.slice(int(np.searchsorted(pos, pos[-1] - self.max_gap, side="right")))
+
+    def _pairs(self, t: pa.Table, island: np.ndarray, before: int):
+        """Pairs of which the second is not among the first ``before`` rows."""
+        pos, kind = numbers(t["pos"]), t["svtype"].combine_chunks()
+        bnd, inv, dele = (pc.equal(kind, x).fill_null(False).to_numpy(zero_copy_only=False) for x in ("BND", "INV", "DEL"))
+        own = np.floor_divide(pos, self.size) == numbers(t["segment"])
+        a, back, found, n = np.flatnonzero(own), 0, [], 0
+        while len(a):
+            back += 1
+            a = a[a + back < t.num_rows]
+            b = a + back
+            near = (island[a] == island[b]) & (pos[b] - pos[a] < self.max_gap)
+            a, b = a[near], b[near]
+            ok = (pos[b] - pos[a] >= self.min_gap) & (b >= before) & (bnd[a] | bnd[b] | (inv[a] & inv[b]) | (dele[a] & dele[b]))
+            found.append((a[ok], b[ok]))
+            n += int(ok.sum())
+            if n > self.most or not len(a):
+                first, second = (t.take(pa.array(np.concatenate(x))) for x in zip(*found))
+                yield pa.table({f"{c}{i}": side[c] for i, side in enumerate((first, second)) for c in self.cols})
+                found, n = [], 0
+
+
+def _paired(pts: DataFrame, cols: list[str], min_gap: int, max_gap: int) -> DataFrame:
+    """``_banded`` on equal read and contig for types that need a shared read: points move once and are paired in order.
+
+    A stretch holds many gaps, so few points are copied to the one before theirs.
+    """
+    size = STRETCH * max_gap
+    at = F.floor(F.col("pos") / F.lit(size)).cast("bigint")
+    early = F.col("pos") - at * size < max_gap
+    rows = pts.filter("pos is not null and ctg is not null").withColumn("segment", F.explode(F.when(early, F.array(at - 1, at)).otherwise(F.array(at))))
+    out = [T.StructField(f"{c}{i}", rows.schema[c].dataType) for i in (0, 1) for c in cols]
+    scan = lambda: PairScan(cols, min_gap, max_gap, size)
+    return scan_segments(rows, ["read", "ctg"], ["pos"], "pos", max_gap, T.StructType(out), scan)
+
+
 def _shared_pairs(calls: DataFrame, reads: DataFrame, key: list[str], min_gap: int, max_gap: int) -> DataFrame:
     """Classified pairs of points that share assembly reads, counted read by read."""
     c = F.col
     names = ["_k_" + k for k in key]
-    per_read = reads.select(*[c(k).alias("_k_" + k) for k in key], "read")
-    pts = _break_points(calls, key)
+    # The reads of a call come together once, where they are counted and meet the call.
+    listed = reads.select(*key, "read").repartition(*key).groupBy(*key, "read").agg(F.count("*").alias("times"))
+    listed = listed.withColumn("listed", F.sum("times").over(Window.partitionBy(*key))).filter("read is not null").drop("times")
+    pts = _break_points(calls.select(*key, "ctg", "pos", "ori", "ctg2", "pos2", "svtype").join(listed, key), key, ("read", "listed"))
     bnd = (c("svtype0") == "BND") | (c("svtype1") == "BND")
     both = lambda t: (c("svtype0") == t) & (c("svtype1") == t)
-    met = _banded(pts.join(per_read.distinct(), names), ["ctg", "read"], bnd | both("INV") | both("DEL"), min_gap, max_gap)
-    sides = [f"{x}{i}" for i in (0, 1) for x in (*names, "end", "ctg", "pos", "ori", "svtype")]
-    counted = met.groupBy(*sides).agg(F.count("*").alias("shared"))
-    listed = per_read.groupBy(*[c(n).alias(n + "0") for n in names]).agg(F.count("*").alias("listed"))
+    cols = [*names, "end", "ctg", "pos", "ori", "svtype"]
+    if min_gap > 0:
+        met = _paired(pts, [*cols, "listed"], min_gap, max_gap)
+    else:  # a point is then its own partner too, and two of one place are two pairs
+        met = _banded(pts, ["ctg", "read"], bnd | both("INV") | both("DEL"), min_gap, max_gap)
+    sides = [f"{x}{i}" for i in (0, 1) for x in cols]
+    counted = met.groupBy(*sides, "listed0").agg(F.count("*").alias("shared"))
     kind = (
-        F.when(bnd & (c("shared") == c("listed")), "Insertions_case3")
+        F.when(bnd & (c("shared") == c("listed0")), "Insertions_case3")
         .when(both("INV") | (bnd & (c("ori0") == c("ori1"))), "Parallel_Breakpoints_case4")
         .when(both("DEL"), "case1")
     )
-    return counted.join(listed, [n + "0" for n in names]).withColumn("dsb_type", kind).filter("dsb_type is not null").select(*sides, "dsb_type")
+    return counted.withColumn("dsb_type", kind).filter("dsb_type is not null").select(*sides, "dsb_type")
 
 
 def _named(pairs: DataFrame, key: list[str]) -> DataFrame:

@@ -1,11 +1,15 @@
 """Steps that move their rows once: against the forms that move them often, and by their plans."""
 
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
-from strandloom.operators import islands
+from strandloom.operators import islands, union
 from strandloom.operators.merge import cluster_reads
 from strandloom.params import MergeParams
+from tests.test_breaks import CALL as CALLS
 from tests.test_greedy import SIGNAL, random_signals
 
 
@@ -29,3 +33,36 @@ def test_reads_of_whole_islands_move_once(spark, monkeypatch, max_alleles):
     held = lambda d: sorted(sorted(x.r) for x in d.groupBy("ctg", "kind", "island", "cluster").agg(F.collect_list("read").alias("r")).collect())
     if max_alleles is None:
         assert held(one) == held(cluster_reads(df, p))
+
+
+@pytest.mark.parametrize("min_gap, pieces", [(50, 100_000), (50, 3), (1, 3), (0, 100_000)])
+def test_points_of_a_read_are_paired_across_stretches_and_pieces(spark, monkeypatch, min_gap, pieces):
+    monkeypatch.setattr(union, "STRETCH", 2)  # a stretch of 400 positions
+    monkeypatch.setattr(union, "scan_segments", lambda *a: islands.scan_segments(*a, most=pieces))
+    rnd, calls, reads = random.Random(min_gap), [], []
+    for n in range(120):
+        key, pos = (n % 2, n, f"s{n}"), rnd.choice([800, 900, rnd.randrange(-500, 3000)])
+        ori, types = rnd.choice([">>", "<<", "><", None]), ["BND", "DUP", "DEL", "INV", "INS", None]
+        calls.append((*key, rnd.choice("aab"), pos, ori, rnd.choice(["a", "b", None]), pos + rnd.choice([1, 60, 199, 200, 700]), rnd.choice(types)))
+        reads += [(*key, rnd.choice(["r0", "r1", "r2", "r3", None])) for _ in range(rnd.choice([0, 1, 2, 4]))]
+    c, rd = spark.createDataFrame(calls, CALLS), spark.createDataFrame(reads, "file_id int, line_no long, svid string, read string")
+    pairs = union.strand_break_pairs(c, rd, max_gap=200, min_gap=min_gap)
+    pts = union._break_points(c, ["file_id", "line_no", "svid"]).join(rd.distinct().toDF("_k_file_id", "_k_line_no", "_k_svid", "read"), ["_k_file_id", "_k_line_no", "_k_svid"])
+    pts = [tuple(x) for x in pts.select("_k_file_id", "_k_line_no", "_k_svid", "end", "ctg", "pos", "ori", "svtype", "read").collect()]
+    shared, listed = Counter(), Counter(x[:3] for x in reads)
+    for a in pts:
+        for b in pts:
+            if a[8] is not None and (a[4], a[8]) == (b[4], b[8]) and a[4] is not None and min_gap <= b[5] - a[5] < 200:
+                shared[a[:8], b[:8]] += 1
+    want = []
+    for (a, b), n in shared.items():
+        bnd, types = "BND" in (a[7], b[7]), (a[7], b[7])
+        kind = "case1" if types == ("DEL", "DEL") else None
+        kind = "Parallel_Breakpoints_case4" if types == ("INV", "INV") or bnd and a[6] == b[6] is not None else kind
+        kind = "Insertions_case3" if bnd and n == listed[a[:3]] else kind
+        want += [str((a[2], b[2], a[5], b[5], kind))] if kind else []
+    got = pairs.filter("dsb_type != 'case2'").select("svid0", "svid1", "pos0", "pos1", "dsb_type").collect()
+    assert sorted(str(tuple(x)) for x in got) == sorted(want) and len(want) > 30
+    # Points move once, and once more as pairs: the only joins are those of calls with reads and of duplications.
+    if min_gap:
+        assert optimized(pairs).count("Join ") == 2
