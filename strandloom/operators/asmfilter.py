@@ -1,12 +1,12 @@
 """Support of calls by the assembly alignments of their own reads.
 
 Reads of calls are kept in long form (one row per read), so a call with very many reads is many rows
-and never one array.  Existence per read is a left semi join; counting follows.
+and never one array.  Only the evidence of a read, which is bounded, travels as an array to the calls of the read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strandloom.functions.typing import (
     FLAG_TRANSLOCATED,
@@ -26,8 +26,8 @@ LENGTH_STEP = 0.2
 MAX_BUCKET_RATIO = 0.8
 
 
-def compact_evidence(evidence: DataFrame, ratio: float) -> DataFrame:
-    """Evidence per read as shortest and longest length in each (flag, length bucket).
+def compact_evidence(evidence: DataFrame, ratio: float, *by: str) -> DataFrame:
+    """Evidence per read (and ``by``) as shortest and longest length in each (flag, length bucket).
 
     A bucket spans a factor of about 1.2 on ``length + 1000`` and is narrower than every interval of
     lengths that ``lengths_agree`` accepts up to this ratio, so an accepted length exists in a bucket
@@ -36,14 +36,13 @@ def compact_evidence(evidence: DataFrame, ratio: float) -> DataFrame:
     """
     size = F.col("abs_len")
     bucket = F.floor(F.log(size + 1000) / F.lit(LENGTH_STEP)) if ratio <= MAX_BUCKET_RATIO else size
-    return evidence.groupBy(F.col("read").alias("e_read"), F.col("flag").alias("e_flag"), bucket.alias("e_bucket")).agg(
+    return evidence.groupBy(F.col("read").alias("e_read"), F.col("flag").alias("e_flag"), bucket.alias("e_bucket"), *by).agg(
         F.min(size).alias("e_lo"), F.max(size).alias("e_hi")
     )
 
 
-def _supports(p: CompareParams) -> Column:
-    """A bucket of evidence of a read backs a call with ``flag, abs_len``."""
-    f, n, ef, lo, hi = (F.col(x) for x in ("flag", "abs_len", "e_flag", "e_lo", "e_hi"))
+def _supports(p: CompareParams, f: Column, n: Column, ef: Column, lo: Column, hi: Column) -> Column:
+    """A bucket of evidence of a read (``ef, lo, hi``) backs a call with flag ``f`` and length ``n``."""
     local = f.isin(1, 2, 4)
     similar = lengths_agree(lo, n, p.min_len_ratio) | lengths_agree(hi, n, p.min_len_ratio)
     swapped = ((f == 1) & (ef == 2)) | ((f == 2) & (ef == 1))
@@ -56,43 +55,87 @@ def _supports(p: CompareParams) -> Column:
     )
 
 
-def _with_reads(calls: DataFrame, call_reads: DataFrame, strict: bool) -> DataFrame:
-    """Distinct (call, read) rows; a call whose id is not in the read table is an error."""
-    rows = calls.withColumns(
-        {
-            "clean_id": canonical_id(F.col("svid")),
-            "flag": type_flag(F.col("svtype"), F.col("ctg"), F.col("ctg2")),
-            "abs_len": F.abs("svlen"),
-        }
-    )
+def _class() -> dict[str, Column]:
+    return {"flag": type_flag(F.col("svtype"), F.col("ctg"), F.col("ctg2")), "abs_len": F.abs("svlen")}
+
+
+def _with_reads(calls: DataFrame, call_reads: DataFrame) -> DataFrame:
+    """Distinct (call, read) rows."""
     shared = ["file_id"] if "file_id" in call_reads.columns else []
     reads = call_reads.select(*shared, F.col("svid").alias("clean_id"), "read").distinct()
-    out = rows.join(reads, [*shared, "clean_id"], "left" if strict else "inner")
+    return calls.withColumns({"clean_id": canonical_id(F.col("svid")), **_class()}).join(reads, [*shared, "clean_id"])
+
+
+def _by_read(evidence: dict[str, DataFrame], ratio: float) -> DataFrame:
+    """A row per read: ``e_read``, ``named`` (a bit per category that has the read) and ``ends``, its compacted evidence.
+
+    Bits of categories with the same evidence are united.  All steps happen where the read is.
+    """
+    rows = [ev.select("read", "flag", "abs_len", F.lit(1 << i).cast("bigint").alias("mask")) for i, ev in enumerate(evidence.values())]
+    ends = compact_evidence(union_all(rows).filter("read is not null").repartition("read"), ratio, "mask")
+    if len(rows) > 1:
+        ends = ends.groupBy("e_read", "e_flag", "e_lo", "e_hi").agg(F.bit_or("mask").alias("mask"))
+    return ends.groupBy("e_read").agg(F.bit_or("mask").alias("named"), F.collect_list(F.struct("e_flag", "e_lo", "e_hi", "mask")).alias("ends"))
+
+
+def _supported(
+    calls: DataFrame, call_reads: DataFrame, evidence: dict[str, DataFrame], p: CompareParams, strict: bool, more: dict[str, Column] | None = None
+) -> DataFrame:
+    """Calls with ``clean_id`` and for category i its reads with like evidence (``_t{i}``) and its reads seen at all (``_n{i}``).
+
+    ``more`` columns are derived where the calls of an id are together.
+
+    Evidence meets the reads first and goes on with them to the calls, so a read moves twice and a call once; calls are
+    counted where their id is.  ``strict`` refuses calls whose id is not in the read table.
+    """
+    shared = ["file_id"] if "file_id" in call_reads.columns else []
+    reads = call_reads.select(*[F.col(c).alias("_r_" + c) for c in shared], F.col("svid").alias("_r_id"), "read")
+    reads = (reads if strict else reads.filter("read is not null")).repartition("read").distinct()
+    met = reads.join(_by_read(evidence, p.min_len_ratio), F.col("read") == F.col("e_read"), "left" if strict else "inner")
+    met = met.select(*["_r_" + c for c in shared], "_r_id", F.col("read").isNotNull().alias("_listed"), "named", "ends")
+    # A number keeps equal rows apart; it need not be the same in another run.
+    rows = calls.withColumns({"clean_id": canonical_id(F.col("svid")), "_row": F.monotonically_increasing_id()}).repartition("clean_id")
+    rows = rows.withColumns({**_class(), **(more or {})})
+    cond = F.col("clean_id") == F.col("_r_id")
+    for c in shared:  # not as an equality: it would be a key to move all rows by, and they are in place by their id
+        cond = cond & (F.col(c) <= F.col("_r_" + c)) & (F.col(c) >= F.col("_r_" + c))
+    rows = rows.join(met, cond, "left")
+    zero = F.lit(0).cast("bigint")
+    backs = lambda e: _supports(p, F.col("flag"), F.col("abs_len"), e["e_flag"], e["e_lo"], e["e_hi"])
+    bits = {"named": F.col("named"), "typed": F.aggregate("ends", zero, lambda found, e: found.bitwiseOR(F.when(backs(e), e["mask"]).otherwise(zero)))}
     if strict:
-        out = out.withColumn(
-            "read",
-            F.coalesce("read", F.raise_error(F.concat(F.lit("no reads listed for "), F.col("svid"))).cast("string")),
-        )
-    return out
+        none = F.raise_error(F.concat(F.lit("no reads listed for "), F.col("svid"))).cast("bigint")
+        bits = {k: F.when(F.coalesce("_listed", F.lit(False)), v).otherwise(none) for k, v in bits.items()}
+    has = lambda c, i: F.count_if(F.col(c).bitwiseAND(F.lit(1 << i)) != 0)
+    counts = [has(c, i).alias(f"_{c[0]}{i}") for i in range(len(evidence)) for c in ("typed", "named")]
+    own = list(dict.fromkeys([*calls.columns, "clean_id", *(more or {})]))
+    return rows.withColumns(bits).groupBy(*own, "_row").agg(*counts).drop("_row")
+
+
+def _whole_key(count: Column) -> Column:
+    """The count, or 0 for a call with an unknown in its key."""
+    known = F.lit(True)
+    for c in KEY:
+        known = known & F.col(c).isNotNull()
+    return F.when(known, count).otherwise(0).cast("bigint")
 
 
 def typed_support(
     calls: DataFrame, call_reads: DataFrame, evidence: DataFrame, p: CompareParams, strict: bool = False
 ) -> DataFrame:
-    """Calls with ``asm_name_support`` (reads seen at all) and ``asm_support`` (reads with like evidence)."""
-    reads = _with_reads(calls, call_reads, strict).select(*KEY, "flag", "abs_len", "read")
-    ev = compact_evidence(evidence, p.min_len_ratio)
-    names = ev.select("e_read").distinct()
-    on_name = F.col("read") == F.col("e_read")
-    counted = lambda d, name: d.groupBy(*KEY).agg(F.count("*").alias(name))
-    seen = counted(reads.join(names, on_name, "left_semi"), "asm_name_support")
-    typed = counted(reads.join(ev, on_name & _supports(p), "left_semi"), "asm_support")
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
-    return (
-        calls.join(seen, KEY, "left")
-        .join(typed, KEY, "left")
-        .select(*calls.columns, zero("asm_support"), zero("asm_name_support"))
-    )
+    """Calls with ``asm_name_support`` (reads seen at all) and ``asm_support`` (reads with like evidence).
+
+    Calls of one key count the reads of all of them.
+    """
+    return _typed(calls, call_reads, evidence, p, strict).select(*calls.columns, "asm_support", "asm_name_support")
+
+
+def _typed(calls: DataFrame, call_reads: DataFrame, evidence: DataFrame, p: CompareParams, strict: bool) -> DataFrame:
+    """``typed_support`` with ``clean_id``, by which its rows lie, and ``copies``, the number of calls of the same key."""
+    copies = {"copies": F.count("*").over(Window.partitionBy("clean_id", *KEY))}
+    rows = _supported(calls, call_reads, {"": evidence}, p, strict, copies)
+    counts = {n: _whole_key(F.col(c) * F.col("copies")) for n, c in (("asm_support", "_t0"), ("asm_name_support", "_n0"))}
+    return rows.withColumns(counts).drop("_t0", "_n0")
 
 
 def category_support(
@@ -100,27 +143,19 @@ def category_support(
 ) -> DataFrame:
     """Calls with ``support``: per category a struct of ``category, asm_support, asm_name_support``.
 
-    All categories meet the reads in one join.  Evidence is a row per read, flag and length with a bit for every
-    category that has it (in each length bucket only a category's shortest and longest count); bits are united per
-    (call, read) and counted per call.
+    All categories meet the reads in one join, as bits of the evidence that they share.
     """
+    return _by_category(calls, call_reads, evidence, p, strict).select(*calls.columns, "support")
+
+
+def _by_category(calls: DataFrame, call_reads: DataFrame, evidence: dict[str, DataFrame], p: CompareParams, strict: bool) -> DataFrame:
+    """``category_support`` with ``clean_id``, by which its rows lie."""
     if len(evidence) > 63:
         raise ValueError("at most 63 categories")
-    rows = []
-    for i, ev in enumerate(evidence.values()):
-        ends = F.explode(F.array_distinct(F.array("e_lo", "e_hi"))).alias("e_lo")
-        rows.append(compact_evidence(ev, p.min_len_ratio).select("e_read", "e_flag", ends, F.lit(1 << i).cast("bigint").alias("mask")))
-    bits = union_all(rows).groupBy("e_read", "e_flag", "e_lo").agg(F.bit_or("mask").alias("mask")).withColumn("e_hi", F.col("e_lo"))
-    reads = _with_reads(calls, call_reads, strict).select(*KEY, "flag", "abs_len", "read")
-    met = reads.join(bits, F.col("read") == F.col("e_read"))
-    zero = F.lit(0).cast("bigint")
-    per_read = met.groupBy(*KEY, "read").agg(F.bit_or("mask").alias("named"), F.bit_or(F.when(_supports(p), F.col("mask")).otherwise(zero)).alias("typed"))
-    has = lambda c, i: F.count_if(F.col(c).bitwiseAND(F.lit(1 << i)) != 0)
-    counts = [(has("typed", i).alias(f"_t{i}"), has("named", i).alias(f"_n{i}")) for i in range(len(evidence))]
-    sums = per_read.groupBy(*KEY).agg(*[c for pair in counts for c in pair])
-    count = lambda c: F.coalesce(F.col(c), zero)
-    each = [F.struct(F.lit(n).alias("category"), count(f"_t{i}").alias("asm_support"), count(f"_n{i}").alias("asm_name_support")) for i, n in enumerate(evidence)]
-    return calls.join(sums, KEY, "left").select(*calls.columns, F.array(*each).alias("support"))
+    rows = _supported(calls, call_reads, evidence, p, strict)
+    count = lambda c, i: _whole_key(F.col(f"_{c}{i}"))
+    each = [F.struct(F.lit(n).alias("category"), count("t", i).alias("asm_support"), count("n", i).alias("asm_name_support")) for i, n in enumerate(evidence)]
+    return rows.withColumn("support", F.array(*each))
 
 
 def read_lists(calls: DataFrame, call_reads: DataFrame, evidence: DataFrame, p: CompareParams) -> DataFrame:
@@ -128,9 +163,10 @@ def read_lists(calls: DataFrame, call_reads: DataFrame, evidence: DataFrame, p:
 
     The names of a call become one text only here, where its row is written; operators keep (call, read) rows.
     """
-    reads = _with_reads(calls, call_reads, False).select(*KEY, "flag", "abs_len", "read")
+    reads = _with_reads(calls, call_reads).select(*KEY, "flag", "abs_len", "read")
     ev = compact_evidence(evidence, p.min_len_ratio)
-    backed = reads.join(ev, (F.col("read") == F.col("e_read")) & _supports(p), "left_semi")
+    like = _supports(p, *map(F.col, ("flag", "abs_len", "e_flag", "e_lo", "e_hi")))
+    backed = reads.join(ev, (F.col("read") == F.col("e_read")) & like, "left_semi")
     text = lambda d, name: d.groupBy(*KEY).agg(F.array_join(F.sort_array(F.collect_set("read")), ",").alias(name))
     return calls.join(text(reads, "orig_reads"), KEY, "left").join(text(backed, "asm_reads"), KEY, "left")
 
@@ -145,8 +181,7 @@ def support_stats(
     strict: bool = True,
 ) -> DataFrame:
     """One row per reportable call: its class, place, and support numbers."""
-    rows = typed_support(select_reportable(calls, p, bed), call_reads, evidence, p, strict)
-    rows = rows.withColumn("clean_id", canonical_id(F.col("svid")))
+    rows = _typed(select_reportable(calls, p, bed), call_reads, evidence, p, strict).select(*calls.columns, "asm_support", "asm_name_support", "clean_id")
     if consensus_ids is None:
         rows = rows.withColumn("is_consensus", F.lit(True))
     else:

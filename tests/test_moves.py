@@ -7,10 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandloom.operators import islands, union
+from strandloom.operators.asmfilter import category_support, typed_support
 from strandloom.operators.merge import cluster_reads
-from strandloom.params import MergeParams
+from strandloom.params import CompareParams, MergeParams
 from tests.test_breaks import CALL as CALLS
-from tests.test_greedy import SIGNAL, random_signals
+from tests.test_greedy import CALL, SIGNAL, random_signals
+from tests.test_support import backs
 
 
 def optimized(df):
@@ -66,3 +68,40 @@ def test_points_of_a_read_are_paired_across_stretches_and_pieces(spark, monkeypa
     # Points move once, and once more as pairs: the only joins are those of calls with reads and of duplications.
     if min_gap:
         assert optimized(pairs).count("Join ") == 2
+
+
+def test_support_of_copies_unknowns_and_files_in_one_move(spark):
+    """Categories together give what each gives alone and a look at every read gives; ids recur in files, rows and keys recur."""
+    rnd = random.Random(3)
+    size = lambda: int(10 ** rnd.uniform(1.5, 6))
+    pick = lambda n: [(rnd.choice([f"r{i}" for i in range(15)] + [None]), rnd.choice([0, 1, 2, 4, 8]), size()) for _ in range(n)]
+    found = {"x": pick(60), "y": pick(25), "z": []}
+    found["y"] += found["x"][:10]
+    calls = []
+    for i in range(80):
+        kind = rnd.choice(["INS", "DUP", "DEL", "INV", "BND"])
+        calls.append((i % 3, i // 8, f"severus_x{i // 8}_{i % 2 + 1}", "c", rnd.choice([10, 20, None]), ">>", rnd.choice("cd"), 20, kind, size() * rnd.choice([1, -1]), False, i % 4, 1.0))
+    calls += [(*c[:11], 9, 0.5) for c in calls[:20]] + calls[:7] + [(0, 1, None, "c", 10, ">>", "c", 20, "DEL", -90, False, 3, 1.0)]
+    reads = [(f, f"severus_x{i}", rnd.choice([f"r{k}" for k in range(20)] + [None])) for f in (0, 1, 2) for i in range(9) for _ in range(6)]
+    c, ev = spark.createDataFrame(calls, CALL).repartition(4), {n: spark.createDataFrame(rows, "read string, flag int, abs_len long") for n, rows in found.items()}
+    flag = lambda x: {"INS": 1, "DUP": 1, "DEL": 2, "INV": 4}.get(x[8], 8 if x[6] != "c" else 0)
+    key = [0, 1, 2, 3, 4, 6, 7, 8, 9]
+    for shared in (True, False):
+        rd = spark.createDataFrame(reads, "file_id int, svid string, read string").drop(*([] if shared else ["file_id"]))
+        want = {}
+        for x in calls:
+            mine = {r for f, s, r in reads if r is not None and x[2] is not None and s == x[2][:-2] and (not shared or f == x[0])}
+            alike = sum([x[k] for k in key] == [y[k] for k in key] for y in calls) if None not in [x[k] for k in key] else 0
+            want[x] = [(n, sum(any(e[0] == r and backs(flag(x), abs(x[9]), e[1], e[2], 0.6) for e in rows) for r in mine), sum(any(e[0] == r for e in rows) for r in mine), alike) for n, rows in found.items()]
+        got = category_support(c, rd, ev, CompareParams()).collect()
+        once = lambda x, n: [(k, a * bool(m), b * bool(m)) for k, a, b, m in want[x] if k in n]
+        assert Counter(str((tuple(r)[:-1], [tuple(x) for x in r["support"]])) for r in got) == Counter(str((x, once(x, found))) for x in calls)
+        for i, n in enumerate(found):
+            one = typed_support(c, rd, ev[n], CompareParams())
+            assert Counter(str(tuple(r)) for r in one.collect()) == Counter(str((*x, want[x][i][1] * want[x][i][3], want[x][i][2] * want[x][i][3])) for x in calls)
+        assert optimized(one).count("Join ") == 2 and optimized(one).count("RepartitionByExpression") == 3
+    with pytest.raises(Exception, match="no reads listed for"):
+        typed_support(c.filter("svid is not null"), rd, ev["x"], CompareParams(), strict=True).collect()
+    listed = [(f, f"severus_x{i}", "r1") for f in (0, 1, 2) for i in range(11)]
+    strict = typed_support(c.filter("svid is not null"), spark.createDataFrame(listed, "file_id int, svid string, read string"), ev["z"], CompareParams(), strict=True)
+    assert strict.filter("asm_name_support = 0").count() == len(calls) - 1
