@@ -15,8 +15,9 @@ from strandloom.functions.typing import (
     lengths_agree,
     type_flag,
 )
-from strandloom.operators.compare import SHAPE, select_reportable
+from strandloom.operators.compare import SHAPE, reportable, select_reportable
 from strandloom.operators.ordinals import union_all
+from strandloom.operators.regions import flag_inside
 from strandloom.params import CompareParams
 
 KEY = ["file_id", "line_no", "svid", *SHAPE]
@@ -79,19 +80,19 @@ def _by_read(evidence: dict[str, DataFrame], ratio: float) -> DataFrame:
 
 
 def _supported(
-    calls: DataFrame, call_reads: DataFrame, evidence: dict[str, DataFrame], p: CompareParams, strict: bool, more: dict[str, Column] | None = None
+    calls: DataFrame, call_reads: DataFrame, evidence: dict[str, DataFrame], p: CompareParams, strict: Column | None, more: dict[str, Column] | None = None
 ) -> DataFrame:
     """Calls with ``clean_id`` and for category i its reads with like evidence (``_t{i}``) and its reads seen at all (``_n{i}``).
 
     ``more`` columns are derived where the calls of an id are together.
 
     Evidence meets the reads first and goes on with them to the calls, so a read moves twice and a call once; calls are
-    counted where their id is.  ``strict`` refuses calls whose id is not in the read table.
+    counted where their id is.  calls that are ``strict`` are refused if their id is not in the read table.
     """
     shared = ["file_id"] if "file_id" in call_reads.columns else []
     reads = call_reads.select(*[F.col(c).alias("_r_" + c) for c in shared], F.col("svid").alias("_r_id"), "read")
-    reads = (reads if strict else reads.filter("read is not null")).repartition("read").distinct()
-    met = reads.join(_by_read(evidence, p.min_len_ratio), F.col("read") == F.col("e_read"), "left" if strict else "inner")
+    reads = (reads if strict is not None else reads.filter("read is not null")).repartition("read").distinct()
+    met = reads.join(_by_read(evidence, p.min_len_ratio), F.col("read") == F.col("e_read"), "inner" if strict is None else "left")
     met = met.select(*["_r_" + c for c in shared], "_r_id", F.col("read").isNotNull().alias("_listed"), "named", "ends")
     # A number keeps equal rows apart; it need not be the same in another run.
     rows = calls.withColumns({"clean_id": canonical_id(F.col("svid")), "_row": F.monotonically_increasing_id()}).repartition("clean_id")
@@ -103,9 +104,9 @@ def _supported(
     zero = F.lit(0).cast("bigint")
     backs = lambda e: _supports(p, F.col("flag"), F.col("abs_len"), e["e_flag"], e["e_lo"], e["e_hi"])
     bits = {"named": F.col("named"), "typed": F.aggregate("ends", zero, lambda found, e: found.bitwiseOR(F.when(backs(e), e["mask"]).otherwise(zero)))}
-    if strict:
+    if strict is not None:
         none = F.raise_error(F.concat(F.lit("no reads listed for "), F.col("svid"))).cast("bigint")
-        bits = {k: F.when(F.coalesce("_listed", F.lit(False)), v).otherwise(none) for k, v in bits.items()}
+        bits = {k: F.when(F.coalesce("_listed", F.lit(False)) | ~strict, v).otherwise(none) for k, v in bits.items()}
     has = lambda c, i: F.count_if(F.col(c).bitwiseAND(F.lit(1 << i)) != 0)
     counts = [has(c, i).alias(f"_{c[0]}{i}") for i in range(len(evidence)) for c in ("typed", "named")]
     own = list(dict.fromkeys([*calls.columns, "clean_id", *(more or {})]))
@@ -133,7 +134,7 @@ def typed_support(
 def _typed(calls: DataFrame, call_reads: DataFrame, evidence: DataFrame, p: CompareParams, strict: bool) -> DataFrame:
     """``typed_support`` with ``clean_id``, by which its rows lie, and ``copies``, the number of calls of the same key."""
     copies = {"copies": F.count("*").over(Window.partitionBy("clean_id", *KEY))}
-    rows = _supported(calls, call_reads, {"": evidence}, p, strict, copies)
+    rows = _supported(calls, call_reads, {"": evidence}, p, F.lit(True) if strict else None, copies)
     counts = {n: _whole_key(F.col(c) * F.col("copies")) for n, c in (("asm_support", "_t0"), ("asm_name_support", "_n0"))}
     return rows.withColumns(counts).drop("_t0", "_n0")
 
@@ -145,10 +146,10 @@ def category_support(
 
     All categories meet the reads in one join, as bits of the evidence that they share.
     """
-    return _by_category(calls, call_reads, evidence, p, strict).select(*calls.columns, "support")
+    return _by_category(calls, call_reads, evidence, p, F.lit(True) if strict else None).select(*calls.columns, "support")
 
 
-def _by_category(calls: DataFrame, call_reads: DataFrame, evidence: dict[str, DataFrame], p: CompareParams, strict: bool) -> DataFrame:
+def _by_category(calls: DataFrame, call_reads: DataFrame, evidence: dict[str, DataFrame], p: CompareParams, strict: Column | None) -> DataFrame:
     """``category_support`` with ``clean_id``, by which its rows lie."""
     if len(evidence) > 63:
         raise ValueError("at most 63 categories")
@@ -158,6 +159,27 @@ def _by_category(calls: DataFrame, call_reads: DataFrame, evidence: dict[str, Da
     return rows.withColumn("support", F.array(*each))
 
 
+def supported_categories(
+    calls: DataFrame, call_reads: DataFrame, evidence: dict[str, DataFrame], p: CompareParams, bed: DataFrame | None = None, strict: bool = False
+) -> DataFrame:
+    """Calls with ``_categories``, the names of those in which a reportable call of their canonical id is supported.
+
+    Support is that of ``category_support`` and the minimum that of ``supported_ids``; calls of an id meet where
+    they were counted.
+    """
+    flagged = calls.withColumn("_in", F.lit(True)) if bed is None else flag_inside(calls, bed, KEY).withColumnRenamed("in_bed", "_in")
+    flagged = flagged.withColumn("_rep", F.coalesce(reportable(p) & F.col("_in"), F.lit(False))).drop("_in")
+    rows = _by_category(flagged, call_reads, evidence, p, F.col("_rep") if strict else None)
+    enough = lambda s: F.least(s["asm_support"], s["asm_name_support"], F.col("count")) >= p.min_count
+    mask = F.lit(0).cast("bigint")
+    for i in range(len(evidence)):
+        mask = mask.bitwiseOR(F.when(F.col("_rep") & enough(F.col("support")[i]), F.lit(1 << i)).otherwise(0).cast("bigint"))
+    of_id = F.bit_or("_mask").over(Window.partitionBy("clean_id", "file_id"))
+    rows = rows.withColumn("_mask", mask).withColumn("_mask", F.when(F.col("clean_id").isNotNull() & F.col("file_id").isNotNull(), of_id).otherwise(0))
+    names = [F.when(F.col("_mask").bitwiseAND(F.lit(1 << i)) != 0, F.lit(n)) for i, n in enumerate(evidence)]
+    return rows.select(*calls.columns, F.array_compact(F.array(*names)).alias("_categories"))
+
+
 def read_lists(calls: DataFrame, call_reads: DataFrame, evidence: DataFrame, p: CompareParams) -> DataFrame:
     """Calls with ``orig_reads`` and ``asm_reads``, for text rows: names of all reads and of those with like evidence.
 

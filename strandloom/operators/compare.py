@@ -368,17 +368,22 @@ class Shapes:
         return fits & ends & (np.abs(self.pos[a] - self.pos[b]) <= self.w)
 
 
-def island_scan(calls: DataFrame, window: int, needed: list[str], out: list[T.StructField], new_tables, new_scan, deep: int = DEEP) -> DataFrame:
+def island_scan(
+    calls: DataFrame, window: int, needed: list[str], out: list[T.StructField], new_tables, new_scan, deep: int = DEEP, each: tuple[str, Column] | None = None
+) -> DataFrame:
     """Calls of every (contig, contig) pair in the order of ``ARRIVAL`` through a scan of each island; adds ``island`` and ``out``.
 
-    Cells are found first, on few columns of the calls; calls that are dear to compute should be a table.
+    Cells are found first, on few columns of the calls; calls that are dear to compute should be a table.  ``each``
+    (name, generator of texts) copies the calls once they have moved, and the copies of each name are scanned apart.
     """
     keys = ["ctg", "ctg2"]
     light, dense = with_segment(calls, keys, "pos", window, deep)
-    fields = [*calls.schema.fields, T.StructField("island", T.LongType()), *out]
-    placed = scan_segments(light, keys, ARRIVAL, "pos", window, T.StructType(fields), new_tables)
+    fields = [*calls.schema.fields, *([] if each is None else [T.StructField(each[0], T.StringType())]), T.StructField("island", T.LongType()), *out]
+    placed = scan_segments(light, keys, ARRIVAL, "pos", window, T.StructType(fields), new_tables, each=each)
     if dense is None:
         return placed
+    if each is not None:
+        keys, dense = [*keys, each[0]], dense.withColumn(*each)
     extra = [(f.name, f.dataType) for f in out]
     return placed.unionByName(scan_islands(with_island(dense, keys, "pos", window), keys, ARRIVAL, needed, extra, new_scan))
 

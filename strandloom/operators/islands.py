@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 import strandloom
@@ -185,14 +185,23 @@ def gathered(picks: list[tuple[pa.Table, int]]) -> pa.Table:
 
 
 def scan_segments(
-    df: DataFrame, keys: list[str], order: list[str], pos: str, window: int, out: T.StructType, new_scan: Callable[[], object], most: int = 100_000
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    pos: str,
+    window: int,
+    out: T.StructType,
+    new_scan: Callable[[], object],
+    most: int = 100_000,
+    each: tuple[str, Column] | None = None,
 ) -> DataFrame:
     """Streams rows with ``segment`` in order and cuts them into islands as they come.
 
+    ``each`` (name, generator) copies a row once it has moved; the copies of each name have islands of their own.
     The scan gets tables of whole islands: ``whole(table, starts)``, with the indices where islands start.  An island of
     more than ``most`` rows comes piece by piece: ``part(table, last)``.  Both yield tables with the columns of ``out``.
     """
-    group = [*keys, "segment"]
+    group = [*keys, "segment"] if each is None else [*keys, "segment", each[0]]
     names = [f.name for f in out.fields]
 
     def starts_of(t: pa.Table) -> np.ndarray:
@@ -232,8 +241,9 @@ def scan_segments(
             yield from table.select(names).combine_chunks().to_batches()
 
     # A number for the group in front: most rows are told apart by it alone when they are sorted.
-    spread = df.repartition(*group).sortWithinPartitions(F.xxhash64(*group), *group, *order)
-    return spread.mapInArrow(run, out)
+    spread = df.repartition(*keys, "segment")
+    spread = spread if each is None else spread.withColumn(*each)
+    return spread.sortWithinPartitions(F.xxhash64(*group), *group, *order).mapInArrow(run, out)
 
 
 class IslandTables:

@@ -19,6 +19,7 @@ from strandloom.session import settle, written
 
 CALL_KEY = ["file_id", "line_no", "svid", *SHAPE]
 GROUP_KEY = ["ctg", "ctg2", "island", "grp"]
+CATEGORY = "_category"
 #: Rows before a call that are looked at for a match without a scan; members of a group whose middle a window finds;
 #: largest gaps in a stretch in which the points of a read are paired.
 BACK, LARGE, STRETCH = 4, 1000, 16
@@ -55,10 +56,13 @@ class GroupScan:
         self.groups.clear()
 
 
-def grouped(calls: DataFrame, p: UnionParams = UnionParams(), bed: DataFrame | None = None, deep: int = DEEP) -> DataFrame:
+def grouped(
+    calls: DataFrame, p: UnionParams = UnionParams(), bed: DataFrame | None = None, deep: int = DEEP, categories: Column | None = None
+) -> DataFrame:
     """Calls with their group key, the place of the group's first call, and ``in_bed``.
 
-    Only calls of one (contig, contig) pair can match, so the pair is part of the island key.
+    Only calls of one (contig, contig) pair can match, so the pair is part of the island key.  With ``categories``, the
+    names of those a call is in, the calls of each are grouped apart, and ``CATEGORY`` tells which; calls move once.
     """
     rows = calls.withColumn("in_bed", F.lit(True)) if bed is None else flag_inside(calls, bed, CALL_KEY)
     out = [T.StructField("grp", T.LongType()), T.StructField("seed_pos", T.LongType()), T.StructField("seed_file", T.IntegerType()), T.StructField("seed_line", T.LongType())]
@@ -83,12 +87,13 @@ def grouped(calls: DataFrame, p: UnionParams = UnionParams(), bed: DataFrame | N
 
     scan = lambda emit: GroupScan(emit, p)
     needed = [*SHAPE, "file_id", "line_no"]
-    return island_scan(rows, p.window, needed, out, lambda: IslandTables(scan, needed, "pos", extra, plain, settled), scan, deep)
+    return island_scan(rows, p.window, needed, out, lambda: IslandTables(scan, needed, "pos", extra, plain, settled), scan, deep, None if categories is None else (CATEGORY, F.explode(categories)))
 
 
 def reported_groups(rows: DataFrame, p: UnionParams = UnionParams()) -> DataFrame:
-    """Every group with the files it has calls of, and whether it is reported."""
-    g = rows.groupBy(*GROUP_KEY, "seed_pos", "seed_file", "seed_line").agg(
+    """Every group (of every category, if rows have one) with the files it has calls of, and whether it is reported."""
+    own = [CATEGORY] if CATEGORY in rows.columns else []
+    g = rows.groupBy(*own, *GROUP_KEY, "seed_pos", "seed_file", "seed_line").agg(
         F.max("count").alias("max_count"),
         F.max(F.abs("svlen")).alias("max_len"),
         F.bool_or(F.col("svtype") == "BND").alias("has_bnd"),
@@ -138,11 +143,12 @@ def combination_counts(
 
 
 def combinations_of(rows: DataFrame, n_files: int, p: UnionParams, unseen: bool = False) -> DataFrame:
-    """``combination_counts`` of calls that are ``grouped``."""
+    """``combination_counts`` of calls that are ``grouped``; of every category, if they have one."""
     kept = reported_groups(rows, p).filter("kept")
+    own = [CATEGORY] if CATEGORY in kept.columns else []
     ids = F.sequence(F.lit(0), F.lit(n_files - 1))
     has = lambda i: F.when(F.array_contains("files", i), "1").otherwise("0")
-    counts = kept.groupBy(F.array_join(F.transform(ids, has), "").alias("label")).agg(F.count("*").alias("n"))
+    counts = kept.groupBy(*own, F.array_join(F.transform(ids, has), "").alias("label")).agg(F.count("*").alias("n"))
     if not unseen:
         return counts
     every = rows.sparkSession.range(1, 1 << n_files).select(F.reverse(F.lpad(F.bin("id"), n_files, "0")).alias("label"))

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from strandloom.operators.asmfilter import category_support, supported_calls
+from strandloom.operators.asmfilter import category_support, supported_categories
 from strandloom.operators.compare import select_reportable
 from strandloom.operators.intersect import intersect
 from strandloom.operators.merge import merge_signals, only_sources
-from strandloom.operators.union import combinations_of, grouped, median_rows, rows_of
+from strandloom.operators.union import CATEGORY, combinations_of, grouped, median_rows, rows_of
 from strandloom.functions.typing import canonical_id, length_class
 from strandloom.params import CompareParams, MergeParams, UnionParams
-from strandloom.session import settle, written
+from strandloom.session import written
 
 
 def germline_calls(signals: DataFrame, p: MergeParams = MergeParams()) -> DataFrame:
@@ -71,25 +71,23 @@ def category_unions(
 ) -> dict[str, dict[str, DataFrame]]:
     """Per category the union of all callers, or of the first ``n_callers``: rows, combination counts and one row
     per group.  ``l_only`` is the union of the calls with ``cutoff`` reads, without evidence.  A call is kept by its
-    canonical id, whichever of its records is supported; support of all categories comes from one join.  Calls are
-    grouped once per category, and only the ``parts`` asked for are made.
+    canonical id, whichever of its records is supported; support of all categories comes from one join.  Calls of all
+    categories move together to be grouped, and only the ``parts`` asked for are made.
     """
     if n_callers is None:
         n_callers = (calls.agg(F.max("file_id")).first()[0] or 0) + 1
     enough = CompareParams(**{**compare.__dict__, "min_count": cutoff})
-    stats = category_support(select_reportable(calls, enough, bed), call_reads, evidence, enough, strict)
-    stats = settle(stats.select("file_id", canonical_id(F.col("svid")).alias("clean_id"), "count", F.explode("support").alias("s")).select("file_id", "clean_id", "count", "s.*"))
+    kept = supported_categories(calls, call_reads, evidence, enough, bed, strict)
+    plain = F.when((F.col("count") <= 0) | (F.col("count") >= cutoff), F.array(F.lit("l_only"))).otherwise(F.array().cast("array<string>"))
+    kept = kept.withColumn("_categories", F.when(F.col("file_id") < n_callers, F.concat(plain, "_categories")))
+    placed = grouped(written(kept.filter("size(_categories) > 0")), p, bed, categories=F.col("_categories"))
+    placed = placed if parts == ("combinations",) else written(placed)
+    counts = written(combinations_of(placed, n_callers, p)) if "combinations" in parts else None
     out = {}
     for name in ["l_only", *evidence]:
-        kept = calls.filter((F.col("count") <= 0) | (F.col("count") >= cutoff))
-        if name != "l_only":
-            kept = supported_calls(calls, stats.filter(F.col("category") == name), enough)
-        kept = written(kept.filter(F.col("file_id") < n_callers))
-        placed = grouped(kept, p, bed) if parts == ("combinations",) else written(grouped(kept, p, bed))
-        out[name] = {}
-        if "combinations" in parts:
-            out[name]["combinations"] = combinations_of(placed, n_callers, p)
+        mine = lambda d: d.filter(F.col(CATEGORY) == name).drop(CATEGORY)  # noqa: B023, E731
+        out[name] = {} if counts is None else {"combinations": mine(counts)}
         if "rows" in parts or "dedup" in parts:
-            rows = rows_of(placed, p)
+            rows = rows_of(mine(placed).drop("_categories"), p)
             out[name] |= {"rows": rows} | ({"dedup": median_rows(rows)} if "dedup" in parts else {})
     return out

@@ -7,11 +7,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandloom.operators import islands, union
-from strandloom.operators.asmfilter import category_support, typed_support
+from strandloom.operators.asmfilter import category_support, supported_calls, typed_support
+from strandloom.operators.compare import select_reportable
 from strandloom.operators.merge import cluster_reads
-from strandloom.params import CompareParams, MergeParams
+from strandloom.params import CompareParams, MergeParams, UnionParams
+from strandloom.plans import flows
 from tests.test_breaks import CALL as CALLS
 from tests.test_greedy import CALL, SIGNAL, random_signals
+from tests.test_segments import random_calls as grouped_calls
 from tests.test_support import backs
 
 
@@ -105,3 +108,31 @@ def test_support_of_copies_unknowns_and_files_in_one_move(spark):
     listed = [(f, f"severus_x{i}", "r1") for f in (0, 1, 2) for i in range(11)]
     strict = typed_support(c.filter("svid is not null"), spark.createDataFrame(listed, "file_id int, svid string, read string"), ev["z"], CompareParams(), strict=True)
     assert strict.filter("asm_name_support = 0").count() == len(calls) - 1
+
+
+@pytest.mark.parametrize("deep, with_bed", [(islands.DEEP, False), (20, True)])
+def test_categories_are_grouped_together_as_each_alone(spark, monkeypatch, deep, with_bed):
+    rnd = random.Random(5)
+    rows = [(*c[:2], f"severus_x{c[1] // 2}_{c[1] % 2 + 1}", *c[3:]) for c in grouped_calls(9, 250)] + [(0, 900, None, "a", 5, ">>", "a", 9, "DEL", -50, False, 3, 1.0)]
+    calls = spark.createDataFrame(rows, CALL).repartition(3)
+    reads = calls.filter("svid is not null").selectExpr("file_id", "substring(svid, 1, length(svid) - 2) svid", "explode(array('r0', concat('r', line_no % 7), concat('q', line_no))) read")
+    pick = lambda n: [(rnd.choice([f"r{i}" for i in range(7)]), rnd.choice([1, 2, 8]), rnd.choice([90, 400, 3000])) for _ in range(n)]
+    ev = {n: spark.createDataFrame(pick(k), "read string, flag int, abs_len long") for n, k in (("x", 60), ("y", 25))}
+    bed = spark.createDataFrame([("a", 0, 40_000), ("b", 1000, 50_000)], "ctg string, st long, en long") if with_bed else None
+    p, times = UnionParams(group_min_count=2), []
+    monkeypatch.setattr(flows, "grouped", lambda *a, **k: times.append(1) or union.grouped(*a, **k, deep=deep))
+    out = flows.category_unions(calls, reads, ev, 2, p=p, bed=bed, n_callers=2)
+    assert len(times) == 1 and list(out) == ["l_only", "x", "y"]
+    enough = CompareParams(min_count=2)
+    stats = category_support(select_reportable(calls, enough, bed), reads, ev, enough).selectExpr("file_id", "regexp_replace(svid, '_[12]$', '') clean_id", "count", "inline(support)")
+    text = lambda d: sorted(str(sorted(r.asDict().items())) for r in d.collect())
+    for name in out:
+        mine = calls.filter("count <= 0 or count >= 2") if name == "l_only" else supported_calls(calls, stats.filter(F.col("category") == name), enough)
+        mine = mine.filter("file_id < 2")
+        want = union.union_rows(mine, p, bed)
+        assert text(out[name]["rows"]) == text(want) and not want.isEmpty()
+        assert text(out[name]["combinations"]) == text(union.combination_counts(mine, 2, p, bed))
+        assert text(out[name]["dedup"]) == text(union.median_rows(want))
+    gone = reads.filter(~F.col("svid").isin("severus_x100", "severus_x121"))
+    with pytest.raises(Exception, match="no reads listed for"):
+        flows.category_unions(calls, gone, ev, 2, p=p, n_callers=1)
