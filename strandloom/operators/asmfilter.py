@@ -131,6 +131,12 @@ def typed_support(
     return _typed(calls, call_reads, evidence, p, strict).select(*calls.columns, "asm_support", "asm_name_support")
 
 
+def counted_support(calls: DataFrame, call_reads: DataFrame, evidence: DataFrame, p: CompareParams, strict: bool = False) -> DataFrame:
+    """``typed_support`` with ``copies``, the calls of the same key, or 1 if the key has an unknown."""
+    rows = _typed(calls, call_reads, evidence, p, strict).withColumn("copies", F.greatest(_whole_key(F.col("copies")), F.lit(1)).cast("bigint"))
+    return rows.select(*calls.columns, "asm_support", "asm_name_support", "copies")
+
+
 def _typed(calls: DataFrame, call_reads: DataFrame, evidence: DataFrame, p: CompareParams, strict: bool) -> DataFrame:
     """``typed_support`` with ``clean_id``, by which its rows lie, and ``copies``, the number of calls of the same key."""
     copies = {"copies": F.count("*").over(Window.partitionBy("clean_id", *KEY))}

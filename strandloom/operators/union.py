@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
-from strandloom.operators.asmfilter import typed_support
+from strandloom.operators.asmfilter import counted_support
 from strandloom.operators.compare import SHAPE, Shapes, island_scan, same_shape
 from strandloom.operators.intervals import BIN, running
 from strandloom.operators.islands import DEEP, IslandTables, numbers, scan_segments
@@ -90,8 +90,11 @@ def grouped(
     return island_scan(rows, p.window, needed, out, lambda: IslandTables(scan, needed, "pos", extra, plain, settled), scan, deep, None if categories is None else (CATEGORY, F.explode(categories)))
 
 
-def reported_groups(rows: DataFrame, p: UnionParams = UnionParams()) -> DataFrame:
-    """Every group (of every category, if rows have one) with the files it has calls of, and whether it is reported."""
+def reported_groups(rows: DataFrame, p: UnionParams = UnionParams(), *more: Column) -> DataFrame:
+    """Every group (of every category, if rows have one) with the files it has calls of, and whether it is reported.
+
+    ``more`` are further aggregates of its calls.
+    """
     own = [CATEGORY] if CATEGORY in rows.columns else []
     g = rows.groupBy(*own, *GROUP_KEY, "seed_pos", "seed_file", "seed_line").agg(
         F.max("count").alias("max_count"),
@@ -100,6 +103,7 @@ def reported_groups(rows: DataFrame, p: UnionParams = UnionParams()) -> DataFram
         F.bool_or("in_bed").alias("in_bed"),
         F.sort_array(F.collect_set("file_id")).alias("files"),
         F.count("*").alias("n_calls"),
+        *more,
     )
     kept = (
         (F.col("max_count") >= p.group_min_count)
@@ -111,9 +115,14 @@ def reported_groups(rows: DataFrame, p: UnionParams = UnionParams()) -> DataFram
 
 def group_summary(rows: DataFrame, p: UnionParams = UnionParams()) -> DataFrame:
     """Key and ``kept`` of ``reported_groups`` with a number in creation order."""
+    return _numbered(reported_groups(rows, p).select(*GROUP_KEY, "seed_pos", "seed_file", "seed_line", "kept"))
+
+
+def _numbered(groups: DataFrame) -> DataFrame:
+    """Adds ``group_id``: the number of each group in creation order."""
     # Equal seeds cannot start two groups, except for alleles of one line: the key breaks that tie.
     return dense_index(
-        reported_groups(rows, p).select(*GROUP_KEY, "seed_pos", "seed_file", "seed_line", "kept"),
+        groups,
         ["seed_pos", "seed_file", "seed_line", "ctg2", "grp"],
         {"_c_ctg": F.col("ctg"), "_c_at": F.floor(F.col("seed_pos") / 1_000_000)},
         "group_id",
@@ -155,13 +164,20 @@ def combinations_of(rows: DataFrame, n_files: int, p: UnionParams, unseen: bool
     return every.join(counts, "label", "left").select("label", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
+def _best(rows: DataFrame, rest: list[str], score: str) -> Column:
+    """Aggregate: ``rest`` of the row with the highest score, the earliest arrival on a tie, then the largest of ``rest``."""
+    order = [F.col(score).alias("_0"), *[(-F.col(c)).alias(f"_{i}") for i, c in enumerate(("pos", "file_id", "line_no"), 1)]]
+    plain = [c for c, t in rows.dtypes if c in rest and not t.startswith("map")]
+    plain = [c for c in rest if c in plain]
+    if plain == rest:
+        return F.max(F.struct(*order, *rest))
+    return F.max_by(F.struct(*rest), F.struct(*order, *plain))
+
+
 def _first_best(rows: DataFrame, group: list[str], score: str) -> DataFrame:
-    """Row with the highest score per group, the earliest arrival on a tie, then the largest of the other columns."""
-    order = [-F.col(c) for c in ("pos", "file_id", "line_no")]
+    """The ``_best`` row per group."""
     rest = [c for c in rows.columns if c not in group]
-    order += [F.col(c) for c, t in rows.dtypes if c in rest and not t.startswith("map")]
-    best = rows.groupBy(*group).agg(F.max_by(F.struct(*rest), F.struct(F.col(score), *order)).alias("r"))
-    return best.select(*group, "r.*")
+    return rows.groupBy(*group).agg(_best(rows, rest, score).alias("r")).select(*group, *[F.col("r")[c].alias(c) for c in rest])
 
 
 def supported_union(
@@ -175,15 +191,27 @@ def supported_union(
     """Reported groups with assembly support per call, ``n_asm``; ``strict`` refuses calls without listed reads.
 
     ``call_reads`` is ``file_id, svid, read``; ``evidence`` comes from ``readids.asm_evidence``.
-    Collapsed, a group is its best supported call; otherwise every sufficiently supported call.
+    Collapsed, a group is its best supported call; otherwise every sufficiently supported call.  Support is counted
+    before calls are grouped and stays with them, so groups and support are not joined.
     """
-    support = typed_support(calls, call_reads, evidence, CompareParams(min_len_ratio=p.min_len_ratio), strict)
-    rows = union_rows(calls, p, bed).join(
-        support.select(*CALL_KEY, F.col("asm_support").alias("n_asm")), CALL_KEY, "left"
-    ).withColumn("n_asm", F.coalesce("n_asm", F.lit(0)).cast("bigint"))
+    rows = counted_support(calls, call_reads, evidence, CompareParams(min_len_ratio=p.min_len_ratio), strict)
+    rows = written(rows.withColumnRenamed("asm_support", "n_asm").drop("asm_name_support"))
+    placed = grouped(rows, p, bed)
     if p.collapsed:
-        rows = _first_best(rows, ["group_id"], "n_asm")
-    return rows.filter(F.col("n_asm") >= p.group_min_count)
+        return _best_of_groups(placed, [*CALL_KEY, *[c for c in calls.columns if c not in CALL_KEY], "n_asm"], p)
+    rows = rows_of(written(placed), p).filter(F.col("n_asm") >= p.group_min_count)
+    # A call stands for each call of its key.
+    return rows.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).drop("copies")
+
+
+def _best_of_groups(rows: DataFrame, cols: list[str], p: UnionParams) -> DataFrame:
+    """The best supported call of every reported group, if its support suffices, in one pass over calls that are ``grouped``."""
+    rest = [c for c in cols if c not in GROUP_KEY]
+    groups = reported_groups(rows, p, _best(rows, rest, "n_asm").alias("r"))
+    enough = F.col("kept") & (F.col("r")["n_asm"] >= p.group_min_count)
+    groups = groups.select(*GROUP_KEY, "seed_pos", "seed_file", "seed_line", F.when(enough, F.col("r")).alias("r"))
+    one = [F.col(c) if c in GROUP_KEY else F.col("r")[c].alias(c) for c in cols]
+    return _numbered(groups).filter("r is not null").select("group_id", *one)
 
 
 def union_with_repeats(

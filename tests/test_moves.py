@@ -136,3 +136,32 @@ def test_categories_are_grouped_together_as_each_alone(spark, monkeypatch, deep,
     gone = reads.filter(~F.col("svid").isin("severus_x100", "severus_x121"))
     with pytest.raises(Exception, match="no reads listed for"):
         flows.category_unions(calls, gone, ev, 2, p=p, n_callers=1)
+
+
+@pytest.mark.parametrize("collapsed", [True, False])
+def test_support_stays_with_the_calls_of_a_union(spark, collapsed):
+    rnd = random.Random(8)
+    rows = grouped_calls(10, 200)
+    rows += rows[:15] + [(*r[:11], 9, 0.5) for r in rows[10:30]] + [(*r[:2], None, *r[3:]) for r in rows[:5]]
+    calls = spark.createDataFrame(rows, CALL).repartition(3)
+    reads = calls.filter("svid is not null").selectExpr("file_id", "svid", "explode(array('r0', concat('r', line_no % 7), concat('r', line_no % 5))) read")
+    found = [(rnd.choice([f"r{i}" for i in range(7)]), rnd.choice([1, 2, 8]), rnd.choice([90, 400, 3000])) for _ in range(40)]
+    ev = spark.createDataFrame(found, "read string, flag int, abs_len long")
+    p = UnionParams(group_min_count=2, collapsed=collapsed)
+    cols = [x.split()[0] for x in CALL.split(", ")]
+    support = typed_support(calls, reads, ev, CompareParams(min_len_ratio=p.min_len_ratio)).selectExpr(*union.CALL_KEY, "asm_support n_asm")
+    want = [r.asDict() for r in union.union_rows(calls, p).join(support, union.CALL_KEY, "left").fillna(0, ["n_asm"]).collect()]
+    if collapsed:
+        rest = [*union.CALL_KEY, *[c for c in cols if c not in union.CALL_KEY]]
+        rank = lambda r: [r["n_asm"], -r["pos"], -r["file_id"], -r["line_no"], *[(r[c] is not None, r[c]) for c in rest]]
+        best = {}
+        for r in want:
+            if r["group_id"] not in best or rank(r) > rank(best[r["group_id"]]):
+                best[r["group_id"]] = r
+        want = [*best.values()]
+    want = [r for r in want if r["n_asm"] >= 2]
+    text = lambda d: sorted(str(sorted(r.items())) for r in d)
+    out = union.supported_union(calls, reads, ev, p)
+    assert text(r.asDict() for r in out.collect()) == text(want) and len(want) > 20
+    if collapsed:  # the groups are numbered by chunks; nothing else is joined
+        assert optimized(out).count("Join ") <= 1
