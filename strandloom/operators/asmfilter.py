@@ -6,6 +6,8 @@ and never one array.  Only the evidence of a read, which is bounded, travels as
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strandloom.functions.typing import (
@@ -87,7 +89,7 @@ def _supported(
     ``more`` columns are derived where the calls of an id are together.
 
     Evidence meets the reads first and goes on with them to the calls, so a read moves twice and a call once; calls are
-    counted where their id is.  calls that are ``strict`` are refused if their id is not in the read table.
+    counted where their id is.  calls that are ``strict`` are refused if their id is not in the read table, unless their key has an unknown.
     """
     shared = ["file_id"] if "file_id" in call_reads.columns else []
     reads = call_reads.select(*[F.col(c).alias("_r_" + c) for c in shared], F.col("svid").alias("_r_id"), "read")
@@ -106,19 +108,20 @@ def _supported(
     bits = {"named": F.col("named"), "typed": F.aggregate("ends", zero, lambda found, e: found.bitwiseOR(F.when(backs(e), e["mask"]).otherwise(zero)))}
     if strict is not None:
         none = F.raise_error(F.concat(F.lit("no reads listed for "), F.col("svid"))).cast("bigint")
-        bits = {k: F.when(F.coalesce("_listed", F.lit(False)) | ~strict, v).otherwise(none) for k, v in bits.items()}
+        bits = {k: F.when(F.coalesce("_listed", F.lit(False)) | ~(strict & _known_key()), v).otherwise(none) for k, v in bits.items()}
     has = lambda c, i: F.count_if(F.col(c).bitwiseAND(F.lit(1 << i)) != 0)
     counts = [has(c, i).alias(f"_{c[0]}{i}") for i in range(len(evidence)) for c in ("typed", "named")]
     own = list(dict.fromkeys([*calls.columns, "clean_id", *(more or {})]))
     return rows.withColumns(bits).groupBy(*own, "_row").agg(*counts).drop("_row")
 
 
+def _known_key() -> Column:
+    return reduce(Column.__and__, [F.col(c).isNotNull() for c in KEY])
+
+
 def _whole_key(count: Column) -> Column:
     """The count, or 0 for a call with an unknown in its key."""
-    known = F.lit(True)
-    for c in KEY:
-        known = known & F.col(c).isNotNull()
-    return F.when(known, count).otherwise(0).cast("bigint")
+    return F.when(_known_key(), count).otherwise(0).cast("bigint")
 
 
 def typed_support(
